@@ -51,15 +51,19 @@ def long_rows(frame: DataFrame, keep: Sequence[str], rows: Sequence[Column]) ->
     return frame.select(*keep, F.explode(F.array(*rows)).alias("entry")).select(*keep, "entry.*")
 
 
+def _name(*parts: str) -> str:
+    return ".".join(f"`{part}`" for part in parts)
+
+
 def rounded(frame: DataFrame, digits: int = 6) -> DataFrame:
     """Round every double column; decimals become doubles first."""
     columns = []
     for field in frame.schema.fields:
-        column = F.col(f"`{field.name}`")
+        column = _name(field.name)
         if isinstance(field.dataType, (T.DoubleType, T.FloatType, T.DecimalType)):
-            column = F.round(column.cast("double"), digits).alias(field.name)
+            column = f"round(cast({column} as double), {digits}) as {column}"
         columns.append(column)
-    return frame.select(*columns)
+    return frame.selectExpr(*columns)
 
 
 def flattened(frame: DataFrame) -> DataFrame:
@@ -68,12 +72,12 @@ def flattened(frame: DataFrame) -> DataFrame:
     for field in frame.schema.fields:
         if isinstance(field.dataType, T.StructType):
             columns += [
-                F.col(f"`{field.name}`.`{inner}`").alias(f"{field.name}_{inner}")
+                f"{_name(field.name, inner)} as {_name(f'{field.name}_{inner}')}"
                 for inner in field.dataType.names
             ]
         else:
-            columns.append(F.col(f"`{field.name}`"))
-    return frame.select(*columns)
+            columns.append(_name(field.name))
+    return frame.selectExpr(*columns)
 
 
 def newest_first(frame: DataFrame, moment: str = "timestamp", key: str = "vessel_id") -> DataFrame:

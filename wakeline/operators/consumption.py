@@ -136,7 +136,7 @@ def daily_consumption(
     per vessel-hour in place of every row.
     """
     first, last = _day_bounds(start, end)
-    rows = within(pick_vessels(interp, vessel_ids, vessel), "nr_time", first, last)
+    rows = within(pick_vessels(interp, vessel_ids), "nr_time", first, last)
     hours = [f"{e}_run_hours" for e in (*MAIN_ENGINES, *AUX_ENGINES)]
     fuels = [*_MAIN_FUEL, *_AUX_FUEL]
     speeds = {"avg_sog": "average_speed_gps", "avg_stw": "speed_through_water"}
@@ -151,7 +151,7 @@ def daily_consumption(
         with_cell(rows).groupBy("vessel_id", day_of(F.col("nr_time")).alias("date"), *CELL)
     ).agg(*partial)
 
-    matched = cells.join(
+    matched = pick_vessels(cells, None, vessel).join(
         grid(within(weather, "time", floor_to_grid(first, 60), last), "beaufourt", "dss"),
         list(CELL),
         "left",

@@ -44,7 +44,7 @@ def track(
     are carried in from a summary with one row per (vessel, slice). No task ever
     holds a whole vessel.
     """
-    telemetry = pick_vessels(interp, vessel_ids, vessel)
+    telemetry = pick_vessels(interp, vessel_ids)
     before = F.col("course").isNotNull() & (F.col("nr_time") < instant(start))
 
     # With the higher id first among equal times for ``oldest``.
@@ -58,6 +58,7 @@ def track(
         .groupBy("vessel_id", "track_slice", "nr_time", "latitude", "longitude", "course")
         .agg(F.max("id").alias("id"))
     )
+    marks = pick_vessels(marks, None, vessel)
 
     # Headings that cross slice boundaries. The last one before the window is
     # entered as a slice of its own, ahead of all others.
@@ -131,10 +132,12 @@ def latest_position(
     """
     order = ("nr_time", "id")
     found = (
-        interp if vessel_ids is None else pick_vessels(interp, vessel_ids)
-    ).groupBy("vessel_id").agg(
-        newest(order, (*_LOCATED, "course"), located()).alias("point"),
-        newest(order, ("course",), F.col("course").isNotNull()).alias("heading"),
+        pick_vessels(interp, vessel_ids)
+        .groupBy("vessel_id")
+        .agg(
+            newest(order, (*_LOCATED, "course"), located()).alias("point"),
+            newest(order, ("course",), F.col("course").isNotNull()).alias("heading"),
+        )
     )
     return pick_vessels(found, None, vessel).where(F.col("point").isNotNull()).select(
         "vessel_id",

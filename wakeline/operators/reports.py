@@ -165,16 +165,16 @@ def _midnights(start: Moment, end: Moment) -> tuple[Moment, Moment]:
 
 
 def _reporting_rows(
-    interp: DataFrame,
-    device: DataFrame,
-    start: Moment,
-    end: Moment,
-    vessel_ids: Iterable[int] | None,
+    interp: DataFrame, start: Moment, end: Moment, vessel_ids: Iterable[int] | None
 ) -> DataFrame:
-    """Telemetry of the days from ``start`` up to, not including, ``end``; vessels
-    without any device are left out."""
+    """Telemetry of the days from ``start`` up to, not including, ``end``."""
     first, after = _midnights(start, end)
     rows = within(pick_vessels(interp, vessel_ids), "nr_time", first, after, half_open=True)
+    return rows.drop("day")
+
+
+def _equipped(rows: DataFrame, device: DataFrame) -> DataFrame:
+    """Leave out vessels without any device."""
     return rows.join(device.select("vessel_id"), "vessel_id", "left_semi")
 
 
@@ -185,11 +185,13 @@ def _with_rpm(
     start: Moment,
     end: Moment,
     vessel_ids: Iterable[int] | None,
+    instants: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``me1_rpm`` to ``me3_rpm`` read at the row's own time.
 
     The CAN bus is reduced to one row per (vessel, time) first, so telemetry is
-    never multiplied by devices.
+    never multiplied by devices. ``instants`` names the (vessel, time) pairs that
+    matter when they are few.
     """
     first, after = _midnights(start, end)
     main = pick_vessels(device, vessel_ids).where(F.col("label_name").isin(*RPM_LABELS))
@@ -200,10 +202,12 @@ def _with_rpm(
 
     readings = (
         within(canbus, "message_datetime", first, after, half_open=True)
+        .withColumnRenamed("message_datetime", "nr_time")
         .join(main.select("device_id", "vessel_id", "label_name"), "device_id")
-        .groupBy("vessel_id", F.col("message_datetime").alias("nr_time"))
-        .agg(*[rpm(label) for label in RPM_LABELS])
     )
+    if instants is not None:
+        readings = readings.join(instants, ["vessel_id", "nr_time"], "left_semi")
+    readings = readings.groupBy("vessel_id", "nr_time").agg(*[rpm(c) for c in RPM_LABELS])
     return rows.join(readings, ["vessel_id", "nr_time"], "left").select(
         *[f"{label.lower()}_rpm" for label in RPM_LABELS], *[rows[c] for c in rows.columns]
     )
@@ -221,7 +225,7 @@ def unified_dataset(
 
     Whole days, from the start date up to but not including the end date.
     """
-    rows = _reporting_rows(interp, device, start, end, vessel_ids)
+    rows = _equipped(_reporting_rows(interp, start, end, vessel_ids), device)
     return _with_rpm(rows, canbus, device, start, end, vessel_ids)
 
 
@@ -246,13 +250,14 @@ def page(
     if page_size < 1 or page_number < 1:
         raise ValueError("page number and page size must be greater than 0")
     offset = (page_number - 1) * page_size
-    rows = _reporting_rows(interp, device, start, end, vessel_ids).withColumn(
+    rows = _reporting_rows(interp, start, end, vessel_ids).withColumn(
         "page_slice", time_slice(F.col("nr_time"))
     )
-    hours = slice_offsets(rows, ["vessel_id"], "page_slice", descending=True).where(
+    counted = slice_offsets(rows, ["vessel_id"], "page_slice", descending=True).where(
         (F.col("rows_before") < offset + page_size)
         & (F.col("rows_before") + F.col("slice_rows") > offset)
     )
+    hours = _equipped(counted, device)
     # A page overlaps at most ``page_size`` hours of a vessel.
     hours = broadcast_if_small(hours, vessel, page_size)
     newest_down = Window.partitionBy("vessel_id").orderBy(
@@ -265,7 +270,8 @@ def page(
         .where(F.col("row_index").between(offset, offset + page_size - 1))
         .drop("page_slice", "slice_rows", "rows_before")
     )
-    full = _with_rpm(on_page, canbus, device, start, end, vessel_ids)
+    instants = broadcast_if_small(on_page.select("vessel_id", "nr_time"), vessel, page_size)
+    full = _with_rpm(on_page, canbus, device, start, end, vessel_ids, instants)
     return full.select(
         *[c for c in full.columns if c not in ("row_index", "total_rows")],
         F.col("row_index").cast("bigint").alias("row_index"),
@@ -280,14 +286,14 @@ def page(
 def export_csv(unified: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """The unified data set as CSV with a header, one folder per vessel and day.
 
-    Splitting by day as well as vessel keeps a vessel with a long history from
-    ending up in one writer.
+    Rows of a folder are brought together before the write; a folder too big
+    for one writer is split over several.
     """
     (
         unified.withColumns(
             {"vessel": F.col("vessel_id"), "day": day_of(F.col("nr_time"))}
         )
-        .repartition("vessel", "day")
+        .hint("rebalance", F.col("vessel"), F.col("day"))
         .write.mode(mode)
         .option("header", True)
         .option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]")

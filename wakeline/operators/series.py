@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wakeline.functions.frames import long_rows, mean, number, pick_vessels, total, zero_if_null
-from wakeline.functions.latest import latest_per
 from wakeline.functions.sizing import broadcast_if_small
 from wakeline.functions.spine import gap_fill
 from wakeline.functions.times import Moment, minutes_interval, time_bin, within
@@ -281,7 +280,7 @@ def engine_playback(
     fitted = pick_vessels(sensor_devices(device, engine_table, engine), vessel_ids)
     readings = (
         within(canbus, "message_datetime", start, end)
-        .join(fitted, "device_id")
+        .join(broadcast_if_small(fitted, device), "device_id")
         .select(
             "vessel_id",
             F.lit(engine.upper()).alias("engine"),
@@ -290,14 +289,9 @@ def engine_playback(
             "running_hour",
         )
     )
-    fuel = latest_per(
-        within(pick_vessels(interp, vessel_ids), "nr_time", start, end),
-        ["vessel_id", "nr_time"],
-        ["id"],
-        [f"{name}_consumption"],
-    ).select(
-        "vessel_id",
-        F.col("nr_time").alias("timestamp"),
-        number(f"{name}_consumption").alias("fuel_cons"),
+    fuel = (
+        within(pick_vessels(interp, vessel_ids), "nr_time", start, end)
+        .groupBy("vessel_id", F.col("nr_time").alias("timestamp"))
+        .agg(number(F.max_by(f"{name}_consumption", "id")).alias("fuel_cons"))
     )
     return readings.join(fuel, ["vessel_id", "timestamp"], "left")

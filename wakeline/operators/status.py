@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wakeline.functions.frames import number, pick_vessels
+from wakeline.functions.sizing import broadcast_if_small
 from wakeline.functions.times import Moment, within
 
 # The reported status classes, and the one that is no status yet.
@@ -44,7 +45,9 @@ def _described(
         F.col("description").alias("gis_point_description"),
         "gis_point_type",
     )
-    return rows.join(statuses, "status").join(points, "gis_point_id")
+    return rows.join(statuses, "status").join(
+        broadcast_if_small(points, gis_point), "gis_point_id"
+    )
 
 
 _FIELDS = (

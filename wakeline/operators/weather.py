@@ -22,7 +22,11 @@ _SCALES = ("beaufourt", "dss")
 
 
 def newest_on_grid(
-    telemetry: DataFrame, weather: DataFrame, readings: Sequence[str], values: Sequence[str]
+    telemetry: DataFrame,
+    weather: DataFrame,
+    readings: Sequence[str],
+    values: Sequence[str],
+    vessel: DataFrame | None = None,
 ) -> DataFrame:
     """Per vessel the newest telemetry row that has weather.
 
@@ -36,7 +40,8 @@ def newest_on_grid(
         .agg(F.max(F.struct("nr_time", "id", *readings)).alias("seen"))
     )
     return (
-        legs.join(grid(weather, *values), list(CELL))
+        pick_vessels(legs, None, vessel)
+        .join(grid(weather, *values), list(CELL))
         .groupBy("vessel_id")
         .agg(F.max(F.struct("seen", "wx_hour", *values)).alias("newest"))
         .select(
@@ -63,8 +68,8 @@ def latest_weather(
     vessel: DataFrame | None = None,
 ) -> DataFrame:
     """Weather at the newest telemetry row that has any."""
-    rows = pick_vessels(unified, vessel_ids, vessel)
-    return newest_on_grid(rows, weather, [], [*_DIRECTIONS, *_SCALES]).select(
+    rows = pick_vessels(unified, vessel_ids)
+    return newest_on_grid(rows, weather, [], [*_DIRECTIONS, *_SCALES], vessel).select(
         "vessel_id", F.col("wx_hour").alias("timestamp"), *_weather_fields()
     )
 
@@ -101,8 +106,8 @@ def weather_resistance(
 ) -> DataFrame:
     """Wind, waves and current in knots at the newest matched row, with added resistance."""
     values = [*_DIRECTIONS, *_SCALES, "wind_speed", "wave_height", "current_speed"]
-    rows = pick_vessels(interp, vessel_ids, vessel)
-    return newest_on_grid(rows, weather, ["course"], values).select(
+    rows = pick_vessels(interp, vessel_ids)
+    return newest_on_grid(rows, weather, ["course"], values, vessel).select(
         "vessel_id",
         F.col("nr_time").alias("timestamp"),
         number("course").alias("vessel_heading"),

@@ -27,7 +27,7 @@ from wakeline.operators import (
     status,
     weather,
 )
-from wakeline.sources.fixtures import FixtureTables
+from wakeline.sources.fixtures import FixtureTables, fixture_tables
 from wakeline.sources.noon import NOON_COLUMNS, parse_noon_lines
 from wakeline.sources.shared import new_path
 
@@ -47,7 +47,7 @@ _QUERIES: dict[str, Query] = {}
 def _query(name: str) -> Callable[[Callable[[FixtureTables], DataFrame]], Query]:
     def register(build: Callable[[FixtureTables], DataFrame]) -> Query:
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            return rounded(flattened(build(FixtureTables(spark, folder))))
+            return rounded(flattened(build(fixture_tables(spark, folder))))
 
         run.__doc__ = build.__doc__
         _QUERIES[name] = run

@@ -227,3 +227,15 @@ class FixtureTables:
                 self._view(inner).createOrReplaceTempView(inner)
             self._frames[view] = _zoneless(self._spark.sql(sql))
         return self._frames[view]
+
+
+_OPEN: dict[str, tuple[SparkSession, FixtureTables]] = {}
+
+
+def fixture_tables(spark: SparkSession, folder: str) -> FixtureTables:
+    """The tables over ``folder``; their (lazy) frames are built once per session."""
+    session, tables = _OPEN.get(folder, (None, None))
+    if session is not spark:
+        tables = FixtureTables(spark, folder)
+        _OPEN[folder] = (spark, tables)
+    return tables
