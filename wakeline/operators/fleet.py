@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wakeline.functions.frames import number, pick_vessels
+from wakeline.functions.times import Moment
 from wakeline.operators.links import vessel_links
 from wakeline.operators.positions import latest_ais, latest_position
 from wakeline.operators.series import latest_speed
@@ -33,24 +34,31 @@ def fleet_kpis(
     gis_point: DataFrame,
     gis_point_type: DataFrame,
     customer_name: str | None = None,
+    since: Moment | None = None,
 ) -> DataFrame:
     """speed, weather, links, both positions and status of every vessel, one row each.
 
     Every part is a per-vessel aggregate, so the joins move one row per vessel.
+    ``since`` reads recent rows first.
     """
     owners = customer if customer_name is None else customer.where(F.col("name") == customer_name)
     fleet = vessel.join(
         owners.select(F.col("id").alias("customer_id")), "customer_id", "left_semi"
     )
     parts = {
-        "speed": latest_speed(interp, fleet),
-        "weather": latest_weather(unified, weather, vessel=fleet),
+        "speed": latest_speed(interp, fleet, since=since),
+        "weather": latest_weather(unified, weather, vessel=fleet, since=since),
         "links": vessel_links(fleet, device, engine, device_status, nmea),
-        "ais_position": latest_ais(ais, fleet).drop("id_type", "id_number"),
+        "ais_position": latest_ais(ais, fleet, since=since).drop("id_type", "id_number"),
         "position_status": latest_status(
-            vessel_status, position_status, gis_point, gis_point_type, vessel=fleet
+            vessel_status,
+            position_status,
+            gis_point,
+            gis_point_type,
+            vessel=fleet,
+            since=since,
         ),
-        "position": latest_position(interp, vessel=fleet),
+        "position": latest_position(interp, vessel=fleet, since=since),
     }
     result = fleet.select(F.col("id").alias("vessel_id"), "name", "imo", "mmsi")
     for name, frame in parts.items():

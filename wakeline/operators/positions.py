@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wakeline.functions.frames import number, pick_vessels
 from wakeline.functions.latest import latest_per, newest
+from wakeline.functions.recent import recent_first
 from wakeline.functions.sizing import broadcast_if_small
 from wakeline.functions.slices import time_slice
 from wakeline.functions.times import EPOCH, Moment, instant, within
@@ -120,26 +121,17 @@ def track(
     )
 
 
-def latest_position(
-    interp: DataFrame,
-    vessel_ids: Iterable[int] | None = None,
-    vessel: DataFrame | None = None,
-) -> DataFrame:
-    """Newest located row per vessel.
-
-    The heading is that row's course, else the vessel's latest course, else 0.
-    Both are found in one pass.
-    """
+def newest_fix(interp: DataFrame) -> DataFrame:
+    """Per vessel the newest located row (``point``) and the newest course (``heading``)."""
     order = ("nr_time", "id")
-    found = (
-        pick_vessels(interp, vessel_ids)
-        .groupBy("vessel_id")
-        .agg(
-            newest(order, (*_LOCATED, "course"), located()).alias("point"),
-            newest(order, ("course",), F.col("course").isNotNull()).alias("heading"),
-        )
+    return interp.groupBy("vessel_id").agg(
+        newest(order, (*_LOCATED, "course"), located()).alias("point"),
+        newest(order, ("course",), F.col("course").isNotNull()).alias("heading"),
     )
-    return pick_vessels(found, None, vessel).where(F.col("point").isNotNull()).select(
+
+
+def fix_columns(fixes: DataFrame) -> DataFrame:
+    return fixes.where(F.col("point").isNotNull()).select(
         "vessel_id",
         F.col("point.nr_time").alias("timestamp"),
         number("point.latitude").alias("lat"),
@@ -150,6 +142,28 @@ def latest_position(
     )
 
 
+def latest_position(
+    interp: DataFrame,
+    vessel_ids: Iterable[int] | None = None,
+    vessel: DataFrame | None = None,
+    since: Moment | None = None,
+) -> DataFrame:
+    """Newest located row per vessel.
+
+    The heading is that row's course, else the vessel's latest course, else 0.
+    Both are found in one pass. ``since`` reads recent rows first.
+    """
+    found = recent_first(
+        pick_vessels(interp, vessel_ids),
+        "nr_time",
+        since,
+        vessel,
+        newest_fix,
+        F.col("point").isNotNull() & F.col("heading").isNotNull(),
+    )
+    return fix_columns(pick_vessels(found, None, vessel))
+
+
 def ais_track(
     ais: DataFrame,
     start: Moment,
@@ -169,18 +183,23 @@ def ais_track(
 
 
 def latest_ais(
-    ais: DataFrame, vessel: DataFrame, vessel_ids: Iterable[int] | None = None
+    ais: DataFrame,
+    vessel: DataFrame,
+    vessel_ids: Iterable[int] | None = None,
+    since: Moment | None = None,
 ) -> DataFrame:
     """Newest located AIS report per vessel, with the number it is looked up by.
 
-    That is the IMO number, or the MMSI for a vessel without one.
+    That is the IMO number, or the MMSI for a vessel without one. ``since``
+    reads recent rows first.
     """
-    newest_report = latest_per(
-        pick_vessels(ais, vessel_ids),
-        ["vessel_id"],
-        ["report_datetime", "id"],
-        [*_LOCATED, "course"],
-        located(),
+
+    def find(reports: DataFrame) -> DataFrame:
+        order = ["report_datetime", "id"]
+        return latest_per(reports, ["vessel_id"], order, [*_LOCATED, "course"], located())
+
+    newest_report = recent_first(
+        pick_vessels(ais, vessel_ids), "report_datetime", since, vessel, find
     )
     has_imo = F.coalesce(F.col("imo"), F.lit(0)) != 0
     numbers = vessel.select(

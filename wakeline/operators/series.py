@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wakeline.functions.frames import long_rows, mean, number, pick_vessels, total, zero_if_null
+from wakeline.functions.recent import recent_first
 from wakeline.functions.sizing import broadcast_if_small
 from wakeline.functions.spine import gap_fill
-from wakeline.functions.times import Moment, minutes_interval, time_bin, within
+from wakeline.functions.times import Moment, floor_to_grid, minutes_interval, time_bin, within
 
 # Engine labels and parameter names with the columns they read.
 MAIN_ENGINES = ("me1", "me2", "me3")
@@ -50,15 +51,28 @@ def latest_speed(
     vessel: DataFrame,
     minutes: int = 1,
     vessel_ids: Iterable[int] | None = None,
+    since: Moment | None = None,
 ) -> DataFrame:
     """Mean SOG and STW of each vessel's newest bin.
 
-    The newest time per vessel comes first, so only rows of that bin are
-    averaged and no other bin is ever shuffled.
+    The newest bin per vessel comes first, so only its rows are averaged and no
+    other bin is ever shuffled. ``since`` reads recent rows first, from the
+    start of its bin.
     """
+    if since is not None:
+        since = floor_to_grid(since, minutes)
+    return recent_first(
+        pick_vessels(interp, vessel_ids),
+        "nr_time",
+        since,
+        vessel,
+        lambda rows: _newest_bin(rows, vessel, minutes),
+    )
+
+
+def _newest_bin(interp: DataFrame, vessel: DataFrame, minutes: int) -> DataFrame:
     rows = (
-        pick_vessels(interp, vessel_ids)
-        .where(_any_present(["average_speed_gps", "speed_through_water"]))
+        interp.where(_any_present(["average_speed_gps", "speed_through_water"]))
         .withColumn("timestamp", time_bin(F.col("nr_time"), minutes))
     )
     last_bins = rows.groupBy("vessel_id").agg(F.max("timestamp").alias("timestamp"))

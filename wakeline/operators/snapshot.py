@@ -229,9 +229,12 @@ def vessel_snapshot(
     as_of: Moment,
     minutes: int = FRESH_MINUTES,
     vessel_ids: Iterable[int] | None = None,
+    since: Moment | None = None,
 ) -> DataFrame:
     """One nested record per vessel: fresh telemetry, engines, both positions,
-    weather and status. Parts without data are null."""
+    weather and status. Parts without data are null. ``since`` reads recent rows
+    first."""
+    asked = pick_vessels(vessel, vessel_ids, key="id")
     best = most_complete(fresh(interp, as_of, minutes, vessel_ids))
     engines = ("me1", "me2", "me3", "ae1", "ae2")
     by_label = F.lower("label")
@@ -268,13 +271,15 @@ def vessel_snapshot(
         "stw",
         *[engine_record(e) for e in engines],
     )
-    own = latest_position(interp, vessel_ids)
-    other = latest_ais(ais, vessel, vessel_ids).drop("id_type", "id_number")
-    sky = latest_weather(unified, weather, vessel_ids)
-    state = latest_status(vessel_status, position_status, gis_point, gis_point_type, vessel_ids)
-    owners = pick_vessels(vessel, vessel_ids, key="id").select(F.col("id").alias("vessel_id"))
+    own = latest_position(interp, vessel_ids, asked, since)
+    other = latest_ais(ais, asked, vessel_ids, since).drop("id_type", "id_number")
+    sky = latest_weather(unified, weather, vessel_ids, asked, since)
+    state = latest_status(
+        vessel_status, position_status, gis_point, gis_point_type, vessel_ids, asked, since
+    )
     return (
-        owners.join(current, "vessel_id", "left")
+        asked.select(F.col("id").alias("vessel_id"))
+        .join(current, "vessel_id", "left")
         .join(_as_record(own, "position"), "vessel_id", "left")
         .join(_as_record(other, "ais_position"), "vessel_id", "left")
         .join(_as_record(sky, "weather"), "vessel_id", "left")

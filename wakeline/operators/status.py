@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wakeline.functions.frames import number, pick_vessels
+from wakeline.functions.recent import recent_first
 from wakeline.functions.sizing import broadcast_if_small
 from wakeline.functions.times import Moment, within
 
@@ -67,21 +68,37 @@ def latest_status(
     gis_point_type: DataFrame,
     vessel_ids: Iterable[int] | None = None,
     vessel: DataFrame | None = None,
+    since: Moment | None = None,
 ) -> DataFrame:
     """Newest described status per vessel.
 
     Reports are first reduced to the newest per (vessel, status, point) on the
     map side, so the dimension joins see that short list and not the fact table.
+    ``since`` reads recent rows first.
     """
-    reduced = (
-        pick_vessels(vessel_status, vessel_ids)
-        .where(F.col("gis_point_id").isNotNull())
-        .groupBy("vessel_id", "status", "gis_point_id")
-        .agg(F.max(F.struct("report_datetime", "id", "distance")).alias("report"))
+
+    def find(rows: DataFrame) -> DataFrame:
+        reduced = (
+            rows.where(F.col("gis_point_id").isNotNull())
+            .groupBy("vessel_id", "status", "gis_point_id")
+            .agg(F.max(F.struct("report_datetime", "id", "distance")).alias("report"))
+        )
+        return _newest_described(
+            pick_vessels(reduced, None, vessel), position_status, gis_point, gis_point_type
+        )
+
+    return recent_first(
+        pick_vessels(vessel_status, vessel_ids), "report_datetime", since, vessel, find
     )
-    described = _described(
-        pick_vessels(reduced, None, vessel), position_status, gis_point, gis_point_type
-    ).select(
+
+
+def _newest_described(
+    reduced: DataFrame,
+    position_status: DataFrame,
+    gis_point: DataFrame,
+    gis_point_type: DataFrame,
+) -> DataFrame:
+    described = _described(reduced, position_status, gis_point, gis_point_type).select(
         "vessel_id",
         "report.report_datetime",
         "report.id",

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wakeline.functions.frames import number, pick_vessels
+from wakeline.functions.recent import recent_first
 from wakeline.functions.times import Moment, floor_to_grid, within
 from wakeline.functions.weather import CELL, KNOTS_PER_MPS, added_resistance, grid, with_cell
 
@@ -66,12 +67,20 @@ def latest_weather(
     weather: DataFrame,
     vessel_ids: Iterable[int] | None = None,
     vessel: DataFrame | None = None,
+    since: Moment | None = None,
 ) -> DataFrame:
-    """Weather at the newest telemetry row that has any."""
-    rows = pick_vessels(unified, vessel_ids)
-    return newest_on_grid(rows, weather, [], [*_DIRECTIONS, *_SCALES], vessel).select(
-        "vessel_id", F.col("wx_hour").alias("timestamp"), *_weather_fields()
-    )
+    """Weather at the newest telemetry row that has any.
+
+    ``since`` reads recent rows first.
+    """
+    values = [*_DIRECTIONS, *_SCALES]
+    return recent_first(
+        pick_vessels(unified, vessel_ids),
+        "nr_time",
+        since,
+        vessel,
+        lambda rows: newest_on_grid(rows, weather, [], values, vessel),
+    ).select("vessel_id", F.col("wx_hour").alias("timestamp"), *_weather_fields())
 
 
 def _during(weather: DataFrame, start: Moment, end: Moment) -> DataFrame:
@@ -103,11 +112,20 @@ def weather_resistance(
     vessel_ids: Iterable[int] | None = None,
     vessel: DataFrame | None = None,
     exact: bool = False,
+    since: Moment | None = None,
 ) -> DataFrame:
-    """Wind, waves and current in knots at the newest matched row, with added resistance."""
+    """Wind, waves and current in knots at the newest matched row, with added resistance.
+
+    ``since`` reads recent rows first.
+    """
     values = [*_DIRECTIONS, *_SCALES, "wind_speed", "wave_height", "current_speed"]
-    rows = pick_vessels(interp, vessel_ids)
-    return newest_on_grid(rows, weather, ["course"], values, vessel).select(
+    return recent_first(
+        pick_vessels(interp, vessel_ids),
+        "nr_time",
+        since,
+        vessel,
+        lambda rows: newest_on_grid(rows, weather, ["course"], values, vessel),
+    ).select(
         "vessel_id",
         F.col("nr_time").alias("timestamp"),
         number("course").alias("vessel_heading"),

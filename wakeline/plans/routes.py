@@ -39,10 +39,19 @@ from wakeline.operators import (
 class FleetService:
     """Per-vessel and per-customer queries as of a given moment."""
 
-    def __init__(self, tables, as_of: Moment, fresh_minutes: int = FRESH_MINUTES):
+    def __init__(
+        self,
+        tables,
+        as_of: Moment,
+        fresh_minutes: int = FRESH_MINUTES,
+        recent_days: int | None = None,
+    ):
+        """``recent_days`` makes latest-state queries read that many days before they
+        turn to the whole history; answers do not change."""
         self.tables = tables
         self.as_of = as_datetime(as_of)
         self.fresh_minutes = fresh_minutes
+        self.since = None if recent_days is None else self.as_of - timedelta(days=recent_days)
 
     # Who and when
 
@@ -51,6 +60,9 @@ class FleetService:
         found = self.tables.vessel.where(F.col("imo") == imo).select("id").limit(100)
         return [row["id"] for row in found.collect()]
 
+    def _fleet(self, ids: list[int]) -> DataFrame:
+        return self.tables.vessel.where(F.col("id").isin(ids))
+
     def _window(self, start: Moment | None, end: Moment | None) -> tuple[Moment, Moment]:
         week_ago, now = default_window(self.as_of)
         return (week_ago if start is None else start), (now if end is None else end)
@@ -73,11 +85,11 @@ class FleetService:
         window = self._window(start, end)
         if source == "internal":
             if latest:
-                return positions.latest_position(t.interp, ids)
+                return positions.latest_position(t.interp, ids, self._fleet(ids), self.since)
             return positions.track(t.interp, *window, ids).orderBy("vessel_id", "timestamp")
         if source == "ais":
             if latest:
-                return positions.latest_ais(t.ais, t.vessel, ids)
+                return positions.latest_ais(t.ais, self._fleet(ids), ids, self.since)
             return newest_first(positions.ais_track(t.ais, *window, ids))
         raise ValueError("source must be 'internal' or 'ais'")
 
@@ -123,6 +135,7 @@ class FleetService:
             self.as_of,
             self.fresh_minutes,
             self.vessel_ids(imo),
+            self.since,
         )
 
     def vessel_playback(
@@ -149,9 +162,9 @@ class FleetService:
         )
 
     def weather_resistance(self, imo: int, exact: bool = False) -> DataFrame:
-        t = self.tables
+        t, ids = self.tables, self.vessel_ids(imo)
         return weather.weather_resistance(
-            t.interp, t.weather, self.vessel_ids(imo), exact=exact
+            t.interp, t.weather, ids, self._fleet(ids), exact, self.since
         )
 
     def vessel_details(self, imo: int) -> DataFrame:
@@ -260,6 +273,7 @@ class FleetService:
             t.nmea,
             *self._state_tables(),
             customer,
+            self.since,
         )
 
     def fleet_vessels(self, customer: str | None = None) -> DataFrame:

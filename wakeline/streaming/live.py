@@ -12,9 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wakeline.functions.frames import number, total, zero_if_null
-from wakeline.functions.latest import newest
 from wakeline.functions.times import BIN_ORIGIN, EPOCH
-from wakeline.operators.positions import located
+from wakeline.operators.positions import fix_columns, newest_fix
 from wakeline.operators.series import MAIN_ENGINES
 
 
@@ -27,20 +26,7 @@ def stream_last_seen(
 
 def stream_latest_position(interp: DataFrame) -> DataFrame:
     """P2 over a stream (update or complete mode)."""
-    order = ("nr_time", "id")
-    found = interp.groupBy("vessel_id").agg(
-        newest(order, ("latitude", "longitude", "course"), located()).alias("point"),
-        newest(order, ("course",), F.col("course").isNotNull()).alias("heading"),
-    )
-    return found.where(F.col("point").isNotNull()).select(
-        "vessel_id",
-        F.col("point.nr_time").alias("timestamp"),
-        number("point.latitude").alias("lat"),
-        number("point.longitude").alias("long"),
-        number(F.coalesce(F.col("point.course"), F.col("heading.course"), F.lit(0))).alias(
-            "direction"
-        ),
-    )
+    return fix_columns(newest_fix(interp))
 
 
 def stream_main_series(
