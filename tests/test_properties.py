@@ -228,6 +228,18 @@ def test_recent_first_gives_the_same_answers(tables):
         quick = sorted(operator(*arguments, **named, since=since).collect(), key=repr)
         assert quick == whole, operator.__name__
         assert whole
+    names = (t.vessel, t.customer, t.fleet_type, t.interp, t.ais, t.vps, t.position_status)
+    whole, quick = (
+        sorted(positions.fleet_positions(*names, since=s).collect(), key=repr)
+        for s in (None, since)
+    )
+    assert quick == whole
+    window = (at("09 00:00"), at("10 00:00"))
+    whole, quick = (
+        sorted(positions.track(t.interp, *window, vessel=t.vessel, since=s).collect(), key=repr)
+        for s in (None, at("08 22:00"))
+    )
+    assert quick == whole
 
 
 def test_recent_first_skips_the_archive_when_all_reported(spark, tmp_path):

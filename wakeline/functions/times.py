@@ -90,6 +90,20 @@ def epoch_seconds(moment: Column) -> Column:
     return F.call_function("div", moment - instant(EPOCH), F.expr("INTERVAL '1' SECOND"))
 
 
+def at_instants(
+    facts: DataFrame, instants: DataFrame, keys: list[str], how: str = "inner"
+) -> DataFrame:
+    """Join facts to a few exact instants; ``keys`` ends with the time column.
+
+    On a table in ``day`` folders the day joins too, which lets Spark prune
+    folders at run time.
+    """
+    if "day" in facts.columns:
+        instants = instants.withColumn("day", day_of(F.col(keys[-1])))
+        keys = [*keys, "day"]
+    return facts.join(instants, keys, how)
+
+
 def within(
     frame: DataFrame,
     moment: str,

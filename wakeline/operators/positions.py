@@ -12,7 +12,7 @@ from wakeline.functions.latest import latest_per, newest
 from wakeline.functions.recent import recent_first
 from wakeline.functions.sizing import broadcast_if_small
 from wakeline.functions.slices import time_slice
-from wakeline.functions.times import EPOCH, Moment, instant, within
+from wakeline.functions.times import EPOCH, Moment, at_instants, instant, within
 
 _LOCATED = ("latitude", "longitude")
 
@@ -32,6 +32,7 @@ def track(
     vessel_ids: Iterable[int] | None = None,
     vessel: DataFrame | None = None,
     slice_minutes: int = 60,
+    since: Moment | None = None,
 ) -> DataFrame:
     """Every distinct located point in the window with the heading nearest in time.
 
@@ -43,10 +44,10 @@ def track(
     found per (vessel, slice) with two running windows, one upwards and one
     downwards in time, and the last and first heading of the neighbouring slices
     are carried in from a summary with one row per (vessel, slice). No task ever
-    holds a whole vessel.
+    holds a whole vessel. ``since`` says where to look first for the last course
+    before the window; only vessels without one there are searched further back.
     """
     telemetry = pick_vessels(interp, vessel_ids)
-    before = F.col("course").isNotNull() & (F.col("nr_time") < instant(start))
 
     # With the higher id first among equal times for ``oldest``.
     up = (F.col("nr_time").alias("at"), F.col("id").alias("rank"))
@@ -66,16 +67,20 @@ def track(
     edges = marks.groupBy("vessel_id", "track_slice").agg(
         F.max(_heading(*up)).alias("last_heading"), F.min(_heading(*down)).alias("first_heading")
     )
-    opening = (
-        telemetry.where(before)
-        .groupBy("vessel_id")
-        .agg(F.max(_heading(*up)).alias("last_heading"))
-        .select(
-            "vessel_id",
-            instant(EPOCH).alias("track_slice"),
-            "last_heading",
-            F.lit(None).cast(edges.schema["first_heading"].dataType).alias("first_heading"),
-        )
+    earlier = within(telemetry, "nr_time", None, start, half_open=True)
+    opening = recent_first(
+        earlier.where(F.col("course").isNotNull()),
+        "nr_time",
+        since,
+        vessel,
+        lambda rows: rows.groupBy("vessel_id").agg(
+            F.max(_heading(*up)).alias("last_heading")
+        ),
+    ).select(
+        "vessel_id",
+        instant(EPOCH).alias("track_slice"),
+        "last_heading",
+        F.lit(None).cast(edges.schema["first_heading"].dataType).alias("first_heading"),
     )
     slices = Window.partitionBy("vessel_id")
     neighbours = edges.unionByName(opening).select(
@@ -227,11 +232,13 @@ def fleet_positions(
     vessel_status: DataFrame,
     position_status: DataFrame,
     customer_name: str | None = None,
+    since: Moment | None = None,
 ) -> DataFrame:
     """P5: newest position per vessel from own data and from AIS, one row per source.
 
     Carries the name of the status reported at exactly that time ('None' when
     there is none); a vessel without positions has one row at 1970-01-01.
+    ``since`` reads recent rows first.
     """
     owners = customer.select(F.col("id").alias("customer_id"), F.col("name").alias("customer"))
     if customer_name is not None:
@@ -244,10 +251,11 @@ def fleet_positions(
     )
 
     def newest_from(facts: DataFrame, moment: str, source: str, course: Column) -> DataFrame:
-        rows = latest_per(
-            facts, ["vessel_id"], [moment, "id"], [*_LOCATED, "course"], located()
-        )
-        return rows.select(
+        def find(rows: DataFrame) -> DataFrame:
+            order, values = [moment, "id"], [*_LOCATED, "course"]
+            return latest_per(rows, ["vessel_id"], order, values, located())
+
+        return recent_first(facts, moment, since, vessel, find).select(
             "vessel_id",
             F.lit(source).alias("source"),
             F.col(moment).alias("timestamp"),
@@ -264,7 +272,7 @@ def fleet_positions(
         seen.select("vessel_id", F.col("timestamp").alias("report_datetime")).distinct(), vessel, 2
     )
     at_instant = latest_per(
-        vessel_status.join(instants, ["vessel_id", "report_datetime"]),
+        at_instants(vessel_status, instants, ["vessel_id", "report_datetime"]),
         ["vessel_id", "report_datetime"],
         ["id"],
         ["status"],

@@ -11,7 +11,14 @@ from pyspark.sql import functions as F
 from wakeline.functions.frames import long_rows, number, pick_vessels
 from wakeline.functions.latest import latest_per, newest
 from wakeline.functions.sizing import broadcast_if_small
-from wakeline.functions.times import FRESH_MINUTES, Moment, as_datetime, instant
+from wakeline.functions.times import (
+    FRESH_MINUTES,
+    Moment,
+    as_datetime,
+    at_instants,
+    instant,
+    within,
+)
 from wakeline.operators.positions import ais_track, latest_ais, latest_position, track
 from wakeline.operators.series import (
     AUX_ENGINES,
@@ -34,6 +41,10 @@ SENSOR_VALUES = (
 )
 
 
+def fresh_since(as_of: Moment, minutes: int) -> Moment:
+    return as_datetime(as_of) - timedelta(minutes=minutes)
+
+
 def fresh(
     interp: DataFrame,
     as_of: Moment,
@@ -41,11 +52,10 @@ def fresh(
     vessel_ids: Iterable[int] | None = None,
 ) -> DataFrame:
     """Telemetry of the last ``minutes`` before ``as_of``, under its short names."""
-    since = as_datetime(as_of) - timedelta(minutes=minutes)
-    recent = (F.col("nr_time") > instant(since)) & (F.col("nr_time") <= instant(as_of))
+    start = fresh_since(as_of, minutes)
     return (
-        pick_vessels(interp, vessel_ids)
-        .where(recent)
+        within(pick_vessels(interp, vessel_ids), "nr_time", start, as_of)
+        .where(F.col("nr_time") > instant(start))
         .select("id", "vessel_id", *playback_columns())
     )
 
@@ -99,12 +109,15 @@ def engine_sensors(
     engine: DataFrame,
     canbus: DataFrame,
     label: str | None = None,
+    start: Moment | None = None,
+    end: Moment | None = None,
 ) -> DataFrame:
     """CAN bus readings of each engine sensor at its vessel's chosen instant.
 
-    ``chosen`` has one row per vessel (``vessel_id, timestamp``). A sensor that
-    was silent then has null readings; several reports at one instant resolve to
-    the highest id.
+    ``chosen`` has one row per vessel (``vessel_id, timestamp``); ``start`` and
+    ``end`` bound those times when they are known, and so the CAN bus scan. A
+    sensor that was silent then has null readings; several reports at one instant
+    resolve to the highest id.
     """
     wanted = sensor_devices(device, engine, label).join(
         chosen.select("vessel_id", "timestamp"), "vessel_id"
@@ -113,9 +126,11 @@ def engine_sensors(
         wanted.select("device_id", F.col("timestamp").alias("message_datetime")), device
     )
     readings = latest_per(
-        canbus.join(instants, ["device_id", "message_datetime"]).select(
-            "id", "device_id", *sensor_columns()
-        ),
+        at_instants(
+            within(canbus, "message_datetime", start, end),
+            instants,
+            ["device_id", "message_datetime"],
+        ).select("id", "device_id", *sensor_columns()),
         ["device_id"],
         ["id"],
         SENSOR_VALUES,
@@ -173,8 +188,9 @@ def engine_real_time(
     telemetry still shows the latter for its main engines.
     """
     best = most_complete(fresh(interp, as_of, minutes, vessel_ids))
+    window = (fresh_since(as_of, minutes), as_of)
     sensors = (
-        engine_sensors(best, device, engine, canbus)
+        engine_sensors(best, device, engine, canbus, None, *window)
         .withColumn("engine", F.lower("label"))
         .groupBy("vessel_id", "engine")
         .agg(F.max(F.struct("device_id", *SENSOR_VALUES, "running_hour")).alias("sensor"))
@@ -238,8 +254,9 @@ def vessel_snapshot(
     best = most_complete(fresh(interp, as_of, minutes, vessel_ids))
     engines = ("me1", "me2", "me3", "ae1", "ae2")
     by_label = F.lower("label")
+    window = (fresh_since(as_of, minutes), as_of)
     sensors = (
-        engine_sensors(best, device, engine, canbus)
+        engine_sensors(best, device, engine, canbus, None, *window)
         .groupBy("vessel_id")
         .agg(
             *[

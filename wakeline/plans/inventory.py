@@ -185,7 +185,8 @@ def _(t):
 
 @_query("R4_engine_sensors")
 def _(t):
-    return snapshot.engine_sensors(_best(t), t.device, t.engine, t.canbus)
+    window = (snapshot.fresh_since(AS_OF, FRESH_MINUTES), AS_OF)
+    return snapshot.engine_sensors(_best(t), t.device, t.engine, t.canbus, None, *window)
 
 
 @_query("R5_last_positive_run_hours")

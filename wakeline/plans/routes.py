@@ -86,7 +86,11 @@ class FleetService:
         if source == "internal":
             if latest:
                 return positions.latest_position(t.interp, ids, self._fleet(ids), self.since)
-            return positions.track(t.interp, *window, ids).orderBy("vessel_id", "timestamp")
+            since = None
+            if self.since is not None:
+                since = as_datetime(window[0]) - (self.as_of - self.since)
+            points = positions.track(t.interp, *window, ids, self._fleet(ids), since=since)
+            return points.orderBy("vessel_id", "timestamp")
         if source == "ais":
             if latest:
                 return positions.latest_ais(t.ais, self._fleet(ids), ids, self.since)
@@ -291,6 +295,7 @@ class FleetService:
             t.vps,
             t.position_status,
             customer,
+            self.since,
         )
         return positions.fold_sources(per_source).orderBy("vessel_id")
 
