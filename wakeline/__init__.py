@@ -1 +1 @@
-""".."""
+"""Fleet telemetry analytics on Spark."""

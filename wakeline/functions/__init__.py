@@ -1 +1 @@
-"""functions."""
+"""Building blocks shared by the operators."""

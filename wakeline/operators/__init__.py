@@ -1 +1 @@
-"""operators."""
+"""The operators: functions from DataFrames to a DataFrame."""

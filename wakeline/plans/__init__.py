@@ -1 +1 @@
-"""plans."""
+"""Operators put together: routes, the inventory and its oracle."""

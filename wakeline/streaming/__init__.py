@@ -1 +1 @@
-"""streaming."""
+"""Operators over streams."""
