@@ -8,7 +8,7 @@ from datetime import timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from tests.frames import at, fleet, rows, table
+from tests.frames import at, rows, table
 from wakeline.functions.times import within
 from wakeline.operators import deident, reports, series
 from wakeline.plans.routes import FleetService

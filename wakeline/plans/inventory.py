@@ -490,16 +490,18 @@ def _reports_with_identity(t):
 
 @_query("D1_resolve_alias")
 def _(t):
-    mapping = t.vessel.where("id % 4 = 0").selectExpr("900000 + id as alias", "9000000 + id as real")
-    asked = t.ais.selectExpr(
-        "id", "case when vessel_id % 4 = 0 then 900000 else 9000000 end + vessel_id as imo"
+    aliased = t.vessel.where("fleet_type_id = 0")
+    mapping = aliased.selectExpr("900000 + id as alias", "9000000 + id as real")
+    kinds = t.vessel.selectExpr("id as vessel_id", "fleet_type_id")
+    asked = t.ais.join(kinds, "vessel_id").selectExpr(
+        "id", "case when fleet_type_id = 0 then 900000 else 9000000 end + vessel_id as imo"
     )
     return deident.resolve_alias(asked, mapping)
 
 
 @_query("D2_pseudonymise")
 def _(t):
-    mapping = t.vessel.where("id % 3 = 1").selectExpr(
+    mapping = t.vessel.where("vessel_type_id = 1").selectExpr(
         "imo",
         "concat('OSV ', id) as new_name",
         "imo - 8000000 as new_imo",

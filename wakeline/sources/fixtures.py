@@ -65,8 +65,8 @@ select n_nationkey * 10 + k as device_id, n_nationkey as vessel_id,
 from nation cross join (values (0,1,'ME1'),(1,1,'ME2'),(2,4,'ME3'),(3,2,'AE1'),(4,7,'AE2'),(5,3,'NMEA'),(6,5,'NOON')) as t(k, tp, lbl)
 """,
     "fx_device_status": """
-select (user_id % 25) * 10 + event_id % 7 as device_id, max(date_trunc('minute', ts)) as latest_timestamp
-from events where ((user_id % 25) * 10 + event_id % 7) % 4 <> 3 group by 1
+select (user_id % 25) * 10 + event_id % 7 as device_id, max(case when ((user_id % 25) * 10 + event_id % 7) % 4 <> 3 then date_trunc('minute', ts) end) as latest_timestamp
+from events group by 1
 """,
     "fx_interp": """
 select event_id as id, user_id % 25 as vessel_id, date_trunc('minute', ts) as nr_time,
@@ -93,10 +93,17 @@ select event_id as id, user_id % 25 as vessel_id, date_trunc('minute', ts) as nr
 from events
 """,
     "fx_unified": """
-select * from fx_interp where id % 9 <> 8
+select id, vessel_id, nr_time,
+  case when id % 9 <> 8 then latitude end as latitude, case when id % 9 <> 8 then longitude end as longitude,
+  case when id % 7 <> 6 then average_speed_gps end as average_speed_gps,
+  me1_consumption, me2_consumption, me3_consumption,
+  case when id % 9 <> 8 then me1_run_hours end as me1_run_hours,
+  case when id % 9 <> 8 then me2_run_hours end as me2_run_hours,
+  case when id % 9 <> 8 then me3_run_hours end as me3_run_hours
+from fx_interp
 """,
     "fx_customer_unified": """
-select * from fx_interp where id % 20 = 0
+select * from fx_interp
 """,
     "fx_weather": """
 select min(id) as id, date_trunc('hour', nr_time) as time, round(latitude, 1) as lat, round(longitude, 1) as long,
@@ -104,24 +111,24 @@ select min(id) as id, date_trunc('hour', nr_time) as time, round(latitude, 1) as
   cast(min(id) * 17 % 360 as double) as wind_direction, cast(min(id) * 29 % 360 as double) as wave_direction,
   cast(min(id) * 41 % 360 as double) as current_direction, (min(id) % 30) / 2.0 as wind_speed,
   (min(id) % 8) / 2.0 as wave_height, (min(id) % 4) / 2.0 as current_speed
-from fx_interp where latitude is not null and id % 3 <> 0
+from fx_interp where latitude < 12
 group by date_trunc('hour', nr_time), round(latitude, 1), round(longitude, 1)
 """,
     "fx_ais": """
 select event_id as id, user_id % 25 as vessel_id, date_trunc('minute', ts) as report_datetime,
-  cast(case when event_id % 13 <> 0 then (user_id % 25) * 2 - 25 + (event_id % 50) / 100.0 end as decimal(9,4)) as latitude,
-  cast(case when event_id % 13 <> 0 then (user_id % 25) * 3 - 37 + (event_id % 20) / 100.0 end as decimal(9,4)) as longitude,
+  cast(case when event_id % 13 <> 0 and user_id % 25 <> 4 then (user_id % 25) * 2 - 25 + (event_id % 50) / 100.0 end as decimal(9,4)) as latitude,
+  cast(case when event_id % 13 <> 0 and user_id % 25 <> 4 then (user_id % 25) * 3 - 37 + (event_id % 20) / 100.0 end as decimal(9,4)) as longitude,
   cast((event_id * 31 % 3600) / 10.0 as decimal(9,4)) as course
-from events where event_id % 3 = 0 and user_id % 25 <> 4
+from events
 """,
     "fx_canbus": """
 select event_id as id, (user_id % 25) * 10 + event_id % 3 as device_id, date_trunc('minute', ts) as message_datetime,
-  cast(600 + event_id % 1200 as double) as me_rpm, cast(event_id % 100 as double) as me_engine_load,
+  cast(case when event_id % 6 <> 5 then 600 + event_id % 1200 end as double) as me_rpm, cast(event_id % 100 as double) as me_engine_load,
   cast(40 + event_id % 30 as double) as me_fuel_temp, cast(60 + event_id % 25 as double) as me_oil_temp,
   cast(300 + event_id % 90 as double) as me_exhaust_gas_temp_left,
   cast(300 + event_id % 80 as double) as me_exhaust_gas_temp_right,
   cast(event_id / 10.0 as double) as me_running_hour
-from events where event_id % 6 <> 5
+from events
 """,
     "fx_nmea": """
 select event_id as id, (user_id % 25) * 10 + 5 as device_id, date_trunc('minute', ts) as message_datetime,
@@ -140,7 +147,7 @@ select * from (values (1,'port','in port'),(2,'anchorage','at anchor'),(3,'under
 select event_id as id, user_id % 25 as vessel_id, date_trunc('minute', ts) as report_datetime,
   1 + event_id % 8 as status, cast(event_id % 90 as double) as distance,
   case when event_id % 9 <> 0 then event_id % 10 end as gis_point_id
-from events where event_id % 2 = 1 or event_type = 'view'
+from events
 """,
     "fx_gis_point_type": """
 select * from (values (0,'port'),(1,'oil'),(2,'anchorage')) as t(id, name)
