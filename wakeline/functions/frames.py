@@ -23,27 +23,20 @@ def pick_vessels(
     return frame
 
 
-def number(column: Column | str) -> Column:
-    """A measure at the output edge: double."""
-    return (F.col(column) if isinstance(column, str) else column).cast("double")
+def number(value: Column | str, name: str | None = None) -> Column:
+    """A measure at the output edge, from a column or a SQL expression: double."""
+    column = F.expr(f"cast({value} as double)") if isinstance(value, str) else value.cast("double")
+    return column if name is None else column.alias(name)
 
 
-def zero_if_null(column: Column | str) -> Column:
-    return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(0))
-
-
-def mean(column: Column | str) -> Column:
+def mean(column: str, name: str) -> Column:
     """Average from an exact decimal sum, as double; null over no values."""
-    column = F.col(column) if isinstance(column, str) else column
-    return F.sum(column).cast("double") / F.count(column)
+    return F.expr(f"cast(sum({column}) as double) / count({column}) as {name}")
 
 
-def total(*columns: str) -> Column:
-    """Sum of several columns row by row, nulls as zero."""
-    result = zero_if_null(columns[0])
-    for name in columns[1:]:
-        result = result + zero_if_null(name)
-    return result
+def total_sql(*columns: str) -> str:
+    """SQL for the sum of several columns row by row, nulls as zero."""
+    return " + ".join(f"coalesce({c}, 0)" for c in columns)
 
 
 def long_rows(frame: DataFrame, keep: Sequence[str], rows: Sequence[Column]) -> DataFrame:

@@ -13,15 +13,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def newest(order: Sequence[str], values: Sequence[str], keep: Column | None = None) -> Column:
-    """Aggregate: struct of ``order`` + ``values`` of the newest row that satisfies ``keep``."""
-    row = F.struct(*order, *[v for v in values if v not in order])
-    return F.max(row if keep is None else F.when(keep, row))
+def row_sql(order: Sequence[str], values: Sequence[str], keep: str | None = None) -> str:
+    """SQL for a struct of ``order`` + ``values``, null where ``keep`` does not hold."""
+    row = f"struct({', '.join([*order, *[v for v in values if v not in order]])})"
+    return row if keep is None else f"case when {keep} then {row} end"
 
 
-def oldest(order: Sequence[str], values: Sequence[str], keep: Column | None = None) -> Column:
-    row = F.struct(*order, *[v for v in values if v not in order])
-    return F.min(row if keep is None else F.when(keep, row))
+def newest(
+    name: str, order: Sequence[str], values: Sequence[str], keep: str | None = None
+) -> Column:
+    """Aggregate ``name``: ``order`` + ``values`` of the newest row that satisfies ``keep``."""
+    return F.expr(f"max({row_sql(order, values, keep)}) as {name}")
+
+
+def oldest(
+    name: str, order: Sequence[str], values: Sequence[str], keep: str | None = None
+) -> Column:
+    return F.expr(f"min({row_sql(order, values, keep)}) as {name}")
 
 
 def latest_per(
@@ -29,13 +37,13 @@ def latest_per(
     keys: Sequence[str],
     order: Sequence[str],
     values: Sequence[str],
-    keep: Column | None = None,
+    keep: str | None = None,
 ) -> DataFrame:
     """One row per key: ``keys``, ``order`` and ``values`` of the newest row."""
     if keep is not None:
         frame = frame.where(keep)
     return (
         frame.groupBy(*keys)
-        .agg(newest(order, values).alias("newest"))
+        .agg(newest("newest", order, values))
         .select(*keys, "newest.*")
     )

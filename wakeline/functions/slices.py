@@ -21,7 +21,7 @@ SLICE_MINUTES = 60
 SLICE_VALUES = 100_000
 
 
-def time_slice(moment: Column, minutes: int = SLICE_MINUTES) -> Column:
+def time_slice(moment: str, minutes: int = SLICE_MINUTES) -> Column:
     return time_bin(moment, minutes)
 
 

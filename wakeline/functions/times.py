@@ -45,7 +45,11 @@ def default_window(as_of: Moment) -> tuple[datetime, datetime]:
 
 def instant(value: Moment) -> Column:
     """A ``timestamp_ntz`` literal."""
-    return F.lit(as_datetime(value).isoformat(sep=" ")).cast("timestamp_ntz")
+    return F.expr(instant_sql(value))
+
+
+def instant_sql(value: Moment) -> str:
+    return f"timestamp_ntz'{as_datetime(value)}'"
 
 
 def minutes_interval(minutes: int) -> Column:
@@ -65,24 +69,26 @@ def floor_to_grid(value: Moment, minutes: int) -> datetime:
     return BIN_ORIGIN + steps * minutes * _MINUTE
 
 
-def time_bin(moment: Column, minutes: int) -> Column:
-    """Start of the ``minutes``-wide bin that holds ``moment``, on the 2023-01-01 grid.
+def time_bin(moment: str, minutes: int) -> Column:
+    """Start of the ``minutes``-wide bin that holds a time, on the 2023-01-01 grid.
+
+    ``moment`` is a column name or a SQL expression.
 
     Interval division truncates towards zero, so the arithmetic starts from a
     grid point three centuries before the origin; every real reading is later.
     """
     steps_back = (300 * 366 * 24 * 60) // minutes
-    base = instant(BIN_ORIGIN - steps_back * minutes * _MINUTE)
-    step = minutes_interval(minutes)
-    return base + step * F.call_function("div", moment - base, step)
+    base = instant_sql(BIN_ORIGIN - steps_back * minutes * _MINUTE)
+    step = f"INTERVAL '{int(minutes)}' MINUTE"
+    return F.expr(f"{base} + {step} * (({moment} - {base}) div {step})")
 
 
-def hour_of(moment: Column) -> Column:
+def hour_of(moment: str) -> Column:
     return time_bin(moment, 60)
 
 
-def day_of(moment: Column) -> Column:
-    return moment.cast("date")
+def day_of(moment: str, name: str = "day") -> Column:
+    return F.expr(f"cast({moment} as date) as {name}")
 
 
 def epoch_seconds(moment: Column) -> Column:
@@ -99,7 +105,7 @@ def at_instants(
     folders at run time.
     """
     if "day" in facts.columns:
-        instants = instants.withColumn("day", day_of(F.col(keys[-1])))
+        instants = instants.withColumn("day", day_of(keys[-1]))
         keys = [*keys, "day"]
     return facts.join(instants, keys, how)
 
@@ -116,14 +122,14 @@ def within(
     The bounds are literals, so they reach the parquet scan. A table laid out
     in ``day`` folders (see ``sources.lake``) is also pruned to those days.
     """
-    column = F.col(moment)
-    pruned = "day" in frame.columns
+    bounds = []
     if start is not None:
-        frame = frame.where(column >= instant(start))
-        if pruned:
-            frame = frame.where(F.col("day") >= F.lit(as_datetime(start).date()))
+        bounds.append(f"{moment} >= {instant_sql(start)}")
     if end is not None:
-        frame = frame.where(column < instant(end) if half_open else column <= instant(end))
-        if pruned:
-            frame = frame.where(F.col("day") <= F.lit(as_datetime(end).date()))
-    return frame
+        bounds.append(f"{moment} {'<' if half_open else '<='} {instant_sql(end)}")
+    if "day" in frame.columns:
+        if start is not None:
+            bounds.append(f"day >= date'{as_datetime(start).date()}'")
+        if end is not None:
+            bounds.append(f"day <= date'{as_datetime(end).date()}'")
+    return frame.where(" and ".join(bounds)) if bounds else frame

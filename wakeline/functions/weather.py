@@ -18,6 +18,10 @@ HALF_TURN = 3.1414
 CELL = ("wx_hour", "wx_lat", "wx_long")
 
 
+def _tenth(degrees: str) -> Column:
+    return F.expr(f"cast(round(cast({degrees} as decimal(9,4)), 1) as decimal(9,4))")
+
+
 def with_cell(telemetry: DataFrame) -> DataFrame:
     """Add the grid cell of each row: its hour and lat/long rounded to 0.1 degree.
 
@@ -25,19 +29,19 @@ def with_cell(telemetry: DataFrame) -> DataFrame:
     """
     return telemetry.withColumns(
         {
-            "wx_hour": hour_of(F.col("nr_time")),
-            "wx_lat": F.round(F.col("latitude").cast("decimal(9,4)"), 1).cast("decimal(9,4)"),
-            "wx_long": F.round(F.col("longitude").cast("decimal(9,4)"), 1).cast("decimal(9,4)"),
+            "wx_hour": hour_of("nr_time"),
+            "wx_lat": _tenth("latitude"),
+            "wx_long": _tenth("longitude"),
         }
     )
 
 
 def grid(weather: DataFrame, *values: str) -> DataFrame:
     """The weather table keyed by cell."""
-    return weather.select(
-        F.col("time").alias("wx_hour"),
-        F.col("lat").cast("decimal(9,4)").alias("wx_lat"),
-        F.col("long").cast("decimal(9,4)").alias("wx_long"),
+    return weather.selectExpr(
+        "time as wx_hour",
+        "cast(lat as decimal(9,4)) as wx_lat",
+        "cast(long as decimal(9,4)) as wx_long",
         *values,
     )
 

@@ -47,8 +47,8 @@ def alerts(
             severity_name(F.col("severity")).alias("type"),
             "vessel_name",
             F.col("alert_datetime").alias("time"),
-            number("latitude").alias("lat"),
-            number("longitude").alias("long"),
+            number("latitude", "lat"),
+            number("longitude", "long"),
             text.alias("text"),
         )
     )

@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wakeline.functions.frames import number, pick_vessels, total, zero_if_null
+from wakeline.functions.frames import number, pick_vessels, total_sql
 from wakeline.functions.latest import newest, oldest
 from wakeline.functions.times import Moment, as_datetime, day_of, floor_to_grid, within
 from wakeline.functions.weather import CELL, grid, with_cell
@@ -53,7 +53,7 @@ def consumption_by_speed(
         .groupBy("vessel_id", speed_band(F.col("average_speed_gps")).alias("interval"))
         .agg(
             F.count(F.lit(1)).alias("count"),
-            (F.sum(total(*_MAIN_FUEL)).cast("double") / 60).alias("consumption"),
+            F.expr(f"cast(sum({total_sql(*_MAIN_FUEL)}) as double) / 60 as consumption"),
         )
     )
     return pick_vessels(bands, None, vessel)
@@ -70,20 +70,19 @@ def run_hour_delta(
     aggregates = []
     for engine in MAIN_ENGINES:
         column = f"{engine}_run_hours"
-        known = F.col(column).isNotNull()
-        aggregates.append(newest(_ORDER, (column,), known).alias(f"{engine}_last"))
-        aggregates.append(oldest(_ORDER, (column,), known).alias(f"{engine}_first"))
+        known = f"{column} is not null"
+        aggregates.append(newest(f"{engine}_last", _ORDER, (column,), known))
+        aggregates.append(oldest(f"{engine}_first", _ORDER, (column,), known))
     found = (
         within(pick_vessels(unified, vessel_ids), "nr_time", start, end)
         .groupBy("vessel_id")
         .agg(*aggregates)
     )
     deltas = [
-        F.round(
-            zero_if_null(F.col(f"{e}_last.{e}_run_hours") - F.col(f"{e}_first.{e}_run_hours")), 2
+        number(
+            f"round(coalesce({e}_last.{e}_run_hours - {e}_first.{e}_run_hours, 0), 2)",
+            f"{e}_run_hours",
         )
-        .cast("double")
-        .alias(f"{e}_run_hours")
         for e in MAIN_ENGINES
     ]
     return pick_vessels(found, None, vessel).select("vessel_id", *deltas)
@@ -102,16 +101,15 @@ def last_run_hours(
         .groupBy("vessel_id")
         .agg(
             *[
-                newest(_ORDER, (f"{e}_run_hours",), F.col(f"{e}_run_hours").isNotNull()).alias(e)
+                newest(e, _ORDER, (f"{e}_run_hours",), f"{e}_run_hours is not null")
                 for e in MAIN_ENGINES
             ]
         )
     )
     columns = []
     for engine in MAIN_ENGINES:
-        hours = F.col(f"{engine}.{engine}_run_hours")
-        columns.append(F.round(hours, 2).cast("double").alias(f"{engine}_run_hours"))
-        columns.append(F.col(f"{engine}.nr_time").alias(f"{engine}_run_hours_timestamp"))
+        columns.append(number(f"round({engine}.{engine}_run_hours, 2)", f"{engine}_run_hours"))
+        columns.append(F.expr(f"{engine}.nr_time as {engine}_run_hours_timestamp"))
     return pick_vessels(found, None, vessel).select("vessel_id", *columns)
 
 
@@ -141,15 +139,15 @@ def daily_consumption(
     fuels = [*_MAIN_FUEL, *_AUX_FUEL]
     speeds = {"avg_sog": "average_speed_gps", "avg_stw": "speed_through_water"}
 
-    partial = [F.count(F.lit(1)).alias("cell_rows")]
+    partial = ["count(1) as cell_rows"]
     for column in hours:
-        partial += [F.max(column).alias(f"{column}_max"), F.min(column).alias(f"{column}_min")]
+        partial += [f"max({column}) as {column}_max", f"min({column}) as {column}_min"]
     for name, column in speeds.items():
-        partial += [F.sum(column).alias(f"{name}_sum"), F.count(column).alias(f"{name}_n")]
-    partial += [F.sum(zero_if_null(c)).alias(f"{c}_sum") for c in fuels]
+        partial += [f"sum({column}) as {name}_sum", f"count({column}) as {name}_n"]
+    partial += [f"sum(coalesce({c}, 0)) as {c}_sum" for c in fuels]
     cells = (
-        with_cell(rows).groupBy("vessel_id", day_of(F.col("nr_time")).alias("date"), *CELL)
-    ).agg(*partial)
+        with_cell(rows).groupBy("vessel_id", day_of("nr_time", "date"), *CELL)
+    ).agg(*[F.expr(p) for p in partial])
 
     matched = pick_vessels(cells, None, vessel).join(
         grid(within(weather, "time", floor_to_grid(first, 60), last), "beaufourt", "dss"),
@@ -158,25 +156,25 @@ def daily_consumption(
     )
     final = []
     for column in hours:
-        spread = F.max(f"{column}_max") - F.min(f"{column}_min")
-        final.append(number(spread).alias(column))
+        final.append(number(f"max({column}_max) - min({column}_min)", column))
     for name in speeds:
-        average = number(F.sum(f"{name}_sum")) / F.nullif(F.sum(f"{name}_n"), F.lit(0))
-        final.append(average.alias(name))
+        average = f"cast(sum({name}_sum) as double) / nullif(sum({name}_n), 0)"
+        final.append(F.expr(f"{average} as {name}"))
 
-    def per_hour(*columns: str) -> Column:
-        return number(F.sum(sum((F.col(f"{c}_sum") for c in columns[1:]), F.col(f"{columns[0]}_sum")))) / 60
+    def per_hour(name: str, *columns: str) -> Column:
+        fuel = " + ".join(f"{c}_sum" for c in columns)
+        return F.expr(f"cast(sum({fuel}) as double) / 60 as {name}")
 
     for engine in MAIN_ENGINES:
-        final.append(per_hour(f"{engine}_consumption").alias(f"sum_cons_{engine}"))
-    final.append(per_hour(*_MAIN_FUEL).alias("sum_cons_me_total"))
+        final.append(per_hour(f"sum_cons_{engine}", f"{engine}_consumption"))
+    final.append(per_hour("sum_cons_me_total", *_MAIN_FUEL))
     for column in _AUX_FUEL:
-        final.append(per_hour(column).alias(f"sum_cons_{column[:3]}"))
-    final.append(per_hour(*_AUX_FUEL).alias("sum_cons_ae_total"))
+        final.append(per_hour(f"sum_cons_{column[:3]}", column))
+    final.append(per_hour("sum_cons_ae_total", *_AUX_FUEL))
     for name, column in {"wind_scale": "beaufourt", "wave_scale": "dss"}.items():
-        weighted = F.sum(F.col(column) * F.col("cell_rows"))
-        weight = F.sum(F.when(F.col(column).isNotNull(), F.col("cell_rows")))
-        final.append(F.ceil(weighted / weight).cast("double").alias(name))
+        weighted = f"sum({column} * cell_rows)"
+        weight = f"sum(case when {column} is not null then cell_rows end)"
+        final.append(number(f"ceil({weighted} / {weight})", name))
     return matched.groupBy("vessel_id", "date").agg(*final)
 
 
@@ -209,10 +207,10 @@ def customer_daily(
     return matched.select(
         "vessel_id",
         "id",
-        day_of(F.col("nr_time")).alias("date"),
-        *[number(zero_if_null(c)).alias(name) for name, c in columns.items()],
-        number(total(*_MAIN_FUEL)).alias("sum_cons_me_total"),
-        number(total(*_AUX_FUEL)).alias("sum_cons_ae_total"),
-        F.ceil(zero_if_null("beaufourt")).cast("double").alias("wind_scale"),
-        F.ceil(zero_if_null("dss")).cast("double").alias("wave_scale"),
+        day_of("nr_time", "date"),
+        *[number(f"coalesce({c}, 0)", name) for name, c in columns.items()],
+        number(total_sql(*_MAIN_FUEL), "sum_cons_me_total"),
+        number(total_sql(*_AUX_FUEL), "sum_cons_ae_total"),
+        number("ceil(coalesce(beaufourt, 0))", "wind_scale"),
+        number("ceil(coalesce(dss, 0))", "wave_scale"),
     )

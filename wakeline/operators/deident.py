@@ -205,11 +205,10 @@ def _numbered(
     frame: DataFrame, order: str, keys: Sequence[str] = (), ties: Sequence[str] = ()
 ) -> DataFrame:
     kind = frame.schema[order].dataType.typeName()
-    moment = F.col(order)
     pieces = (
-        time_slice(moment.cast("timestamp_ntz"))
+        time_slice(f"cast({order} as timestamp_ntz)")
         if kind.startswith(("timestamp", "date"))
-        else value_slice(moment, SLICE_VALUES)
+        else value_slice(F.col(order), SLICE_VALUES)
     )
     return number_rows(frame, keys, pieces, [F.col(c) for c in (order, *ties)])
 

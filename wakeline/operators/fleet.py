@@ -95,8 +95,8 @@ def vessels(
             "type",
             "family",
             F.col("image").alias("image_url"),
-            number("dwt").alias("dwt"),
-            number("service_speed").alias("service_speed"),
+            number("dwt", "dwt"),
+            number("service_speed", "service_speed"),
             _info(parse_info),
         )
     )
@@ -133,8 +133,8 @@ def gis_points(
         "gis_point_type",
         F.col("name").alias("gis_point_name"),
         F.col("description").alias("gis_point_description"),
-        number("lat").alias("lat"),
-        number("long").alias("long"),
+        number("lat", "lat"),
+        number("long", "long"),
     )
 
 

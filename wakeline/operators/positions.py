@@ -12,17 +12,19 @@ from wakeline.functions.latest import latest_per, newest
 from wakeline.functions.recent import recent_first
 from wakeline.functions.sizing import broadcast_if_small
 from wakeline.functions.slices import time_slice
-from wakeline.functions.times import EPOCH, Moment, at_instants, instant, within
+from wakeline.functions.times import EPOCH, Moment, at_instants, instant, instant_sql, within
 
 _LOCATED = ("latitude", "longitude")
 
 
-def located() -> Column:
-    return F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
+LOCATED = "latitude is not null and longitude is not null"
+HEADED = "course is not null"
 
 
-def _heading(*order: Column) -> Column:
-    return F.when(F.col("course").isNotNull(), F.struct(*order, F.col("course").alias("course")))
+# A heading as a struct that orders by time; the rank puts the higher id last
+# for ``max`` and first for ``min``.
+_UP = f"case when {HEADED} then struct(nr_time as at, id as rank, course) end"
+_DOWN = f"case when {HEADED} then struct(nr_time as at, -id as rank, course) end"
 
 
 def track(
@@ -49,14 +51,10 @@ def track(
     """
     telemetry = pick_vessels(interp, vessel_ids)
 
-    # With the higher id first among equal times for ``oldest``.
-    up = (F.col("nr_time").alias("at"), F.col("id").alias("rank"))
-    down = (F.col("nr_time").alias("at"), (-F.col("id")).alias("rank"))
-
     marks = (
         within(telemetry, "nr_time", start, end)
-        .where(located() | F.col("course").isNotNull())
-        .withColumn("track_slice", time_slice(F.col("nr_time"), slice_minutes))
+        .where(f"({LOCATED}) or {HEADED}")
+        .withColumn("track_slice", time_slice("nr_time", slice_minutes))
         .groupBy("vessel_id", "track_slice", "nr_time", "latitude", "longitude", "course")
         .agg(F.max("id").alias("id"))
     )
@@ -65,17 +63,15 @@ def track(
     # Headings that cross slice boundaries. The last one before the window is
     # entered as a slice of its own, ahead of all others.
     edges = marks.groupBy("vessel_id", "track_slice").agg(
-        F.max(_heading(*up)).alias("last_heading"), F.min(_heading(*down)).alias("first_heading")
+        F.expr(f"max({_UP}) as last_heading"), F.expr(f"min({_DOWN}) as first_heading")
     )
     earlier = within(telemetry, "nr_time", None, start, half_open=True)
     opening = recent_first(
-        earlier.where(F.col("course").isNotNull()),
+        earlier.where(HEADED),
         "nr_time",
         since,
         vessel,
-        lambda rows: rows.groupBy("vessel_id").agg(
-            F.max(_heading(*up)).alias("last_heading")
-        ),
+        lambda rows: rows.groupBy("vessel_id").agg(F.expr(f"max({_UP}) as last_heading")),
     ).select(
         "vessel_id",
         instant(EPOCH).alias("track_slice"),
@@ -106,23 +102,26 @@ def track(
         "track_slice",
         "nr_time",
         *_LOCATED,
-        F.max(_heading(*up)).over(upwards).alias("back"),
-        F.min(_heading(*down)).over(downwards).alias("ahead"),
-    ).where(located())
-
-    back = F.coalesce("back", "carried_back")
-    ahead = F.coalesce("ahead", "carried_ahead")
-    back_at = F.coalesce(back["at"], instant(EPOCH))
-    back_course = F.coalesce(number(back["course"]), F.lit(0.0))
-    take_back = ahead.isNull() | (
-        (F.col("nr_time") - back_at) <= (ahead["at"] - F.col("nr_time"))
+        F.expr(f"max({_UP})").over(upwards).alias("back"),
+        F.expr(f"min({_DOWN})").over(downwards).alias("ahead"),
+    ).where(LOCATED)
+
+    nearest = points.join(neighbours, ["vessel_id", "track_slice"]).selectExpr(
+        "vessel_id",
+        "nr_time",
+        *_LOCATED,
+        "coalesce(back, carried_back) as back",
+        "coalesce(ahead, carried_ahead) as ahead",
     )
-    return points.join(neighbours, ["vessel_id", "track_slice"]).select(
+    gap_back = f"nr_time - coalesce(back.at, {instant_sql(EPOCH)})"
+    take_back = f"ahead is null or {gap_back} <= ahead.at - nr_time"
+    heading = f"case when {take_back} then coalesce(back.course, 0) else ahead.course end"
+    return nearest.select(
         "vessel_id",
         F.col("nr_time").alias("timestamp"),
-        number("latitude").alias("lat"),
-        number("longitude").alias("long"),
-        F.when(take_back, back_course).otherwise(number(ahead["course"])).alias("direction"),
+        number("latitude", "lat"),
+        number("longitude", "long"),
+        number(heading, "direction"),
     )
 
 
@@ -130,20 +129,18 @@ def newest_fix(interp: DataFrame) -> DataFrame:
     """Per vessel the newest located row (``point``) and the newest course (``heading``)."""
     order = ("nr_time", "id")
     return interp.groupBy("vessel_id").agg(
-        newest(order, (*_LOCATED, "course"), located()).alias("point"),
-        newest(order, ("course",), F.col("course").isNotNull()).alias("heading"),
+        newest("point", order, (*_LOCATED, "course"), LOCATED),
+        newest("heading", order, ("course",), HEADED),
     )
 
 
 def fix_columns(fixes: DataFrame) -> DataFrame:
-    return fixes.where(F.col("point").isNotNull()).select(
+    return fixes.where("point is not null").select(
         "vessel_id",
-        F.col("point.nr_time").alias("timestamp"),
-        number("point.latitude").alias("lat"),
-        number("point.longitude").alias("long"),
-        number(F.coalesce(F.col("point.course"), F.col("heading.course"), F.lit(0))).alias(
-            "direction"
-        ),
+        F.expr("point.nr_time as timestamp"),
+        number("point.latitude", "lat"),
+        number("point.longitude", "long"),
+        number("coalesce(point.course, heading.course, 0)", "direction"),
     )
 
 
@@ -178,12 +175,12 @@ def ais_track(
 ) -> DataFrame:
     """Located AIS reports in the window."""
     reports = within(pick_vessels(ais, vessel_ids, vessel), "report_datetime", start, end)
-    return reports.where(located()).select(
+    return reports.where(LOCATED).select(
         "vessel_id",
         F.col("report_datetime").alias("timestamp"),
-        number("latitude").alias("lat"),
-        number("longitude").alias("long"),
-        number("course").alias("direction"),
+        number("latitude", "lat"),
+        number("longitude", "long"),
+        number("course", "direction"),
     )
 
 
@@ -201,7 +198,7 @@ def latest_ais(
 
     def find(reports: DataFrame) -> DataFrame:
         order = ["report_datetime", "id"]
-        return latest_per(reports, ["vessel_id"], order, [*_LOCATED, "course"], located())
+        return latest_per(reports, ["vessel_id"], order, [*_LOCATED, "course"], LOCATED)
 
     newest_report = recent_first(
         pick_vessels(ais, vessel_ids), "report_datetime", since, vessel, find
@@ -217,9 +214,9 @@ def latest_ais(
         "id_type",
         "id_number",
         F.col("report_datetime").alias("timestamp"),
-        number("latitude").alias("lat"),
-        number("longitude").alias("long"),
-        number("course").alias("direction"),
+        number("latitude", "lat"),
+        number("longitude", "long"),
+        number("course", "direction"),
     )
 
 
@@ -253,15 +250,15 @@ def fleet_positions(
     def newest_from(facts: DataFrame, moment: str, source: str, course: Column) -> DataFrame:
         def find(rows: DataFrame) -> DataFrame:
             order, values = [moment, "id"], [*_LOCATED, "course"]
-            return latest_per(rows, ["vessel_id"], order, values, located())
+            return latest_per(rows, ["vessel_id"], order, values, LOCATED)
 
         return recent_first(facts, moment, since, vessel, find).select(
             "vessel_id",
             F.lit(source).alias("source"),
             F.col(moment).alias("timestamp"),
-            number("latitude").alias("lat"),
-            number("longitude").alias("long"),
-            number(course).alias("direction"),
+            number("latitude", "lat"),
+            number("longitude", "long"),
+            number(course, "direction"),
         )
 
     own = newest_from(interp, "nr_time", "internal", F.coalesce(F.col("course"), F.lit(0)))

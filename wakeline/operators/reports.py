@@ -39,7 +39,7 @@ def daily_fuel(
     """Hourly consumption added up per vessel and day."""
     sums = (
         _days(pick_vessels(total_fuel, vessel_ids), "date_hour", first, last)
-        .groupBy("vessel_id", day_of(F.col("date_hour")).alias("day"))
+        .groupBy("vessel_id", day_of("date_hour", "day"))
         .agg(F.sum("consumption").alias("total_consumption"))
     )
     return pick_vessels(sums, None, vessel)
@@ -64,7 +64,7 @@ def daily_wind(
         .where(
             (F.col("reference") == TRUE_WIND) & (F.col("wind_speed_units") == METRES_PER_SECOND)
         )
-        .groupBy("device_id", day_of(F.col("message_datetime")).alias("day"))
+        .groupBy("device_id", day_of("message_datetime", "day"))
         .agg(F.min("wind_speed").alias("low"), F.max("wind_speed").alias("high"))
     )
     return (
@@ -98,7 +98,7 @@ def daily_engine_hours(
     owners = pick_vessels(engine, vessel_ids).select("id", "vessel_id", "type")
     per_device = (
         _days(canbus, "message_datetime", first, last)
-        .groupBy("device_id", day_of(F.col("message_datetime")).alias("day"))
+        .groupBy("device_id", day_of("message_datetime", "day"))
         .agg(F.min("me_running_hour").alias("low"), F.max("me_running_hour").alias("high"))
     )
     return (
@@ -251,7 +251,7 @@ def page(
         raise ValueError("page number and page size must be greater than 0")
     offset = (page_number - 1) * page_size
     rows = _reporting_rows(interp, start, end, vessel_ids).withColumn(
-        "page_slice", time_slice(F.col("nr_time"))
+        "page_slice", time_slice("nr_time")
     )
     counted = slice_offsets(rows, ["vessel_id"], "page_slice", descending=True).where(
         (F.col("rows_before") < offset + page_size)
@@ -291,7 +291,7 @@ def export_csv(unified: DataFrame, path: str, mode: str = "errorifexists") -> No
     """
     (
         unified.withColumns(
-            {"vessel": F.col("vessel_id"), "day": day_of(F.col("nr_time"))}
+            {"vessel": F.col("vessel_id"), "day": day_of("nr_time")}
         )
         .hint("rebalance", F.col("vessel"), F.col("day"))
         .write.mode(mode)

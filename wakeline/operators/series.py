@@ -7,11 +7,11 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wakeline.functions.frames import long_rows, mean, number, pick_vessels, total, zero_if_null
+from wakeline.functions.frames import long_rows, mean, number, pick_vessels, total_sql
 from wakeline.functions.recent import recent_first
 from wakeline.functions.sizing import broadcast_if_small
 from wakeline.functions.spine import gap_fill
-from wakeline.functions.times import Moment, floor_to_grid, minutes_interval, time_bin, within
+from wakeline.functions.times import Moment, floor_to_grid, time_bin, within
 
 # Engine labels and parameter names with the columns they read.
 MAIN_ENGINES = ("me1", "me2", "me3")
@@ -21,8 +21,8 @@ FUEL_PARAM = "cons"
 SENSOR_DEVICE_TYPES = (1, 4, 6)
 
 
-def _any_present(columns: Iterable[str]) -> Column:
-    return F.coalesce(*[F.col(c) for c in columns]).isNotNull()
+def _any_present(columns: Iterable[str]) -> str:
+    return f"coalesce({', '.join(columns)}) is not null"
 
 
 def speed_series(
@@ -37,8 +37,8 @@ def speed_series(
     rows = within(pick_vessels(interp, vessel_ids), "nr_time", start, end)
     bins = (
         rows.where(_any_present(["average_speed_gps", "speed_through_water"]))
-        .groupBy("vessel_id", time_bin(F.col("nr_time"), minutes).alias("bin"))
-        .agg(mean("average_speed_gps").alias("sog"), mean("speed_through_water").alias("stw"))
+        .groupBy("vessel_id", time_bin("nr_time", minutes).alias("bin"))
+        .agg(mean("average_speed_gps", "sog"), mean("speed_through_water", "stw"))
     )
     asked = pick_vessels(vessel, vessel_ids, key="id")
     return gap_fill(bins, asked, start, end, minutes, ["sog", "stw"]).withColumnRenamed(
@@ -73,7 +73,7 @@ def latest_speed(
 def _newest_bin(interp: DataFrame, vessel: DataFrame, minutes: int) -> DataFrame:
     rows = (
         interp.where(_any_present(["average_speed_gps", "speed_through_water"]))
-        .withColumn("timestamp", time_bin(F.col("nr_time"), minutes))
+        .withColumn("timestamp", time_bin("nr_time", minutes))
     )
     last_bins = rows.groupBy("vessel_id").agg(F.max("timestamp").alias("timestamp"))
     in_bin = rows.join(
@@ -82,7 +82,7 @@ def _newest_bin(interp: DataFrame, vessel: DataFrame, minutes: int) -> DataFrame
         "left_semi",
     )
     return in_bin.groupBy("vessel_id", "timestamp").agg(
-        mean("average_speed_gps").alias("sog"), mean("speed_through_water").alias("stw")
+        mean("average_speed_gps", "sog"), mean("speed_through_water", "stw")
     )
 
 
@@ -94,21 +94,27 @@ def _fuel_bins(
     minutes: int,
     vessel_ids: Iterable[int] | None,
     present: list[str],
-    sums: dict[str, Column],
+    sums: dict[str, str],
 ) -> DataFrame:
     rows = within(pick_vessels(interp, vessel_ids), "nr_time", start, end)
     bins = (
         rows.where(_any_present(present))
-        .groupBy("vessel_id", time_bin(F.col("nr_time"), minutes).alias("bin"))
-        .agg(*[F.sum(c).alias(name) for name, c in sums.items()])
+        .groupBy("vessel_id", time_bin("nr_time", minutes).alias("bin"))
+        .agg(*[F.expr(f"sum({value}) as {name}") for name, value in sums.items()])
     )
     asked = pick_vessels(vessel, vessel_ids, key="id")
     return gap_fill(bins, asked, start, end, minutes, list(sums))
 
 
-def _centre(minutes: int) -> Column:
-    """Middle of a bin."""
-    return F.col("bin") + minutes_interval(minutes) / 2
+def _engine_rows(engine: str, minutes: int, rates: dict[str, str]) -> Column:
+    """A series row of one engine: stamped at the bin's centre, sums per minute."""
+    values = ", ".join(
+        f"cast({engine}_{measure} as double) / {minutes} as {rate}"
+        for measure, rate in rates.items()
+    )
+    return F.expr(
+        f"struct('{engine}' as engine, bin + INTERVAL '{minutes * 30}' SECOND as timestamp, {values})"
+    )
 
 
 def aux_series(
@@ -125,19 +131,12 @@ def aux_series(
     """
     fuel = [f"{e}_consumption" for e in AUX_ENGINES]
     energy = [f"{e}_energy_produced" for e in AUX_ENGINES]
-    sums = {f"{e}_fuel": zero_if_null(c) for e, c in zip(AUX_ENGINES, fuel)}
-    sums |= {f"{e}_energy": zero_if_null(c) for e, c in zip(AUX_ENGINES, energy)}
-    sums |= {"total_fuel": total(*fuel), "total_energy": total(*energy)}
+    sums = {f"{e}_fuel": total_sql(c) for e, c in zip(AUX_ENGINES, fuel)}
+    sums |= {f"{e}_energy": total_sql(c) for e, c in zip(AUX_ENGINES, energy)}
+    sums |= {"total_fuel": total_sql(*fuel), "total_energy": total_sql(*energy)}
     bins = _fuel_bins(interp, vessel, start, end, minutes, vessel_ids, fuel, sums)
-    rows = [
-        F.struct(
-            F.lit(engine).alias("engine"),
-            _centre(minutes).alias("timestamp"),
-            (number(f"{engine}_fuel") / minutes).alias("fuel_cons"),
-            (number(f"{engine}_energy") / minutes).alias("power"),
-        )
-        for engine in (*AUX_ENGINES, "total")
-    ]
+    rates = {"fuel": "fuel_cons", "energy": "power"}
+    rows = [_engine_rows(engine, minutes, rates) for engine in (*AUX_ENGINES, "total")]
     return long_rows(bins, ["vessel_id"], rows)
 
 
@@ -151,17 +150,11 @@ def main_series(
 ) -> DataFrame:
     """T4: fuel per minute of each main engine and in total, as T3."""
     fuel = [f"{e}_consumption" for e in MAIN_ENGINES]
-    sums = {f"{e}_fuel": zero_if_null(c) for e, c in zip(MAIN_ENGINES, fuel)}
-    sums |= {"total_fuel": total(*fuel)}
+    sums = {f"{e}_fuel": total_sql(c) for e, c in zip(MAIN_ENGINES, fuel)}
+    sums |= {"total_fuel": total_sql(*fuel)}
     bins = _fuel_bins(interp, vessel, start, end, minutes, vessel_ids, fuel, sums)
-    rows = [
-        F.struct(
-            F.lit(engine).alias("engine"),
-            _centre(minutes).alias("timestamp"),
-            (number(f"{engine}_fuel") / minutes).alias("fuel_cons"),
-        )
-        for engine in (*MAIN_ENGINES, "total")
-    ]
+    rates = {"fuel": "fuel_cons"}
+    rows = [_engine_rows(engine, minutes, rates) for engine in (*MAIN_ENGINES, "total")]
     return long_rows(bins, ["vessel_id"], rows)
 
 
@@ -193,7 +186,7 @@ def engine_params(
         F.lit(label).alias("engine"),
         F.lit(FUEL_PARAM).alias("param"),
         F.col("nr_time").alias("timestamp"),
-        number(fuel_column).alias("value"),
+        number(fuel_column, "value"),
     )
     if not is_main:
         return fuel.where(F.lit(False))
@@ -227,17 +220,17 @@ def engine_params(
 def playback_columns() -> list[Column]:
     """Telemetry under its short names."""
     columns = [
-        F.col("nr_time").alias("timestamp"),
-        number("longitude").alias("long"),
-        number("latitude").alias("lat"),
-        number("course").alias("direction"),
-        number("average_speed_gps").alias("sog"),
-        number("speed_through_water").alias("stw"),
+        F.expr("nr_time as timestamp"),
+        number("longitude", "long"),
+        number("latitude", "lat"),
+        number("course", "direction"),
+        number("average_speed_gps", "sog"),
+        number("speed_through_water", "stw"),
     ]
-    columns += [number(f"{e}_consumption").alias(f"{e}_fuel_cons") for e in MAIN_ENGINES]
+    columns += [number(f"{e}_consumption", f"{e}_fuel_cons") for e in MAIN_ENGINES]
     for engine in AUX_ENGINES:
-        columns.append(number(f"{engine}_consumption").alias(f"{engine}_fuel_cons"))
-        columns.append(number(f"{engine}_energy_produced").alias(f"{engine}_power"))
+        columns.append(number(f"{engine}_consumption", f"{engine}_fuel_cons"))
+        columns.append(number(f"{engine}_energy_produced", f"{engine}_power"))
     return columns
 
 
@@ -256,11 +249,11 @@ def vessel_playback(
 def sensor_columns() -> list[Column]:
     """CAN bus readings under their short names."""
     return [
-        number("me_rpm").alias("rpm"),
-        number("me_engine_load").alias("engine_load"),
-        number("me_fuel_temp").alias("fuel_temp"),
-        number("me_exhaust_gas_temp_left").alias("exhaust_gas_temp_left"),
-        number("me_exhaust_gas_temp_right").alias("exhaust_gas_temp_right"),
+        number("me_rpm", "rpm"),
+        number("me_engine_load", "engine_load"),
+        number("me_fuel_temp", "fuel_temp"),
+        number("me_exhaust_gas_temp_left", "exhaust_gas_temp_left"),
+        number("me_exhaust_gas_temp_right", "exhaust_gas_temp_right"),
     ]
 
 
@@ -272,7 +265,7 @@ def sensor_devices(device: DataFrame, engine: DataFrame, label: str | None = Non
     if label is not None:
         sensors = sensors.where(F.col("label_name") == label.upper())
     engines = engine.select(
-        F.col("id").alias("engine_id"), number("running_hours").alias("running_hour")
+        F.col("id").alias("engine_id"), number("running_hours", "running_hour")
     )
     return sensors.join(engines, "engine_id").select(
         "device_id", "vessel_id", F.col("label_name").alias("label"), "running_hour"

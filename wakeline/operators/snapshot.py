@@ -150,7 +150,7 @@ def last_positive_run_hours(
         .groupBy("vessel_id")
         .agg(
             *[
-                newest(order, (f"{e}_run_hours",), F.col(f"{e}_run_hours") > 0).alias(e)
+                newest(e, order, (f"{e}_run_hours",), f"{e}_run_hours > 0")
                 for e in MAIN_ENGINES
             ]
         )
@@ -158,7 +158,7 @@ def last_positive_run_hours(
     rows = [
         F.struct(
             F.lit(e).alias("engine"),
-            number(f"{e}.{e}_run_hours").alias("running_hour"),
+            number(f"{e}.{e}_run_hours", "running_hour"),
             F.col(f"{e}.nr_time").alias("running_hours_timestamp"),
         )
         for e in MAIN_ENGINES

@@ -134,7 +134,7 @@ def status_history(
     return _described(rows, position_status, gis_point, gis_point_type).select(
         "vessel_id",
         F.col("report_datetime").alias("timestamp"),
-        *[number(c).alias(c) if c == "distance" else F.col(c) for c in _FIELDS],
+        *[number(c, c) if c == "distance" else F.col(c) for c in _FIELDS],
     )
 
 

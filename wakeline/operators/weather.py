@@ -57,7 +57,7 @@ def newest_on_grid(
 
 def _weather_fields() -> list[Column]:
     return [
-        *[number(c).alias(c) for c in _DIRECTIONS],
+        *[number(c, c) for c in _DIRECTIONS],
         *[F.col(c).cast("int").alias(c) for c in _SCALES],
     ]
 
@@ -128,12 +128,12 @@ def weather_resistance(
     ).select(
         "vessel_id",
         F.col("nr_time").alias("timestamp"),
-        number("course").alias("vessel_heading"),
-        number("wind_direction").alias("wind_direction"),
+        number("course", "vessel_heading"),
+        number("wind_direction", "wind_direction"),
         (number("wind_speed") * KNOTS_PER_MPS).alias("wind_speed"),
-        number("wave_direction").alias("wave_direction"),
-        number("wave_height").alias("wave_height"),
-        number("current_direction").alias("current_direction"),
+        number("wave_direction", "wave_direction"),
+        number("wave_height", "wave_height"),
+        number("current_direction", "current_direction"),
         (number("current_speed") * KNOTS_PER_MPS).alias("current_speed"),
         _resistance(exact),
     )

@@ -20,7 +20,7 @@ def write_fact(frame: DataFrame, root: str, table: str, mode: str = "errorifexis
     entity = next((c for c in ("vessel_id", "device_id") if c in frame.columns), None)
     order = ["day", *([entity] if entity else []), moment]
     (
-        frame.withColumn("day", day_of(F.col(moment)))
+        frame.withColumn("day", day_of(moment))
         .repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .write.mode(mode)

@@ -11,7 +11,7 @@ from datetime import timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wakeline.functions.frames import number, total, zero_if_null
+from wakeline.functions.frames import number, total_sql
 from wakeline.functions.times import BIN_ORIGIN, EPOCH
 from wakeline.operators.positions import fix_columns, newest_fix
 from wakeline.operators.series import MAIN_ENGINES
@@ -40,13 +40,13 @@ def stream_main_series(
     fuel = [f"{e}_consumption" for e in MAIN_ENGINES]
     offset = int((BIN_ORIGIN - EPOCH) / timedelta(seconds=1)) % (minutes * 60)
     bins = F.window("event_time", f"{minutes} minutes", startTime=f"{offset} seconds")
-    sums = [F.sum(zero_if_null(c)).alias(c[:3]) for c in fuel]
+    sums = [F.expr(f"sum({total_sql(c)}) as {c[:3]}") for c in fuel]
     return (
         interp.where(F.coalesce(*fuel).isNotNull())
         .withColumn("event_time", F.col("nr_time").cast("timestamp"))
         .withWatermark("event_time", late_by)
         .groupBy("vessel_id", bins.alias("bin"))
-        .agg(*sums, F.sum(total(*fuel)).alias("total"))
+        .agg(*sums, F.expr(f"sum({total_sql(*fuel)}) as total"))
         .select(
             "vessel_id",
             (F.col("bin.start").cast("timestamp_ntz")).alias("bin"),
