@@ -15,12 +15,9 @@ from wakeline.functions.slices import time_slice
 from wakeline.functions.times import EPOCH, Moment, at_instants, instant, instant_sql, within
 
 _LOCATED = ("latitude", "longitude")
-
-
 LOCATED = "latitude is not null and longitude is not null"
 HEADED = "course is not null"
 
-
 # A heading as a struct that orders by time; the rank puts the higher id last
 # for ``max`` and first for ``min``.
 _UP = f"case when {HEADED} then struct(nr_time as at, id as rank, course) end"

@@ -284,19 +284,17 @@ def page(
 
 
 def export_csv(unified: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """The unified data set as CSV with a header, one folder per vessel and day.
+    """The unified data set as CSV with a header, one folder per vessel.
 
-    Rows of a folder are brought together before the write; a folder too big
-    for one writer is split over several.
+    Rows of a vessel are brought together before the write; adaptive execution
+    splits a vessel too big for one writer over several files.
     """
     (
-        unified.withColumns(
-            {"vessel": F.col("vessel_id"), "day": day_of("nr_time")}
-        )
-        .hint("rebalance", F.col("vessel"), F.col("day"))
+        unified.withColumn("vessel", F.col("vessel_id"))
+        .hint("rebalance", F.col("vessel"))
         .write.mode(mode)
         .option("header", True)
         .option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]")
-        .partitionBy("vessel", "day")
+        .partitionBy("vessel")
         .csv(path)
     )
