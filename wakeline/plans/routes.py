@@ -57,7 +57,7 @@ class FleetService:
 
     def vessel_ids(self, imo: int) -> list[int]:
         """Ids behind an IMO number, as literals that reach the fact scans."""
-        found = self.tables.vessel.where(F.col("imo") == imo).select("id").limit(100)
+        found = self.tables.vessel.where(F.col("imo") == imo).select("id").distinct()
         return [row["id"] for row in found.collect()]
 
     def _fleet(self, ids: list[int]) -> DataFrame:
