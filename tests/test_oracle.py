@@ -6,8 +6,10 @@ import pytest
 
 import __spark_entry__ as driver
 from tests.compare import connect, oracle_rows, spark_rows
+from wakeline.plans import inventory, oracle
 
-QUERIES, ORACLE = driver.queries(), driver.oracle_sql()
+# The training-data queries have tests of their own.
+QUERIES, ORACLE = inventory.queries(), oracle.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -19,6 +21,11 @@ def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLE)
 
 
+def test_driver_offers_every_query():
+    assert set(QUERIES) <= set(driver.queries())
+    assert set(ORACLE) <= set(driver.oracle_sql())
+
+
 def test_every_inventory_id_is_covered():
     ids = (
         [f"P{n}" for n in range(1, 7)]
