@@ -20,10 +20,9 @@ WORDS = 10
 #: and the share of the window's distinct words that it has to hold.
 SLOP, SHARE = 2, 0.8
 #: Anchors that are met with the postings at a time; a larger benchmark goes in blocks.
-BLOCK_ANCHORS = 100_000
+BLOCK_ANCHORS = 20_000
 
 _BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words_of(text: Column) -> Column:
@@ -106,21 +105,54 @@ def anchors(lists: DataFrame, counts: DataFrame) -> DataFrame:
     )
 
 
-def matches(documents: DataFrame, found: DataFrame) -> DataFrame:
+def postings(documents: DataFrame, terms: list[str], reach: int) -> DataFrame:
+    """``(doc_id, hash, term, pos, first, around)``: where the terms stand in the documents.
+
+    ``around`` holds the words from ``first`` on, up to ``reach`` on either side of
+    ``pos``. Positions are picked within a row, so a posting carries its
+    neighbourhood and never the whole text.
+    """
+    rows = documents.select(
+        "doc_id", F.xxhash64("text").alias("hash"), words_of(F.col("text")).alias("words")
+    )
+    places = F.filter(
+        F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.get("words", i).isin(terms)
+    )
+    first = lambda i: F.greatest(i - reach, F.lit(0))
+    return (
+        rows.filter(F.size("words") > 0)
+        .select(
+            "doc_id",
+            "hash",
+            F.explode(
+                F.transform(
+                    places,
+                    lambda i: F.struct(
+                        F.get("words", i).alias("term"),
+                        i.alias("pos"),
+                        first(i).alias("first"),
+                        F.slice("words", first(i) + 1, i - first(i) + reach + 1).alias("around"),
+                    ),
+                )
+            ).alias("p"),
+        )
+        .select("doc_id", "hash", "p.*")
+    )
+
+
+def matches(documents: DataFrame, found: DataFrame, words: int = WORDS) -> DataFrame:
     """Postings of the anchor words that are matches: ``(doc_id, hash, item_ids, spans, near)``.
 
     ``spans`` are ``(start, stop)`` of exact windows in words. ``found`` is bounded
-    and broadcast; the postings stream past it and nothing else is kept of them.
+    by ``BLOCK_ANCHORS`` and broadcast; the postings stream past it.
     """
-    postings = documents.select(
-        "doc_id", F.xxhash64("text").alias("hash"), words_of(F.col("text")).alias("words")
-    ).select("doc_id", "hash", "words", F.posexplode("words").alias("pos", "term"))
-    shift = F.col("pos") - F.col("at")
+    terms = [r["term"] for r in found.select("term").distinct().collect()]
+    shift = F.col("pos") - F.col("at") - F.col("first")
     exact = F.filter(
         "starts",
         lambda s: (shift + s >= 0)
         & (
-            F.slice("words", F.greatest(shift + s, F.lit(0)) + 1, F.col("length"))
+            F.slice("around", F.greatest(shift + s, F.lit(0)) + 1, F.col("length"))
             == F.slice("item", s + 1, F.col("length"))
         ),
     )
@@ -128,11 +160,12 @@ def matches(documents: DataFrame, found: DataFrame) -> DataFrame:
         F.col("low"), F.least(F.col("high"), F.col("at") - F.floor(F.col("length") / 2).cast("int"))
     )
     begin = F.greatest(shift + middle - SLOP, F.lit(0))
-    around = F.slice("words", begin + 1, F.col("length") + 2 * SLOP)
+    nearby = F.slice("around", begin + 1, F.col("length") + 2 * SLOP)
     wanted = F.array_distinct(F.slice("item", middle + 1, F.col("length")))
-    near = F.size(F.array_intersect(wanted, around)) >= F.ceil(SHARE * F.size(wanted))
+    near = F.size(F.array_intersect(wanted, nearby)) >= F.ceil(SHARE * F.size(wanted))
     return (
-        postings.join(F.broadcast(found), "term")
+        postings(documents, terms, words + SLOP)
+        .join(F.broadcast(found), "term")
         .select("doc_id", "hash", "item_ids", "length", "pos", "at", exact.alias("exact"), near.alias("near"))
         .filter("near or size(exact) > 0")
         .select(
@@ -164,7 +197,7 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, words: int =
     hits = None
     for block in range(blocks):
         part = found.filter(F.pmod(F.xxhash64("item", "at"), F.lit(blocks)) == block)
-        one = matches(documents, part)
+        one = matches(documents, part, words)
         hits = one if hits is None else hits.union(one)
     covered = F.aggregate(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))),
@@ -199,7 +232,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, words: int = WORDS
     base = documents.select(
         F.col("doc_id").alias("id_"),
         F.xxhash64("text").alias("sum_"),
-        F.coalesce(F.regexp_count("text", F.lit(_WORD)), F.lit(0)).cast("long").alias("n_words"),
+        F.coalesce(F.size(words_of(F.col("text"))), F.lit(0)).cast("long").alias("n_words"),
     )
     none = F.array().cast("array<bigint>")
     return base.join(
