@@ -26,7 +26,7 @@ from wakeline.llm.common import rank_within, settle
 CAPACITY = 4096
 END_ID = 1
 #: Words whose ids a task keeps; beyond it the memory starts anew.
-WORDS_KEPT = 300_000
+WORDS_KEPT = 400_000
 #: Characters of a text that are tokenised at a time.
 BLOCK = 1 << 20
 
@@ -66,14 +66,13 @@ def tokenise(documents: DataFrame, vocabulary: str, capacity: int = CAPACITY) ->
             try:
                 return b"".join([known[w] for w in words])
             except KeyError:
-                new = list(set(words) - known.keys())
-                if len(known) + len(new) > WORDS_KEPT:
+                if len(known) > WORDS_KEPT:
                     known.clear()
                     known[""] = b""
-                    new = list(set(words) - known.keys())
+                new = [w for w in set(words) if w not in known]
                 for at in range(0, len(new), 4096):
                     part = new[at : at + 4096]
-                    coded = tokenizer.encode_batch(part, add_special_tokens=False)
+                    coded = tokenizer.encode_batch_fast(part, add_special_tokens=False)
                     known.update(
                         (w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(part, coded)
                     )
@@ -100,53 +99,67 @@ def tokenise(documents: DataFrame, vocabulary: str, capacity: int = CAPACITY) ->
     )
 
 
-def best_filling(price: np.ndarray, lengths: np.ndarray, capacity: int) -> dict[int, int]:
-    """The knapsack: which lengths, how often each, are worth most within the capacity."""
+def knapsack(price: np.ndarray, lengths: np.ndarray, capacity: int) -> np.ndarray:
+    """For every room up to the capacity, the length to take first in its best filling; -1: none.
+
+    Of equal fillings the one with the larger length is taken, so fillings are short.
+    """
     best = np.zeros(capacity + 1)
     taken = np.full(capacity + 1, -1, dtype=np.int64)
     for room in range(1, capacity + 1):
-        fits = np.searchsorted(lengths, room, side="right")
+        fits = int(np.searchsorted(lengths, room, side="right"))
         best[room] = best[room - 1]
         if fits:
             worth = best[room - lengths[:fits]] + price[:fits]
-            k = int(worth.argmax())
+            k = fits - 1 - int(worth[::-1].argmax())
             if worth[k] > best[room]:
                 best[room], taken[room] = worth[k], k
-    filling: dict[int, int] = defaultdict(int)
-    room = capacity
+    return taken
+
+
+def filling(taken: np.ndarray, lengths: np.ndarray, room: int) -> dict[int, int]:
+    """The best filling of a room: index of each length and how often it is used."""
+    found: dict[int, int] = defaultdict(int)
     while room > 0:
-        k = taken[room]
+        k = int(taken[room])
         if k < 0:
             room -= 1
         else:
-            filling[int(k)] += 1
+            found[k] += 1
             room -= int(lengths[k])
-    return filling
+    return found
 
 
 def fractional(
     lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int, step: float = 0.5
 ) -> list[tuple[dict[int, int], float]]:
-    """Fillings and how often to use each, by multiplicative weights; none covers too much."""
-    covered = np.zeros(len(lengths))
+    """Fillings and how often to use each, by multiplicative weights; none covers too much.
+
+    A round prices every length by what is not covered yet, solves one knapsack and
+    uses, for each length that is left, the best filling around it.
+    """
+    left = counts.astype(float)
     used: dict[tuple, float] = defaultdict(float)
     for _ in range(rounds):
-        share = covered / counts
-        open_ = share < 0.999
-        price = np.where(open_, lengths * np.exp(-0.25 * share), 0.0)
-        filling = best_filling(price, lengths, capacity)
-        filling = {k: n for k, n in filling.items() if open_[k]}
-        if not filling:
+        open_ = left >= 1
+        if not open_.any():
             break
-        times = min((counts[k] - covered[k]) / n for k, n in filling.items())
-        times *= step if times > 64 else 1.0
-        for k, n in filling.items():
-            covered[k] += times * n
-        used[tuple(sorted(filling.items(), reverse=True))] += times
+        price = np.where(open_, lengths * np.exp(-0.02 * (1 - left / counts)), 0.0)
+        taken = knapsack(price, lengths, capacity)
+        for lead in np.flatnonzero(open_)[::-1].tolist():
+            found = filling(taken, lengths, capacity - int(lengths[lead]))
+            found[lead] += 1
+            times = min(left[k] / n for k, n in found.items())
+            times *= step if times > 8 else 1.0
+            if times < 1:
+                continue
+            for k, n in found.items():
+                left[k] -= times * n
+            used[tuple(sorted(found.items(), reverse=True))] += times
     return [(dict(f), times) for f, times in used.items()]
 
 
-def pack_histogram(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = 96):
+def pack_histogram(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = 16):
     """Where the pieces of each length go, as runs, and the number of sequences.
 
     A run (length, first, count, sequence, offset) says: of this length, pieces
@@ -199,11 +212,11 @@ def pack_histogram(histogram: dict[int, int], capacity: int = CAPACITY, rounds:
                     rooms[after] = True
         return runs, sequences
 
-    best, sequences = place([])
-    if len(lengths) and sequences > -(-int((lengths * counts).sum()) // capacity):
-        other, fewer = place(fractional(lengths, counts, capacity, rounds))
-        if fewer <= sequences:
-            best, sequences = other, fewer
+    best, sequences = place(fractional(lengths, counts, capacity, rounds) if len(lengths) else [])
+    # With few pieces of each length rounding down leaves nearly all to the second step.
+    plain, fewer = place([])
+    if fewer < sequences:
+        best, sequences = plain, fewer
     first: dict[int, int] = defaultdict(int)
     runs = []
     for k, count, sequence, offset in best:
@@ -212,7 +225,7 @@ def pack_histogram(histogram: dict[int, int], capacity: int = CAPACITY, rounds:
     return runs, sequences
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = 96) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = 16) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to pieces with a ``length`` of 1 to ``capacity``.
 
     Pieces of one length are numbered in slices, so one length may hold any share
