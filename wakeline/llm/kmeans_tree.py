@@ -23,9 +23,9 @@ from wakeline.llm.common import settle
 SAMPLE_ROWS, SAMPLE_NUMBERS = 20_000, 8_000_000
 BRANCH, MOST_LEAVES, LEAF_ROWS = 8, 4096, 256
 #: Queries whose neighbours are found exactly, and the share that has to be found.
-CALIBRATION, RECALL = 64, 0.97
-#: Vectors of a leaf that one task scores.
-SLICE = 4096
+CALIBRATION, RECALL = 64, 0.95
+#: Vectors that one task scores: leaves that follow each other, or a part of a large leaf.
+CELL_ROWS = 4096
 
 
 @dataclass
@@ -146,16 +146,25 @@ def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def best_of(
-    q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int
+    q_ids: np.ndarray,
+    q: np.ndarray,
+    ids: np.ndarray,
+    v: np.ndarray,
+    k: int,
+    open_: np.ndarray | None = None,
+    group: np.ndarray | None = None,
 ) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each query its ``k`` nearest of a block: largest cosine, then smaller id.
 
-    A matrix product finds who is in reach of the k-th place; only they are scored
-    pair by pair.
+    With ``open_`` and ``group`` a query sees only vectors of groups that are open to
+    it. A matrix product finds who is in reach of the k-th place; only they are
+    scored pair by pair.
     """
     unit_q, unit_v = normal(q), normal(v)
     for start in range(0, len(q), 256):
         rough = unit_q[start : start + 256] @ unit_v.T
+        if open_ is not None:
+            rough[~open_[start : start + 256][:, group]] = -np.inf
         for row, query, own in zip(rough, q[start : start + 256], q_ids[start : start + 256]):
             row[ids == own] = -np.inf
             edge = np.partition(row, -k)[-k] if len(row) > k else -2.0
@@ -246,53 +255,73 @@ def build(vectors: DataFrame, is_query: Column, k: int, recall: float = RECALL)
     return Index(tree, filed, sizes, visits, found)
 
 
+def cells_of(sizes: dict[int, int], leaves: int) -> dict[int, tuple[int, int]]:
+    """First cell and number of cells of each leaf: small leaves share one, large ones have several."""
+    cells, at, held = {}, 0, 0
+    for leaf in range(leaves):
+        n = sizes.get(leaf, 0)
+        if n > CELL_ROWS:
+            at, held = at + (held > 0), 0
+            cells[leaf] = (at, -(-n // CELL_ROWS))
+            at += cells[leaf][1]
+        elif n:
+            if held + n > CELL_ROWS:
+                at, held = at + 1, 0
+            cells[leaf] = (at, 1)
+            held += n
+    return cells
+
+
 def search(index: Index, queries: DataFrame, k: int) -> DataFrame:
     """The ``k`` nearest found for each of ``queries(vec_id, v)``: query_id, rank, vec_id, score.
 
-    A leaf is scored in slices of bounded size, so it may hold any share of the
-    vectors. Every visited vector is scored; nothing is cut before the last rank.
+    A query meets the leaves that it visits in cells of bounded size, so a leaf may
+    hold any share of the vectors and a cell gives ``k`` rows for a query at most.
+    Every visited vector is scored; nothing is cut before the last rank.
     """
     tree, visits, sizes = index.tree, index.visits, index.sizes
-    slices = {leaf: -(-n // SLICE) for leaf, n in sizes.items()}
+    cells = cells_of(sizes, tree.leaves)
 
     def route(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for at in range(0, len(frame), 64):
-                part = frame.iloc[at : at + 64]
-                if not len(part):
-                    continue
-                row, leaf, piece = [], [], []
-                for k_, u in enumerate(normal(matrix(part["v"]))):
-                    for one in tree.visits(u, visits, sizes, k + 1):
-                        for s in range(slices.get(one, 0)):
-                            row.append(k_)
-                            leaf.append(one)
-                            piece.append(s)
+            for start in range(0, len(frame), 64):
+                part = frame.iloc[start : start + 64]
+                row, cell, leaves = [], [], []
+                for n, u in enumerate(normal(matrix(part["v"]))):
+                    seen: dict[int, list[int]] = {}
+                    for leaf in tree.visits(u, visits, sizes, k + 1):
+                        first, count = cells.get(leaf, (0, 0))
+                        for c in range(first, first + count):
+                            seen.setdefault(c, []).append(leaf)
+                    row += [n] * len(seen)
+                    cell += seen
+                    leaves += seen.values()
                 out = part.iloc[row].copy()
-                out["leaf"], out["piece"] = np.array(leaf, np.int32), np.array(piece, np.int32)
+                out["cell"], out["leaves"] = np.array(cell, np.int32), leaves
                 yield out
 
     def score(members: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if not len(members) or not len(asked):
             return _frame([])
+        names, group = np.unique(members["leaf"].to_numpy(), return_inverse=True)
+        open_ = np.stack([np.isin(names, leaves) for leaves in asked["leaves"]])
         ids, v = members["vec_id"].to_numpy(), matrix(members["v"])
-        return _frame(list(best_of(asked["vec_id"].to_numpy(), matrix(asked["v"]), ids, v, k)))
+        asked_ids = asked["vec_id"].to_numpy()
+        return _frame(list(best_of(asked_ids, matrix(asked["v"]), ids, v, k, open_, group)))
 
-    wide = index.filed.sparkSession.createDataFrame(
-        [(leaf, n) for leaf, n in slices.items() if n > 1] or [(-1, 1)], "leaf int, slices int"
+    # At most one row per leaf, and MOST_LEAVES bounds those.
+    homes = index.filed.sparkSession.createDataFrame(
+        [(leaf, first, count) for leaf, (first, count) in cells.items()],
+        "leaf int, first_cell int, cells int",
     )
-    members = index.filed.join(F.broadcast(wide), "leaf", "left").select(
+    members = index.filed.join(F.broadcast(homes), "leaf").select(
         "vec_id",
         "v",
         "leaf",
-        F.pmod(F.xxhash64("vec_id"), F.coalesce("slices", F.lit(1))).cast("int").alias("piece"),
-    )
-    asked = queries.mapInPandas(route, "vec_id bigint, v array<double>, leaf int, piece int")
-    found = (
-        members.groupBy("leaf", "piece")
-        .cogroup(asked.groupBy("leaf", "piece"))
-        .applyInPandas(score, FOUND)
+        (F.col("first_cell") + F.pmod(F.xxhash64("vec_id"), F.col("cells"))).cast("int").alias("cell"),
     )
+    asked = queries.mapInPandas(route, "vec_id bigint, v array<double>, cell int, leaves array<int>")
+    found = members.groupBy("cell").cogroup(asked.groupBy("cell")).applyInPandas(score, FOUND)
     return ranked(found, k)
 
 
