@@ -693,10 +693,12 @@ def test_image_paths(spark):
 
 def test_clone_and_import(spark):
     listed = fleet(spark, 5, 3).withColumn("company_id", F.lit("x"))
-    clones = deident.clone_template(deident.template_row(listed, "id"), "demo")
-    assert clones.count() == 14
+    clones = deident.clone_template(
+        deident.template_row(listed, "id"), "demo", [(8800001, 1, "One"), (8800002, 2, "Two")]
+    )
+    assert clones.count() == 2
     assert {r["id"] for r in clones.select("id").collect()} == {3}
-    assert rows(clones.where("imo = 9972827"), "name", "company_id") == [("Pacific Navigator", "demo")]
+    assert rows(clones.where("imo = 8800002"), "name", "company_id") == [("Two", "demo")]
     source = spark.createDataFrame(
         [(2, 91, "b", "secret"), (1, 90, "a", "secret")], "line long, imo long, name string, remark string"
     )
@@ -716,3 +718,23 @@ def test_alias_and_pseudonym(spark):
     assert rows(deident.pseudonymise(full, names, "demo"), "id", "name", "imo", "mmsi", "company_id") == [
         (1, "OSV 1", 55, 56, "demo")
     ]
+
+
+def test_redating_keeps_rows_without_order_or_key(spark):
+    frame = spark.createDataFrame([(1, 1), (2, None), (None, 1)], "n int, k int")
+    assert deident.redate(frame, "n", at("15 12:00")).count() == 3
+    by_key = deident.redate(frame, "n", at("15 12:00"), keys=["k"])
+    assert by_key.count() == 3
+    last = by_key.filter("k = 1 and n is null").collect()
+    assert len(last) == 1 and last[0]["timestamp"] == at("15 12:00")
+
+
+def test_wide_jitter_reaches_its_bound(spark):
+    bound = 30 * 86400
+    numbers = spark.range(3000).select(
+        deident.jitter_number(F.col("id") * 977, 7, "time", bound).alias("n")
+    )
+    low, high, count = numbers.agg(F.min("n"), F.max("n"), F.count_distinct("n")).first()
+    assert 0 <= low < bound // 50 and bound - bound // 50 < high < bound and count > 2500
+    with pytest.raises(ValueError):
+        deident.jitter_number(F.lit(1), 7, "time", 10**13)

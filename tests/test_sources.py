@@ -90,13 +90,14 @@ def test_csv_export_reads_back(spark, tables, tmp_path):
 
 def test_noon_csv_and_its_speeds(spark, tmp_path):
     def line(number, stw, state="NaN"):
-        known = {"Log_No": number, "Datetime_UTC": "14-03-2024", "Load_Condition": "L", "STW": stw, "DSS": state}
+        known = {"Log_No": number, "Datetime_UTC": "14-03-2024", "Load_Condition": state, "STW": stw, "DSS": state}
         return ",".join(str(known.get(c, "")) for c in NOON_COLUMNS)
 
     path = tmp_path / "noon.csv"
     path.write_text("\n".join([",".join(NOON_COLUMNS), line(1, 12.8), line(2, "NaN"), line(3, "", 4)]))
     noon = read_noon_csv(spark, str(path))
     assert noon.schema == NOON_SCHEMA and len(NOON_SCHEMA) == 43
+    assert [r[0] for r in noon.orderBy("Log_No").select("Load_Condition").collect()] == [None, None, "4"]
     assert rows(noon, "Log_No", "STW", "DSS") == [(1, 12.8, None), (2, None, None), (3, None, 4.0)]
     empty = spark.createDataFrame([], "vessel_id long, timestamp timestamp_ntz, sog double, stw double")
     found = deident.append_noon_speed(empty, noon, 7, at("15 12:00"))

@@ -36,7 +36,8 @@ def slice_offsets(
     """Per (keys, slice): rows in it, rows in the slices before it, rows in all."""
     sizes = frame.groupBy(*keys, slice_col).agg(F.count(F.lit(1)).alias("slice_rows"))
     whole = Window.partitionBy(*keys)
-    order = F.col(slice_col).desc() if descending else F.col(slice_col).asc()
+    column = F.col(slice_col)
+    order = column.desc_nulls_last() if descending else column.asc_nulls_last()
     earlier = whole.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     return sizes.select(
         *keys,
@@ -58,14 +59,20 @@ def number_rows(
 
     ``slice_expr`` must follow ``order``: every row of an earlier slice comes
     before every row of a later one. Only rows of one slice are ever sorted
-    together; the running count over slices supplies the rest.
+    together; the running count over slices supplies the rest. Rows without an
+    order are a slice of their own behind all others, and a null key is a key like
+    any other: no row is dropped.
     """
     sliced = frame.withColumn("row_slice", slice_expr)
     offsets = slice_offsets(sliced, keys, "row_slice", descending).drop("slice_rows")
     in_slice = Window.partitionBy(*keys, "row_slice").orderBy(*order)
     ranked = sliced.withColumn("slice_index", F.row_number().over(in_slice))
+    by = [*keys, "row_slice"]
+    offsets = offsets.withColumnsRenamed({c: f"{c}_of_slice" for c in by})
+    same = [ranked[c].eqNullSafe(offsets[f"{c}_of_slice"]) for c in by]
     return (
-        ranked.join(offsets, [*keys, "row_slice"])
+        ranked.join(offsets, same)
+        .drop(*[f"{c}_of_slice" for c in by])
         .withColumn("row_index", F.col("rows_before") + F.col("slice_index") - 1)
         .drop("row_slice", "slice_index", "rows_before")
     )

@@ -10,24 +10,7 @@ from pyspark.sql import functions as F
 from wakeline.functions.slices import SLICE_VALUES, number_rows, time_slice, value_slice
 from wakeline.functions.times import Moment, instant
 
-# The identities of the synthetic merchant fleet, the columns an
-# imported vessel may have and the first id it gets.
-MERCHANT_FLEET = (
-    (99999009, 533333009, "Compass Rose"),
-    (99999008, 533333008, "Tidal Venture"),
-    (99999007, 533333007, "Silver Crest"),
-    (99999006, 533333006, "Eternal Drift"),
-    (99999005, 533333005, "Seabound Spirit"),
-    (99999004, 533333004, "Golden Trident"),
-    (99999003, 533333003, "Mariner's Pride"),
-    (99999002, 533333002, "Sea Falcon"),
-    (99999001, 533333001, "Sea Guardian"),
-    (99999000, 533333000, "Horizon Explorer"),
-    (9972827, 123412342, "Pacific Navigator"),
-    (9971135, 533132669, "Blue Horizon"),
-    (9971123, 533132535, "Ocean Voyager"),
-    (9971147, 533132773, "Atlantic Pioneer"),
-)
+# The columns an imported vessel may have and the first id it gets.
 IMPORT_COLUMNS = (
     "id",
     "imo",
@@ -48,9 +31,10 @@ IMPORT_COLUMNS = (
 )
 FIRST_IMPORT_ID = 2000
 
-# Modulus and multipliers of the repeatable jitter; products stay below 2^31.
+# Modulus and multipliers of the repeatable jitter.
 _JITTER_PRIME = 1_000_003
 _JITTER_FACTORS = {"time": 613, "lat": 727, "long": 839, "heading": 947}
+_JITTER_HIGHER = 7_621
 
 
 def resolve_alias(frame: DataFrame, mapping: DataFrame, column: str = "imo") -> DataFrame:
@@ -93,9 +77,18 @@ def pseudonymise(
 
 
 def jitter_number(key: Column, seed: int, purpose: str, bound: int) -> Column:
-    """A repeatable number in ``[0, bound)`` from a key and a seed."""
+    """A repeatable number in ``[0, bound)`` from a key and a seed.
+
+    Bounds over the prime take a second mixed number as the higher digit; the
+    largest bound is the square of the prime.
+    """
+    if not 0 < bound <= _JITTER_PRIME**2:
+        raise ValueError(f"a jitter bound is from 1 to {_JITTER_PRIME**2}")
     spread = F.pmod(key, F.lit(_JITTER_PRIME)) * _JITTER_FACTORS[purpose]
-    mixed = F.pmod(spread + (seed * 7919) % _JITTER_PRIME, F.lit(_JITTER_PRIME))
+    mixed = F.pmod(spread + (seed * 7919) % _JITTER_PRIME, F.lit(_JITTER_PRIME)).cast("bigint")
+    if bound > _JITTER_PRIME:
+        higher = F.pmod(mixed * _JITTER_HIGHER + 1, F.lit(_JITTER_PRIME))
+        mixed = mixed + higher * F.lit(_JITTER_PRIME).cast("bigint")
     return F.pmod(mixed, F.lit(bound)).cast("bigint")
 
 
@@ -134,8 +127,8 @@ def template_row(frame: DataFrame, order: str = "vessel_id") -> DataFrame:
 def clone_template(
     template: DataFrame,
     company: str,
+    identities: Sequence[tuple[int, int, str]],
     fleet_type: str = "merchant",
-    identities: Sequence[tuple[int, int, str]] = MERCHANT_FLEET,
 ) -> DataFrame:
     """One copy of each template row per listed identity (IMO, MMSI, name)."""
     listed = F.array(
@@ -186,8 +179,8 @@ def redate(
 
     Row ``i`` of ``n`` gets ``as_of - (n - 1 - i)`` days, or with
     ``step='minute'`` ``as_of - (n + 1 - i)`` minutes. ``keys`` split the frame
-    into data sets of their own; ``order`` is a timestamp or a sequence number
-    without nulls, ``ties`` order equal ones. Rows are numbered slice by slice
+    into data sets of their own; ``order`` is a timestamp or a sequence number,
+    ``ties`` order equal ones; rows without an order come last. Rows are numbered slice by slice
     (see ``functions.slices``), never all in one task.
     """
     if step not in ("day", "minute"):

@@ -38,6 +38,7 @@ AS_OF = datetime(2024, 1, 15, 12)
 FRESH_MINUTES = 1440
 FIRST_DAY, LAST_DAY = date(2024, 1, 4), date(2024, 1, 13)
 JITTER_SEED = 42
+DEMO_FLEET = ((8800001, 244000001, "Demo One"), (8800002, 244000002, "Demo's Two"), (8800003, 244000003, "Demo Three"))
 PAGE, PAGE_SIZE = 2, 20
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -510,6 +511,30 @@ def _(t):
     return deident.pseudonymise(_reports_with_identity(t), mapping, "demo", "offshore")
 
 
+@_query("D3_jitter_days")
+def _(t):
+    reports_ = t.interp.selectExpr(
+        "id", "vessel_id", "nr_time as timestamp", "0.0D as lat", "0.0D as long", "0.0D as direction"
+    )
+    moved = deident.jitter(reports_, AS_OF, JITTER_SEED, 1, 1, 30 * 86400, key="id")
+    return moved.select("id", "timestamp")
+
+
+@_query("D6_redate_missing")
+def _(t):
+    return deident.redate(
+        t.interp.selectExpr(
+            "id",
+            "case when id % 7 <> 0 then vessel_id end as vessel_id",
+            "case when id % 5 <> 0 then nr_time end as nr_time",
+        ),
+        "nr_time",
+        AS_OF,
+        keys=["vessel_id"],
+        ties=["id"],
+    )
+
+
 @_query("D3_jitter")
 def _(t):
     reports_ = t.interp.selectExpr(
@@ -527,7 +552,7 @@ def _(t):
 def _(t):
     listed = _reports_with_identity(t).withColumn("fleet_type", F.lit("offshore"))
     listed = listed.withColumns({c: F.col(c).cast("bigint") for c in ("imo", "mmsi")})
-    clones = deident.clone_template(deident.template_row(listed, "id"), "demo")
+    clones = deident.clone_template(deident.template_row(listed, "id"), "demo", DEMO_FLEET)
     return listed.unionByName(clones)
 
 

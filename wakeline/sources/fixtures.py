@@ -106,12 +106,12 @@ from fx_interp
 select * from fx_interp
 """,
     "fx_weather": """
-select min(id) as id, date_trunc('hour', nr_time) as time, round(latitude, 1) as lat, round(longitude, 1) as long,
+select min(id) as id, date_trunc('hour', nr_time) as time, round(latitude, 1) + case when min(id) % 6 = 0 then 50 else 0 end as lat, round(longitude, 1) as long,
   cast(min(id) * 7 % 13 as int) as beaufourt, cast(min(id) * 3 % 10 as int) as dss,
   cast(min(id) * 17 % 360 as double) as wind_direction, cast(min(id) * 29 % 360 as double) as wave_direction,
   cast(min(id) * 41 % 360 as double) as current_direction, (min(id) % 30) / 2.0 as wind_speed,
   (min(id) % 8) / 2.0 as wave_height, (min(id) % 4) / 2.0 as current_speed
-from fx_interp where latitude < 12
+from fx_interp
 group by date_trunc('hour', nr_time), round(latitude, 1), round(longitude, 1)
 """,
     "fx_ais": """
@@ -164,14 +164,14 @@ select * from (values (0,0,'none'),(1,1,'engine stop'),(2,2,'high temp'),(3,3,'l
 select event_id as id, user_id % 25 as vessel_id, (user_id % 25) * 10 + event_id % 8 as device_id,
   ts as alert_datetime, event_id % 6 as alert_type_id,
   cast((user_id % 25) * 2 - 25 as double) as latitude, cast((user_id % 25) * 3 - 37 as double) as longitude
-from events where event_type = 'error'
+from events
 """,
     "fx_total_fuel": """
 select event_id as id, user_id % 25 as vessel_id, date_trunc('hour', ts) as date_hour, cast(value as decimal(18,4)) as consumption from events
 """,
     "fx_image": """
 select event_id as id, 'D' || cast(user_id % 40 as varchar(8)) as device_serial, 'img' || cast(event_id as varchar(12)) as image, ts as create_datetime
-from events where event_type = 'view'
+from events
 """,
 }
 

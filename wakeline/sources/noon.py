@@ -38,7 +38,11 @@ _OPTIONS = {"nanValue": "NaN", "nullValue": "", "mode": "FAILFAST"}
 
 def _missing_as_null(frame: DataFrame) -> DataFrame:
     numbers = [f.name for f in frame.schema.fields if isinstance(f.dataType, T.DoubleType)]
-    return frame.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in numbers})
+    texts = [f.name for f in frame.schema.fields if isinstance(f.dataType, T.StringType)]
+    return frame.withColumns(
+        {c: F.when(~F.isnan(c), F.col(c)) for c in numbers}
+        | {c: F.nullif(F.col(c), F.lit("NaN")) for c in texts}
+    )
 
 
 def read_noon_csv(spark: SparkSession, path: str) -> DataFrame:

@@ -30,10 +30,11 @@ def stream_latest_position(interp: DataFrame) -> DataFrame:
 
 
 def stream_main_series(
-    interp: DataFrame, minutes: int = 60, late_by: str = "2 hours"
+    interp: DataFrame, minutes: int, late_by: str
 ) -> DataFrame:
     """T4's measured bins over a stream (append mode): a bin is emitted once the
-    watermark has passed it, later rows for it are dropped.
+    watermark has passed it. Rows that are more than ``late_by`` behind the newest
+    row may be dropped; links can deliver after days, so the caller has to choose.
 
     Needs a session in UTC, since watermarks work on zoned timestamps.
     """
