@@ -193,12 +193,21 @@ def test_newest_images_are_limited_before_the_shuffle(tables):
 
 
 def test_no_query_uses_python_or_a_nested_loop_over_facts(spark, data_folder):
-    for name, query in driver.queries().items():
+    for name, query in inv.queries().items():
         text = plan(query(spark, data_folder))
         assert "Python" not in text and "ArrowEval" not in text, name
         assert "BroadcastNestedLoopJoin BuildRight, LeftOuter" not in text, name
 
 
+@pytest.mark.parametrize("ident", ["P1", "P2", "P4", "R5", "C2", "C3"])
+def test_latest_rows_are_found_without_sorting_the_facts(spark, data_folder, ident):
+    found = [q for name, q in inv.queries().items() if name.startswith(f"{ident}_")]
+    assert found
+    for query in found:
+        text = plan(query(spark, data_folder))
+        assert "HashAggregate" in text and "SortAggregate" not in text
+
+
 def test_daily_consumption_aggregates_before_the_weather_join(tables):
     text = plan(consumption.daily_consumption(tables.interp, tables.weather, inv.START, inv.END))
     join = text.index("LeftOuter")

@@ -90,11 +90,14 @@ def vessel_links(
 ) -> DataFrame:
     """L1: last-seen time of each link, for every vessel, in epoch seconds.
 
-    NMEA reports are reduced per device before the device table is joined.
+    NMEA reports are reduced per device before the device table is joined. Vessels
+    named by id limit the scan to their devices.
     """
     placed = F.col("latitude").isNotNull() | F.col("longitude").isNotNull()
     moving = F.col("speed_over_ground").isNotNull()
     owners = pick_vessels(device, vessel_ids).select("device_id", "vessel_id")
+    if vessel_ids is not None:
+        nmea = nmea.join(owners.select("device_id"), "device_id", "left_semi")
     seen = (
         nmea.groupBy("device_id")
         .agg(

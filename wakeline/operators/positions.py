@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wakeline.functions.frames import number, pick_vessels
-from wakeline.functions.latest import latest_per, newest
+from wakeline.functions.latest import latest_per, newest, pick
 from wakeline.functions.recent import recent_first
 from wakeline.functions.sizing import broadcast_if_small
 from wakeline.functions.slices import time_slice
@@ -22,6 +22,16 @@ HEADED = "course is not null"
 # for ``max`` and first for ``min``.
 _UP = f"case when {HEADED} then struct(nr_time as at, id as rank, course) end"
 _DOWN = f"case when {HEADED} then struct(nr_time as at, -id as rank, course) end"
+_UP_FIELDS = {"at": "nr_time", "rank": "id", "course": "course"}
+_DOWN_FIELDS = {**_UP_FIELDS, "rank": "-id"}
+
+
+def _last_heading() -> Column:
+    return pick("max_by", "last_heading", ("nr_time", "id"), _UP_FIELDS, HEADED)
+
+
+def _first_heading() -> Column:
+    return pick("min_by", "first_heading", ("nr_time", "-id"), _DOWN_FIELDS, HEADED)
 
 
 def track(
@@ -59,16 +69,14 @@ def track(
 
     # Headings that cross slice boundaries. The last one before the window is
     # entered as a slice of its own, ahead of all others.
-    edges = marks.groupBy("vessel_id", "track_slice").agg(
-        F.expr(f"max({_UP}) as last_heading"), F.expr(f"min({_DOWN}) as first_heading")
-    )
+    edges = marks.groupBy("vessel_id", "track_slice").agg(_last_heading(), _first_heading())
     earlier = within(telemetry, "nr_time", None, start, half_open=True)
     opening = recent_first(
         earlier.where(HEADED),
         "nr_time",
         since,
         vessel,
-        lambda rows: rows.groupBy("vessel_id").agg(F.expr(f"max({_UP}) as last_heading")),
+        lambda rows: rows.groupBy("vessel_id").agg(_last_heading()),
     ).select(
         "vessel_id",
         instant(EPOCH).alias("track_slice"),

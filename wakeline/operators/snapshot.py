@@ -80,10 +80,11 @@ def completeness() -> Column:
 def most_complete(fresh_rows: DataFrame) -> DataFrame:
     """R2: per vessel the fresh row with the highest completeness, newest on a tie."""
     scored = fresh_rows.withColumn("score", completeness())
-    values = [c for c in scored.columns if c not in ("vessel_id", "id", "score", "timestamp")]
-    return latest_per(
-        scored, ["vessel_id"], ["score", "timestamp", "id"], values
-    ).drop("id")
+    order = ("score", "timestamp", "id")
+    values = [c for c in scored.columns if c not in ("vessel_id", *order)]
+    # Few rows: only the fresh ones come here.
+    best = scored.groupBy("vessel_id").agg(F.max(F.struct(*order, *values)).alias("best"))
+    return best.select("vessel_id", "best.*").drop("id")
 
 
 def by_engine(rows: DataFrame) -> DataFrame:

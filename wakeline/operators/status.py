@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wakeline.functions.frames import number, pick_vessels
+from wakeline.functions.latest import newest
 from wakeline.functions.recent import recent_first
 from wakeline.functions.sizing import broadcast_if_small
 from wakeline.functions.times import Moment, within
@@ -81,7 +82,7 @@ def latest_status(
         reduced = (
             rows.where(F.col("gis_point_id").isNotNull())
             .groupBy("vessel_id", "status", "gis_point_id")
-            .agg(F.max(F.struct("report_datetime", "id", "distance")).alias("report"))
+            .agg(newest("report", ("report_datetime", "id"), ("distance",)))
         )
         return _newest_described(
             pick_vessels(reduced, None, vessel), position_status, gis_point, gis_point_type

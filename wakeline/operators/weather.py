@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wakeline.functions.frames import number, pick_vessels
+from wakeline.functions.latest import newest
 from wakeline.functions.recent import recent_first
 from wakeline.functions.times import Moment, floor_to_grid, within
 from wakeline.functions.weather import CELL, KNOTS_PER_MPS, added_resistance, grid, with_cell
@@ -38,7 +39,7 @@ def newest_on_grid(
         with_cell(telemetry)
         .where(F.col("wx_lat").isNotNull() & F.col("wx_long").isNotNull())
         .groupBy("vessel_id", *CELL)
-        .agg(F.max(F.struct("nr_time", "id", *readings)).alias("seen"))
+        .agg(newest("seen", ("nr_time", "id"), readings))
     )
     return (
         pick_vessels(legs, None, vessel)
