@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as driver
 from tests.frames import at, fleet, rows, table
 from wakeline.functions import sizing
+from wakeline.functions.spine import spine
 from wakeline.operators import (
     consumption,
     fleet as fleet_ops,
@@ -171,6 +172,14 @@ def test_one_vessel_with_most_rows_stays_split(spark):
     assert found.count() == expected
 
 
+def test_the_grid_of_a_fleet_is_built_by_many_tasks(spark):
+    vessels = spark.range(1000).coalesce(1)
+    grid = spine(vessels, at("05 00:00"), at("12 00:00"), 60)
+    sizes = [r["count"] for r in grid.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 8 and sum(sizes) == 1000 * (7 * 24 + 1)
+    assert max(sizes) < 2 * sum(sizes) / len(sizes)
+
+
 def test_copies_are_collapsed_before_the_shuffle(spark):
     copies = spark.range(0, 50_000).selectExpr(
         "id",

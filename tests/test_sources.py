@@ -14,6 +14,7 @@ from wakeline.operators import deident, reports, series
 from wakeline.plans.routes import FleetService
 from wakeline.schemas import FACT_TIMES, TABLES
 from wakeline.sources import jdbc
+from wakeline.sources.documents import read_json_documents
 from wakeline.sources.lake import Lake, append_rows, write_fact
 from wakeline.sources.noon import NOON_COLUMNS, NOON_SCHEMA, read_noon_csv
 from wakeline.sources.shared import new_path, shared_folder
@@ -202,3 +203,28 @@ def test_a_noon_log_is_appended_to_the_speeds(service, spark):
     noon = spark.createDataFrame([(1, 9.5)], "Log_No long, STW double")
     found = service.vessel_speed(IMO, noon=noon)
     assert found.where("sog = 9.5 and timestamp = timestamp_ntz'2024-01-15 11:58:00'").count() == 1
+
+
+def test_json_documents_are_read_and_redated(spark, tmp_path):
+    (tmp_path / "a.json").write_text(
+        '[{"Log_No": 1, "STW": 10.5, "Port": "A"}, {"Log_No": 2, "STW": null}, {"Log_No": 3}]'
+    )
+    found = read_json_documents(spark, str(tmp_path), "Log_No bigint, STW double")
+    dated = deident.redate(found, "Log_No", at("15 12:00"), "day")
+    assert rows(dated, "Log_No", "STW", "timestamp") == [
+        (1, 10.5, at("13 12:00")),
+        (2, None, at("14 12:00")),
+        (3, None, at("15 12:00")),
+    ]
+    (tmp_path / "b.json").write_text("[{not json")
+    with pytest.raises(Exception, match="MALFORMED"):
+        read_json_documents(spark, str(tmp_path), "Log_No bigint").collect()
+
+
+def test_aliases_answer_for_real_numbers(spark, tables):
+    imo = tables.vessel.where("imo is not null").agg(F.min("imo")).collect()[0][0]
+    aliases = spark.createDataFrame([(12345, imo)], "alias bigint, real bigint")
+    service = FleetService(tables, at("15 12:00"), aliases=aliases)
+    plain = FleetService(tables, at("15 12:00"))
+    assert service.vessel_ids(12345) == service.vessel_ids(imo) == plain.vessel_ids(imo) != []
+    assert plain.vessel_ids(12345) == []

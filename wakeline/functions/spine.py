@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-from math import ceil
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wakeline.functions.times import Moment, as_datetime, floor_to_grid, instant, minutes_interval
 
-# Grid points built from one row. Longer grids are cut into chunks that are
-# spread over tasks before they are expanded.
+# Grid points built from one row. The vessel table is one small file, so its
+# (vessel, chunk) pairs are spread over tasks before they are expanded.
 CHUNK_POINTS = 10_080
-MAX_CHUNK_TASKS = 2_000
 
 
 def spine(
@@ -21,22 +18,18 @@ def spine(
     """``key, bin`` for every vessel and every grid point from ``start`` to ``end``.
 
     ``start`` is floored to the grid, so a start off the grid still lines up
-    with the bins.
+    with the bins. The pairs go to as many tasks as the session's shuffles have; a
+    number that is given is not coalesced, although the pairs themselves are few.
     """
     first, last = floor_to_grid(start, minutes), as_datetime(end)
-    span_minutes = max(0, int((last - first).total_seconds() // 60))
-    chunks = ceil((span_minutes // minutes + 1) / CHUNK_POINTS)
     step, chunk_step = minutes_interval(minutes), minutes_interval(minutes * CHUNK_POINTS)
     owners = vessel.select(F.col("id").alias(key))
     if last < first:
         return owners.select(key, instant(first).alias("bin")).where(F.lit(False))
-    if chunks == 1:
-        return owners.select(
-            key, F.explode(F.sequence(instant(first), instant(last), step)).alias("bin")
-        )
+    tasks = int(vessel.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     starts = owners.select(
         key, F.explode(F.sequence(instant(first), instant(last), chunk_step)).alias("chunk")
-    ).repartition(min(chunks, MAX_CHUNK_TASKS), key, "chunk")
+    ).repartition(tasks, key, "chunk")
     chunk_end = F.least(F.col("chunk") + chunk_step - step, instant(last))
     return starts.select(key, F.explode(F.sequence("chunk", chunk_end, step)).alias("bin"))
 

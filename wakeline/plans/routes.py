@@ -45,10 +45,13 @@ class FleetService:
         as_of: Moment,
         fresh_minutes: int = FRESH_MINUTES,
         recent_days: int | None = None,
+        aliases: DataFrame | None = None,
     ):
         """``recent_days`` makes latest-state queries read that many days before they
-        turn to the whole history; answers do not change."""
+        turn to the whole history; answers do not change. ``aliases`` has one row per
+        ``alias`` number with the ``real`` one that answers for it."""
         self.tables = tables
+        self.aliases = aliases
         self.as_of = as_datetime(as_of)
         self.fresh_minutes = fresh_minutes
         self.since = None if recent_days is None else self.as_of - timedelta(days=recent_days)
@@ -56,8 +59,12 @@ class FleetService:
     # Who and when
 
     def vessel_ids(self, imo: int) -> list[int]:
-        """Ids behind an IMO number, as literals that reach the fact scans."""
-        found = self.tables.vessel.where(F.col("imo") == imo).select("id").distinct()
+        """Ids behind an IMO number or an alias of it, as literals that reach the fact scans."""
+        vessel = self.tables.vessel
+        asked = vessel.sparkSession.range(1).select(F.lit(imo).cast("bigint").alias("imo"))
+        if self.aliases is not None:
+            asked = deident.resolve_alias(asked, self.aliases)
+        found = vessel.join(asked, "imo", "left_semi").select("id").distinct()
         return [row["id"] for row in found.collect()]
 
     def _fleet(self, ids: list[int]) -> DataFrame:

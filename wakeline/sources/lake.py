@@ -41,17 +41,21 @@ class Lake:
     """The input tables under one root: ``lake.interp``, ``lake.vessel`` and so on.
 
     Facts carry their ``day`` folder as a column; a window given to an operator
-    prunes folders through it.
+    prunes folders through it. Folders are listed once per table; open the lake
+    anew to see files that came later.
     """
 
     def __init__(self, spark: SparkSession, root: str):
         self._spark = spark
         self._root = root.rstrip("/")
+        self._frames: dict[str, DataFrame] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_") or name not in TABLES:
             raise AttributeError(name)
-        schema = TABLES[name]
-        if name in FACT_TIMES:
-            schema = T.StructType([*schema.fields, T.StructField("day", T.DateType())])
-        return self._spark.read.schema(schema).parquet(f"{self._root}/{name}")
+        if name not in self._frames:
+            schema = TABLES[name]
+            if name in FACT_TIMES:
+                schema = T.StructType([*schema.fields, T.StructField("day", T.DateType())])
+            self._frames[name] = self._spark.read.schema(schema).parquet(f"{self._root}/{name}")
+        return self._frames[name]
