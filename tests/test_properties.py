@@ -246,6 +246,11 @@ def test_recent_first_gives_the_same_answers(tables):
         quick = sorted(operator(*arguments, **named, since=since).collect(), key=repr)
         assert quick == whole, operator.__name__
         assert whole
+    whole, quick = (
+        sorted(snapshot.last_positive_run_hours(t.unified, None, t.vessel, s).collect(), key=repr)
+        for s in (None, since)
+    )
+    assert quick == whole and whole
     names = (t.vessel, t.customer, t.fleet_type, t.interp, t.ais, t.vps, t.position_status)
     whole, quick = (
         sorted(positions.fleet_positions(*names, since=s).collect(), key=repr)

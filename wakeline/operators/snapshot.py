@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from wakeline.functions.frames import long_rows, number, pick_vessels
 from wakeline.functions.latest import latest_per, newest
+from wakeline.functions.recent import recent_first
 from wakeline.functions.sizing import broadcast_if_small
 from wakeline.functions.times import (
     FRESH_MINUTES,
@@ -142,19 +143,29 @@ def engine_sensors(
 
 
 def last_positive_run_hours(
-    unified: DataFrame, vessel_ids: Iterable[int] | None = None
+    unified: DataFrame,
+    vessel_ids: Iterable[int] | None = None,
+    vessel: DataFrame | None = None,
+    since: Moment | None = None,
 ) -> DataFrame:
-    """Per vessel and main engine the newest positive run hours and when they were read."""
+    """Per vessel and main engine the newest positive run hours and when they were read.
+
+    ``since`` reads recent rows first; vessels of ``vessel`` with an engine that has
+    none there are looked up in the whole history.
+    """
     order = ("nr_time", "id")
-    found = (
-        pick_vessels(unified, vessel_ids)
-        .groupBy("vessel_id")
-        .agg(
+
+    def find(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("vessel_id").agg(
             *[
                 newest(e, order, (f"{e}_run_hours",), f"{e}_run_hours > 0")
                 for e in MAIN_ENGINES
             ]
         )
+
+    complete = F.expr(" and ".join(f"{e} is not null" for e in MAIN_ENGINES))
+    found = recent_first(
+        pick_vessels(unified, vessel_ids), "nr_time", since, vessel, find, complete
     )
     rows = [
         F.struct(
@@ -181,12 +192,15 @@ def engine_real_time(
     as_of: Moment,
     minutes: int = FRESH_MINUTES,
     vessel_ids: Iterable[int] | None = None,
+    vessel: DataFrame | None = None,
+    since: Moment | None = None,
 ) -> DataFrame:
     """R1 to R6 together: one row per vessel and engine.
 
     Run hours come from the engine's sensor; missing or not positive, from the
     raw telemetry, with the time of that reading. A vessel without fresh
-    telemetry still shows the latter for its main engines.
+    telemetry still shows the latter for its main engines. ``since`` and ``vessel``
+    are for those (see R5).
     """
     best = most_complete(fresh(interp, as_of, minutes, vessel_ids))
     window = (fresh_since(as_of, minutes), as_of)
@@ -198,7 +212,7 @@ def engine_real_time(
         .select("vessel_id", "engine", "sensor.*")
         .drop("device_id")
     )
-    read = last_positive_run_hours(unified, vessel_ids).withColumnRenamed(
+    read = last_positive_run_hours(unified, vessel_ids, vessel, since).withColumnRenamed(
         "running_hour", "read_hours"
     )
     merged = (

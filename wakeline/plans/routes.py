@@ -219,7 +219,7 @@ class FleetService:
         ).orderBy("vessel_id", "engine", "timestamp")
 
     def engine_real_time(self, imo: int, engine: str | None = None) -> DataFrame:
-        t = self.tables
+        t, ids = self.tables, self.vessel_ids(imo)
         rows = snapshot.engine_real_time(
             t.interp,
             t.unified,
@@ -228,7 +228,9 @@ class FleetService:
             t.canbus,
             self.as_of,
             self.fresh_minutes,
-            self.vessel_ids(imo),
+            ids,
+            self._fleet(ids),
+            self.since,
         )
         return rows if engine is None else rows.where(F.col("engine") == engine.lower())
 
