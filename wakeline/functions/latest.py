@@ -49,14 +49,18 @@ def pick(
 def newest(
     name: str, order: Sequence[str], values: Sequence[str], keep: str | None = None
 ) -> Column:
-    """Aggregate ``name``: ``order`` + ``values`` of the newest row that satisfies ``keep``."""
-    return pick("max_by", name, order, {c: c for c in (*order, *values)}, keep)
+    """Aggregate ``name``: time + ``values`` of the newest row that satisfies ``keep``.
+
+    ``order`` is time and id, or an id alone; the id itself is kept only as one of
+    ``values``, since each field is a comparison per row.
+    """
+    return pick("max_by", name, order, {c: c for c in (*order[:-1], *values)}, keep)
 
 
 def oldest(
     name: str, order: Sequence[str], values: Sequence[str], keep: str | None = None
 ) -> Column:
-    return pick("min_by", name, order, {c: c for c in (*order, *values)}, keep)
+    return pick("min_by", name, order, {c: c for c in (*order[:-1], *values)}, keep)
 
 
 def latest_per(
@@ -66,7 +70,7 @@ def latest_per(
     values: Sequence[str],
     keep: str | None = None,
 ) -> DataFrame:
-    """One row per key: ``keys``, ``order`` and ``values`` of the newest row."""
+    """One row per key: ``keys``, the time of ``order`` and ``values`` of the newest row."""
     if keep is not None:
         frame = frame.where(keep)
     return (

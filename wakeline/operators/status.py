@@ -82,7 +82,7 @@ def latest_status(
         reduced = (
             rows.where(F.col("gis_point_id").isNotNull())
             .groupBy("vessel_id", "status", "gis_point_id")
-            .agg(newest("report", ("report_datetime", "id"), ("distance",)))
+            .agg(newest("report", ("report_datetime", "id"), ("id", "distance")))
         )
         return _newest_described(
             pick_vessels(reduced, None, vessel), position_status, gis_point, gis_point_type

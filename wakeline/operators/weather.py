@@ -39,7 +39,7 @@ def newest_on_grid(
         with_cell(telemetry)
         .where(F.col("wx_lat").isNotNull() & F.col("wx_long").isNotNull())
         .groupBy("vessel_id", *CELL)
-        .agg(newest("seen", ("nr_time", "id"), readings))
+        .agg(newest("seen", ("nr_time", "id"), ("id", *readings)))
     )
     return (
         pick_vessels(legs, None, vessel)
