@@ -38,10 +38,11 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id.
 
-    Rows repeated under that id count once; documents without an id stay.
+    Near copies share 0.8 or more of their five-word shingles. Rows repeated under
+    that id count once; documents without an id stay.
     """
-    groups = simhash_trie.near_groups(docs.select("doc_id", "text"))
-    firsts = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("first_")).distinct()
+    groups = simhash_trie.similar_groups(docs.select("doc_id", "text"))
+    firsts = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("first_"))
     kept = docs.join(firsts, docs["doc_id"] == firsts["first_"], "left_semi").dropDuplicates(["doc_id"])
     return kept.union(docs.filter("doc_id is null"))
 

@@ -22,8 +22,8 @@ def test_stages_take_effect(spark):
         after = {r["doc_id"]: r["text"] for r in out.collect()}
         assert after.keys() <= before.keys()
         if name == "near_copies":
-            groups = brute.near_groups(list(before.items()))
-            assert after.keys() == {component for _, component in groups.values()}
+            groups = brute.similar_groups(list(before.items()))
+            assert after.keys() == set(groups.values())
         if name == "decontamination":
             clean = {r[0] for r in brute.contamination(list(before.items()), items) if not r[5]}
             assert after.keys() == clean

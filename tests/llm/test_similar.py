@@ -1,0 +1,88 @@
+"""Near copies by shared shingles against plain versions, and on awkward tables."""
+
+from __future__ import annotations
+
+import random
+
+import duckdb
+import numpy as np
+
+from tests.llm import brute
+from tests.llm.test_operators import awkward, empty
+from wakeline.llm import simhash_trie
+
+DATA = "/root/testdata/sf0.001"
+
+
+def groups(frame):
+    found = simhash_trie.similar_groups(frame).collect()
+    assert len({r["doc_id"] for r in found}) == len(found)
+    return {r["doc_id"]: r["component_id"] for r in found}
+
+
+def edited(words, n, rng):
+    words = list(words)
+    for at in rng.sample(range(len(words)), n):
+        words[at] = f"x{rng.randrange(10**9)}"
+    return " ".join(words)
+
+
+def test_given_documents(spark):
+    rows = duckdb.sql(f"select doc_id, text from '{DATA}/documents.parquet'").fetchall()
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert groups(frame) == brute.similar_groups(rows)
+
+
+def test_edited_copies_and_large_groups(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = []
+    for base in range(30):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice((40, 150, 400)))]
+        rows.append(" ".join(words))
+        rows += [edited(words, max(1, len(words) * k // 100), rng) for k in (1, 2, 3, 4)]
+    template = [f"t{k}" for k in range(120)]
+    rows += [edited(template, 1, rng) for _ in range(150)]
+    rows += ["same words " * 40] * 50 + ["", None, "   "]
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    wanted = brute.similar_groups(rows)
+    assert groups(frame) == wanted
+    # Many small subtrees, and forests settled after every few pairs.
+    monkeypatch.setattr(simhash_trie, "LEAST_BAND_LEAF", 200)
+    monkeypatch.setattr(simhash_trie, "PAIRS", 50)
+    assert groups(frame) == wanted
+
+
+def test_awkward_and_empty(spark):
+    assert groups(awkward(spark)) == {1: 1, 2: 2, 3: 2, 4: 4, 5: 4, 6: 6, 7: 7}
+    assert groups(empty(spark)) == {}
+
+
+def test_keys_of_two_bands_are_out_of_budget():
+    keys = simhash_trie.band_keys(np.zeros((1, 64), dtype=np.uint8))[0]
+    for k in range(len(keys)):
+        differ = np.bitwise_count(np.delete(keys, k) ^ keys[k])
+        assert (differ > simhash_trie.BAND_BUDGET).all()
+
+
+def test_spanning_forest_is_the_lightest():
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        left, right = rng.integers(0, 30, (2, 60))
+        weight = rng.integers(0, 9, 60)
+        kept = simhash_trie.spanning_forest(30, left, right, weight)
+        root = list(range(30))
+
+        def find(k):
+            while root[k] != k:
+                k = root[k]
+            return k
+
+        total = n = 0
+        for at in np.argsort(weight, kind="stable"):
+            a, b = find(left[at]), find(right[at])
+            if a != b:
+                root[a] = b
+                total, n = total + weight[at], n + 1
+        assert (len(kept), weight[kept].sum()) == (n, total)

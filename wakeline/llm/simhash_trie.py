@@ -5,10 +5,17 @@ down together with the number of bits in which their prefixes differ; a pair of
 nodes is dropped as soon as that number exceeds the budget. The trie is cut into
 subtrees of bounded size; a task walks one of them against itself and the later
 ones whose prefixes are near enough.
+
+``near_groups`` links fingerprints within a budget. ``similar_groups`` links texts by
+the Jaccard similarity of their shingles: at 0.8 two fingerprints of 64 bits differ
+in ten bits on average, a budget at which no trie prunes. So it walks a trie of
+32-bit bands of a 512-bit fingerprint, each with a budget of three, and checks what
+it meets: by all 512 bits in the task, then exactly.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import islice
 
@@ -30,6 +37,14 @@ CHUNK = 1 << 16
 LEAST_LEAF, MOST_LEAVES = 256, 4096
 #: Node pairs of a walk held at a time, and the pair size compared leaf by leaf.
 FRONTIER, DIRECT = 1 << 18, 16
+#: Words of a shingle and similarity from which texts are near copies.
+NEAR_WORDS, NEAR_SHARE = 5, 0.8
+#: 64-bit lanes of a sketch; its 32-bit bands and the differing bits allowed in one. A pair
+#: at 0.8 passes at least one of the bands with probability 0.998 or so; two unrelated texts
+#: pass a given one with 1.3e-6, which suits up to some hundred million distinct texts.
+LANES, BANDS, BAND_BUDGET = 8, 32, 3
+#: Keys of a subtree of bands at least, and member pairs held at a time.
+LEAST_BAND_LEAF, PAIRS = 1 << 18, 1 << 20
 
 
 def fingerprint(text: str | None, words_each: int = 3, seed: int = 42) -> int:
@@ -252,3 +267,265 @@ def near_groups(documents: DataFrame, budget: int = BUDGET) -> DataFrame:
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     labelled = named.join(ids, "root").select("fp", "component_id")
     return rows.join(labelled, "fp").select("doc_id", "fp", "component_id")
+
+
+def _shingle_hashes(text: str | None, words_each: int, seed: int = 42) -> np.ndarray:
+    """XXH64 of the distinct word shingles (uint64, in no order)."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, dtype=np.uint64)
+    shingles = map(b" ".join, zip(*(islice(words, k, None) for k in range(words_each))))
+    if len(words) < words_each:
+        shingles = iter([b" ".join(words)])
+    digest = xxhash.xxh64_intdigest
+    found = {digest(s, seed) for s in shingles}
+    return np.fromiter(found, dtype=np.uint64, count=len(found))
+
+
+def sketch(text: str | None, words_each: int = NEAR_WORDS) -> bytes:
+    """SimHash of 512 bits over the distinct shingles; all zero without words."""
+    hashes = _shingle_hashes(text, words_each)
+    counts = np.zeros(LANES * BITS, dtype=np.int64)
+    step = np.arange(1, LANES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for low in range(0, len(hashes), 255 * 64):
+        # One finalizer of SplitMix64 a lane makes lanes independent.
+        z = hashes[low : low + 255 * 64, None] + step
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        z = z ^ (z >> np.uint64(31))
+        bits = np.unpackbits(z.view(np.uint8), axis=1)
+        full = len(bits) // 255 * 255
+        blocks = bits[:full].reshape(-1, 255, LANES * BITS).sum(axis=1, dtype=np.uint8)
+        counts += blocks.sum(axis=0, dtype=np.int64) + bits[full:].sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * counts > len(hashes)).tobytes()
+
+
+def band_keys(sketches: np.ndarray) -> np.ndarray:
+    """Trie keys of sketches (rows of 64 bytes): a row of one uint64 a band.
+
+    Half of the bands are runs of 32 bits and half take every sixteenth bit. A key
+    starts with a word of its band; words of two bands differ in more bits than the
+    budget, so that no pair of bands is ever linked.
+    """
+    words: list[int] = []
+    word = 0
+    while len(words) < BANDS:
+        if all((word ^ w).bit_count() > BAND_BUDGET for w in words):
+            words.append(word)
+        word += 1
+    runs = np.ascontiguousarray(sketches)
+    bits = np.unpackbits(runs, axis=1).reshape(len(runs), 32, -1)
+    strides = np.packbits(bits.transpose(0, 2, 1).reshape(len(runs), -1), axis=1)
+    bands = np.concatenate([runs.view(">u4"), strides.view(">u4")], axis=1).astype(np.uint64)
+    return np.array(words, dtype=np.uint64) << np.uint64(54) | bands << np.uint64(22)
+
+
+def sketch_limit(share: float, deviations: float) -> int:
+    """Differing bits of sketches at similarity ``share``: mean plus so many deviations."""
+    p = math.acos(2 * share / (1 + share)) / math.pi
+    size = LANES * BITS
+    return round(size * p + deviations * math.sqrt(size * p * (1 - p)))
+
+
+def member_pairs(
+    counts: np.ndarray, starts: np.ndarray, left: np.ndarray, right: np.ndarray
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows for pairs of keys, about ``PAIRS`` at a time.
+
+    Rows of key k are ``starts[k]`` to ``starts[k] + counts[k] - 1``.
+    """
+    rows = np.repeat(left, counts[left])
+    ends = np.cumsum(counts[left])
+    at = np.arange(len(rows)) - np.repeat(ends - counts[left], counts[left])
+    rows, others = starts[rows] + at, np.repeat(right, counts[left])
+    grown = np.cumsum(counts[others])
+    low = 0
+    while low < len(rows):
+        base = grown[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(grown, base + PAIRS, side="right")))
+        sizes = counts[others[low:high]]
+        at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        yield np.repeat(rows[low:high], sizes), np.repeat(starts[others[low:high]], sizes) + at
+        low = high
+
+
+def spanning_forest(
+    size: int, left: np.ndarray, right: np.ndarray, weight: np.ndarray
+) -> np.ndarray:
+    """Indices of the links of a minimum spanning forest of ``size`` nodes."""
+    order = np.argsort(weight, kind="stable")
+    label, kept, open_ = np.arange(size), [], np.arange(len(order))
+    while True:
+        a, b = label[left[order[open_]]], label[right[order[open_]]]
+        cross = a != b
+        if not cross.any():
+            return order[np.concatenate(kept)] if kept else order[:0]
+        open_, a, b = open_[cross], a[cross], b[cross]
+        best = np.full((2, size), len(order))
+        # Written from the heaviest on, so the lightest link of a component stays.
+        best[0, a[::-1]] = best[1, b[::-1]] = open_[::-1]
+        best = best.min(axis=0)
+        chosen = np.unique(best[best < len(order)])
+        kept.append(chosen)
+        label = local_components(
+            size,
+            np.concatenate([np.arange(size), left[order[chosen]]]),
+            np.concatenate([label, right[order[chosen]]]),
+        )
+
+
+def similar_links(nodes: DataFrame, share: float = NEAR_SHARE) -> DataFrame:
+    """Candidate links ``(a, b)`` between ``nodes(node, sketch)``, which has to be settled.
+
+    A task keeps a minimum spanning forest, by differing sketch bits, of the pairs
+    that it meets; so it emits fewer links than it has rows, and the nearest ones.
+    Rows of one key are compared in blocks, and those already held together by
+    surely similar pairs are passed over.
+    """
+    limit, sure = sketch_limit(share, 4), sketch_limit(share, -4)
+
+    def keys_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        whole = np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, LANES * 8)
+        return whole, band_keys(whole).reshape(-1)
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                keys = keys_of(batch.column(0))[1]
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64))], ["fp"])
+
+    keys = nodes.select("sketch").mapInArrow(explode, "fp bigint")
+    total = nodes.count() * BANDS
+    first, depth = cut_trie(settle(keys), max(LEAST_BAND_LEAF, total // MOST_LEAVES))
+    offsets, targets = near_nodes(first, depth, BAND_BUDGET)
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, 512):
+                part = batch.slice(low, 512)
+                fp = keys_of(part.column(1))[1]
+                leaf = np.searchsorted(first, fp, side="right") - 1
+                sizes = offsets[leaf + 1] - offsets[leaf]
+                which = np.repeat(np.arange(len(fp)), sizes)
+                at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                unit = targets[offsets[leaf][which] + at]
+                row = pa.array(which // BANDS)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(unit.astype(np.int32)),
+                        pa.array(unit == leaf[which]),
+                        pa.array(fp[which].view(np.int64)),
+                        part.column(0).take(row),
+                        part.column(1).take(row),
+                    ],
+                    ["unit", "own", "fp", "node", "sketch"],
+                )
+
+    def join(table: pa.Table) -> pa.Table:
+        fp = table.column("fp").to_numpy().view(np.uint64)
+        order = np.argsort(fp, kind="stable")
+        node = table.column("node").to_numpy()[order]
+        bits = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint64)
+        bits = bits.reshape(-1, LANES)[order]
+        is_own = table.column("own").to_numpy()[order]
+        unique, starts, counts = np.unique(fp[order], return_index=True, return_counts=True)
+        # Rows of one key lie in one subtree, so a key is own or not as a whole.
+        own = np.flatnonzero(is_own[starts])
+        size = len(fp)
+        label = np.arange(size)
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        waiting = 0
+
+        def settle_forest() -> None:
+            nonlocal label, waiting
+            left, right, weight = (np.concatenate(c) for c in zip(*held))
+            kept = spanning_forest(size, left, right, weight)
+            held[:] = [(left[kept], right[kept], weight[kept])]
+            firm = kept[weight[kept] <= sure]
+            label = local_components(size, left[firm], right[firm])
+            waiting = 0
+
+        for left_keys, right_keys in walk(unique[own], unique, BAND_BUDGET):
+            left_keys = own[left_keys]
+            # A pair of own keys is met from both sides; one is enough.
+            once = ~is_own[starts[right_keys]] | (left_keys <= right_keys)
+            for left, right in member_pairs(counts, starts, left_keys[once], right_keys[once]):
+                new = (label[left] != label[right]) & (node[left] != node[right])
+                new &= (left < right) | ~is_own[right]
+                left, right = left[new], right[new]
+                differ = np.bitwise_count(bits[left] ^ bits[right]).sum(axis=1, dtype=np.int64)
+                near = differ <= limit
+                if near.any():
+                    held.append((left[near], right[near], differ[near]))
+                    waiting += int(near.sum())
+                if waiting > PAIRS:
+                    settle_forest()
+        if held:
+            settle_forest()
+            left, right, _ = held[0]
+        else:
+            left = right = np.zeros(0, dtype=np.int64)
+        return pa.table({"a": node[left], "b": node[right]})
+
+    return (
+        nodes.select("node", "sketch")
+        .mapInArrow(route, "unit int, own boolean, fp bigint, node bigint, sketch binary")
+        .groupBy("unit")
+        .applyInArrow(join, "a bigint, b bigint")
+    )
+
+
+def similar_groups(
+    documents: DataFrame, words_each: int = NEAR_WORDS, share: float = NEAR_SHARE
+) -> DataFrame:
+    """``(doc_id, component_id)`` of every distinct non-null doc_id, by similar texts.
+
+    Texts link when the Jaccard similarity of their distinct shingles is ``share``
+    or more; component_id is the smallest doc_id reachable. Texts without words are
+    copies of each other; a text of fewer words than a shingle is one shingle.
+    Texts under one repeated doc_id count as one document. Only links met by the
+    trie and kept by a task's forest are checked, so every link is exact and a
+    similar pair is found with the probability of ``BANDS``. An empty table gives
+    an empty result.
+    """
+
+    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pa.array([sketch(t.as_py(), words_each) for t in batch.column(1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), found], ["doc_id", "sketch"])
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                hashes = _shingle_hashes(batch.column(1)[k].as_py(), words_each).view(np.int64)
+                one = pa.array([hashes], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), one], ["id_", "set_"])
+
+    texts = documents.filter("doc_id is not null").select(
+        F.col("doc_id").cast("bigint"), F.col("text").cast("string").alias("text")
+    )
+    rows = settle(texts.mapInArrow(sketches, "doc_id bigint, sketch binary"))
+    nodes = settle(rows.groupBy("sketch").agg(F.min("doc_id").alias("node")))
+    pair = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+    links = settle(similar_links(nodes, share).select(*pair).distinct())
+    linked = links.select(F.explode(F.array("a", "b")).alias("id_")).distinct()
+    sets = settle(
+        texts.join(linked, texts["doc_id"] == linked["id_"], "left_semi").mapInArrow(
+            shingles, "id_ bigint, set_ array<bigint>"
+        )
+    )
+    both = (
+        links.join(sets.select(F.col("id_").alias("a"), F.col("set_").alias("set_a")), "a")
+        .join(sets.select(F.col("id_").alias("b"), F.col("set_").alias("set_b")), "b")
+        .withColumn("same", F.size(F.array_intersect("set_a", "set_b")))
+    )
+    exact = both.filter(
+        F.col("same") >= share * (F.size("set_a") + F.size("set_b") - F.col("same"))
+    ).select("a", "b")
+    # Documents of one sketch and texts of one id are joined through their node.
+    members = rows.join(nodes, "sketch").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    roots = connected(exact.union(members))
+    ids = rows.select("doc_id").distinct()
+    return ids.join(roots, ids["doc_id"] == roots["node"], "left").select(
+        "doc_id", F.coalesce("root", "doc_id").alias("component_id")
+    )
