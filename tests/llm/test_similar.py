@@ -59,11 +59,11 @@ def test_awkward_and_empty(spark):
     assert groups(empty(spark)) == {}
 
 
-def test_keys_of_two_bands_are_out_of_budget():
+def test_keys_of_two_tables_are_out_of_budget():
     keys = simhash_trie.band_keys(np.zeros((1, 64), dtype=np.uint8))[0]
     for k in range(len(keys)):
         differ = np.bitwise_count(np.delete(keys, k) ^ keys[k])
-        assert (differ > simhash_trie.BAND_BUDGET).all()
+        assert (differ > simhash_trie.HEAD_BUDGET).all()
 
 
 def test_spanning_forest_is_the_lightest():

@@ -10,7 +10,7 @@ ones whose prefixes are near enough.
 the Jaccard similarity of their shingles: at 0.8 two fingerprints of 64 bits differ
 in ten bits on average, a budget at which no trie prunes. So it walks a trie of
 32-bit bands of a 512-bit fingerprint, each with a budget of three, and checks what
-it meets: by all 512 bits in the task, then exactly.
+it meets: by 128 more bits in the task, then exactly.
 """
 
 from __future__ import annotations
@@ -43,6 +43,12 @@ NEAR_WORDS, NEAR_SHARE = 5, 0.8
 #: at 0.8 passes at least one of the bands with probability 0.998 or so; two unrelated texts
 #: pass a given one with 1.3e-6, which suits up to some hundred million distinct texts.
 LANES, BANDS, BAND_BUDGET = 8, 32, 3
+#: Each band stands in two tables, once with each half in front: of two halves that differ
+#: in three bits, one differs in ``HEAD_BUDGET`` at most, so a key meets few subtrees.
+TABLES, CODE_BITS, HEAD_BUDGET = 2 * BANDS, 7, 1
+HEAD = CODE_BITS + 16
+#: Bytes of a sketch that go with a key, taken evenly; pairs are weighed by them.
+CHECK = 16
 #: Keys of a subtree of bands at least, and member pairs held at a time.
 LEAST_BAND_LEAF, PAIRS = 1 << 18, 1 << 20
 
@@ -84,8 +90,14 @@ def fingerprints(documents: DataFrame) -> DataFrame:
     ).mapInArrow(run, "doc_id bigint, fp bigint")
 
 
-def walk(own: np.ndarray, other: np.ndarray, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of two sorted uint64 arrays that differ in at most ``budget`` bits."""
+def walk(
+    own: np.ndarray, other: np.ndarray, budget: int, head: int = 0, head_budget: int = 0
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of two sorted uint64 arrays that differ in at most ``budget`` bits.
+
+    Of the first ``head`` bits at most ``head_budget`` differ, as far as the walk goes
+    node by node; pairs compared leaf by leaf are held to ``budget`` alone.
+    """
     if not len(own) or not len(other):
         return
     stack = [(0, np.array([[0, len(own), 0, len(other), 0]], dtype=np.int64))]
@@ -124,7 +136,7 @@ def walk(own: np.ndarray, other: np.ndarray, budget: int) -> Iterator[tuple[np.n
             ]
         )
         held = (children[:, 1] > children[:, 0]) & (children[:, 3] > children[:, 2])
-        children = children[held & (children[:, 4] <= budget)]
+        children = children[held & (children[:, 4] <= (head_budget if depth < head else budget))]
         if len(children):
             stack.append((depth + 1, children))
 
@@ -301,29 +313,50 @@ def sketch(text: str | None, words_each: int = NEAR_WORDS) -> bytes:
 
 
 def band_keys(sketches: np.ndarray) -> np.ndarray:
-    """Trie keys of sketches (rows of 64 bytes): a row of one uint64 a band.
+    """Trie keys of sketches (rows of 64 bytes): a row of one uint64 a table.
 
     Half of the bands are runs of 32 bits and half take every sixteenth bit. A key
-    starts with a word of its band; words of two bands differ in more bits than the
-    budget, so that no pair of bands is ever linked.
+    starts with a word of its table; words of two tables differ in more bits than
+    the head's budget, so that no two tables are ever walked together.
     """
+    runs = np.ascontiguousarray(sketches)
+    bits = np.unpackbits(runs, axis=1).reshape(len(runs), 32, -1)
+    strides = np.packbits(bits.transpose(0, 2, 1).reshape(len(runs), -1), axis=1)
+    bands = np.concatenate([runs.view(">u4"), strides.view(">u4")], axis=1).astype(np.uint32)
+    turned = bands << np.uint32(16) | bands >> np.uint32(16)
+    both = np.concatenate([bands, turned], axis=1).astype(np.uint64)
+    return table_words() | both << np.uint64(BITS - CODE_BITS - 32)
+
+
+def table_words() -> np.ndarray:
+    """First bits of the keys of each table: the least numbers that differ in enough bits."""
     words: list[int] = []
     word = 0
-    while len(words) < BANDS:
-        if all((word ^ w).bit_count() > BAND_BUDGET for w in words):
+    while len(words) < TABLES:
+        if all((word ^ w).bit_count() > HEAD_BUDGET for w in words):
             words.append(word)
         word += 1
-    runs = np.ascontiguousarray(sketches)
-    bits = np.unpackbits(runs, axis=1).reshape(len(runs), 32, -1)
-    strides = np.packbits(bits.transpose(0, 2, 1).reshape(len(runs), -1), axis=1)
-    bands = np.concatenate([runs.view(">u4"), strides.view(">u4")], axis=1).astype(np.uint64)
-    return np.array(words, dtype=np.uint64) << np.uint64(54) | bands << np.uint64(22)
+    return np.array(words, dtype=np.uint64) << np.uint64(BITS - CODE_BITS)
+
+
+def part_tables(first: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The subtrees, with those that hold several tables cut into one a table."""
+    if not len(first):
+        return first, depth
+    words = table_words()
+    deep = depth >= CODE_BITS
+    within = np.searchsorted(first, words, side="right") - 1
+    whole = words[(within >= 0) & ~deep[within]]
+    first = np.concatenate([first[deep], whole])
+    depth = np.concatenate([depth[deep], np.full(len(whole), CODE_BITS)])
+    order = np.argsort(first)
+    return first[order], depth[order]
 
 
 def sketch_limit(share: float, deviations: float) -> int:
-    """Differing bits of sketches at similarity ``share``: mean plus so many deviations."""
+    """Differing bits of ``CHECK`` bytes at similarity ``share``: mean plus so many deviations."""
     p = math.acos(2 * share / (1 + share)) / math.pi
-    size = LANES * BITS
+    size = 8 * CHECK
     return round(size * p + deviations * math.sqrt(size * p * (1 - p)))
 
 
@@ -395,38 +428,45 @@ def similar_links(nodes: DataFrame, share: float = NEAR_SHARE) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64))], ["fp"])
 
     keys = nodes.select("sketch").mapInArrow(explode, "fp bigint")
-    total = nodes.count() * BANDS
-    first, depth = cut_trie(settle(keys), max(LEAST_BAND_LEAF, total // MOST_LEAVES))
-    offsets, targets = near_nodes(first, depth, BAND_BUDGET)
+    total = nodes.count() * TABLES
+    first, depth = part_tables(*cut_trie(settle(keys), max(LEAST_BAND_LEAF, total // MOST_LEAVES)))
+    head = ~np.uint64(0) << np.uint64(BITS - HEAD)
+    offsets, targets = near_nodes(first & head, np.minimum(depth, HEAD), HEAD_BUDGET)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, 512):
                 part = batch.slice(low, 512)
-                fp = keys_of(part.column(1))[1]
+                whole, fp = keys_of(part.column(1))
+                check = np.ascontiguousarray(whole[:, :: LANES * 8 // CHECK])
+                check = pa.Array.from_buffers(
+                    pa.binary(CHECK), len(check), [None, pa.py_buffer(check.tobytes())]
+                ).cast(pa.binary())
                 leaf = np.searchsorted(first, fp, side="right") - 1
                 sizes = offsets[leaf + 1] - offsets[leaf]
                 which = np.repeat(np.arange(len(fp)), sizes)
                 at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
                 unit = targets[offsets[leaf][which] + at]
-                row = pa.array(which // BANDS)
+                row = pa.array(which // TABLES)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(unit.astype(np.int32)),
                         pa.array(unit == leaf[which]),
                         pa.array(fp[which].view(np.int64)),
                         part.column(0).take(row),
-                        part.column(1).take(row),
+                        check.take(row),
                     ],
-                    ["unit", "own", "fp", "node", "sketch"],
+                    ["unit", "own", "fp", "node", "bits"],
                 )
 
     def join(table: pa.Table) -> pa.Table:
         fp = table.column("fp").to_numpy().view(np.uint64)
         order = np.argsort(fp, kind="stable")
         node = table.column("node").to_numpy()[order]
-        bits = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint64)
-        bits = bits.reshape(-1, LANES)[order]
+        fixed = table.column("bits").combine_chunks().cast(pa.binary(CHECK))
+        bits = np.frombuffer(fixed.buffers()[1], dtype=np.uint8)
+        bits = bits[fixed.offset * CHECK :][: len(fp) * CHECK].view(np.uint64)
+        bits = bits.reshape(-1, CHECK // 8)[order]
         is_own = table.column("own").to_numpy()[order]
         unique, starts, counts = np.unique(fp[order], return_index=True, return_counts=True)
         # Rows of one key lie in one subtree, so a key is own or not as a whole.
@@ -445,7 +485,9 @@ def similar_links(nodes: DataFrame, share: float = NEAR_SHARE) -> DataFrame:
             label = local_components(size, left[firm], right[firm])
             waiting = 0
 
-        for left_keys, right_keys in walk(unique[own], unique, BAND_BUDGET):
+        for left_keys, right_keys in walk(
+            unique[own], unique, BAND_BUDGET, HEAD, HEAD_BUDGET
+        ):
             left_keys = own[left_keys]
             # A pair of own keys is met from both sides; one is enough.
             once = ~is_own[starts[right_keys]] | (left_keys <= right_keys)
@@ -469,7 +511,7 @@ def similar_links(nodes: DataFrame, share: float = NEAR_SHARE) -> DataFrame:
 
     return (
         nodes.select("node", "sketch")
-        .mapInArrow(route, "unit int, own boolean, fp bigint, node bigint, sketch binary")
+        .mapInArrow(route, "unit int, own boolean, fp bigint, node bigint, bits binary")
         .groupBy("unit")
         .applyInArrow(join, "a bigint, b bigint")
     )
