@@ -10,6 +10,7 @@ import numpy as np
 from tests.llm import brute
 from tests.llm.test_operators import awkward, empty
 from wakeline.llm import simhash_trie
+from wakeline.llm.components import local_components
 
 DATA = "/root/testdata/sf0.001"
 
@@ -54,6 +55,24 @@ def test_edited_copies_and_large_groups(spark, monkeypatch):
     assert groups(frame) == wanted
 
 
+def test_pairs_in_a_family_of_one_template(spark):
+    rng = random.Random(7)
+    template = [f"t{k}" for k in range(200)]
+    texts = [edited(template, 4, rng) for _ in range(1500)]
+    texts += [edited(t.split(), 3, rng) for t in texts[:20]]
+    sets = [set(zip(*(t.split()[k:] for k in range(5)))) for t in texts]
+    column = {x: k for k, x in enumerate(set().union(*sets))}
+    holds = np.zeros((len(sets), len(column)), dtype=np.float32)
+    for k, found in enumerate(sets):
+        holds[k, [column[x] for x in found]] = 1
+    same, size = holds @ holds.T, holds.sum(axis=1)
+    like = same / (size[:, None] + size - same)
+    assert (like[np.arange(20), 1500 + np.arange(20)] > 0.84).all() and like.mean() < 0.7
+    wanted = local_components(len(sets), *np.nonzero(like >= 0.8 - 1e-6))
+    rows = list(enumerate(texts))
+    assert groups(spark.createDataFrame(rows, "doc_id bigint, text string")) == dict(enumerate(wanted))
+
+
 def test_awkward_and_empty(spark):
     assert groups(awkward(spark)) == {1: 1, 2: 2, 3: 2, 4: 4, 5: 4, 6: 6, 7: 7}
     assert groups(empty(spark)) == {}

@@ -51,6 +51,8 @@ HEAD = CODE_BITS + 16
 CHECK = 16
 #: Keys of a subtree of bands at least, and member pairs held at a time.
 LEAST_BAND_LEAF, PAIRS = 1 << 18, 1 << 20
+#: Texts of a block, roughly; all pairs between two blocks are checked in one task.
+BLOCK = 512
 
 
 def fingerprint(text: str | None, words_each: int = 3, seed: int = 42) -> int:
@@ -407,14 +409,17 @@ def spanning_forest(
         )
 
 
-def similar_links(nodes: DataFrame, share: float = NEAR_SHARE) -> DataFrame:
+def similar_links(nodes: DataFrame, share: float = NEAR_SHARE, every: bool = False) -> DataFrame:
     """Candidate links ``(a, b)`` between ``nodes(node, sketch)``, which has to be settled.
 
     A task keeps a minimum spanning forest, by differing sketch bits, of the pairs
     that it meets; so it emits fewer links than it has rows, and the nearest ones.
     Rows of one key are compared in blocks, and those already held together by
-    surely similar pairs are passed over.
+    surely similar pairs are passed over. With ``every``, a task emits all the pairs
+    that it meets between nodes of one ``loose`` and two ``firm`` (further columns), with
+    ``loose`` and ``width`` of the nodes.
     """
+    extra = ["firm", "loose", "width"] if every else []
     limit, sure = sketch_limit(share, 4), sketch_limit(share, -4)
 
     def keys_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -455,11 +460,12 @@ def similar_links(nodes: DataFrame, share: float = NEAR_SHARE) -> DataFrame:
                         pa.array(fp[which].view(np.int64)),
                         part.column(0).take(row),
                         check.take(row),
+                        *(part.column(k).take(row) for k in range(2, part.num_columns)),
                     ],
-                    ["unit", "own", "fp", "node", "bits"],
+                    ["unit", "own", "fp", "node", "bits", *extra],
                 )
 
-    def join(table: pa.Table) -> pa.Table:
+    def read(table: pa.Table) -> tuple[np.ndarray, ...]:
         fp = table.column("fp").to_numpy().view(np.uint64)
         order = np.argsort(fp, kind="stable")
         node = table.column("node").to_numpy()[order]
@@ -471,7 +477,22 @@ def similar_links(nodes: DataFrame, share: float = NEAR_SHARE) -> DataFrame:
         unique, starts, counts = np.unique(fp[order], return_index=True, return_counts=True)
         # Rows of one key lie in one subtree, so a key is own or not as a whole.
         own = np.flatnonzero(is_own[starts])
-        size = len(fp)
+        return order, node, bits, is_own, unique, starts, counts, own
+
+    def met(
+        unique: np.ndarray, starts: np.ndarray, counts: np.ndarray, own: np.ndarray, is_own: np.ndarray
+    ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for left_keys, right_keys in walk(unique[own], unique, BAND_BUDGET, HEAD, HEAD_BUDGET):
+            left_keys = own[left_keys]
+            # A pair of own keys is met from both sides; one is enough.
+            once = ~is_own[starts[right_keys]] | (left_keys <= right_keys)
+            for left, right in member_pairs(counts, starts, left_keys[once], right_keys[once]):
+                new = (left < right) | ~is_own[right]
+                yield left[new], right[new]
+
+    def forest(table: pa.Table) -> pa.Table:
+        _, node, bits, is_own, unique, starts, counts, own = read(table)
+        size = len(node)
         label = np.arange(size)
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         waiting = 0
@@ -485,23 +506,16 @@ def similar_links(nodes: DataFrame, share: float = NEAR_SHARE) -> DataFrame:
             label = local_components(size, left[firm], right[firm])
             waiting = 0
 
-        for left_keys, right_keys in walk(
-            unique[own], unique, BAND_BUDGET, HEAD, HEAD_BUDGET
-        ):
-            left_keys = own[left_keys]
-            # A pair of own keys is met from both sides; one is enough.
-            once = ~is_own[starts[right_keys]] | (left_keys <= right_keys)
-            for left, right in member_pairs(counts, starts, left_keys[once], right_keys[once]):
-                new = (label[left] != label[right]) & (node[left] != node[right])
-                new &= (left < right) | ~is_own[right]
-                left, right = left[new], right[new]
-                differ = np.bitwise_count(bits[left] ^ bits[right]).sum(axis=1, dtype=np.int64)
-                near = differ <= limit
-                if near.any():
-                    held.append((left[near], right[near], differ[near]))
-                    waiting += int(near.sum())
-                if waiting > PAIRS:
-                    settle_forest()
+        for left, right in met(unique, starts, counts, own, is_own):
+            new = (label[left] != label[right]) & (node[left] != node[right])
+            left, right = left[new], right[new]
+            differ = np.bitwise_count(bits[left] ^ bits[right]).sum(axis=1, dtype=np.int64)
+            near = differ <= limit
+            if near.any():
+                held.append((left[near], right[near], differ[near]))
+                waiting += int(near.sum())
+            if waiting > PAIRS:
+                settle_forest()
         if held:
             settle_forest()
             left, right, _ = held[0]
@@ -509,11 +523,86 @@ def similar_links(nodes: DataFrame, share: float = NEAR_SHARE) -> DataFrame:
             left = right = np.zeros(0, dtype=np.int64)
         return pa.table({"a": node[left], "b": node[right]})
 
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        order, node, bits, is_own, unique, starts, counts, own = read(table)
+        firm, loose, width = (table.column(c).to_numpy()[order] for c in extra)
+        for left, right in met(unique, starts, counts, own, is_own):
+            new = (firm[left] != firm[right]) & (loose[left] == loose[right])
+            left, right = left[new], right[new]
+            near = np.bitwise_count(bits[left] ^ bits[right]).sum(axis=1, dtype=np.int64) <= limit
+            if near.any():
+                left, right = left[near], right[near]
+                found = node[left], node[right], loose[left], width[left]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["a", "b", *extra[1:]])
+
     return (
-        nodes.select("node", "sketch")
-        .mapInArrow(route, "unit int, own boolean, fp bigint, node bigint, bits binary")
+        nodes.select("node", "sketch", *extra)
+        .mapInArrow(
+            route,
+            "unit int, own boolean, fp bigint, node bigint, bits binary"
+            + "".join(f", {c} bigint" for c in extra),
+        )
         .groupBy("unit")
-        .applyInArrow(join, "a bigint, b bigint")
+        .applyInArrow(
+            pairs if every else forest,
+            "a bigint, b bigint" + "".join(f", {c} bigint" for c in extra[1:]),
+        )
+    )
+
+
+def similar_pairs(pairs: DataFrame, sets: DataFrame, share: float = NEAR_SHARE) -> DataFrame:
+    """The ``pairs(a, b, loose, width)`` whose ``sets(id_, set_)`` are similar, as ``(a, b)``.
+
+    The nodes of one ``loose`` are dealt into ``width`` blocks. A set goes once to each
+    pair of blocks that holds a pair of it, so a family of n texts costs n sets times its
+    number of blocks and not a set a pair.
+    """
+    unit = ["loose", "low", "high"]
+    block = lambda c: F.pmod(F.xxhash64(c), F.col("width"))
+    dealt = pairs.withColumn("low", F.least(block("a"), block("b"))).withColumn(
+        "high", F.greatest(block("a"), block("b"))
+    )
+    dealt = dealt.select(*unit, "a", "b")
+    needed = dealt.select(*unit, F.explode(F.array("a", "b")).alias("id_")).distinct()
+
+    def check(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+        ids = sets.column("id_").to_numpy()
+        order = np.argsort(ids, kind="stable")
+        ids = ids[order]
+        lists = sets.column("set_").combine_chunks().take(pa.array(order))
+        sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.cumsum(sizes)
+        words, flat = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+        a, b = pairs.column("a").to_numpy(), pairs.column("b").to_numpy()
+        by_a = np.argsort(a, kind="stable")
+        a, b = a[by_a], b[by_a]
+        holds = np.zeros(len(words), dtype=bool)
+        right = np.zeros(len(a), dtype=bool)
+        starts = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
+        for low, high in zip(starts, np.r_[starts[1:], len(a)]):
+            # A repeated id may have several texts; each of them counts.
+            first, last = np.searchsorted(ids, b[low:high]), np.searchsorted(ids, b[low:high], side="right")
+            many = last - first
+            which = np.repeat(np.arange(low, high), many)
+            rows = np.repeat(first, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            at = np.repeat(ends[rows] - np.cumsum(sizes[rows]), sizes[rows]) + np.arange(sizes[rows].sum())
+            theirs, edge = flat[at], np.r_[0, np.cumsum(sizes[rows])]
+            for k in range(*np.searchsorted(ids, [a[low], a[low] + 1])):
+                own = flat[ends[k] - sizes[k] : ends[k]]
+                holds[own] = True
+                grown = np.r_[0, np.cumsum(holds[theirs])]
+                holds[own] = False
+                same = grown[edge[1:]] - grown[edge[:-1]]
+                right[which[same >= share * (sizes[k] + sizes[rows] - same)]] = True
+        return pa.table({"a": a[right], "b": b[right]})
+
+    # Other names, as both sides come from the same columns.
+    placed = needed.join(sets, "id_").select(*(F.col(c).alias(f"{c}_") for c in unit), "id_", "set_")
+    return (
+        dealt.groupBy(*unit)
+        .cogroup(placed.groupBy(*(f"{c}_" for c in unit)))
+        .applyInArrow(check, "a bigint, b bigint")
     )
 
 
@@ -525,10 +614,12 @@ def similar_groups(
     Texts link when the Jaccard similarity of their distinct shingles is ``share``
     or more; component_id is the smallest doc_id reachable. Texts without words are
     copies of each other; a text of fewer words than a shingle is one shingle.
-    Texts under one repeated doc_id count as one document. Only links met by the
-    trie and kept by a task's forest are checked, so every link is exact and a
-    similar pair is found with the probability of ``BANDS``. An empty table gives
-    an empty result.
+    Texts under one repeated doc_id count as one document. Links met by the trie
+    and kept by a task's forest are checked first. What these links hold together
+    loosely without all being joined by right ones goes through the trie again, and
+    every pair met there that is not joined yet is checked. So every link is exact
+    and a similar pair is found with the probability of ``BANDS``. An empty table
+    gives an empty result.
     """
 
     def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -549,21 +640,47 @@ def similar_groups(
     rows = settle(texts.mapInArrow(sketches, "doc_id bigint, sketch binary"))
     nodes = settle(rows.groupBy("sketch").agg(F.min("doc_id").alias("node")))
     pair = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
-    links = settle(similar_links(nodes, share).select(*pair).distinct())
-    linked = links.select(F.explode(F.array("a", "b")).alias("id_")).distinct()
-    sets = settle(
-        texts.join(linked, texts["doc_id"] == linked["id_"], "left_semi").mapInArrow(
-            shingles, "id_ bigint, set_ array<bigint>"
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        return settle(
+            texts.join(ids, texts["doc_id"] == ids["id_"], "left_semi").mapInArrow(
+                shingles, "id_ bigint, set_ array<bigint>"
+            )
         )
-    )
+
+    links = settle(similar_links(nodes, share).select(*pair).distinct())
+    sets = sets_of(links.select(F.explode(F.array("a", "b")).alias("id_")).distinct())
     both = (
         links.join(sets.select(F.col("id_").alias("a"), F.col("set_").alias("set_a")), "a")
         .join(sets.select(F.col("id_").alias("b"), F.col("set_").alias("set_b")), "b")
         .withColumn("same", F.size(F.array_intersect("set_a", "set_b")))
     )
-    exact = both.filter(
-        F.col("same") >= share * (F.size("set_a") + F.size("set_b") - F.col("same"))
-    ).select("a", "b")
+    exact = settle(
+        both.filter(
+            F.col("same") >= share * (F.size("set_a") + F.size("set_b") - F.col("same"))
+        ).select("a", "b")
+    )
+    if links.join(exact, ["a", "b"], "left_anti").limit(1).count():
+        # A node without a link in any forest has no candidate at all, and no candidate
+        # leaves what the forests hold together.
+        loose = connected(links).select("node", F.col("root").alias("loose"))
+        firm = connected(exact).select("node", F.col("root").alias("firm"))
+        placed = loose.join(firm, "node", "left").withColumn("firm", F.coalesce("firm", "node"))
+        torn = (
+            placed.groupBy("loose")
+            .agg(
+                F.min("firm").alias("low"),
+                F.max("firm").alias("high"),
+                F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("width"),
+            )
+            .filter("low < high")
+            .select("loose", "width")
+        )
+        again = settle(
+            nodes.join(placed.join(torn, "loose"), "node").select("node", "sketch", "firm", "loose", "width")
+        )
+        met = settle(similar_links(again, share, every=True).select(*pair, "loose", "width").distinct())
+        exact = exact.union(similar_pairs(met, sets, share))
     # Documents of one sketch and texts of one id are joined through their node.
     members = rows.join(nodes, "sketch").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     roots = connected(exact.union(members))
