@@ -78,6 +78,20 @@ def test_urls(spark):
     assert url_trees.judge_urls(frame.limit(0)).count() == 0
 
 
+def test_url_suffixes_and_copies(spark):
+    block, allow = "http://a.b{0}.com/de/{0}", "http://c.d{0}.org/{0}"
+    urls = [block.format(k) for k in range(300) for _ in range(4)] + [allow.format(k) for k in range(300)]
+    # A sample of rows in hash order would hold one of these URLs alone.
+    low = spark.createDataFrame([(u,) for u in set(urls)], "url string").orderBy(F.xxhash64("url")).first()[0]
+    urls += [low] * 3000
+    urls += [f"http://x.b{k}.com/zz/{k}" for k in range(300)]
+    frame = spark.createDataFrame(list(enumerate(urls)), "page_id int, url string")
+    out = {r["page_id"]: r for r in url_trees.judge_urls(frame, training_rows=200).collect()}
+    free = [out[k] for k in range(len(urls) - 300, len(urls))]
+    assert all(r["rule"] is None and r["blocked"] > 0 for r in free)
+    assert np.mean([r["verdict"] == "block" for r in free]) > 0.9
+
+
 def test_near_groups(spark, texts):
     found = queries.op2_simhash_trie(spark, DATA).collect()
     assert {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in found} == brute.near_groups(texts)

@@ -15,6 +15,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wakeline.functions.sizing import broadcast_if_small
 from wakeline.llm.common import settle
 
 RULES = (
@@ -43,6 +44,10 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.translate(host, string.ascii_uppercase, string.ascii_lowercase), path
 
 
+def suffix_of(host: str) -> Column:
+    return F.substring_index(host, ".", -2)
+
+
 def matching_rule(rules=RULES) -> tuple[Column, Column]:
     """The longest rule that fits ``host`` and ``path`` and its verdict; nulls if none does."""
     rule = verdict = F.lit(None).cast("string")
@@ -87,7 +92,7 @@ def lexical(rows: DataFrame) -> DataFrame:
                 F.array_max(F.transform(F.regexp_extract_all(url, F.lit("[0-9]+"), F.lit(0)), F.length)),
                 F.lit(0),
             ).cast("double"),
-            "suffix": F.substring_index("host", ".", -2),
+            "suffix": suffix_of("host"),
         }
     ).drop("plain_")
 
@@ -100,9 +105,10 @@ def judge_urls(pages: DataFrame, rules=RULES, training_rows: int = TRAINING_ROWS
     """page_id, host, path, rule, verdict and ``blocked`` (the trees' probability).
 
     The verdict is the rule's where one fits, else the trees'. They are trained on
-    at most ``training_rows`` rule-labelled URLs chosen by a hash; the statistics
-    of host suffixes come from the same rows, smoothed towards their mean. If the
-    rules label one kind only (or nothing), every other URL is allowed. Rows with
+    at most ``training_rows`` distinct rule-labelled URLs, chosen by a hash within each
+    label; the statistics of host suffixes come from all rule-labelled rows, smoothed
+    towards their mean. If the rules label one kind only (or nothing), every other URL
+    is allowed. Rows with
     a null or odd URL stay and have empty host and path; a null page_id is kept.
     """
     host, path = host_and_path(F.col("url"))
@@ -112,27 +118,35 @@ def judge_urls(pages: DataFrame, rules=RULES, training_rows: int = TRAINING_ROWS
         .withColumns({"host": host, "path": path})
         .withColumns({"rule": rule, "ruled": verdict})
     )
-    chosen = settle(
-        lexical(
-            rows.filter("ruled is not null")
-            .select("url", "host", "path", (F.col("ruled") == "block").cast("double").alias("label"))
-            .orderBy(F.xxhash64("url"), "url")
-            .limit(training_rows)
-        )
+    labelled = rows.filter("ruled is not null").select(
+        "url", "host", "path", (F.col("ruled") == "block").cast("double").alias("label")
     )
-    found = {r["label"]: r["n"] for r in chosen.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    distinct = labelled.distinct()
+    found = {r["label"]: r["count"] for r in distinct.groupBy("label").count().collect()}
     out = ["page_id", "host", "path", "rule"]
     if len(found) < 2:
         return rows.select(
             *out, F.coalesce("ruled", F.lit("allow")).alias("verdict"), F.lit(0.0).alias("blocked")
         )
-    mean = found[1.0] / sum(found.values())
-    # At most one row per training URL, so its size is bounded.
-    suffixes = F.broadcast(
-        chosen.groupBy("suffix").agg(
-            ((F.sum("label") + 10 * mean) / (F.count(F.lit(1)) + 10)).alias("suffix_blocked")
+    # By their shares, but a tenth for the rarer label, and what one leaves for the other.
+    tenth = training_rows // 10
+    blocks = min(max(round(training_rows * found[1.0] / sum(found.values())), tenth), training_rows - tenth)
+    blocks = min(max(blocks, training_rows - found[0.0]), found[1.0])
+    first = lambda label, n: (
+        distinct.filter(F.col("label") == label).orderBy(F.xxhash64("url"), "url").limit(n)
+    )
+    chosen = settle(lexical(first(1.0, blocks).union(first(0.0, training_rows - blocks))))
+    counts = settle(
+        labelled.groupBy(suffix_of("host").alias("suffix")).agg(
+            F.sum("label").alias("bad"), F.count(F.lit(1)).alias("n")
         )
     )
+    total = counts.agg(F.sum("bad").alias("bad"), F.sum("n").alias("n")).first()
+    mean = total["bad"] / total["n"]
+    blocked_share = counts.select(
+        "suffix", ((F.col("bad") + 10 * mean) / (F.col("n") + 10)).alias("suffix_blocked")
+    )
+    suffixes = broadcast_if_small(blocked_share, counts)
 
     def with_suffix(frame: DataFrame) -> DataFrame:
         return frame.join(suffixes, "suffix", "left").withColumn(
