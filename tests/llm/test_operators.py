@@ -236,6 +236,22 @@ def test_contamination(spark, texts):
     assert phrase_index.clean(awkward(spark), benchmark).columns == awkward(spark).columns
 
 
+def test_proximity_without_the_rarest_word(spark):
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
+    swapped = ["other" if w == "zeta" else w for w in words]
+    rows = [(1, " ".join(words)), (2, " ".join(swapped)), (3, " ".join(w for w in words if w != "zeta"))]
+    rows += [(4, " ".join(words[:7])), (5, " ".join(w for w in words if w not in ("zeta", "beta")))]
+    # Every word but zeta stands elsewhere too.
+    rows += [(9, " filler ".join(w for w in words if w != "zeta"))] * 3
+    documents = spark.createDataFrame(rows, "doc_id bigint, text string")
+    benchmark = spark.createDataFrame([(7, " ".join(words))], "item_id bigint, text string")
+    near = lambda docs: {
+        r["doc_id"] for r in phrase_index.decontaminate(docs, benchmark).collect() if r["near_items"] == [7]
+    }
+    assert near(documents) == {1, 2, 3, 5}
+    assert near(documents.filter("doc_id > 1")) == {2, 3, 5}
+
+
 def test_quality(spark):
     folder = "/root/testdata/sf0.01"
     labels = dict(read(f"select doc_id, quality from '{folder}/labels.parquet'"))

@@ -3,8 +3,9 @@
 Test items are cut into windows of consecutive words. Each window is anchored at
 its rarest word in the training documents; the postings of the anchor words are
 met with the windows at the offset of the anchor, and the rest of the window has
-to follow at its own offsets. Postings near a window without being it are
-proximity matches.
+to follow at its own offsets. Proximity matches hold most words of a window near
+each other; as few may be missing, one of the window's rarest few is there, so
+each of these is met with its postings too.
 """
 
 from __future__ import annotations
@@ -66,11 +67,13 @@ def term_counts(documents: DataFrame, lists: DataFrame) -> DataFrame:
 
 
 def anchors(lists: DataFrame, counts: DataFrame) -> DataFrame:
-    """``(list, at, term, low, high, ...)``: windows ``low`` to ``high`` anchor at word ``at``.
+    """``(list, at, term, starts, near_starts, ...)``: windows that anchor or pivot at word ``at``.
 
-    A window's anchor is its rarest word, the first one of equals; neighbouring
-    windows with the same anchor are one row. Windows with a word that no document
-    has are dropped: they cannot occur.
+    A window's anchor is its rarest word, the first one of equals; windows with a word
+    that no document has get none, as they cannot occur. Its pivots are one word more
+    of its rarest distinct ones than a proximity match may lack, at every place; those
+    that no document has are missing in all of them. Windows of an item with the same
+    ``at`` are one row.
     """
     placed = lists.select("list", F.posexplode("words").alias("at", "term")).join(counts, "term")
     rated = lists.join(
@@ -85,17 +88,35 @@ def anchors(lists: DataFrame, counts: DataFrame) -> DataFrame:
         "list", "words", "item_ids", "length", "rates", F.explode(F.sequence(F.lit(0), "last")).alias("start")
     )
     part = F.slice("rates", F.col("start") + 1, F.col("length"))
+    place = F.sequence(F.col("start"), F.col("start") + F.col("length") - 1)
+    rarest = F.array_sort(
+        F.array_distinct(
+            F.transform(place, lambda i: F.struct(F.get("rates", i).alias("n"), F.get("words", i).alias("term")))
+        )
+    )
     chosen = (
         starts.withColumn("least", F.array_min(part))
-        .filter("least > 0")
-        .withColumn("at", F.col("start") + F.array_position(part, F.col("least")).cast("int") - 1)
+        .withColumn(
+            "anchor",
+            F.when(
+                F.col("least") > 0,
+                F.col("start") + F.array_position(part, F.col("least")).cast("int") - 1,
+            ),
+        )
+        .withColumn("rarest", rarest)
+        .withColumn(
+            "rarest",
+            F.slice("rarest", 1, (F.size("rarest") - F.ceil(SHARE * F.size("rarest")) + 1).cast("int")),
+        )
+        .withColumn("pivots", F.filter(place, lambda i: F.array_contains("rarest.term", F.get("words", i))))
+        .withColumn("at", F.explode(F.array_compact(F.array_union("pivots", F.array("anchor")))))
+        .filter(F.get("rates", F.col("at")) > 0)
     )
     return (
         chosen.groupBy("list", "at")
         .agg(
-            F.min("start").alias("low"),
-            F.max("start").alias("high"),
-            F.collect_set("start").alias("starts"),
+            F.collect_set(F.when(F.col("at") == F.col("anchor"), F.col("start"))).alias("starts"),
+            F.collect_set(F.when(F.array_contains("pivots", F.col("at")), F.col("start"))).alias("near_starts"),
             F.first("words").alias("item"),
             F.first("item_ids").alias("item_ids"),
             F.first("length").alias("length"),
@@ -141,7 +162,7 @@ def postings(documents: DataFrame, terms: list[str], reach: int) -> DataFrame:
 
 
 def matches(documents: DataFrame, found: DataFrame, words: int = WORDS) -> DataFrame:
-    """Postings of the anchor words that are matches: ``(doc_id, hash, item_ids, spans, near)``.
+    """Postings of the anchors and pivots that are matches: ``(doc_id, hash, item_ids, spans, near)``.
 
     ``spans`` are ``(start, stop)`` of exact windows in words. ``found`` is bounded
     by ``BLOCK_ANCHORS`` and broadcast; the postings stream past it.
@@ -156,13 +177,14 @@ def matches(documents: DataFrame, found: DataFrame, words: int = WORDS) -> DataF
             == F.slice("item", s + 1, F.col("length"))
         ),
     )
-    middle = F.greatest(
-        F.col("low"), F.least(F.col("high"), F.col("at") - F.floor(F.col("length") / 2).cast("int"))
+    wanted = lambda s: F.array_distinct(F.slice("item", s + 1, F.col("length")))
+    nearby = lambda s: F.slice(
+        "around", F.greatest(shift + s - SLOP, F.lit(0)) + 1, F.col("length") + 2 * SLOP
+    )
+    near = F.exists(
+        "near_starts",
+        lambda s: F.size(F.array_intersect(wanted(s), nearby(s))) >= F.ceil(SHARE * F.size(wanted(s))),
     )
-    begin = F.greatest(shift + middle - SLOP, F.lit(0))
-    nearby = F.slice("around", begin + 1, F.col("length") + 2 * SLOP)
-    wanted = F.array_distinct(F.slice("item", middle + 1, F.col("length")))
-    near = F.size(F.array_intersect(wanted, nearby)) >= F.ceil(SHARE * F.size(wanted))
     return (
         postings(documents, terms, words + SLOP)
         .join(F.broadcast(found), "term")
