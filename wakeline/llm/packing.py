@@ -12,7 +12,7 @@ best-fit decreasing puts into the gaps and into new sequences, again by counts.
 from __future__ import annotations
 
 import os
-import re
+import string
 import struct
 import zlib
 from collections import defaultdict
@@ -21,90 +21,160 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wakeline.llm.byte_pairs import BytePairs, plain
 from wakeline.llm.common import rank_within, settle
+from wakeline.llm.words import Coder, Cuts, coded_texts
 
 CAPACITY = 4096
 END_ID = 1
-#: Words whose ids a task keeps; beyond it the memory starts anew.
-WORDS_KEPT = 400_000
-#: Characters of a text that are tokenised at a time.
-BLOCK = 1 << 20
+#: Plain words whose merges go forward together.
+BLOCK = 1 << 16
+#: ASCII white space, and what the names of special tokens start with.
+WHITE, SPECIAL = b" \t\n\v\f\r", b"<|"
+#: Words whose coding shows whether a tokenizer codes them one by one, also if nothing parts them.
+PROBES = (
+    (["a", "b"], False),
+    (["it's", "the", "end."], False),
+    (["\u00e9t\u00e9", "\u0301e", "x\u0301"], False),
+    (["word", "7", "2", "(", "next", ").", "3", "-", "4"], True),
+    (["\u00e9word", ",", "l'eau"], True),
+)
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
-def _blocks(text: str) -> Iterator[str]:
-    """The text in parts of about ``BLOCK`` characters, cut at spaces only."""
-    at = 0
-    while len(text) - at > BLOCK:
-        cut = text.find(" ", at + BLOCK)
-        if cut < 0:
-            break
-        yield text[at:cut]
-        at = cut + 1
-    yield text[at:]
+def _cuts() -> tuple[Cuts, Cuts]:
+    """Where words start: at white space behind anything else, and finer where ASCII allows.
+
+    The finer cuts part letters, digits and marks; an apostrophe may belong to a
+    letter behind it and stays with its neighbours, as does all beyond ASCII.
+    """
+    kind = np.zeros(256, dtype=np.uint8)
+    kind[33:127] = 4
+    kind[[ord("'"), 127]] = 0
+    kind[list(string.ascii_letters.encode())] = 2
+    kind[list(string.digits.encode())] = 3
+    kind[list(WHITE)] = 1
+    parted = np.zeros((5, 5), dtype=bool)
+    parted[[0, 2, 3, 4], 1] = True
+    plain = Cuts(kind == 1, np.array([[False, True], [False, False]]))
+    for a, b in ((2, 3), (3, 2), (2, 4), (4, 2), (3, 4), (4, 3), (3, 3)):
+        parted[a, b] = True
+    return plain, Cuts(kind, parted)
+
+
+def load_tokenizer(path: str):
+    """The tokenizer of a file, checked to code words one by one and without regard to ASCII case.
+
+    White space is dropped and parts words, and so do changes between ASCII letters,
+    digits and marks, but for apostrophes.
+    """
+    # Tasks are the parallelism here; threads of the tokenizer would only contend.
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    for words, joined in PROBES:
+        apart = [i for w in words for i in tokenizer.encode(w, add_special_tokens=False).ids]
+        texts = [gap.join(words) for gap in (" ", "\n", " \t ", "\r\n\v\f")]
+        for text in [*texts, f" {texts[0]}\n", texts[0].upper(), *(["".join(words)] if joined else [])]:
+            if tokenizer.encode(text, add_special_tokens=False).ids != apart:
+                raise ValueError(f"{path} does not code words one by one: {text!r}")
+    return tokenizer
+
+
+def load_pairs(path: str, tokenizer) -> BytePairs:
+    """The file's merges for plain words, compared with the tokenizer on some."""
+    pairs = BytePairs(path)
+    words = pairs.sample()
+    coded = tokenizer.encode_batch_fast(words, add_special_tokens=False)
+    if [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in coded] != pairs.code(words):
+        raise ValueError(f"{path} does not merge plain words by its ranks alone")
+    return pairs
 
 
 def tokenise(documents: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFrame:
     """The pieces of every document: doc_id, piece, start, length, ids_crc32.
 
-    The tokenizer drops white space and no token spans it, so the ids of a text
-    are those of its words; each task remembers the words it has met. ``vocabulary``
-    is the path of the tokenizer file on the machines.
+    The tokenizer drops white space and no token spans it (``load_tokenizer`` checks
+    that), so the ids of a text are those of its words, and each distinct word of a
+    batch is tokenised once. ``vocabulary`` is the path of the tokenizer file on the
+    machines. A null text has no words, so its one piece is the end id.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Tasks are the parallelism here; threads of the tokenizer would only contend.
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        closing = re.compile(r"(?<=[A-Za-z])([.,])(?=[ \n]|\Z)")
-        pack_ids = struct.pack
-        tokenizer = Tokenizer.from_file(vocabulary)
-        known: dict[str, bytes] = {"": b""}
-        end = np.uint32(END_ID).astype("<u4").tobytes()
-        width = 4 * capacity
-
-        def encode(block: str) -> bytes:
-            # Lower-casing ASCII and parting a closing mark from a word change no id, and
-            # leave fewer words to remember.
-            if block.isascii():
-                block = block.lower()
-            words = closing.sub(r" \1", block).replace("\n", " ").split(" ")
-            try:
-                return b"".join([known[w] for w in words])
-            except KeyError:
-                learn(words)
-                return b"".join([known[w] for w in words])
-
-        def learn(words: list[str]) -> None:
-            if len(known) > WORDS_KEPT:
-                known.clear()
-                known[""] = b""
-            new = [w for w in set(words) if w not in known]
-            for at in range(0, len(new), 4096):
-                part = new[at : at + 4096]
-                coded = tokenizer.encode_batch_fast(part, add_special_tokens=False)
-                known.update((w, pack_ids(f"<{len(e.ids)}I", *e.ids)) for w, e in zip(part, coded))
+        tokenizer = load_tokenizer(vocabulary)
+
+        pairs = load_pairs(vocabulary, tokenizer)
+
+        def learn(words: list[str]) -> list[bytes]:
+            found: list[bytes] = [b""] * len(words)
+            bare = [w.lstrip(white) for w in words]
+            easy = [k for k, w in enumerate(bare) if plain(w)]
+            for at in range(0, len(easy), BLOCK):
+                part = easy[at : at + BLOCK]
+                for k, ids in zip(part, pairs.code([bare[k] for k in part])):
+                    found[k] = ids
+            hard = [k for k, w in enumerate(bare) if not plain(w)]
+            for at in range(0, len(hard), 4096):
+                part = hard[at : at + 4096]
+                coded = tokenizer.encode_batch_fast([words[k] for k in part], add_special_tokens=False)
+                for k, e in zip(part, coded):
+                    found[k] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+            return found
+
+        white = WHITE.decode()
+        coder = Coder(learn)
+        cuts, fine = _cuts()
+        lower = np.arange(256, dtype=np.uint8)
+        lower[65:91] += 32
+
+        def finer(data: np.ndarray) -> tuple[np.ndarray, Cuts]:
+            # Names of special tokens have marks, and their case counts.
+            return (data, cuts) if SPECIAL in memoryview(data).tobytes() else (lower[data], fine)
 
+        end = np.uint32(END_ID).astype("<u4").tobytes()
+        crc, width = zlib.crc32, 4 * capacity
         for batch in batches:
-            out: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                kept, piece = b"", 0
-                for block in _blocks(text.as_py() or ""):
-                    kept += encode(block)
-                    while len(kept) >= width:
-                        out.append((doc_id, piece, piece * capacity, capacity, zlib.crc32(kept[:width])))
-                        kept, piece = kept[width:], piece + 1
-                kept += end
-                out.append((doc_id, piece, piece * capacity, len(kept) // 4, zlib.crc32(kept)))
-            columns = list(zip(*out)) or [()] * 5
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+            rows: list[int] = []
+            pieces: list[int] = []
+            lengths: list[int] = []
+            sums: list[int] = []
+
+            def add(row: int, piece: int, ids) -> None:
+                rows.append(row)
+                pieces.append(piece)
+                lengths.append(len(ids) // 4)
+                sums.append(crc(ids))
+
+            kept, piece = b"", 0
+            for group, bounds, ends, codes in coded_texts(batch.column(1), cuts, coder, finer):
+                data = memoryview(codes.astype("<u4", copy=False)).cast("B")
+                at = (4 * bounds).tolist()
+                for row, a, b in zip(group.tolist(), at, at[1:]):
+                    left = kept + data[a:b] if kept else data[a:b]
+                    while len(left) >= width:
+                        add(row, piece, left[:width])
+                        left, piece = left[width:], piece + 1
+                    if ends:
+                        add(row, piece, bytes(left) + end)
+                        kept, piece = b"", 0
+                    else:
+                        kept = bytes(left)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0).take(pa.array(rows, pa.int64())),
+                    pa.array(pieces, pa.int32()),
+                    pc.multiply(pa.array(pieces, pa.int64()), capacity),
+                    pa.array(lengths, pa.int64()),
+                    pa.array(sums, pa.int64()),
+                ],
+                ["doc_id", "piece", "start", "length", "ids_crc32"],
+            )
 
     return documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(
         run, PIECES
