@@ -166,27 +166,3 @@ def pieces(rows, tokenizer, capacity=4096):
             data = b"".join(i.to_bytes(4, "little") for i in part)
             out.append((doc, n, start, len(part), zlib.crc32(data)))
     return out
-
-
-def similar_groups(rows, words_each=5, share=0.8):
-    """(doc_id, text) rows to {doc_id: smallest id reachable by shared shingles}."""
-    sets = {}
-    for doc_id, text in rows:
-        words = (text or "").encode().lower().split()
-        last = max(1, len(words) - words_each + 1)
-        sets[doc_id] = {tuple(words[k : k + words_each]) for k in range(last)} if words else set()
-    root = {d: d for d in sets}
-
-    def find(d):
-        while root[d] != d:
-            d = root[d]
-        return d
-
-    ids = sorted(sets)
-    for k, a in enumerate(ids):
-        for b in ids[:k]:
-            same, total = len(sets[a] & sets[b]), len(sets[a] | sets[b])
-            if same >= share * total:
-                low, high = sorted((find(a), find(b)))
-                root[high] = low
-    return {d: find(d) for d in ids}

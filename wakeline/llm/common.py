@@ -33,6 +33,14 @@ def ascii_lower(text: Column) -> Column:
     )
 
 
+def free_name(taken: list[str], wanted: str) -> str:
+    """A column name that no other has, in either case."""
+    lower = {c.lower() for c in taken}
+    while wanted.lower() in lower:
+        wanted += "_"
+    return wanted
+
+
 def partitions(spark: SparkSession) -> int:
     """Shuffle partitions the session asks for."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -5,17 +5,10 @@ down together with the number of bits in which their prefixes differ; a pair of
 nodes is dropped as soon as that number exceeds the budget. The trie is cut into
 subtrees of bounded size; a task walks one of them against itself and the later
 ones whose prefixes are near enough.
-
-``near_groups`` links fingerprints within a budget. ``similar_groups`` links texts by
-the Jaccard similarity of their shingles: at 0.8 two fingerprints of 64 bits differ
-in ten bits on average, a budget at which no trie prunes. So it walks a trie of
-32-bit bands of a 512-bit fingerprint, each with a budget of three, and checks what
-it meets: by 128 more bits in the task, then exactly.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from itertools import islice
 
@@ -23,8 +16,9 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wakeline.llm.common import settle
 from wakeline.llm.components import connected, local_components
@@ -33,26 +27,11 @@ BITS = 64
 BUDGET = 2
 #: Shingles whose bits are counted at a time.
 CHUNK = 1 << 16
-#: Fingerprints of a subtree at least; and subtrees in all at most, roughly.
-LEAST_LEAF, MOST_LEAVES = 256, 4096
+#: Fingerprints of a subtree: at least so many, about so many subtrees where that is
+#: less than the most, and at most so many however many subtrees it takes.
+LEAST_LEAF, LEAVES, MOST_LEAF = 256, 4096, 1 << 15
 #: Node pairs of a walk held at a time, and the pair size compared leaf by leaf.
 FRONTIER, DIRECT = 1 << 18, 16
-#: Words of a shingle and similarity from which texts are near copies.
-NEAR_WORDS, NEAR_SHARE = 5, 0.8
-#: 64-bit lanes of a sketch; its 32-bit bands and the differing bits allowed in one. A pair
-#: at 0.8 passes at least one of the bands with probability 0.998 or so; two unrelated texts
-#: pass a given one with 1.3e-6, which suits up to some hundred million distinct texts.
-LANES, BANDS, BAND_BUDGET = 8, 32, 3
-#: Each band stands in two tables, once with each half in front: of two halves that differ
-#: in three bits, one differs in ``HEAD_BUDGET`` at most, so a key meets few subtrees.
-TABLES, CODE_BITS, HEAD_BUDGET = 2 * BANDS, 7, 1
-HEAD = CODE_BITS + 16
-#: Bytes of a sketch that go with a key, taken evenly; pairs are weighed by them.
-CHECK = 16
-#: Keys of a subtree of bands at least, and member pairs held at a time.
-LEAST_BAND_LEAF, PAIRS = 1 << 18, 1 << 20
-#: Texts of a block, roughly; all pairs between two blocks are checked in one task.
-BLOCK = 512
 
 
 def fingerprint(text: str | None, words_each: int = 3, seed: int = 42) -> int:
@@ -78,28 +57,28 @@ def fingerprint(text: str | None, words_each: int = 3, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(2 * counts > total).tobytes(), "big")
 
 
-def fingerprints(documents: DataFrame) -> DataFrame:
-    """``(doc_id, fp)``; fp is the fingerprint as a signed long."""
+def fingerprints(documents: DataFrame, *carried: Column) -> DataFrame:
+    """``(doc_id, fp)`` and the carried columns; fp is the fingerprint as a signed long."""
+    frame = documents.select(
+        F.col("text").cast("string").alias("text"), F.col("doc_id").cast("bigint").alias("doc_id"), *carried
+    )
+    kept = frame.schema.fields[1:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint(text.as_py()) for text in batch.column(1)]
+            found = [fingerprint(text.as_py()) for text in batch.column(0)]
             signed = pa.array(np.array(found, dtype=np.uint64).view(np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), signed], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[1:], signed], [*batch.schema.names[1:], "fp"]
+            )
 
-    return documents.select(
-        F.col("doc_id").cast("bigint"), F.col("text").cast("string").alias("text")
-    ).mapInArrow(run, "doc_id bigint, fp bigint")
+    return frame.mapInArrow(run, T.StructType([*kept, T.StructField("fp", T.LongType())]))
 
 
 def walk(
-    own: np.ndarray, other: np.ndarray, budget: int, head: int = 0, head_budget: int = 0
+    own: np.ndarray, other: np.ndarray, budget: int
 ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of two sorted uint64 arrays that differ in at most ``budget`` bits.
-
-    Of the first ``head`` bits at most ``head_budget`` differ, as far as the walk goes
-    node by node; pairs compared leaf by leaf are held to ``budget`` alone.
-    """
+    """Index pairs of two sorted uint64 arrays that differ in at most ``budget`` bits."""
     if not len(own) or not len(other):
         return
     stack = [(0, np.array([[0, len(own), 0, len(other), 0]], dtype=np.int64))]
@@ -138,7 +117,7 @@ def walk(
             ]
         )
         held = (children[:, 1] > children[:, 0]) & (children[:, 3] > children[:, 2])
-        children = children[held & (children[:, 4] <= (head_budget if depth < head else budget))]
+        children = children[held & (children[:, 4] <= budget)]
         if len(children):
             stack.append((depth + 1, children))
 
@@ -194,12 +173,14 @@ def cut_trie(fps: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
     return first, np.array([n[1] for n in nodes], dtype=np.int64)
 
 
-def near_nodes(first: np.ndarray, depth: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """For every subtree the earlier-or-same subtrees it may link to: offsets and indices."""
+def near_nodes(
+    first: np.ndarray, depth: np.ndarray, budget: int, asked: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """For each asked subtree the earlier-or-same subtrees it may link to: offsets and indices."""
     shift = (np.uint64(BITS) - depth.astype(np.uint64)) % np.uint64(BITS)
     mask = np.where(depth == 0, np.uint64(0), (~np.uint64(0) >> shift) << shift)
     offsets, found = [0], []
-    for k in range(len(first)):
+    for k in asked.tolist():
         both = mask[: k + 1] & mask[k]
         near = np.flatnonzero(np.bitwise_count((first[: k + 1] ^ first[k]) & both) <= budget)
         found.append(near)
@@ -211,18 +192,20 @@ def trie_links(fps: DataFrame, budget: int = BUDGET) -> DataFrame:
     """Links ``(a, b)`` between distinct fingerprints, as stars: enough for components.
 
     ``fps(fp)`` has to be distinct and settled. Each subtree goes to its own task
-    key and to those of the earlier subtrees it is near to. A task emits one link
+    key and to those of the earlier subtrees it is near to, so a task holds at most
+    ``MOST_LEAF`` fingerprints of some hundred subtrees. It emits one link
     per fingerprint at most, to the smallest one that it reaches there, so a
-    dense cluster costs rows by its size and not by its pairs.
+    dense cluster costs rows by its size and not by its pairs. The driver knows the
+    subtrees' first leaves, 16 bytes for each.
     """
     total = fps.count()
-    first, depth = cut_trie(fps, max(LEAST_LEAF, total // MOST_LEAVES))
-    offsets, targets = near_nodes(first, depth, budget)
+    first, depth = cut_trie(fps, min(MOST_LEAF, max(LEAST_LEAF, total // LEAVES)))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            node = np.searchsorted(first, fp, side="right") - 1
+            own, node = np.unique(np.searchsorted(first, fp, side="right") - 1, return_inverse=True)
+            offsets, targets = near_nodes(first, depth, budget, own)
             sizes = offsets[node + 1] - offsets[node]
             which = np.repeat(np.arange(len(fp)), sizes)
             at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -230,7 +213,7 @@ def trie_links(fps: DataFrame, budget: int = BUDGET) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(unit.astype(np.int32)),
-                    pa.array(unit == node[which]),
+                    pa.array(unit == own[node][which]),
                     pa.array(fp[which].view(np.int64)),
                 ],
                 ["unit", "own", "fp"],
@@ -263,6 +246,15 @@ def trie_links(fps: DataFrame, budget: int = BUDGET) -> DataFrame:
     )
 
 
+def linked(rows: DataFrame, budget: int) -> DataFrame:
+    """``(fp, least, root)`` of settled ``rows(doc_id, fp)``: distinct fingerprints and their component."""
+    nodes = settle(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    roots = connected(trie_links(nodes.select("fp"), budget))
+    return nodes.join(roots, nodes["fp"] == roots["node"], "left").select(
+        "fp", "least", F.coalesce("root", "fp").alias("root")
+    )
+
+
 def near_groups(documents: DataFrame, budget: int = BUDGET) -> DataFrame:
     """Every row with its fingerprint and component: doc_id, fp, component_id.
 
@@ -273,418 +265,43 @@ def near_groups(documents: DataFrame, budget: int = BUDGET) -> DataFrame:
     alone has a null id. An empty table gives an empty result.
     """
     rows = settle(fingerprints(documents))
-    nodes = settle(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = connected(trie_links(nodes.select("fp"), budget))
-    named = nodes.join(roots, nodes["fp"] == roots["node"], "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
-    )
+    named = linked(rows, budget)
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     labelled = named.join(ids, "root").select("fp", "component_id")
     return rows.join(labelled, "fp").select("doc_id", "fp", "component_id")
 
 
-def _shingle_hashes(text: str | None, words_each: int, seed: int = 42) -> np.ndarray:
-    """XXH64 of the distinct word shingles (uint64, in no order)."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, dtype=np.uint64)
-    shingles = map(b" ".join, zip(*(islice(words, k, None) for k in range(words_each))))
-    if len(words) < words_each:
-        shingles = iter([b" ".join(words)])
-    digest = xxhash.xxh64_intdigest
-    found = {digest(s, seed) for s in shingles}
-    return np.fromiter(found, dtype=np.uint64, count=len(found))
-
-
-def sketch(text: str | None, words_each: int = NEAR_WORDS) -> bytes:
-    """SimHash of 512 bits over the distinct shingles; all zero without words."""
-    hashes = _shingle_hashes(text, words_each)
-    counts = np.zeros(LANES * BITS, dtype=np.int64)
-    step = np.arange(1, LANES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    for low in range(0, len(hashes), 255 * 64):
-        # One finalizer of SplitMix64 a lane makes lanes independent.
-        z = hashes[low : low + 255 * 64, None] + step
-        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        z = z ^ (z >> np.uint64(31))
-        bits = np.unpackbits(z.view(np.uint8), axis=1)
-        full = len(bits) // 255 * 255
-        blocks = bits[:full].reshape(-1, 255, LANES * BITS).sum(axis=1, dtype=np.uint8)
-        counts += blocks.sum(axis=0, dtype=np.int64) + bits[full:].sum(axis=0, dtype=np.uint8)
-    return np.packbits(2 * counts > len(hashes)).tobytes()
-
-
-def band_keys(sketches: np.ndarray) -> np.ndarray:
-    """Trie keys of sketches (rows of 64 bytes): a row of one uint64 a table.
-
-    Half of the bands are runs of 32 bits and half take every sixteenth bit. A key
-    starts with a word of its table; words of two tables differ in more bits than
-    the head's budget, so that no two tables are ever walked together.
-    """
-    runs = np.ascontiguousarray(sketches)
-    bits = np.unpackbits(runs, axis=1).reshape(len(runs), 32, -1)
-    strides = np.packbits(bits.transpose(0, 2, 1).reshape(len(runs), -1), axis=1)
-    bands = np.concatenate([runs.view(">u4"), strides.view(">u4")], axis=1).astype(np.uint32)
-    turned = bands << np.uint32(16) | bands >> np.uint32(16)
-    both = np.concatenate([bands, turned], axis=1).astype(np.uint64)
-    return table_words() | both << np.uint64(BITS - CODE_BITS - 32)
-
-
-def table_words() -> np.ndarray:
-    """First bits of the keys of each table: the least numbers that differ in enough bits."""
-    words: list[int] = []
-    word = 0
-    while len(words) < TABLES:
-        if all((word ^ w).bit_count() > HEAD_BUDGET for w in words):
-            words.append(word)
-        word += 1
-    return np.array(words, dtype=np.uint64) << np.uint64(BITS - CODE_BITS)
-
-
-def part_tables(first: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The subtrees, with those that hold several tables cut into one a table."""
-    if not len(first):
-        return first, depth
-    words = table_words()
-    deep = depth >= CODE_BITS
-    within = np.searchsorted(first, words, side="right") - 1
-    whole = words[(within >= 0) & ~deep[within]]
-    first = np.concatenate([first[deep], whole])
-    depth = np.concatenate([depth[deep], np.full(len(whole), CODE_BITS)])
-    order = np.argsort(first)
-    return first[order], depth[order]
-
-
-def sketch_limit(share: float, deviations: float) -> int:
-    """Differing bits of ``CHECK`` bytes at similarity ``share``: mean plus so many deviations."""
-    p = math.acos(2 * share / (1 + share)) / math.pi
-    size = 8 * CHECK
-    return round(size * p + deviations * math.sqrt(size * p * (1 - p)))
-
-
-def member_pairs(
-    counts: np.ndarray, starts: np.ndarray, left: np.ndarray, right: np.ndarray
-) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows for pairs of keys, about ``PAIRS`` at a time.
-
-    Rows of key k are ``starts[k]`` to ``starts[k] + counts[k] - 1``.
-    """
-    rows = np.repeat(left, counts[left])
-    ends = np.cumsum(counts[left])
-    at = np.arange(len(rows)) - np.repeat(ends - counts[left], counts[left])
-    rows, others = starts[rows] + at, np.repeat(right, counts[left])
-    grown = np.cumsum(counts[others])
-    low = 0
-    while low < len(rows):
-        base = grown[low - 1] if low else 0
-        high = max(low + 1, int(np.searchsorted(grown, base + PAIRS, side="right")))
-        sizes = counts[others[low:high]]
-        at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        yield np.repeat(rows[low:high], sizes), np.repeat(starts[others[low:high]], sizes) + at
-        low = high
-
-
-def spanning_forest(
-    size: int, left: np.ndarray, right: np.ndarray, weight: np.ndarray
-) -> np.ndarray:
-    """Indices of the links of a minimum spanning forest of ``size`` nodes."""
-    order = np.argsort(weight, kind="stable")
-    label, kept, open_ = np.arange(size), [], np.arange(len(order))
-    while True:
-        a, b = label[left[order[open_]]], label[right[order[open_]]]
-        cross = a != b
-        if not cross.any():
-            return order[np.concatenate(kept)] if kept else order[:0]
-        open_, a, b = open_[cross], a[cross], b[cross]
-        best = np.full((2, size), len(order))
-        # Written from the heaviest on, so the lightest link of a component stays.
-        best[0, a[::-1]] = best[1, b[::-1]] = open_[::-1]
-        best = best.min(axis=0)
-        chosen = np.unique(best[best < len(order)])
-        kept.append(chosen)
-        label = local_components(
-            size,
-            np.concatenate([np.arange(size), left[order[chosen]]]),
-            np.concatenate([label, right[order[chosen]]]),
-        )
-
+def keep_one(documents: DataFrame, budget: int = BUDGET) -> DataFrame:
+    """One row of each component, with all its columns.
 
-def similar_links(nodes: DataFrame, share: float = NEAR_SHARE, every: bool = False) -> DataFrame:
-    """Candidate links ``(a, b)`` between ``nodes(node, sketch)``, which has to be settled.
-
-    A task keeps a minimum spanning forest, by differing sketch bits, of the pairs
-    that it meets; so it emits fewer links than it has rows, and the nearest ones.
-    Rows of one key are compared in blocks, and those already held together by
-    surely similar pairs are passed over. With ``every``, a task emits all the pairs
-    that it meets between nodes of one ``loose`` and two ``firm`` (further columns), with
-    ``loose`` and ``width`` of the nodes.
+    It is the row of the smallest doc_id (a null one comes last), then of the
+    smallest hash of the row's columns (those that can be hashed, so not maps), so
+    every run keeps the same one. Repeated rows are copies like any other and go;
+    different texts under one doc_id are judged one by one. Texts without words,
+    null ones included, are one group. Names of extra columns do not matter. An
+    empty table gives an empty result.
     """
-    extra = ["firm", "loose", "width"] if every else []
-    limit, sure = sketch_limit(share, 4), sketch_limit(share, -4)
-
-    def keys_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        whole = np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, LANES * 8)
-        return whole, band_keys(whole).reshape(-1)
-
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                keys = keys_of(batch.column(0))[1]
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64))], ["fp"])
-
-    keys = nodes.select("sketch").mapInArrow(explode, "fp bigint")
-    total = nodes.count() * TABLES
-    first, depth = part_tables(*cut_trie(settle(keys), max(LEAST_BAND_LEAF, total // MOST_LEAVES)))
-    head = ~np.uint64(0) << np.uint64(BITS - HEAD)
-    offsets, targets = near_nodes(first & head, np.minimum(depth, HEAD), HEAD_BUDGET)
-
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for low in range(0, batch.num_rows, 512):
-                part = batch.slice(low, 512)
-                whole, fp = keys_of(part.column(1))
-                check = np.ascontiguousarray(whole[:, :: LANES * 8 // CHECK])
-                check = pa.Array.from_buffers(
-                    pa.binary(CHECK), len(check), [None, pa.py_buffer(check.tobytes())]
-                ).cast(pa.binary())
-                leaf = np.searchsorted(first, fp, side="right") - 1
-                sizes = offsets[leaf + 1] - offsets[leaf]
-                which = np.repeat(np.arange(len(fp)), sizes)
-                at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                unit = targets[offsets[leaf][which] + at]
-                row = pa.array(which // TABLES)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(unit.astype(np.int32)),
-                        pa.array(unit == leaf[which]),
-                        pa.array(fp[which].view(np.int64)),
-                        part.column(0).take(row),
-                        check.take(row),
-                        *(part.column(k).take(row) for k in range(2, part.num_columns)),
-                    ],
-                    ["unit", "own", "fp", "node", "bits", *extra],
-                )
-
-    def read(table: pa.Table) -> tuple[np.ndarray, ...]:
-        fp = table.column("fp").to_numpy().view(np.uint64)
-        order = np.argsort(fp, kind="stable")
-        node = table.column("node").to_numpy()[order]
-        fixed = table.column("bits").combine_chunks().cast(pa.binary(CHECK))
-        bits = np.frombuffer(fixed.buffers()[1], dtype=np.uint8)
-        bits = bits[fixed.offset * CHECK :][: len(fp) * CHECK].view(np.uint64)
-        bits = bits.reshape(-1, CHECK // 8)[order]
-        is_own = table.column("own").to_numpy()[order]
-        unique, starts, counts = np.unique(fp[order], return_index=True, return_counts=True)
-        # Rows of one key lie in one subtree, so a key is own or not as a whole.
-        own = np.flatnonzero(is_own[starts])
-        return order, node, bits, is_own, unique, starts, counts, own
-
-    def met(
-        unique: np.ndarray, starts: np.ndarray, counts: np.ndarray, own: np.ndarray, is_own: np.ndarray
-    ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for left_keys, right_keys in walk(unique[own], unique, BAND_BUDGET, HEAD, HEAD_BUDGET):
-            left_keys = own[left_keys]
-            # A pair of own keys is met from both sides; one is enough.
-            once = ~is_own[starts[right_keys]] | (left_keys <= right_keys)
-            for left, right in member_pairs(counts, starts, left_keys[once], right_keys[once]):
-                new = (left < right) | ~is_own[right]
-                yield left[new], right[new]
-
-    def forest(table: pa.Table) -> pa.Table:
-        _, node, bits, is_own, unique, starts, counts, own = read(table)
-        size = len(node)
-        label = np.arange(size)
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        waiting = 0
-
-        def settle_forest() -> None:
-            nonlocal label, waiting
-            left, right, weight = (np.concatenate(c) for c in zip(*held))
-            kept = spanning_forest(size, left, right, weight)
-            held[:] = [(left[kept], right[kept], weight[kept])]
-            firm = kept[weight[kept] <= sure]
-            label = local_components(size, left[firm], right[firm])
-            waiting = 0
-
-        for left, right in met(unique, starts, counts, own, is_own):
-            new = (label[left] != label[right]) & (node[left] != node[right])
-            left, right = left[new], right[new]
-            differ = np.bitwise_count(bits[left] ^ bits[right]).sum(axis=1, dtype=np.int64)
-            near = differ <= limit
-            if near.any():
-                held.append((left[near], right[near], differ[near]))
-                waiting += int(near.sum())
-            if waiting > PAIRS:
-                settle_forest()
-        if held:
-            settle_forest()
-            left, right, _ = held[0]
-        else:
-            left = right = np.zeros(0, dtype=np.int64)
-        return pa.table({"a": node[left], "b": node[right]})
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))
-        order, node, bits, is_own, unique, starts, counts, own = read(table)
-        firm, loose, width = (table.column(c).to_numpy()[order] for c in extra)
-        for left, right in met(unique, starts, counts, own, is_own):
-            new = (firm[left] != firm[right]) & (loose[left] == loose[right])
-            left, right = left[new], right[new]
-            near = np.bitwise_count(bits[left] ^ bits[right]).sum(axis=1, dtype=np.int64) <= limit
-            if near.any():
-                left, right = left[near], right[near]
-                found = node[left], node[right], loose[left], width[left]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["a", "b", *extra[1:]])
-
-    return (
-        nodes.select("node", "sketch", *extra)
-        .mapInArrow(
-            route,
-            "unit int, own boolean, fp bigint, node bigint, bits binary"
-            + "".join(f", {c} bigint" for c in extra),
-        )
-        .groupBy("unit")
-        .applyInArrow(
-            pairs if every else forest,
-            "a bigint, b bigint" + "".join(f", {c} bigint" for c in extra[1:]),
-        )
+    columns = [F.col(f"`{c}`") for c in documents.columns]
+    plain = [
+        F.col(f"`{f.name}`") for f in documents.schema if "map<" not in f.dataType.simpleString()
+    ]
+    mark = F.xxhash64(*plain)
+    rows = settle(fingerprints(documents, mark.alias("mark")))
+    place = F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "mark")
+    firsts = (
+        rows.join(linked(rows, budget).select("fp", "root"), "fp")
+        .groupBy("root")
+        .agg(F.min(place).alias("place"))
+        .select(F.col("place.doc_id").alias("first_id"), F.col("place.mark").alias("first_mark"))
     )
-
-
-def similar_pairs(pairs: DataFrame, sets: DataFrame, share: float = NEAR_SHARE) -> DataFrame:
-    """The ``pairs(a, b, loose, width)`` whose ``sets(id_, set_)`` are similar, as ``(a, b)``.
-
-    The nodes of one ``loose`` are dealt into ``width`` blocks. A set goes once to each
-    pair of blocks that holds a pair of it, so a family of n texts costs n sets times its
-    number of blocks and not a set a pair.
-    """
-    unit = ["loose", "low", "high"]
-    block = lambda c: F.pmod(F.xxhash64(c), F.col("width"))
-    dealt = pairs.withColumn("low", F.least(block("a"), block("b"))).withColumn(
-        "high", F.greatest(block("a"), block("b"))
+    held = documents.select(
+        F.struct(*columns).alias("row"),
+        F.col("doc_id").cast("bigint").alias("own_id"),
+        mark.alias("own_mark"),
     )
-    dealt = dealt.select(*unit, "a", "b")
-    needed = dealt.select(*unit, F.explode(F.array("a", "b")).alias("id_")).distinct()
-
-    def check(pairs: pa.Table, sets: pa.Table) -> pa.Table:
-        ids = sets.column("id_").to_numpy()
-        order = np.argsort(ids, kind="stable")
-        ids = ids[order]
-        lists = sets.column("set_").combine_chunks().take(pa.array(order))
-        sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-        ends = np.cumsum(sizes)
-        words, flat = np.unique(lists.flatten().to_numpy(), return_inverse=True)
-        a, b = pairs.column("a").to_numpy(), pairs.column("b").to_numpy()
-        by_a = np.argsort(a, kind="stable")
-        a, b = a[by_a], b[by_a]
-        holds = np.zeros(len(words), dtype=bool)
-        right = np.zeros(len(a), dtype=bool)
-        starts = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
-        for low, high in zip(starts, np.r_[starts[1:], len(a)]):
-            # A repeated id may have several texts; each of them counts.
-            first, last = np.searchsorted(ids, b[low:high]), np.searchsorted(ids, b[low:high], side="right")
-            many = last - first
-            which = np.repeat(np.arange(low, high), many)
-            rows = np.repeat(first, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            at = np.repeat(ends[rows] - np.cumsum(sizes[rows]), sizes[rows]) + np.arange(sizes[rows].sum())
-            theirs, edge = flat[at], np.r_[0, np.cumsum(sizes[rows])]
-            for k in range(*np.searchsorted(ids, [a[low], a[low] + 1])):
-                own = flat[ends[k] - sizes[k] : ends[k]]
-                holds[own] = True
-                grown = np.r_[0, np.cumsum(holds[theirs])]
-                holds[own] = False
-                same = grown[edge[1:]] - grown[edge[:-1]]
-                right[which[same >= share * (sizes[k] + sizes[rows] - same)]] = True
-        return pa.table({"a": a[right], "b": b[right]})
-
-    # Other names, as both sides come from the same columns.
-    placed = needed.join(sets, "id_").select(*(F.col(c).alias(f"{c}_") for c in unit), "id_", "set_")
+    same = F.col("own_id").eqNullSafe(F.col("first_id")) & (F.col("own_mark") == F.col("first_mark"))
     return (
-        dealt.groupBy(*unit)
-        .cogroup(placed.groupBy(*(f"{c}_" for c in unit)))
-        .applyInArrow(check, "a bigint, b bigint")
-    )
-
-
-def similar_groups(
-    documents: DataFrame, words_each: int = NEAR_WORDS, share: float = NEAR_SHARE
-) -> DataFrame:
-    """``(doc_id, component_id)`` of every distinct non-null doc_id, by similar texts.
-
-    Texts link when the Jaccard similarity of their distinct shingles is ``share``
-    or more; component_id is the smallest doc_id reachable. Texts without words are
-    copies of each other; a text of fewer words than a shingle is one shingle.
-    Texts under one repeated doc_id count as one document. Links met by the trie
-    and kept by a task's forest are checked first. What these links hold together
-    loosely without all being joined by right ones goes through the trie again, and
-    every pair met there that is not joined yet is checked. So every link is exact
-    and a similar pair is found with the probability of ``BANDS``. An empty table
-    gives an empty result.
-    """
-
-    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = pa.array([sketch(t.as_py(), words_each) for t in batch.column(1)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), found], ["doc_id", "sketch"])
-
-    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                hashes = _shingle_hashes(batch.column(1)[k].as_py(), words_each).view(np.int64)
-                one = pa.array([hashes], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), one], ["id_", "set_"])
-
-    texts = documents.filter("doc_id is not null").select(
-        F.col("doc_id").cast("bigint"), F.col("text").cast("string").alias("text")
-    )
-    rows = settle(texts.mapInArrow(sketches, "doc_id bigint, sketch binary"))
-    nodes = settle(rows.groupBy("sketch").agg(F.min("doc_id").alias("node")))
-    pair = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
-
-    def sets_of(ids: DataFrame) -> DataFrame:
-        return settle(
-            texts.join(ids, texts["doc_id"] == ids["id_"], "left_semi").mapInArrow(
-                shingles, "id_ bigint, set_ array<bigint>"
-            )
-        )
-
-    links = settle(similar_links(nodes, share).select(*pair).distinct())
-    sets = sets_of(links.select(F.explode(F.array("a", "b")).alias("id_")).distinct())
-    both = (
-        links.join(sets.select(F.col("id_").alias("a"), F.col("set_").alias("set_a")), "a")
-        .join(sets.select(F.col("id_").alias("b"), F.col("set_").alias("set_b")), "b")
-        .withColumn("same", F.size(F.array_intersect("set_a", "set_b")))
-    )
-    exact = settle(
-        both.filter(
-            F.col("same") >= share * (F.size("set_a") + F.size("set_b") - F.col("same"))
-        ).select("a", "b")
-    )
-    if links.join(exact, ["a", "b"], "left_anti").limit(1).count():
-        # A node without a link in any forest has no candidate at all, and no candidate
-        # leaves what the forests hold together.
-        loose = connected(links).select("node", F.col("root").alias("loose"))
-        firm = connected(exact).select("node", F.col("root").alias("firm"))
-        placed = loose.join(firm, "node", "left").withColumn("firm", F.coalesce("firm", "node"))
-        torn = (
-            placed.groupBy("loose")
-            .agg(
-                F.min("firm").alias("low"),
-                F.max("firm").alias("high"),
-                F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("width"),
-            )
-            .filter("low < high")
-            .select("loose", "width")
-        )
-        again = settle(
-            nodes.join(placed.join(torn, "loose"), "node").select("node", "sketch", "firm", "loose", "width")
-        )
-        met = settle(similar_links(again, share, every=True).select(*pair, "loose", "width").distinct())
-        exact = exact.union(similar_pairs(met, sets, share))
-    # Documents of one sketch and texts of one id are joined through their node.
-    members = rows.join(nodes, "sketch").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    roots = connected(exact.union(members))
-    ids = rows.select("doc_id").distinct()
-    return ids.join(roots, ids["doc_id"] == roots["node"], "left").select(
-        "doc_id", F.coalesce("root", "doc_id").alias("component_id")
+        held.join(firsts, same, "left_semi")
+        .dropDuplicates(["own_id", "own_mark"])
+        .select(*[F.col(f"row.`{c}`").alias(c) for c in documents.columns])
     )
