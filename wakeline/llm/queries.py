@@ -87,7 +87,6 @@ def op6_phrase_index(spark: SparkSession, folder: str) -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join(names, ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
-        F.size("near_items").cast("long").alias("n_near_items"),
     )
 
 
@@ -178,19 +177,12 @@ with lines as (
   select trim(line, ' ') as line from lines where length(trim(line, ' ')) >= 20
   group by trim(line, ' ') having count(distinct source) >= 10
 ), marked as (
-  select l.*, length(trim(l.line, ' ')) >= 20 as eligible,
-    length(trim(l.line, ' ')) >= 20 and b.line is not null as gone
+  select l.*, length(trim(l.line, ' ')) >= 20 and b.line is not null as gone
   from lines l left join boilerplate b on trim(l.line, ' ') = b.line
-), judged as (
-  select doc_id, count(*) as n_lines,
-    coalesce(sum(length(line)) filter (where gone), 0)
-      > 0.5 * coalesce(sum(length(line)) filter (where eligible), 0) as whole
-  from marked group by doc_id
 ), kept as (
-  select doc_id, max(n_lines) as n_lines,
-    count(*) filter (where gone and not whole) as n_removed,
-    coalesce(string_agg(line, chr(10) order by place) filter (where whole or not gone), '') as text
-  from marked join judged using (doc_id) group by doc_id
+  select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_removed,
+    coalesce(string_agg(line, chr(10) order by place) filter (where not gone), '') as text
+  from marked group by doc_id
 )
 select d.doc_id, coalesce(k.n_lines, 0) as n_lines, coalesce(k.n_removed, 0) as n_removed,
   case when d.text is not null then md5(coalesce(k.text, '')) end as kept_md5
