@@ -104,6 +104,22 @@ def test_near_groups(spark, texts):
     assert simhash_trie.near_groups(empty(spark)).count() == 0
 
 
+def test_one_of_each_group_stays(spark):
+    odd = awkward(spark).withColumns({"first_id": F.lit(1), "a.b": F.lit(2), "row": F.lit(3)})
+    odd = odd.union(odd.filter("doc_id = 6").withColumn("text", F.lit("quite another text")))
+    kept = simhash_trie.keep_one(odd)
+    assert kept.columns == odd.columns
+    out = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
+    texts = {d: t for d, t in rows}
+    # 1 twice and a null id are copies; texts without words are a group; two texts of id 6 are none.
+    wanted = [(1, texts[1]), (2, None), (4, texts[4]), (6, "a" * 3000), (6, "quite another text"), (7, texts[7])]
+    assert sorted(out, key=repr) == sorted(wanted, key=repr)
+    shuffled = simhash_trie.keep_one(odd.repartition(7, "text")).collect()
+    assert sorted(map(repr, shuffled)) == sorted(map(repr, kept.collect()))
+    assert simhash_trie.keep_one(empty(spark)).count() == 0
+
+
 @pytest.mark.parametrize("spread", [3, 64])
 def test_trie_finds_every_near_pair(spread):
     rng = np.random.default_rng(spread)
@@ -122,7 +138,7 @@ def test_trie_finds_every_near_pair(spread):
 
 
 def test_links_through_subtrees(spark, monkeypatch):
-    monkeypatch.setattr(simhash_trie, "LEAST_LEAF", 4)
+    monkeypatch.setattr(simhash_trie, "MOST_LEAF", 4)
     rng = np.random.default_rng(5)
     fps = np.unique(rng.integers(0, 1 << 10, 300, dtype=np.uint64) << np.uint64(54))
     frame = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp bigint")
@@ -222,7 +238,7 @@ def test_suffix_array_and_prefixes(symbols):
 
 def test_contamination(spark, texts):
     items = read(f"select item_id, text from '{DATA}/benchmark.parquet'")
-    found = [tuple(r)[:6] for r in queries.op6_phrase_index(spark, DATA).collect()]
+    found = [tuple(r) for r in queries.op6_phrase_index(spark, DATA).collect()]
     assert sorted(found) == sorted(brute.contamination(texts, items))
     some = [(1, "One two THREE four five"), (2, "w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11 w12"), (3, None), (3, " . "), (None, "nine ten"), (5, "one two three four five")]
     benchmark = spark.createDataFrame(some, "item_id bigint, text string").withColumn("words", F.lit(0))
@@ -260,9 +276,10 @@ def test_quality(spark):
     assert all(out[d]["held_out"] for d in aside)
     assert np.mean([out[d]["predicted"] == labels[d] for d in aside]) > 0.93
     model = nbsvm.train(awkward(spark), spark.createDataFrame([(1, 1), (4, None), (None, 0)], "doc_id int, quality int"))
-    scored = nbsvm.add_scores(awkward(spark).drop("score"), model)
+    odd = awkward(spark).withColumns({"text_": F.lit(1), "a.b": F.lit(2)})
+    scored = nbsvm.add_scores(odd, model)
     assert scored.count() == 9 and scored.filter("score between 0 and 1").count() == 9
-    assert nbsvm.add_scores(empty(spark).drop("score"), model).count() == 0
+    assert nbsvm.add_scores(empty(spark), model).count() == 0
 
 
 def test_neighbours(spark):
@@ -290,7 +307,9 @@ def test_lines(spark):
     out = line_spread.remove_boilerplate(frame).collect()
     texts = {r["doc_id"]: r["text"] for r in out}
     assert texts[3] == "own words of page number 3, long enough\nshort"
-    assert texts[99] == line and texts[None] is None
+    assert texts[99] == "" and texts[None] is None
+    clashing = frame.withColumns({"n_lines": F.lit(1), "n_removed": F.lit(1), "a.b": F.lit(2)})
+    assert {r["doc_id"]: r["text"] for r in line_spread.remove_boilerplate(clashing).collect()} == texts
     assert line_spread.remove_boilerplate(awkward(spark)).count() == 9
     assert line_spread.remove_boilerplate(empty(spark)).count() == 0
 

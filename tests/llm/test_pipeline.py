@@ -6,6 +6,7 @@ import corpus_pipeline
 from pyspark.sql import functions as F
 
 from tests.llm import brute
+from tests.llm.test_operators import awkward
 
 DATA = "/root/testdata/sf0.001"
 
@@ -22,10 +23,25 @@ def test_stages_take_effect(spark):
         after = {r["doc_id"]: r["text"] for r in out.collect()}
         assert after.keys() <= before.keys()
         if name == "near_copies":
-            groups = brute.similar_groups(list(before.items()))
-            assert after.keys() == set(groups.values())
+            groups = brute.near_groups(list(before.items()))
+            assert after.keys() == {component for _, component in groups.values()}
         if name == "decontamination":
             clean = {r[0] for r in brute.contamination(list(before.items()), items) if not r[5]}
             assert after.keys() == clean
         docs = spark.createDataFrame(out.collect(), docs.schema)
     assert corpus_pipeline.run(spark, DATA).count() >= docs.count()
+
+
+def test_awkward_rows_go_through(spark, tmp_path):
+    """Nulls, empty, long and repeated texts, and columns with the stages' own names."""
+    clashing = {"score_": F.lit(1), "n_lines": F.lit(2), "a.b": F.lit(3), "own_id": F.lit(4), "row": F.lit(5)}
+    docs = awkward(spark).withColumns(clashing)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, DATA)
+        assert out.columns == docs.columns, name
+        if name != "quality":
+            assert 0 < out.count() <= docs.count(), name
+    pieces = corpus_pipeline.packed(spark, docs, DATA)
+    assert {r["doc_id"] for r in pieces.select("doc_id").collect()} == {1, 2, 3, 4, 5, 6, 7, None}
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), DATA).count() == 0

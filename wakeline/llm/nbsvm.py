@@ -23,8 +23,8 @@ from pyspark.sql import types as T
 
 #: Hashed n-gram space.
 DIMENSIONS = 1 << 18
-#: Labelled rows the model is fitted on, at most, and n-grams kept of each of them.
-TRAINING_ROWS, TRAINING_NGRAMS = 6000, 4096
+#: Labelled rows the model is fitted on, at most.
+TRAINING_ROWS = 6000
 #: A row is predicted as good from this score on.
 THRESHOLD = 0.7
 #: Characters of a text looked at in one go; words whose shapes a task remembers.
@@ -200,8 +200,9 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) ->
     """Fit on at most ``rows`` labelled rows that are not held out, chosen by a hash.
 
     Labels that are null or contradict each other are left out. A document's text
-    is the only input. The driver sees at most ``rows`` sets of
-    ``TRAINING_NGRAMS`` numbers.
+    is the only input, and every n-gram of it counts. The driver sees at most
+    ``rows`` sets of ``DIMENSIONS`` numbers, in practice the distinct n-grams of a
+    document each.
     """
     chosen = (
         labels.select(F.col("doc_id").cast("bigint"), F.col("quality").cast("int"))
@@ -219,11 +220,7 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) ->
         for batch in batches:
             sets = []
             for text in batch.column(2):
-                ids = ngrams(text.as_py(), shapes)
-                if len(ids) > TRAINING_NGRAMS:
-                    mixed = (ids.astype(np.int64) * 0x9E3779B1) & 0xFFFFFFFF
-                    ids = np.sort(ids[np.argpartition(mixed, TRAINING_NGRAMS)[:TRAINING_NGRAMS]])
-                sets.append(ids)
+                sets.append(ngrams(text.as_py(), shapes))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(sets, pa.list_(pa.int32()))],
                 ["doc_id", "quality", "ids"],
@@ -244,24 +241,31 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) ->
 def add_scores(documents: DataFrame, model: Model, name: str = "score") -> DataFrame:
     """All columns and rows of ``documents``, and ``name``: 0 to 1, likelier good when higher.
 
-    Null and empty texts are scored like any other: by the n-gram of blank texts.
+    A column that has that name already gives way. Null and empty texts are scored
+    like any other: by the n-gram of blank texts. Repeated rows score the same; an
+    empty table gives an empty result.
     """
     inner = (model.weight * model.ratio).astype(np.float32)
     square = (model.ratio * model.ratio).astype(np.float32)
     slope, shift = model.slope, model.shift
+    kept = [f for f in documents.schema.fields if f.name.lower() != name.lower()]
+    held = documents.select(
+        F.struct(*[F.col(f"`{f.name}`") for f in kept]).alias("row"), F.col("text").cast("string").alias("text")
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shapes = _Shapes()
         for batch in batches:
             margins = np.zeros(batch.num_rows)
-            for k, text in enumerate(batch.column(batch.num_columns - 1)):
+            for k, text in enumerate(batch.column(1)):
                 ids = ngrams(text.as_py(), shapes)
                 norm = np.sqrt(square[ids].sum(dtype=np.float64)) + 1e-12
                 margins[k] = inner[ids].sum(dtype=np.float64) / norm
             score = pa.array(logistic(margins, slope, shift))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], score], [*batch.schema.names[:-1], name]
-            )
+            yield pa.RecordBatch.from_arrays([batch.column(0), score], ["row", "score"])
 
-    schema = T.StructType([*documents.schema.fields, T.StructField(name, T.DoubleType())])
-    return documents.select("*", F.col("text").cast("string").alias("text_")).mapInArrow(run, schema)
+    schema = T.StructType([held.schema["row"], T.StructField("score", T.DoubleType())])
+    scored = held.mapInArrow(run, schema)
+    return scored.select(
+        *[F.col(f"row.`{f.name}`").alias(f.name) for f in kept], F.col("score").alias(name)
+    )

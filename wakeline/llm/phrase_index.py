@@ -269,11 +269,18 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, words: int = WORDS
 
 
 def clean(documents: DataFrame, benchmark: DataFrame, words: int = WORDS) -> DataFrame:
-    """The rows of ``documents``, all columns, in which no window occurs."""
+    """The rows of ``documents``, all columns whatever their names, in which no window occurs."""
     hits = (
         find_contamination(documents, benchmark, words)
         .filter("n_hit > 0")
-        .select(F.col("doc_id").alias("id_"), F.col("hash").alias("sum_"))
+        .select(F.col("doc_id").alias("hit_id"), F.col("hash").alias("hit_hash"))
+    )
+    held = documents.select(
+        F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"),
+        F.col("doc_id").alias("own_id"),
+        F.xxhash64("text").alias("own_hash"),
+    )
+    same = F.col("own_id").eqNullSafe(F.col("hit_id")) & (F.col("own_hash") == F.col("hit_hash"))
+    return held.join(hits, same, "left_anti").select(
+        *[F.col(f"row.`{c}`").alias(c) for c in documents.columns]
     )
-    same = F.col("doc_id").eqNullSafe(F.col("id_")) & (F.xxhash64("text") == F.col("sum_"))
-    return documents.join(hits, same, "left_anti")
