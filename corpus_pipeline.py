@@ -12,48 +12,65 @@ import sys
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from wakeline.llm import line_spread, nbsvm, packing, phrase_index, simhash_trie  # noqa: E402
-from wakeline.llm.common import table  # noqa: E402
+from wakeline.llm.common import free_name, table  # noqa: E402
 from wakeline.llm.queries import vocabulary_path  # noqa: E402
 from wakeline.sources.shared import shared_folder  # noqa: E402
 
 
+def _all(docs: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, trained on labelled rows of its input, does not reject."""
+    """Documents that the classifier, trained on labelled rows of its input, does not reject.
+
+    A null or empty text is judged as a blank one. Repeated rows share a verdict; an
+    empty table stays empty; extra columns are kept whatever their names.
+    """
     model = nbsvm.train(docs, table(spark, sf_dir, "labels"))
-    scored = nbsvm.add_scores(docs, model, "quality_score_")
-    return scored.filter(F.col("quality_score_") >= nbsvm.THRESHOLD).drop("quality_score_")
+    name = free_name(docs.columns, "score")
+    scored = nbsvm.add_scores(docs, model, name)
+    return scored.filter(F.col(name) >= nbsvm.THRESHOLD).drop(name)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that stand on many sites."""
-    return line_spread.remove_boilerplate(docs).select(*docs.columns)
+    """Documents without the lines that stand on many sites.
+
+    No document goes: one of nothing but such lines becomes an empty text, a null
+    text stays null, and repeated rows stay. Extra columns are kept.
+    """
+    texts = docs.select("doc_id", "text", "source", F.struct(*_all(docs)).alias("row"))
+    cut = line_spread.remove_boilerplate(texts)
+    return cut.select(
+        *[F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
+    )
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id.
+    """One document of each group whose fingerprints link at two bits or fewer.
 
-    Near copies share 0.8 or more of their five-word shingles. Rows repeated under
-    that id count once; documents without an id stay.
+    See ``simhash_trie.keep_one`` for which one, and for nulls, repeats and ties.
     """
-    groups = simhash_trie.similar_groups(docs.select("doc_id", "text"))
-    firsts = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("first_"))
-    kept = docs.join(firsts, docs["doc_id"] == firsts["first_"], "left_semi").dropDuplicates(["doc_id"])
-    return kept.union(docs.filter("doc_id is null"))
+    return simhash_trie.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Documents without a passage of the benchmark.
+
+    Null and empty texts hold none and stay, as repeated rows do; without benchmark
+    items every document stays. Extra columns are kept.
+    """
     return phrase_index.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces and their places in sequences."""
+    """Token pieces and their places in sequences; a null or empty text is its end id alone."""
     return packing.pack_documents(docs, vocabulary_path())
 
 
