@@ -96,13 +96,10 @@ class Coder:
         for word, found in zip(new, self.learn(new) if new else []):
             self.known[word] = found
             self.held += len(word) + len(found)
-        each = [self.known[w] for w in distinct]
-        flat = np.frombuffer(b"".join(each), dtype="<u4")
-        sizes = np.fromiter(map(len, each), dtype=np.int64, count=len(each)) // 4
-        index = coded.indices.to_numpy()
-        counts = sizes[index]
-        shift = (np.cumsum(sizes) - sizes)[index] - (np.cumsum(counts) - counts)
-        return flat[np.repeat(shift, counts) + np.arange(counts.sum())], counts
+        each = pa.array([self.known[w] for w in distinct], pa.large_binary()).take(coded.indices)
+        _, ends, data = each.buffers()
+        counts = np.diff(np.frombuffer(ends, dtype=np.int64)[: len(each) + 1]) // 4
+        return np.frombuffer(data or b"", dtype="<u4", count=int(counts.sum())), counts
 
 
 def coded_texts(
