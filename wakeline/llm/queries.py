@@ -8,20 +8,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wakeline.llm import (
+    fill_middle,
     hilbert_shards,
     kmeans_tree,
     line_spread,
     nbsvm,
     packing,
     phrase_index,
+    prefix_pieces,
     secrets,
     simhash_trie,
     suffix_arrays,
     url_trees,
+    whitening,
 )
 from wakeline.llm.common import table
 
 VOCABULARY = "word_bpe_49k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -114,6 +118,37 @@ def op10_pack_sequences(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), vocabulary_path())
 
 
+def op11_prefix_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids and decoded texts as digests. A null or empty text has no ids and decodes to an empty one."""
+    model = vocabulary_path(PIECES)
+    coded = prefix_pieces.encode(table(spark, folder, "documents"), model)
+    return prefix_pieces.decode(coded, model).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )
+
+
+def op12_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    """Forms and digests of outputs. A null or empty text is plain with an empty output."""
+    made = fill_middle.fill_in_middle(table(spark, folder, "documents"))
+    return made.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fill_middle.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """Whitened components. Vectors that are null or hold null or non-finite entries have no rows."""
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
@@ -128,6 +163,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op8_kmeans_tree,
             op9_line_spread,
             op10_pack_sequences,
+            op11_prefix_pieces,
+            op12_fill_in_middle,
+            op13_whitening,
         )
     }
 
@@ -190,6 +228,35 @@ from documents d left join kept k using (doc_id)
 """
 
 
+OP12_SQL = r"""
+with tokens as (
+  select doc_id, coalesce(text, '') as text, sha256('42:' || coalesce(cast(doc_id as varchar), '')) as code,
+    regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') as t
+  from documents
+), drawn as (
+  select *, len(t) as n, cast('0x' || substr(code, 1, 8) as bigint) as h1, cast('0x' || substr(code, 9, 8) as bigint) as h2,
+    cast('0x' || substr(code, 17, 8) as bigint) as h3, cast('0x' || substr(code, 25, 8) as bigint) as h4
+  from tokens
+), formed as (
+  select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+    case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h3 % 100 >= 50
+      then 'plain' when h4 % 100 < 80 then 'spm' else 'psm' end as form
+  from drawn
+), cut as (
+  select *, coalesce(array_to_string(t[1 : a], ''), '') as p, coalesce(array_to_string(t[a + 1 : b], ''), '') as m,
+    coalesce(array_to_string(t[b + 1 :], ''), '') as s
+  from formed
+)
+select doc_id, cast(n as bigint) as n, form,
+  case when form <> 'plain' then length(p) end as prefix_chars,
+  case when form <> 'plain' then length(m) end as middle_chars,
+  sha256(case form when 'plain' then text when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m
+    else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256,
+  sha256(text) as restored_sha256
+from cut
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for the operators that it can express on whole tables."""
-    return {"op6_phrase_index": OP6_SQL, "op9_line_spread": OP9_SQL}
+    return {"op6_phrase_index": OP6_SQL, "op9_line_spread": OP9_SQL, "op12_fill_in_middle": OP12_SQL}
