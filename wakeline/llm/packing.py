@@ -4,9 +4,8 @@ Documents become pieces of at most ``capacity`` tokens. What has to be packed is
 then no more than a histogram of lengths. The configuration program (choose how
 often to use each way of filling a sequence, so that every length is covered) is
 solved by multiplicative weights: a length costs less the more of it is covered,
-a knapsack over the capacity finds the best filling at the present costs, and the
-filling is used for a part of what is left. Rounding down leaves a rest, which
-best-fit decreasing puts into the gaps and into new sequences, again by counts.
+and a knapsack over the capacity finds the best fillings at the present costs and
+with them a bound. Rounding down leaves a rest, which is a smaller program.
 """
 
 from __future__ import annotations
@@ -17,6 +16,7 @@ import struct
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -31,6 +31,11 @@ from wakeline.llm.words import Coder, Cuts, coded_texts
 
 CAPACITY = 4096
 END_ID = 1
+#: How near the program comes to its bound, the share of a length that a round may cover, how
+#: fast its weight falls, and how much less than the best a filling may be worth, by rounds.
+GAP, STEP, RATE, NEAR = 0.002, 0.25, 0.5, 0.002
+#: Rounds at most, and how tight fillings are at the bound's prices for either rounding.
+ROUNDS, TIGHT = 8, (0.999, 0.0)
 #: Plain words whose merges go forward together.
 BLOCK = 1 << 16
 #: ASCII white space, and what the names of special tokens start with.
@@ -182,132 +187,201 @@ def tokenise(documents: DataFrame, vocabulary: str, capacity: int = CAPACITY) ->
 
 
 def knapsack(price: np.ndarray, lengths: np.ndarray, capacity: int) -> np.ndarray:
-    """For every room up to the capacity, the length to take first in its best filling; -1: none.
-
-    Of equal fillings the one with the larger length is taken, so fillings are short.
-    """
+    """Worth of the best filling of every room up to the capacity, lengths used any number of times."""
     best = np.zeros(capacity + 1)
-    taken = np.full(capacity + 1, -1, dtype=np.int64)
+    fits = np.searchsorted(lengths, np.arange(capacity + 1), side="right").tolist()
     for room in range(1, capacity + 1):
-        fits = int(np.searchsorted(lengths, room, side="right"))
         best[room] = best[room - 1]
-        if fits:
-            worth = best[room - lengths[:fits]] + price[:fits]
-            k = fits - 1 - int(worth[::-1].argmax())
-            if worth[k] > best[room]:
-                best[room], taken[room] = worth[k], k
-    return taken
-
-
-def filling(taken: np.ndarray, lengths: np.ndarray, room: int) -> dict[int, int]:
-    """The best filling of a room: index of each length and how often it is used."""
-    found: dict[int, int] = defaultdict(int)
-    while room > 0:
-        k = int(taken[room])
-        if k < 0:
-            room -= 1
-        else:
-            found[k] += 1
+        if n := fits[room]:
+            best[room] = max(best[room], (best[room - lengths[:n]] + price[:n]).max())
+    return best
+
+
+class Filler:
+    """Fillings around a length that are worth the most at given prices."""
+
+    def __init__(self, price: np.ndarray, lengths: np.ndarray, capacity: int) -> None:
+        self.price, self.lengths, self.capacity = price, lengths, capacity
+        self.best = knapsack(price, lengths, capacity)
+
+    def around(self, lead: int, stock: np.ndarray) -> tuple[dict[int, int], float]:
+        """The best filling with ``lead`` in it and the others from what is in stock, and its worth.
+
+        Each piece is one of those that leave the rest of the room worth the most; of
+        equals it is the one with most stock, so that none runs out early.
+        """
+        lengths, best = self.lengths, self.best
+        stock = np.ceil(stock)
+        found = {lead: 1}
+        stock[lead] -= 1
+        room, worth = self.capacity - int(lengths[lead]), self.price[lead]
+        while room and (n := int(np.searchsorted(lengths, room, side="right"))):
+            value = np.where(stock[:n] > 0, self.price[:n] + best[room - lengths[:n]], -1.0)
+            most = value.max()
+            if most < 0:
+                break
+            near = np.flatnonzero(value >= most * (1 - 1e-9))
+            k = int(near[stock[near].argmax()])
+            found[k] = found.get(k, 0) + 1
+            stock[k] -= 1
             room -= int(lengths[k])
-    return found
+            worth += self.price[k]
+        return found, float(worth)
+
 
+@dataclass
+class Program:
+    """Fillings with how often each is used, their sum, the bound that no packing beats, and prices."""
 
-def fractional(
-    lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int, step: float = 0.5
-) -> list[tuple[dict[int, int], float]]:
-    """Fillings and how often to use each, by multiplicative weights; none covers too much.
+    fillings: list[tuple[dict[int, int], float]]
+    primal: float
+    dual: float
+    price: np.ndarray
 
-    A round prices every length by what is not covered yet, solves one knapsack and
-    uses, for each length that is left, the best filling around it.
+
+def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> Program:
+    """The covering program over all fillings: use few, and cover every length as often as it is there.
+
+    Multiplicative weights: each length has a weight, and its price is the weight
+    by the count. A knapsack finds what a filling is worth at most. Divided by that,
+    prices are a dual solution, so the sum of the weights by it is a bound. A round
+    uses fillings around each length that are worth nearly the most, and covers a
+    length by no more than a step; the weight of a length falls with the share of it
+    that was covered. Rounds end when the used fillings, with what is not
+    covered yet added in further ones, are within ``GAP`` of the bound.
     """
-    left = counts.astype(float)
+    weight = counts * lengths.astype(float)
+    covered = np.zeros(len(lengths))
     used: dict[tuple, float] = defaultdict(float)
-    for _ in range(rounds):
-        open_ = left >= 1
-        if not open_.any():
-            break
-        price = np.where(open_, lengths * np.exp(-0.02 * (1 - left / counts)), 0.0)
-        taken = knapsack(price, lengths, capacity)
-        for lead in np.flatnonzero(open_)[::-1].tolist():
-            found = filling(taken, lengths, capacity - int(lengths[lead]))
-            found[lead] += 1
-            times = min(left[k] / n for k, n in found.items())
-            times *= step if times > 8 else 1.0
-            if times < 1:
-                continue
+    dual, price = 0.0, weight / counts
+    best: tuple[float, dict[tuple, float]] = (np.inf, {})
+    for turn in range(rounds):
+        filler = Filler(weight / counts, lengths, capacity)
+        bound = float(weight.sum() / filler.best[capacity])
+        if bound > dual:
+            dual, price = bound, filler.price / filler.best[capacity]
+        # Later rounds also take what is worth a little less, for lengths in no filling of the most worth.
+        near = filler.best[capacity] * (1 - min(0.5, NEAR * turn))
+        stock = STEP * counts
+        cover(filler, stock, used, near)
+        fresh = STEP - stock / counts
+        covered += fresh
+        if (turn + 1) * STEP >= 1:
+            trial = defaultdict(float, {f: times / max(covered.max(), 1) for f, times in used.items()})
+            cover(filler, counts * np.maximum(0, 1 - covered / max(covered.max(), 1)), trial, 0.0)
+            if (total := sum(trial.values())) < best[0]:
+                best = (total, dict(trial))
+            if best[0] <= (1 + GAP) * dual:
+                break
+        weight *= np.exp(-RATE * fresh / STEP)
+        weight /= weight.max()
+    return Program([(dict(f), times) for f, times in best[1].items()], best[0], dual, price)
+
+
+def cover(filler: Filler, stock: np.ndarray, used: dict[tuple, float], near: float) -> None:
+    """Use up a fractional stock by fillings that are worth at least ``near``, longest pieces first."""
+    for lead in range(len(stock) - 1, -1, -1):
+        while stock[lead] > 1e-9:
+            found, worth = filler.around(lead, stock)
+            if worth < near:
+                break
+            times = min(stock[k] / n for k, n in found.items())
             for k, n in found.items():
-                left[k] -= times * n
+                stock[k] -= times * n
             used[tuple(sorted(found.items(), reverse=True))] += times
-    return [(dict(f), times) for f, times in used.items()]
 
 
-def pack_histogram(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = 16):
-    """Where the pieces of each length go, as runs, and the number of sequences.
+@dataclass
+class Packing:
+    """Runs of pieces, the number of sequences, and the first program's two bounds.
 
     A run (length, first, count, sequence, offset) says: of this length, pieces
     ``first`` to ``first + count - 1`` go to sequences ``sequence`` onwards, one
-    each, at ``offset``. The number of runs depends on the lengths, not on the rows.
+    each, at ``offset``.
+    """
+
+    runs: list[tuple[int, int, int, int, int]]
+    sequences: int
+    primal: float
+    dual: float
+
+
+def pack_histogram(histogram: dict[int, int], capacity: int = CAPACITY) -> Packing:
+    """Where the pieces of each length go; the number of runs depends on the lengths, not on the rows.
+
+    The program's fillings are used as often as it has them, rounded down: those that its
+    prices say waste nothing, or all of them, whichever needs fewer sequences. What
+    that leaves goes to the smallest gap it fits in, the longest pieces first, and
+    to new sequences.
     """
     lengths = np.array(sorted(histogram), dtype=np.int64)
     counts = np.array([histogram[int(x)] for x in lengths], dtype=np.int64)
-
-    def place(fillings):
-        left, runs, sequences = counts.copy(), [], 0
-        room: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for filling, times in fillings:
-            times = int(min([times, *(left[k] // n for k, n in filling.items())]))
-            if times < 1:
-                continue
-            offset = 0
-            for k, n in filling.items():
-                for _ in range(n):
-                    runs.append((k, times, sequences, offset))
-                    offset += int(lengths[k])
-                left[k] -= times * n
-            room[capacity - offset].append((sequences, times))
-            sequences += times
-        rooms = np.zeros(capacity + 2, dtype=bool)
-        rooms[[r for r in room if r]] = True
-        for k in range(len(lengths) - 1, -1, -1):
-            length = int(lengths[k])
-            while left[k]:
-                space = length + int(rooms[length:].argmax())
-                if rooms[space]:
-                    sequence, count = room[space].pop()
-                    part = int(min(count, left[k]))
-                    if part < count:
-                        room[space].append((sequence + part, count - part))
-                    rooms[space] = bool(room[space])
-                    runs.append((k, part, sequence, capacity - space))
-                    left[k] -= part
-                    after = space - length
-                    room[after].append((sequence, part))
-                else:
-                    each = int(min(capacity // length, left[k]))
-                    part = int(left[k] // each)
-                    runs.extend((k, part, sequences, j * length) for j in range(each))
-                    left[k] -= part * each
-                    after = capacity - each * length
-                    room[after].append((sequences, part))
-                    sequences += part
-                if after:
-                    rooms[after] = True
-        return runs, sequences
-
-    best, sequences = place(fractional(lengths, counts, capacity, rounds) if len(lengths) else [])
-    # With few pieces of each length rounding down leaves nearly all to the second step.
-    plain, fewer = place([])
-    if fewer < sequences:
-        best, sequences = plain, fewer
+    if not counts.any():
+        return Packing([], 0, 0.0, 0.0)
+    program = solve(lengths, counts, capacity)
+    placed, sequences = min((place(program, lengths, counts, capacity, t) for t in TIGHT), key=lambda p: p[1])
     first: dict[int, int] = defaultdict(int)
-    runs = []
-    for k, count, sequence, offset in best:
-        runs.append((int(lengths[k]), first[k], count, sequence, offset))
+    numbered = []
+    for k, count, sequence, offset in placed:
+        numbered.append((int(lengths[k]), first[k], count, sequence, offset))
         first[k] += count
+    return Packing(numbered, sequences, program.primal, program.dual)
+
+
+def place(
+    program: Program, lengths: np.ndarray, counts: np.ndarray, capacity: int, tight: float
+) -> tuple[list[tuple[int, int, int, int]], int]:
+    """Runs of one rounding and its sequences: fillings worth ``tight`` at least, then gaps."""
+    left = counts.copy()
+    runs: list[tuple[int, int, int, int]] = []
+    sequences = 0
+
+    def use(found: dict[int, int], times: int) -> None:
+        nonlocal sequences
+        offset = 0
+        for k, n in sorted(found.items(), reverse=True):
+            for _ in range(n):
+                runs.append((k, times, sequences, offset))
+                offset += int(lengths[k])
+            left[k] -= times * n
+        sequences += times
+
+    gaps: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    for found, times in sorted(program.fillings, key=lambda f: -f[1]):
+        worth = sum(program.price[k] * n for k, n in found.items())
+        times = int(min([times + 1e-9, *(left[k] // n for k, n in found.items())]))
+        if times > 0 and worth >= tight:
+            room = capacity - sum(int(lengths[k]) * n for k, n in found.items())
+            gaps[room].append((sequences, times))
+            use(found, times)
+    rooms = np.zeros(capacity + 2, dtype=bool)
+    rooms[[r for r in gaps if r]] = True
+    for k in range(len(lengths) - 1, -1, -1):
+        length = int(lengths[k])
+        while left[k]:
+            space = length + int(rooms[length:].argmax())
+            if rooms[space]:
+                sequence, count = gaps[space].pop()
+                part = int(min(count, left[k]))
+                if part < count:
+                    gaps[space].append((sequence + part, count - part))
+                rooms[space] = bool(gaps[space])
+                runs.append((k, part, sequence, capacity - space))
+                left[k] -= part
+                after = space - length
+                gaps[after].append((sequence, part))
+            else:
+                each = int(min(capacity // length, left[k]))
+                part = int(left[k] // each)
+                after = capacity - each * length
+                gaps[after].append((sequences, part))
+                use({k: each}, part)
+            if after:
+                rooms[after] = True
     return runs, sequences
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = 16) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to pieces with a ``length`` of 1 to ``capacity``.
 
     Pieces of one length are numbered in slices, so one length may hold any share
@@ -316,8 +390,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = 16) -> DataF
     """
     pieces = settle(pieces)
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
-    runs, _ = pack_histogram(counts, capacity, rounds)
-    table = np.array(sorted(runs), dtype=np.int64).reshape(-1, 5)
+    table = np.array(sorted(pack_histogram(counts, capacity).runs), dtype=np.int64).reshape(-1, 5)
     keys = (table[:, 0] << 44) | table[:, 1]
 
     ranked = rank_within(pieces, "length", ["doc_id", "piece", "ids_crc32"], counts)
