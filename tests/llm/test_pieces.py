@@ -105,6 +105,9 @@ def test_long_texts_in_parts(spark, library, monkeypatch):
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
     found = {r["doc_id"]: r["ids"] for r in prefix_pieces.encode(frame, PATH).collect()}
     assert found == dict(enumerate(library.encode(texts)))
+    read = prefix_pieces.round_trip(frame, PATH).collect()
+    assert {r["doc_id"]: r["ids"] for r in read} == found
+    assert {r["doc_id"]: r["text"] for r in read} == dict(enumerate(map(library.decode, library.encode(texts))))
 
 
 def test_other_files_are_refused(tmp_path):

@@ -368,39 +368,67 @@ def _bytewise(error: UnicodeError) -> tuple[str, int]:
     return "�", error.start + 1
 
 
+def _coded(pieces: Pieces, coder: Coder, texts: pa.Array) -> Iterator[tuple[int, int, pa.Array, np.ndarray]]:
+    """Rows ``first`` to ``stop`` of some texts, their ids in a row, and the offsets that part them."""
+    front, none = (pa.scalar(x, pa.large_string()) for x in (" ", ""))
+    texts = pc.replace_substring(texts.fill_null("").cast(pa.large_string()), SPACE, " ")
+    texts = pc.if_else(
+        pc.equal(pc.binary_length(texts), 0), texts, pc.binary_join_element_wise(front, texts, none)
+    )
+    parts: list[np.ndarray] = []
+    for rows, bounds, ends, codes in coded_texts(texts, pieces.cuts, coder):
+        parts.append(codes.astype(np.int32))
+        if ends:
+            ids = np.concatenate(parts)
+            offsets = bounds if len(parts) == 1 else np.array([0, len(ids)])
+            parts = []
+            yield int(rows[0]), int(rows[-1]) + 1, pa.array(ids), offsets
+
+
+def _lists(ids: pa.Array, offsets: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), ids)
+
+
 def encode(documents: DataFrame, model: str) -> DataFrame:
     """``(doc_id, ids)`` of every row: the ids of the whole text, without begin or end.
 
     ``model`` is the path of the model file on the machines. A null or empty text has
     no ids; null ids of documents and repeated rows stay; an empty table gives an empty
-    result. Each distinct word of a batch is coded once, and a very long text goes
+    result. Each distinct word of a chunk is coded once, and a very long text goes
     through in parts that end between words.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(model)
         coder = Coder(pieces.learn)
-        front, none = (pa.scalar(x, pa.large_string()) for x in (" ", ""))
         for batch in batches:
-            texts = batch.column(1).fill_null("").cast(pa.large_string())
-            texts = pc.replace_substring(texts, SPACE, " ")
-            led = pc.binary_join_element_wise(front, texts, none)
-            texts = pc.if_else(pc.equal(pc.binary_length(texts), 0), texts, led)
-            counts = np.zeros(len(texts), dtype=np.int64)
-            found = []
-            for rows, bounds, _, codes in coded_texts(texts, pieces.cuts, coder):
-                counts[rows] += np.diff(bounds)
-                found.append(codes.astype(np.int32))
-            values = np.concatenate(found) if found else np.zeros(0, np.int32)
-            offsets = np.append(0, np.cumsum(counts)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))],
-                ["doc_id", "ids"],
-            )
-
-    return documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(
-        run, "doc_id bigint, ids array<int>"
-    )
+            for first, stop, ids, offsets in _coded(pieces, coder, batch.column(1)):
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0)[first:stop], _lists(ids, offsets)], ["doc_id", "ids"]
+                )
+
+    return _input(documents).mapInArrow(run, "doc_id bigint, ids array<int>")
+
+
+def round_trip(documents: DataFrame, model: str) -> DataFrame:
+    """``(doc_id, ids, text)``: what ``decode`` reads from the ids of ``encode``, in one pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codecs.register_error("wakeline-bytewise", _bytewise)
+        pieces = Pieces(model)
+        coder = Coder(pieces.learn)
+        for batch in batches:
+            for first, stop, ids, offsets in _coded(pieces, coder, batch.column(1)):
+                texts = pieces.decode(ids, offsets).cast(pa.string())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0)[first:stop], _lists(ids, offsets), texts], ["doc_id", "ids", "text"]
+                )
+
+    return _input(documents).mapInArrow(run, "doc_id bigint, ids array<int>, text string")
+
+
+def _input(documents: DataFrame) -> DataFrame:
+    return documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
 
 
 def decode(coded: DataFrame, model: str) -> DataFrame:
@@ -415,10 +443,9 @@ def decode(coded: DataFrame, model: str) -> DataFrame:
         pieces = Pieces(model)
         for batch in batches:
             lists = batch.column(1)
-            values = lists.flatten()
             counts = np.asarray(pc.fill_null(pc.list_value_length(lists), 0))
             offsets = np.append(0, np.cumsum(counts, dtype=np.int64))
-            texts = pieces.decode(values, offsets).cast(pa.string())
+            texts = pieces.decode(lists.flatten(), offsets).cast(pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), lists, texts], ["doc_id", "ids", "text"])
 
     return coded.select(

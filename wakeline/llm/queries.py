@@ -120,9 +120,8 @@ def op10_pack_sequences(spark: SparkSession, folder: str) -> DataFrame:
 
 def op11_prefix_pieces(spark: SparkSession, folder: str) -> DataFrame:
     """Ids and decoded texts as digests. A null or empty text has no ids and decodes to an empty one."""
-    model = vocabulary_path(PIECES)
-    coded = prefix_pieces.encode(table(spark, folder, "documents"), model)
-    return prefix_pieces.decode(coded, model).select(
+    read = prefix_pieces.round_trip(table(spark, folder, "documents"), vocabulary_path(PIECES))
+    return read.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),

@@ -13,9 +13,10 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text coded at a time; a longer text is coded in parts that end between words.
-CHUNK = 1 << 24
-#: Bytes of words and codes that a task remembers; beyond it the memory starts anew.
-REMEMBERED = 1 << 26
+CHUNK = 1 << 22
+#: Bytes of words and codes that a task remembers, and what each takes besides; beyond it the
+#: memory starts anew.
+REMEMBERED, ENTRY = 96 << 20, 220
 
 
 class Cuts:
@@ -95,7 +96,7 @@ class Coder:
         new = [w for w in distinct if w not in self.known]
         for word, found in zip(new, self.learn(new) if new else []):
             self.known[word] = found
-            self.held += len(word) + len(found)
+            self.held += len(word) + len(found) + ENTRY
         each = pa.array([self.known[w] for w in distinct], pa.large_binary()).take(coded.indices)
         _, ends, data = each.buffers()
         counts = np.diff(np.frombuffer(ends, dtype=np.int64)[: len(each) + 1]) // 4
