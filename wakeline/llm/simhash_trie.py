@@ -288,10 +288,12 @@ def keep_one(documents: DataFrame, budget: int = BUDGET) -> DataFrame:
     mark = F.xxhash64(*plain)
     rows = settle(fingerprints(documents, mark.alias("mark")))
     place = F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "mark")
+    # Copies share a fingerprint, so a large group is one row before it is joined.
+    of_prints = rows.groupBy("fp").agg(F.min(place).alias("place"))
     firsts = (
-        rows.join(linked(rows, budget).select("fp", "root"), "fp")
+        of_prints.join(linked(rows, budget).select("fp", "root"), "fp")
         .groupBy("root")
-        .agg(F.min(place).alias("place"))
+        .agg(F.min("place").alias("place"))
         .select(F.col("place.doc_id").alias("first_id"), F.col("place.mark").alias("first_mark"))
     )
     held = documents.select(
