@@ -289,12 +289,66 @@ def test_neighbours(spark):
     assert out.keys() == expected.keys()
     near = {(q, v) for (q, _), (v, _) in expected.items()}
     assert sum((q, v) in near for (q, _), (v, _) in out.items()) >= 0.9 * len(near)
-    odd = {0: [1.0, 0.0], 1: [0.0, 0.0], 2: None, 3: [1.0, None], 4: [float("nan"), 1.0], 5: [2.0, 0.0], 6: [3.0, 0.0], 50: [1e300, 1e300], 7: [1.0]}
-    frame = spark.createDataFrame(list(odd.items()), "vec_id bigint, embedding array<double>").withColumn("leaf", F.lit(1))
-    found = kmeans_tree.nearest(frame.union(frame), F.col("vec_id") % 50 == 0)
-    rows = {(r["query_id"], r["rank"]): r["vec_id"] for r in found.collect()}
-    assert rows == {(0, 1): 5, (0, 2): 6, (0, 3): 50, (50, 1): 0, (50, 2): 5, (50, 3): 6}
-    assert kmeans_tree.nearest(frame.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+    odd = [(0, [1.0, 0.0]), (1, [0.0, 0.0]), (2, None), (3, [1.0, None]), (4, [float("nan"), 1.0]), (5, [2.0, 0.0]),
+           (6, [3.0, 0.0]), (50, [1e300, 1e300]), (7, [1.0]), (100, [3.0]), (None, [1.0, 0.0])]
+    frame = spark.createDataFrame(odd, "vec_id bigint, embedding array<double>").withColumn("leaf", F.lit(1))
+    is_query = F.col("vec_id") % 50 == 0
+    rows = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in kmeans_tree.nearest(frame, is_query).collect())
+    wanted = [(0, 1, 5), (0, 2, 6), (0, 3, 50), (50, 1, 0), (50, 2, 5), (50, 3, 6), (100, 1, 7)]
+    assert rows == wanted
+    assert kmeans_tree.nearest(frame.limit(0), is_query).count() == 0
+
+
+def plain_neighbours(rows, every, k=5):
+    """All rows against all, by row: sorted (query id, rank, id, score to nine digits)."""
+    found = []
+    for i, (own, v) in enumerate(rows):
+        if own % every:
+            continue
+        scored = []
+        for j, (other, w) in enumerate(rows):
+            if i != j and len(w) == len(v):
+                a, b = np.array(v) / np.abs(v).max(), np.array(w) / np.abs(w).max()
+                scored.append((-round(float(a @ b / np.sqrt((a @ a) * (b @ b))), 9), other))
+        found += [(own, rank + 1, other, -s) for rank, (s, other) in enumerate(sorted(scored)[:k])]
+    return sorted(found)
+
+
+def test_neighbours_of_repeated_ids_copies_and_lengths(spark):
+    rng = np.random.default_rng(4)
+    rows = [(int(k) % 40, rng.integers(-3, 4, 3).astype(float).tolist()) for k in range(120)]
+    rows += [(k, [1.0, 2.0, 2.0]) for k in range(60)] + [(5, [2.0, 4.0, 4.0])] * 3
+    rows += [(k, rng.standard_normal(2).tolist()) for k in range(25)]
+    rows = [(k, v) for k, v in rows if any(v)]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(5)
+    found = kmeans_tree.nearest(frame, F.col("vec_id") % 10 == 0).collect()
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in found)
+    assert got == plain_neighbours(rows, 10)
+
+
+def test_recall_over_many_leaves(spark, monkeypatch):
+    """Queries that calibration has not seen, in a tree of more than a hundred leaves."""
+    monkeypatch.setattr(kmeans_tree, "LEAF_ROWS", 16)
+    monkeypatch.setattr(kmeans_tree, "CELL_ROWS", 64)
+    monkeypatch.setattr(kmeans_tree, "ASKED_ROWS", 16)
+    folder = "/root/testdata/sf0.1"
+    vectors = dict(read(f"select vec_id, embedding from '{folder}/embeddings.parquet'"))
+    seen = {}
+
+    def build(*args, real=kmeans_tree.build):
+        seen["index"] = real(*args)
+        return seen["index"]
+
+    monkeypatch.setattr(kmeans_tree, "build", build)
+    frame = spark.read.parquet(f"{folder}/embeddings.parquet")
+    out = kmeans_tree.nearest(frame, F.col("vec_id") % 10 == 0).collect()
+    index = seen["index"]
+    assert index.tree.leaves > 100 and 1 < index.visits < index.tree.leaves
+    expected = brute.neighbours(vectors, 10)
+    assert len(out) == len(expected) == 1000
+    near = {(q, v) for (q, _), (v, _) in expected.items()}
+    # 64 of the 200 queries were calibrated on, so most of these were not.
+    assert sum((r["query_id"], r["vec_id"]) in near for r in out) >= 0.9 * len(near)
 
 
 def test_lines(spark):

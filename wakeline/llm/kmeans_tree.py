@@ -24,6 +24,8 @@ SAMPLE_ROWS, SAMPLE_NUMBERS = 20_000, 8_000_000
 BRANCH, MOST_LEAVES, LEAF_ROWS = 8, 4096, 256
 #: Queries whose neighbours are found exactly, and the share that has to be found.
 CALIBRATION, RECALL = 64, 0.95
+#: Queries that one task scores them for, about.
+ASKED_ROWS = 4096
 #: Vectors that one task scores: leaves that follow each other, or a part of a large leaf.
 CELL_ROWS = 4096
 
@@ -107,24 +109,38 @@ def grow(sample: np.ndarray, leaf_rows: int) -> Tree:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """``(vec_id, v)`` as doubles: finite, not zero, of the most frequent length, one per id.
+    """``(row, vec_id, v)``: every row whose vector is there, finite and not zero, as doubles.
 
     Rows that are null or hold null or non-finite components take no part, nor do
-    rows without an id. Of several vectors under one id the smallest counts.
+    rows without an id. ``row`` numbers the rows, so that repeated ids stay apart.
     """
     v = F.col("embedding").cast("array<double>")
-    rows = (
+    rows = settle(
         vectors.select(F.col("vec_id").cast("bigint"), v.alias("v"))
         .filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull())
         .filter(F.coalesce(F.forall("v", lambda x: x.isNotNull()), F.lit(False)))
         .filter(F.forall("v", lambda x: ~F.isnan(x) & (F.abs(x) < float("inf"))))
         .filter(F.exists("v", lambda x: x != 0))
-        .groupBy("vec_id")
-        .agg(F.min("v").alias("v"))
     )
-    rows = settle(rows)
-    sizes = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).take(1)
-    return rows.filter(F.size("v") == sizes[0]["n"]) if sizes else rows
+    # The rows of a checkpoint keep their places, so the numbers stay when a task is done again.
+    return rows.select(F.monotonically_increasing_id().alias("row"), "vec_id", "v")
+
+
+def distinct_vectors(rows: DataFrame, k: int) -> DataFrame:
+    """``(number, vec_id, v, held)``: each vector once, with its smallest id and its first rows.
+
+    ``held`` has the ``k + 1`` rows of the smallest ids: no query needs more of equal
+    vectors, one of which may be its own row. The limit holds in every task before
+    rows move, so copies of one vector cost little. ``number`` is the first row's.
+    """
+    copies = Window.partitionBy("v").orderBy("vec_id", "row")
+    held = (
+        rows.withColumn("nth", F.row_number().over(copies))
+        .filter(F.col("nth") <= k + 1)
+        .groupBy("v")
+        .agg(F.array_sort(F.collect_list(F.struct("vec_id", "row"))).alias("held"))
+    )
+    return held.select(F.expr("held[0].row as number"), F.expr("held[0].vec_id as vec_id"), "v", "held")
 
 
 def matrix(column: pd.Series) -> np.ndarray:
@@ -146,68 +162,66 @@ def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def best_of(
-    q_ids: np.ndarray,
+    asked: np.ndarray,
     q: np.ndarray,
+    numbers: np.ndarray,
     ids: np.ndarray,
     v: np.ndarray,
     k: int,
     open_: np.ndarray | None = None,
     group: np.ndarray | None = None,
 ) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query its ``k`` nearest of a block: largest cosine, then smaller id.
+    """For each query its ``k`` nearest of a block: largest cosine, then smaller id, then number.
 
     With ``open_`` and ``group`` a query sees only vectors of groups that are open to
     it. A matrix product finds who is in reach of the k-th place; only they are
-    scored pair by pair.
+    scored pair by pair. Gives the query, places in the block, and scores.
     """
     unit_q, unit_v = normal(q), normal(v)
     for start in range(0, len(q), 256):
         rough = unit_q[start : start + 256] @ unit_v.T
         if open_ is not None:
             rough[~open_[start : start + 256][:, group]] = -np.inf
-        for row, query, own in zip(rough, q[start : start + 256], q_ids[start : start + 256]):
-            row[ids == own] = -np.inf
+        for row, query, own in zip(rough, q[start : start + 256], asked[start : start + 256]):
             edge = np.partition(row, -k)[-k] if len(row) > k else -2.0
             close = np.flatnonzero((row >= edge - 1e-9) & (row > -np.inf))
             scores = cosine(np.broadcast_to(query, (len(close), len(query))), v[close])
-            first = np.lexsort((ids[close], -scores))[:k]
-            yield int(own), ids[close][first], scores[first]
+            first = np.lexsort((numbers[close], ids[close], -scores))[:k]
+            yield int(own), close[first], scores[first]
 
 
-FOUND = "query_id bigint, vec_id bigint, score double"
+FOUND = "query bigint, number bigint, vec_id bigint, score double"
 
 
-def _frame(found: list[tuple[int, np.ndarray, np.ndarray]]) -> pd.DataFrame:
+def _frame(
+    found: list[tuple[int, np.ndarray, np.ndarray]], numbers: np.ndarray, ids: np.ndarray
+) -> pd.DataFrame:
+    places = np.concatenate([f[1] for f in found]) if found else np.zeros(0, np.int64)
     return pd.DataFrame(
         {
-            "query_id": np.repeat([f[0] for f in found], [len(f[1]) for f in found]).astype(np.int64),
-            "vec_id": np.concatenate([f[1] for f in found]) if found else np.zeros(0, np.int64),
+            "query": np.repeat([f[0] for f in found], [len(f[1]) for f in found]).astype(np.int64),
+            "number": numbers[places],
+            "vec_id": ids[places],
             "score": np.concatenate([f[2] for f in found]) if found else np.zeros(0),
         }
     )
 
 
 def ranked(found: DataFrame, k: int) -> DataFrame:
-    nearest = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (
-        found.withColumn("rank", F.row_number().over(nearest))
-        .filter(F.col("rank") <= k)
-        .select("query_id", "rank", "vec_id", "score")
-    )
+    nearest = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "number")
+    return found.withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= k)
 
 
-def exact(vectors: DataFrame, queries: pd.DataFrame, k: int) -> DataFrame:
+def exact(vectors: DataFrame, asked: np.ndarray, q: np.ndarray, k: int) -> DataFrame:
     """Brute force for a bounded set of queries, in blocks over all vectors."""
-    q_ids, q = queries["vec_id"].to_numpy(), matrix(queries["v"])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             if len(frame):
-                yield _frame(
-                    list(best_of(q_ids, q, frame["vec_id"].to_numpy(), matrix(frame["v"]), k))
-                )
+                numbers, ids = frame["number"].to_numpy(), frame["vec_id"].to_numpy()
+                yield _frame(list(best_of(asked, q, numbers, ids, matrix(frame["v"]), k)), numbers, ids)
 
-    return ranked(vectors.mapInPandas(run, FOUND), k)
+    return ranked(vectors.select("number", "vec_id", "v").mapInPandas(run, FOUND), k)
 
 
 @dataclass
@@ -221,35 +235,38 @@ class Index:
     recall: float
 
 
-def build(vectors: DataFrame, is_query: Column, k: int, recall: float = RECALL) -> Index:
-    """Fit, file all of ``vectors(vec_id, v)`` and calibrate. None of it may be empty."""
+def build(vectors: DataFrame, queries: DataFrame, k: int, recall: float = RECALL) -> Index:
+    """Fit, file all of ``vectors(number, vec_id, v)`` and calibrate. None of it may be empty.
+
+    Vectors are distinct and of one length. Calibration asks ``queries`` for their
+    ``k`` nearest, themselves included.
+    """
     count, dims = vectors.count(), len(vectors.first()["v"])
     rows = max(BRANCH, min(SAMPLE_ROWS, SAMPLE_NUMBERS // dims))
-    by_hash = [F.xxhash64("vec_id"), F.col("vec_id")]
-    sample = normal(matrix(vectors.orderBy(*by_hash).limit(rows).toPandas()["v"]))
+    by_hash = [F.xxhash64("v"), F.col("number")]
+    sample = normal(matrix(vectors.select("number", "v").orderBy(*by_hash).limit(rows).toPandas()["v"]))
     leaves = min(MOST_LEAVES, max(1, count // LEAF_ROWS))
     tree = grow(sample, max(4, len(sample) // leaves))
 
-    def file(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+    def file(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in batches:
             if len(frame):
                 frame["leaf"] = tree.file(normal(matrix(frame["v"])))
             else:
                 frame["leaf"] = np.zeros(0, np.int32)
             yield frame
 
-    filed = settle(vectors.mapInPandas(file, "vec_id bigint, v array<double>, leaf int"))
+    kept = vectors.select("number", "vec_id", "v")
+    filed = settle(kept.mapInPandas(file, "number bigint, vec_id bigint, v array<double>, leaf int"))
     sizes = {r["leaf"]: r["count"] for r in filed.groupBy("leaf").count().collect()}
-    known = vectors.filter(is_query).orderBy(*by_hash).limit(CALIBRATION).toPandas()
+    known = queries.select("number", "v").orderBy(*by_hash).limit(CALIBRATION).toPandas()
     if not len(known):
         return Index(tree, filed, sizes, 1, 1.0)
-    truth = exact(vectors, known, k)
-    homes = truth.join(filed.select("vec_id", "leaf"), "vec_id").select("query_id", "leaf").collect()
-    order = {
-        int(i): {leaf: at for at, leaf in enumerate(tree.visits(u, tree.leaves))}
-        for i, u in zip(known["vec_id"], normal(matrix(known["v"])))
-    }
-    needed = np.sort([order[r["query_id"]][r["leaf"]] + 1 for r in homes])
+    asked, q = np.arange(len(known)), matrix(known["v"])
+    truth = exact(filed, asked, q, k)
+    homes = truth.join(filed.select("number", "leaf"), "number").select("query", "leaf").collect()
+    order = [{leaf: at for at, leaf in enumerate(tree.visits(u, tree.leaves))} for u in normal(q)]
+    needed = np.sort([order[r["query"]][r["leaf"]] + 1 for r in homes])
     visits = int(needed[int(np.ceil(recall * len(needed))) - 1]) if len(needed) else 1
     found = float((needed <= visits).mean()) if len(needed) else 1.0
     return Index(tree, filed, sizes, visits, found)
@@ -273,10 +290,12 @@ def cells_of(sizes: dict[int, int], leaves: int) -> dict[int, tuple[int, int]]:
 
 
 def search(index: Index, queries: DataFrame, k: int) -> DataFrame:
-    """The ``k`` nearest found for each of ``queries(vec_id, v)``: query_id, rank, vec_id, score.
+    """The ``k`` nearest vectors found for each of ``queries(query, v)``: query, rank, number, score.
 
     A query meets the leaves that it visits in cells of bounded size, so a leaf may
-    hold any share of the vectors and a cell gives ``k`` rows for a query at most.
+    hold any share of the vectors and a cell gives ``k`` rows for a query at most. The
+    queries of a busy cell are dealt to parts, each with the cell's vectors, so a
+    task holds at most ``CELL_ROWS`` vectors and about ``ASKED_ROWS`` queries.
     Every visited vector is scored; nothing is cut before the last rank.
     """
     tree, visits, sizes = index.tree, index.visits, index.sizes
@@ -289,7 +308,7 @@ def search(index: Index, queries: DataFrame, k: int) -> DataFrame:
                 row, cell, leaves = [], [], []
                 for n, u in enumerate(normal(matrix(part["v"]))):
                     seen: dict[int, list[int]] = {}
-                    for leaf in tree.visits(u, visits, sizes, k + 1):
+                    for leaf in tree.visits(u, visits, sizes, k):
                         first, count = cells.get(leaf, (0, 0))
                         for c in range(first, first + count):
                             seen.setdefault(c, []).append(leaf)
@@ -301,41 +320,86 @@ def search(index: Index, queries: DataFrame, k: int) -> DataFrame:
                 yield out
 
     def score(members: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        numbers, ids = members["number"].to_numpy(), members["vec_id"].to_numpy()
         if not len(members) or not len(asked):
-            return _frame([])
+            return _frame([], numbers, ids)
         names, group = np.unique(members["leaf"].to_numpy(), return_inverse=True)
         open_ = np.stack([np.isin(names, leaves) for leaves in asked["leaves"]])
-        ids, v = members["vec_id"].to_numpy(), matrix(members["v"])
-        asked_ids = asked["vec_id"].to_numpy()
-        return _frame(list(best_of(asked_ids, matrix(asked["v"]), ids, v, k, open_, group)))
+        q, v = matrix(asked["v"]), matrix(members["v"])
+        best = best_of(asked["query"].to_numpy(), q, numbers, ids, v, k, open_, group)
+        return _frame(list(best), numbers, ids)
+
+    spark = index.filed.sparkSession
+    asked = settle(queries.mapInPandas(route, "query bigint, v array<double>, cell int, leaves array<int>"))
+    # One number per cell, of which there is one for some CELL_ROWS vectors.
+    busy = {r["cell"]: -(-r["count"] // ASKED_ROWS) for r in asked.groupBy("cell").count().collect()}
+
+    def parts() -> DataFrame:
+        return spark.createDataFrame(sorted(busy.items()) or [(-1, 1)], "cell int, parts bigint")
 
     # At most one row per leaf, and MOST_LEAVES bounds those.
-    homes = index.filed.sparkSession.createDataFrame(
+    homes = spark.createDataFrame(
         [(leaf, first, count) for leaf, (first, count) in cells.items()],
         "leaf int, first_cell int, cells int",
     )
-    members = index.filed.join(F.broadcast(homes), "leaf").select(
-        "vec_id",
-        "v",
-        "leaf",
-        (F.col("first_cell") + F.pmod(F.xxhash64("vec_id"), F.col("cells"))).cast("int").alias("cell"),
+    members = (
+        index.filed.join(F.broadcast(homes), "leaf")
+        .select(
+            "number",
+            "vec_id",
+            "v",
+            "leaf",
+            (F.col("first_cell") + F.pmod(F.xxhash64("v"), F.col("cells"))).cast("int").alias("cell"),
+        )
+        .join(parts(), "cell")
+        .withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
     )
-    asked = queries.mapInPandas(route, "vec_id bigint, v array<double>, cell int, leaves array<int>")
-    found = members.groupBy("cell").cogroup(asked.groupBy("cell")).applyInPandas(score, FOUND)
+    dealt = asked.join(parts(), "cell").withColumn("part", F.pmod(F.xxhash64("query"), F.col("parts")))
+    found = members.groupBy("cell", "part").cogroup(dealt.groupBy("cell", "part")).applyInPandas(score, FOUND)
     return ranked(found, k)
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 5, recall: float = RECALL) -> DataFrame:
-    """The ``k`` nearest neighbours of each query row among all other rows.
-
-    ``vectors`` has vec_id and embedding; ``is_query`` is a condition on vec_id.
-    See ``usable`` for the rows that take part. With fewer candidates than ``k``
-    all are returned; without vectors the result is empty.
+    """The ``k`` nearest neighbours of each query row among all other rows of its length.
+
+    ``vectors`` has vec_id and embedding; ``is_query`` is a condition on vec_id. See
+    ``usable`` for the rows that take part. Every row is a candidate for all others,
+    also for those under the same id or with the same vector, and a query row
+    gets results of its own. Ties go to the smaller vec_id. With fewer candidates than
+    ``k`` all are returned; without vectors the result is empty. Vectors of each
+    length have an index of their own.
     """
     rows = usable(vectors)
-    if not rows.limit(1).count():
+    found = None
+    for r in rows.groupBy(F.size("v").alias("n")).count().orderBy("n").collect():
+        part = _nearest_of_length(rows.filter(F.size("v") == r["n"]), is_query, k, recall)
+        found = part if found is None else found.unionByName(part)
+    if found is None:
         return rows.sparkSession.createDataFrame(
             [], "query_id bigint, rank int, vec_id bigint, score double"
         )
-    index = build(rows, is_query, k, recall)
-    return search(index, rows.filter(is_query), k)
+    return found
+
+
+def _nearest_of_length(rows: DataFrame, is_query: Column, k: int, recall: float) -> DataFrame:
+    """Equal vectors are one in the search and one query; rows come back at the end."""
+    vectors = settle(distinct_vectors(rows, k))
+    asked = rows.filter(is_query)
+    wanted = vectors.join(asked.select("v").distinct(), "v", "left_semi")
+    # A query's own row may be among what is found, so one more is searched for.
+    index = build(vectors, wanted, k + 1, recall)
+    near = search(index, wanted.select(F.col("number").alias("query"), "v"), k + 1)
+    others = near.join(vectors.select("number", "held"), "number").select(
+        "query", "score", F.explode("held").alias("other")
+    )
+    owners = asked.join(vectors.select(F.col("number").alias("query"), "v"), "v").select(
+        "query", F.col("vec_id").alias("query_id"), F.col("row").alias("own")
+    )
+    first = Window.partitionBy("own").orderBy(F.desc("score"), "other.vec_id", "other.row")
+    return (
+        owners.join(others, "query")
+        .filter(F.col("own") != F.col("other.row"))
+        .withColumn("rank", F.row_number().over(first))
+        .filter(F.col("rank") <= k)
+        .select("query_id", "rank", F.col("other.vec_id").alias("vec_id"), "score")
+    )
