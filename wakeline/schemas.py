@@ -20,31 +20,66 @@ def _table(**columns: str) -> T.StructType:
     return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in columns.items()])
 
 
-def _wide_columns() -> dict[str, str]:
-    """The telemetry row: 57 columns, null where nothing was measured."""
-    columns = {"vessel_id": "id", "nr_time": "time", "nr_type": "text"}
-    columns |= {c: "degrees" for c in ("longitude", "latitude")}
-    columns |= {"distance": "number", "average_speed_gps": "degrees"}
-    columns |= {"distance_through_water": "number", "course": "degrees"}
-    for n in (1, 2, 3):
-        columns |= {f"me{n}_run_hours": "decimal", f"me{n}_consumption": "decimal"}
-        columns |= {f"me{n}_fuel_type": "number", f"me{n}_power_at_shaft": "number"}
-    for n in (1, 2, 3, 4):
-        columns |= {f"ae{n}_run_hours": "decimal", f"ae{n}_consumption": "decimal"}
-        columns |= {f"ae{n}_fuel_type": "number", f"ae{n}_energy_produced": "decimal"}
-    columns |= {
-        c: "number"
-        for c in (
-            "wind_direction wind_strength sea_state sea_state_direction current_direction "
-            "current_strength ballast_water cargo_tonns draft_forward draft_aft draft_middle "
-            "destination_port departure_port eta_next_port charter_speed_order "
-            "boiler_consumption boiler_fuel_type reporting_period"
-        ).split()
-    }
-    return columns | {"update_datetime": "time", "speed_through_water": "degrees"}
-
-
-_WIDE = _wide_columns()
+# The columns of a telemetry row.
+_WIDE = {
+    "vessel_id": "id",
+    "nr_time": "time",
+    "nr_type": "text",
+    "longitude": "degrees",
+    "latitude": "degrees",
+    "distance": "number",
+    "average_speed_gps": "degrees",
+    "distance_through_water": "number",
+    "course": "degrees",
+    "me1_run_hours": "decimal",
+    "me1_consumption": "decimal",
+    "me1_fuel_type": "number",
+    "me1_power_at_shaft": "number",
+    "me2_run_hours": "decimal",
+    "me2_consumption": "decimal",
+    "me2_fuel_type": "number",
+    "me2_power_at_shaft": "number",
+    "me3_run_hours": "decimal",
+    "me3_consumption": "decimal",
+    "me3_fuel_type": "number",
+    "me3_power_at_shaft": "number",
+    "ae1_run_hours": "decimal",
+    "ae1_consumption": "decimal",
+    "ae1_fuel_type": "number",
+    "ae1_energy_produced": "decimal",
+    "ae2_run_hours": "decimal",
+    "ae2_consumption": "decimal",
+    "ae2_fuel_type": "number",
+    "ae2_energy_produced": "decimal",
+    "ae3_run_hours": "decimal",
+    "ae3_consumption": "decimal",
+    "ae3_fuel_type": "number",
+    "ae3_energy_produced": "decimal",
+    "ae4_run_hours": "decimal",
+    "ae4_consumption": "decimal",
+    "ae4_fuel_type": "number",
+    "ae4_energy_produced": "decimal",
+    "wind_direction": "number",
+    "wind_strength": "number",
+    "sea_state": "number",
+    "sea_state_direction": "number",
+    "current_direction": "number",
+    "current_strength": "number",
+    "ballast_water": "number",
+    "cargo_tonns": "number",
+    "draft_forward": "number",
+    "draft_aft": "number",
+    "draft_middle": "number",
+    "destination_port": "number",
+    "departure_port": "number",
+    "eta_next_port": "number",
+    "charter_speed_order": "number",
+    "boiler_consumption": "number",
+    "boiler_fuel_type": "number",
+    "reporting_period": "number",
+    "update_datetime": "time",
+    "speed_through_water": "degrees",
+}
 
 # Table and column names of the input.
 TABLES = {
