@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wakeline.functions.slices import SLICE_VALUES, number_rows, time_slice, value_slice
+from wakeline.functions.slices import number_rows
 from wakeline.functions.times import Moment, instant
 
 # The columns an imported vessel may have and the first id it gets.
@@ -185,7 +185,7 @@ def redate(
     """
     if step not in ("day", "minute"):
         raise ValueError("step must be 'day' or 'minute'")
-    numbered = _numbered(frame, order, keys, ties)
+    numbered = number_rows(frame, keys, order, ties)
     steps_back = F.col("total_rows") - F.col("row_index") + (-1 if step == "day" else 1)
     length = F.expr("INTERVAL '1' DAY" if step == "day" else "INTERVAL '1' MINUTE")
     return (
@@ -194,18 +194,6 @@ def redate(
     )
 
 
-def _numbered(
-    frame: DataFrame, order: str, keys: Sequence[str] = (), ties: Sequence[str] = ()
-) -> DataFrame:
-    kind = frame.schema[order].dataType.typeName()
-    pieces = (
-        time_slice(f"cast({order} as timestamp_ntz)")
-        if kind.startswith(("timestamp", "date"))
-        else value_slice(F.col(order), SLICE_VALUES)
-    )
-    return number_rows(frame, keys, pieces, [F.col(c) for c in (order, *ties)])
-
-
 def append_noon_speed(
     series: DataFrame, noon: DataFrame, vessel_id: int, as_of: Moment
 ) -> DataFrame:
@@ -226,15 +214,20 @@ def import_vessels(
     constants: Mapping[str, object],
     allow: Sequence[str] = IMPORT_COLUMNS,
     first_id: int = FIRST_IMPORT_ID,
+    existing: DataFrame | None = None,
 ) -> DataFrame:
     """The allowed columns of a vessel list, constants set, ids counted from ``first_id``.
 
-    ``order`` is the sequence number that fixes the counting order.
+    ``order`` is the sequence number that fixes the counting order. With an
+    ``existing`` vessel table ids go on behind its largest one, if it has any.
     """
-    numbered = _numbered(listed, order)
+    numbered = number_rows(listed, (), order)
+    first = F.lit(first_id)
+    if existing is not None:
+        first = F.coalesce(existing.agg(F.max("id") + 1).scalar(), first)
     given = [c for c in listed.columns if c in allow and c not in constants and c != "id"]
     return numbered.select(
-        (F.lit(first_id) + F.col("row_index")).cast("bigint").alias("id"),
+        (first + F.col("row_index")).cast("bigint").alias("id"),
         *given,
         *[F.lit(value).alias(name) for name, value in constants.items()],
     )

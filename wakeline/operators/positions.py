@@ -11,7 +11,7 @@ from wakeline.functions.frames import number, pick_vessels
 from wakeline.functions.latest import latest_per, newest, pick
 from wakeline.functions.recent import recent_first
 from wakeline.functions.sizing import broadcast_if_small
-from wakeline.functions.slices import time_slice
+from wakeline.functions.slices import split_dense, time_slice
 from wakeline.functions.times import EPOCH, Moment, at_instants, instant, instant_sql, within
 
 _LOCATED = ("latitude", "longitude")
@@ -52,8 +52,9 @@ def track(
     Identical points are collapsed on the map side. Nearest headings are then
     found per (vessel, slice) with two running windows, one upwards and one
     downwards in time, and the last and first heading of the neighbouring slices
-    are carried in from a summary with one row per (vessel, slice). No task ever
-    holds a whole vessel. ``since`` says where to look first for the last course
+    are carried in from a summary with one row per (vessel, slice). A slice is an
+    hour, or a part of one where a vessel has more points than a task should hold, so
+    no task ever holds a whole vessel or a crowded hour. ``since`` says where to look first for the last course
     before the window; only vessels without one there are searched further back.
     """
     telemetry = pick_vessels(interp, vessel_ids)
@@ -66,6 +67,7 @@ def track(
         .agg(F.max("id").alias("id"))
     )
     marks = pick_vessels(marks, None, vessel)
+    marks = split_dense(marks, ["vessel_id"], "track_slice", "nr_time")
 
     # Headings that cross slice boundaries. The last one before the window is
     # entered as a slice of its own, ahead of all others.
@@ -132,21 +134,29 @@ def track(
 
 def newest_fix(interp: DataFrame) -> DataFrame:
     """Per vessel the newest located row (``point``) and the newest course (``heading``)."""
+    return interp.groupBy("vessel_id").agg(*fix_aggregates())
+
+
+def fix_aggregates() -> list[Column]:
     order = ("nr_time", "id")
-    return interp.groupBy("vessel_id").agg(
+    return [
         newest("point", order, (*_LOCATED, "course"), LOCATED),
         newest("heading", order, ("course",), HEADED),
-    )
+    ]
 
 
-def fix_columns(fixes: DataFrame) -> DataFrame:
-    return fixes.where("point is not null").select(
-        "vessel_id",
+def fix_values() -> list[Column]:
+    """Time, place and heading out of ``point`` and ``heading``."""
+    return [
         F.expr("point.nr_time as timestamp"),
         number("point.latitude", "lat"),
         number("point.longitude", "long"),
         number("coalesce(point.course, heading.course, 0)", "direction"),
-    )
+    ]
+
+
+def fix_columns(fixes: DataFrame) -> DataFrame:
+    return fixes.where("point is not null").select("vessel_id", *fix_values())
 
 
 def latest_position(
@@ -201,13 +211,7 @@ def latest_ais(
     reads recent rows first.
     """
 
-    def find(reports: DataFrame) -> DataFrame:
-        order = ["report_datetime", "id"]
-        return latest_per(reports, ["vessel_id"], order, [*_LOCATED, "course"], LOCATED)
-
-    newest_report = recent_first(
-        pick_vessels(ais, vessel_ids), "report_datetime", since, vessel, find
-    )
+    newest_report = newest_ais(pick_vessels(ais, vessel_ids), vessel, since)
     has_imo = F.coalesce(F.col("imo"), F.lit(0)) != 0
     numbers = vessel.select(
         F.col("id").alias("vessel_id"),
@@ -215,9 +219,21 @@ def latest_ais(
         F.when(has_imo, F.col("imo")).otherwise(F.col("mmsi")).cast("bigint").alias("id_number"),
     )
     return newest_report.join(numbers, "vessel_id").select(
+        "vessel_id", "id_type", "id_number", "timestamp", "lat", "long", "direction"
+    )
+
+
+def newest_ais(
+    ais: DataFrame, vessel: DataFrame | None = None, since: Moment | None = None
+) -> DataFrame:
+    """Newest located AIS report per vessel id; ``vessel`` is needed with ``since``."""
+
+    def find(reports: DataFrame) -> DataFrame:
+        order = ["report_datetime", "id"]
+        return latest_per(reports, ["vessel_id"], order, [*_LOCATED, "course"], LOCATED)
+
+    return recent_first(ais, "report_datetime", since, vessel, find).select(
         "vessel_id",
-        "id_type",
-        "id_number",
         F.col("report_datetime").alias("timestamp"),
         number("latitude", "lat"),
         number("longitude", "long"),
@@ -240,6 +256,7 @@ def fleet_positions(
 
     Carries the name of the status reported at exactly that time ('None' when
     there is none); a vessel without positions has one row at 1970-01-01.
+    Facts of a named customer are limited to its vessels before they are aggregated.
     ``since`` reads recent rows first.
     """
     owners = customer.select(F.col("id").alias("customer_id"), F.col("name").alias("customer"))
@@ -252,12 +269,16 @@ def fleet_positions(
         .select(F.col("id").alias("vessel_id"), "fleet_type", "imo", "mmsi", "name")
     )
 
+    asked, mine = vessel, None
+    if customer_name is not None:
+        asked = mine = fleet.select(F.col("vessel_id").alias("id"))
+
     def newest_from(facts: DataFrame, moment: str, source: str, course: Column) -> DataFrame:
         def find(rows: DataFrame) -> DataFrame:
             order, values = [moment, "id"], [*_LOCATED, "course"]
             return latest_per(rows, ["vessel_id"], order, values, LOCATED)
 
-        return recent_first(facts, moment, since, vessel, find).select(
+        return recent_first(pick_vessels(facts, None, mine), moment, since, asked, find).select(
             "vessel_id",
             F.lit(source).alias("source"),
             F.col(moment).alias("timestamp"),
@@ -267,11 +288,13 @@ def fleet_positions(
         )
 
     own = newest_from(interp, "nr_time", "internal", F.coalesce(F.col("course"), F.lit(0)))
-    seen = own.unionByName(newest_from(ais, "report_datetime", "ais", F.col("course")))
+    seen = pick_vessels(
+        own.unionByName(newest_from(ais, "report_datetime", "ais", F.col("course"))), None, asked
+    )
 
-    # Statuses reported at those instants: at most two instants per vessel.
+    # Statuses reported at those instants: at most two instants per vessel asked for.
     instants = broadcast_if_small(
-        seen.select("vessel_id", F.col("timestamp").alias("report_datetime")).distinct(), vessel, 2
+        seen.select("vessel_id", F.col("timestamp").alias("report_datetime")).distinct(), asked, 2
     )
     at_instant = latest_per(
         at_instants(vessel_status, instants, ["vessel_id", "report_datetime"]),

@@ -18,6 +18,7 @@ from wakeline.functions.times import Moment, as_datetime, day_of, within
 NMEA_DEVICE_TYPE = 3
 ENGINE_DEVICE_TYPE = 1
 TRUE_WIND, METRES_PER_SECOND = "T", "M"
+COUNTED_WIND = f"reference = '{TRUE_WIND}' and wind_speed_units = '{METRES_PER_SECOND}'"
 NOON_ENGINES = {"c_hours": "ME_CENTRE", "p_hours": "ME_PORT", "s_hours": "ME_STBD"}
 RPM_LABELS = ("ME1", "ME2", "ME3")
 
@@ -56,17 +57,22 @@ def daily_wind(
 
     Readings are reduced per device and day before the device table is joined.
     """
-    anemometers = pick_vessels(device, vessel_ids).where(
-        F.col("device_type_id") == NMEA_DEVICE_TYPE
-    )
     per_device = (
         _days(nmea, "message_datetime", first, last)
-        .where(
-            (F.col("reference") == TRUE_WIND) & (F.col("wind_speed_units") == METRES_PER_SECOND)
-        )
+        .where(COUNTED_WIND)
         .groupBy("device_id", day_of("message_datetime", "day"))
         .agg(F.min("wind_speed").alias("low"), F.max("wind_speed").alias("high"))
     )
+    return wind_of_devices(per_device, device, vessel_ids)
+
+
+def wind_of_devices(
+    per_device: DataFrame, device: DataFrame, vessel_ids: Iterable[int] | None = None
+) -> DataFrame:
+    """N2 from the range ``low`` to ``high`` of each device and day."""
+    anemometers = pick_vessels(device, vessel_ids).where(
+        F.col("device_type_id") == NMEA_DEVICE_TYPE
+    )
     return (
         per_device.join(anemometers.select("device_id", "vessel_id"), "device_id")
         .groupBy("vessel_id", "day")
@@ -92,15 +98,25 @@ def daily_engine_hours(
     vessel_ids: Iterable[int] | None = None,
 ) -> DataFrame:
     """Run hours gained per vessel, day and engine type; 0 when never read."""
-    sensors = device.where(F.col("device_type_id") == ENGINE_DEVICE_TYPE).select(
-        "device_id", F.col("engine_id").alias("id")
-    )
-    owners = pick_vessels(engine, vessel_ids).select("id", "vessel_id", "type")
     per_device = (
         _days(canbus, "message_datetime", first, last)
         .groupBy("device_id", day_of("message_datetime", "day"))
         .agg(F.min("me_running_hour").alias("low"), F.max("me_running_hour").alias("high"))
     )
+    return hours_of_devices(per_device, device, engine, vessel_ids)
+
+
+def hours_of_devices(
+    per_device: DataFrame,
+    device: DataFrame,
+    engine: DataFrame,
+    vessel_ids: Iterable[int] | None = None,
+) -> DataFrame:
+    """N3 from the run hours ``low`` to ``high`` of each device and day."""
+    sensors = device.where(F.col("device_type_id") == ENGINE_DEVICE_TYPE).select(
+        "device_id", F.col("engine_id").alias("id")
+    )
+    owners = pick_vessels(engine, vessel_ids).select("id", "vessel_id", "type")
     return (
         per_device.join(sensors.join(owners, "id"), "device_id")
         .groupBy("vessel_id", "day", "type")
@@ -169,8 +185,7 @@ def _reporting_rows(
 ) -> DataFrame:
     """Telemetry of the days from ``start`` up to, not including, ``end``."""
     first, after = _midnights(start, end)
-    rows = within(pick_vessels(interp, vessel_ids), "nr_time", first, after, half_open=True)
-    return rows.drop("day")
+    return within(pick_vessels(interp, vessel_ids), "nr_time", first, after, half_open=True)
 
 
 def _equipped(rows: DataFrame, device: DataFrame) -> DataFrame:
@@ -225,7 +240,7 @@ def unified_dataset(
 
     Whole days, from the start date up to but not including the end date.
     """
-    rows = _equipped(_reporting_rows(interp, start, end, vessel_ids), device)
+    rows = _equipped(_reporting_rows(interp, start, end, vessel_ids), device).drop("day")
     return _with_rpm(rows, canbus, device, start, end, vessel_ids)
 
 
@@ -243,34 +258,51 @@ def page(
     """One page of each vessel's unified data set, newest first, with totals.
 
     Rows are counted per (vessel, hour) and the counts added up from the newest
-    hour down, which tells the hours the page falls in. Only those hours are
-    read again, ordered and joined to the CAN bus; depth of the page and length
-    of the history cost nothing more.
+    hour down, which tells the hours the page falls in. Those are counted again per
+    minute, and only the minutes of the page are ordered and joined to the CAN bus;
+    depth of the page and length of the history cost nothing more. On a table in
+    ``day`` folders the second and third reading open the days of those hours only.
     """
     if page_size < 1 or page_number < 1:
         raise ValueError("page number and page size must be greater than 0")
     offset = (page_number - 1) * page_size
-    rows = _reporting_rows(interp, start, end, vessel_ids).withColumn(
-        "page_slice", time_slice("nr_time")
+    rows = _reporting_rows(interp, start, end, vessel_ids).withColumns(
+        {"page_slice": time_slice("nr_time"), "page_minute": time_slice("nr_time", 1)}
+    )
+    on_it = (F.col("rows_before") < offset + page_size) & (
+        F.col("rows_before") + F.col("slice_rows") > offset
+    )
+    counted = slice_offsets(rows, ["vessel_id"], "page_slice", descending=True).where(on_it)
+    # A page overlaps at most ``page_size`` hours of a vessel with devices, and as many minutes.
+    hours = broadcast_if_small(
+        _equipped(counted, device)
+        .withColumnRenamed("rows_before", "hours_before")
+        .drop("slice_rows")
+        .withColumns({"day": day_of("page_slice")} if "day" in rows.columns else {}),
+        device,
+        page_size,
+    )
+    keys = ["vessel_id", "page_slice", *(["day"] if "day" in rows.columns else [])]
+    in_hours = rows.join(hours, keys).drop("day")
+    # Minutes are counted within their hour, which the hour's own count then places.
+    minutes = (
+        slice_offsets(in_hours, ["vessel_id", "hours_before", "page_slice"], "page_minute", descending=True)
+        .withColumn("rows_before", F.col("hours_before") + F.col("rows_before"))
+        .where(on_it)
+        .select("vessel_id", "page_minute", F.col("rows_before").alias("minutes_before"))
     )
-    counted = slice_offsets(rows, ["vessel_id"], "page_slice", descending=True).where(
-        (F.col("rows_before") < offset + page_size)
-        & (F.col("rows_before") + F.col("slice_rows") > offset)
+    candidates = in_hours.join(
+        broadcast_if_small(minutes, device, page_size), ["vessel_id", "page_minute"]
     )
-    hours = _equipped(counted, device)
-    # A page overlaps at most ``page_size`` hours of a vessel.
-    hours = broadcast_if_small(hours, vessel, page_size)
-    newest_down = Window.partitionBy("vessel_id").orderBy(
+    newest_down = Window.partitionBy("vessel_id", "page_minute").orderBy(
         F.col("nr_time").desc(), F.col("id").desc()
     )
-    candidates = rows.join(hours, ["vessel_id", "page_slice"])
-    skipped = F.min("rows_before").over(Window.partitionBy("vessel_id"))
     on_page = (
-        candidates.withColumn("row_index", F.row_number().over(newest_down) - 1 + skipped)
+        candidates.withColumn("row_index", F.row_number().over(newest_down) - 1 + F.col("minutes_before"))
         .where(F.col("row_index").between(offset, offset + page_size - 1))
-        .drop("page_slice", "slice_rows", "rows_before")
+        .drop("page_slice", "page_minute", "hours_before", "minutes_before")
     )
-    instants = broadcast_if_small(on_page.select("vessel_id", "nr_time"), vessel, page_size)
+    instants = broadcast_if_small(on_page.select("vessel_id", "nr_time"), device, page_size)
     full = _with_rpm(on_page, canbus, device, start, end, vessel_ids, instants)
     return full.select(
         *[c for c in full.columns if c not in ("row_index", "total_rows")],
