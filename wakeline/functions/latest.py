@@ -40,10 +40,17 @@ def pick(
 
     ``how`` is ``max_by`` or ``min_by``; null if no row satisfies ``keep``.
     """
+    return F.expr(f"{pick_sql(how, order, fields, keep)} as {name}")
+
+
+def pick_sql(
+    how: str, order: Sequence[str], fields: Mapping[str, str], keep: str | None = None
+) -> str:
+    """``pick`` as SQL text; names in ``order`` may be fields of structs."""
     only = "" if keep is None else f" filter (where {keep})"
     key = packed(order)
     cells = ", ".join(f"{how}({value}, {key}){only} as {field}" for field, value in fields.items())
-    return F.expr(f"case when count(*){only} > 0 then struct({cells}) end as {name}")
+    return f"case when count(*){only} > 0 then struct({cells}) end"
 
 
 def newest(

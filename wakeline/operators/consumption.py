@@ -46,7 +46,7 @@ def consumption_by_speed(
     vessel_ids: Iterable[int] | None = None,
     vessel: DataFrame | None = None,
 ) -> DataFrame:
-    """Rows and main-engine fuel per speed-over-ground band."""
+    """Rows and main-engine fuel per speed-over-ground band; ``band`` numbers them by speed."""
     rows = within(pick_vessels(unified, vessel_ids), "nr_time", start, end)
     bands = (
         rows.where(F.col("average_speed_gps") >= 0)
@@ -56,7 +56,14 @@ def consumption_by_speed(
             F.expr(f"cast(sum({total_sql(*_MAIN_FUEL)}) as double) / 60 as consumption"),
         )
     )
-    return pick_vessels(bands, None, vessel)
+    names = F.array(*[F.lit(name) for _, name in SPEED_BANDS])
+    return pick_vessels(bands, None, vessel).select(
+        "vessel_id",
+        (F.array_position(names, F.col("interval")) - 1).cast("int").alias("band"),
+        "interval",
+        "count",
+        "consumption",
+    )
 
 
 def run_hour_delta(
@@ -113,7 +120,7 @@ def last_run_hours(
     return pick_vessels(found, None, vessel).select("vessel_id", *columns)
 
 
-def _day_bounds(start: Moment, end: Moment) -> tuple[Moment, Moment]:
+def day_bounds(start: Moment, end: Moment) -> tuple[Moment, Moment]:
     """Midnights of the two dates; the end date's midnight is included."""
     return as_datetime(as_datetime(start).date()), as_datetime(as_datetime(end).date())
 
@@ -133,31 +140,52 @@ def daily_consumption(
     averages are weighted with the rows of the cell. The join moves a few cells
     per vessel-hour in place of every row.
     """
-    first, last = _day_bounds(start, end)
+    first, last = day_bounds(start, end)
     rows = within(pick_vessels(interp, vessel_ids), "nr_time", first, last)
-    hours = [f"{e}_run_hours" for e in (*MAIN_ENGINES, *AUX_ENGINES)]
-    fuels = [*_MAIN_FUEL, *_AUX_FUEL]
-    speeds = {"avg_sog": "average_speed_gps", "avg_stw": "speed_through_water"}
-
-    partial = ["count(1) as cell_rows"]
-    for column in hours:
-        partial += [f"max({column}) as {column}_max", f"min({column}) as {column}_min"]
-    for name, column in speeds.items():
-        partial += [f"sum({column}) as {name}_sum", f"count({column}) as {name}_n"]
-    partial += [f"sum(coalesce({c}, 0)) as {c}_sum" for c in fuels]
     cells = (
-        with_cell(rows).groupBy("vessel_id", day_of("nr_time", "date"), *CELL)
-    ).agg(*[F.expr(p) for p in partial])
+        with_cell(rows)
+        .groupBy("vessel_id", day_of("nr_time", "date"), *CELL)
+        .agg(*[F.expr(f"{of_rows} as {name}") for name, (of_rows, _) in daily_states().items()])
+    )
+    return daily_of_cells(cells, weather, first, last, vessel)
+
+
+_DAILY_HOURS = tuple(f"{e}_run_hours" for e in (*MAIN_ENGINES, *AUX_ENGINES))
+_DAILY_FUELS = (*_MAIN_FUEL, *_AUX_FUEL)
+_DAILY_SPEEDS = {"avg_sog": "average_speed_gps", "avg_stw": "speed_through_water"}
 
+
+def daily_states() -> dict[str, tuple[str, str]]:
+    """What C4 adds up per (vessel, day, cell): each as SQL over rows, and over such states."""
+    states = {"cell_rows": ("count(1)", "sum(cell_rows)")}
+    for column in _DAILY_HOURS:
+        states[f"{column}_max"] = (f"max({column})", f"max({column}_max)")
+        states[f"{column}_min"] = (f"min({column})", f"min({column}_min)")
+    for name, column in _DAILY_SPEEDS.items():
+        states[f"{name}_sum"] = (f"sum({column})", f"sum({name}_sum)")
+        states[f"{name}_n"] = (f"count({column})", f"sum({name}_n)")
+    for column in _DAILY_FUELS:
+        states[f"{column}_sum"] = (f"sum(coalesce({column}, 0))", f"sum({column}_sum)")
+    return states
+
+
+def daily_of_cells(
+    cells: DataFrame,
+    weather: DataFrame,
+    first: Moment,
+    last: Moment,
+    vessel: DataFrame | None = None,
+) -> DataFrame:
+    """C4 from its states per (vessel, date, weather cell)."""
     matched = pick_vessels(cells, None, vessel).join(
         grid(within(weather, "time", floor_to_grid(first, 60), last), "beaufourt", "dss"),
         list(CELL),
         "left",
     )
     final = []
-    for column in hours:
+    for column in _DAILY_HOURS:
         final.append(number(f"max({column}_max) - min({column}_min)", column))
-    for name in speeds:
+    for name in _DAILY_SPEEDS:
         average = f"cast(sum({name}_sum) as double) / nullif(sum({name}_n), 0)"
         final.append(F.expr(f"{average} as {name}"))
 
@@ -187,7 +215,7 @@ def customer_daily(
     vessel: DataFrame | None = None,
 ) -> DataFrame:
     """The customer's own daily figures row by row, missing values as 0."""
-    first, last = _day_bounds(start, end)
+    first, last = day_bounds(start, end)
     rows = within(pick_vessels(customer_unified, vessel_ids, vessel), "nr_time", first, last)
     columns = {"avg_sog": "average_speed_gps", "avg_stw": "speed_through_water"}
     columns |= {f"sum_hours_{e}": f"{e}_run_hours" for e in MAIN_ENGINES}

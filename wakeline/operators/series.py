@@ -106,7 +106,7 @@ def _fuel_bins(
     return gap_fill(bins, asked, start, end, minutes, list(sums))
 
 
-def _engine_rows(engine: str, minutes: int, rates: dict[str, str]) -> Column:
+def engine_rows(engine: str, minutes: int, rates: dict[str, str]) -> Column:
     """A series row of one engine: stamped at the bin's centre, sums per minute."""
     values = ", ".join(
         f"cast({engine}_{measure} as double) / {minutes} as {rate}"
@@ -136,7 +136,7 @@ def aux_series(
     sums |= {"total_fuel": total_sql(*fuel), "total_energy": total_sql(*energy)}
     bins = _fuel_bins(interp, vessel, start, end, minutes, vessel_ids, fuel, sums)
     rates = {"fuel": "fuel_cons", "energy": "power"}
-    rows = [_engine_rows(engine, minutes, rates) for engine in (*AUX_ENGINES, "total")]
+    rows = [engine_rows(engine, minutes, rates) for engine in (*AUX_ENGINES, "total")]
     return long_rows(bins, ["vessel_id"], rows)
 
 
@@ -154,7 +154,7 @@ def main_series(
     sums |= {"total_fuel": total_sql(*fuel)}
     bins = _fuel_bins(interp, vessel, start, end, minutes, vessel_ids, fuel, sums)
     rates = {"fuel": "fuel_cons"}
-    rows = [_engine_rows(engine, minutes, rates) for engine in (*MAIN_ENGINES, "total")]
+    rows = [engine_rows(engine, minutes, rates) for engine in (*MAIN_ENGINES, "total")]
     return long_rows(bins, ["vessel_id"], rows)
 
 

@@ -10,9 +10,17 @@ from wakeline.functions.times import day_of
 from wakeline.schemas import FACT_TIMES, TABLES
 
 
-def write_fact(frame: DataFrame, root: str, table: str, mode: str = "errorifexists") -> None:
+def write_fact(
+    frame: DataFrame,
+    root: str,
+    table: str,
+    mode: str = "errorifexists",
+    target: str | None = None,
+) -> None:
     """Write a fact table in ``day`` folders, rows of one entity next to each other.
 
+    ``target`` is the folder under ``root``, by default the table's name.
+
     Range partitioning by (day, entity, time) samples the data, so a busy day or
     vessel is cut into several files and a quiet one shares a file.
     """
@@ -25,7 +33,7 @@ def write_fact(frame: DataFrame, root: str, table: str, mode: str = "errorifexis
         .sortWithinPartitions(*order)
         .write.mode(mode)
         .partitionBy("day")
-        .parquet(f"{root}/{table}")
+        .parquet(f"{root}/{target or table}")
     )
 
 
