@@ -20,10 +20,15 @@ def recent_first(
     vessel: DataFrame | None,
     find: Find,
     complete: Column | None = None,
+    find_recent: Find | None = None,
+    key: str = "vessel_id",
+    id_column: str = "id",
 ) -> DataFrame:
     """``find(facts)`` per vessel, looking at rows from ``since`` on first.
 
-    ``find`` gives one row per ``vessel_id`` that the newest rows decide. What
+    ``find`` gives one row per ``vessel_id`` that the newest rows decide; ``find_recent``
+    does the same for rows from ``since`` on, where that can be said with less reading.
+    Facts of another ``key`` name the ``id_column`` of their own table, given as ``vessel``. What
     it finds among recent rows is final (where ``complete``); only the vessels
     of ``vessel`` it leaves open are looked up in the whole history. When none
     is left open, the adaptive plan drops the second read before it starts, so
@@ -34,10 +39,10 @@ def recent_first(
         return find(facts)
     if vessel is None:
         raise ValueError("since needs the vessel table, to know which vessels to look for")
-    wanted = vessel.select(F.col("id").alias("vessel_id"))
-    recent = find(within(facts, moment, since))
+    wanted = vessel.select(F.col(id_column).alias(key))
+    recent = (find_recent or find)(within(facts, moment, since))
     if complete is not None:
         recent = recent.where(complete)
-    open_vessels = wanted.join(recent.select("vessel_id"), "vessel_id", "left_anti")
-    rest = find(facts.join(broadcast_if_small(open_vessels, vessel), "vessel_id", "left_semi"))
+    open_vessels = wanted.join(recent.select(key), key, "left_anti")
+    rest = find(facts.join(broadcast_if_small(open_vessels, vessel), key, "left_semi"))
     return recent.unionByName(rest)

@@ -7,11 +7,12 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wakeline.functions.frames import number, pick_vessels
-from wakeline.functions.times import Moment
+from wakeline.functions.frames import mean, number, pick_vessels
+from wakeline.functions.recent import recent_first
+from wakeline.functions.sizing import broadcast_if_small
+from wakeline.functions.times import Moment, floor_to_grid, time_bin
 from wakeline.operators.links import vessel_links
-from wakeline.operators.positions import latest_ais, latest_position
-from wakeline.operators.series import latest_speed
+from wakeline.operators.positions import fix_aggregates, fix_values, newest_ais
 from wakeline.operators.status import latest_status
 from wakeline.operators.weather import latest_weather
 
@@ -38,35 +39,87 @@ def fleet_kpis(
 ) -> DataFrame:
     """speed, weather, links, both positions and status of every vessel, one row each.
 
-    Every part is a per-vessel aggregate, so the joins move one row per vessel.
-    ``since`` reads recent rows first.
+    Every part is a per-vessel aggregate, so the joins move one row per vessel. Speed
+    and position come from one pass over the telemetry. Facts of a named customer are
+    limited to its vessels before they are aggregated; without one the last
+    join leaves out what belongs to no vessel. ``since`` reads recent rows first.
     """
     owners = customer if customer_name is None else customer.where(F.col("name") == customer_name)
     fleet = vessel.join(
         owners.select(F.col("id").alias("customer_id")), "customer_id", "left_semi"
     )
+    mine = None if customer_name is None else fleet
+    # Only a look at recent rows first has to know which vessels to look for.
+    asked = None if since is None else fleet
+
+    def own(facts: DataFrame) -> DataFrame:
+        return pick_vessels(facts, None, mine)
+
+    motion = latest_motion(own(interp), fleet, since=since)
     parts = {
-        "speed": latest_speed(interp, fleet, since=since),
-        "weather": latest_weather(unified, weather, vessel=fleet, since=since),
-        "links": vessel_links(fleet, device, engine, device_status, nmea),
-        "ais_position": latest_ais(ais, fleet, since=since).drop("id_type", "id_number"),
+        "weather": latest_weather(own(unified), weather, vessel=asked, since=since),
+        "links": vessel_links(
+            fleet, device, engine, device_status, nmea, limit=mine is not None, since=since
+        ),
+        "ais_position": newest_ais(own(ais), asked, since),
         "position_status": latest_status(
-            vessel_status,
+            own(vessel_status),
             position_status,
             gis_point,
             gis_point_type,
-            vessel=fleet,
+            vessel=asked,
             since=since,
         ),
-        "position": latest_position(interp, vessel=fleet, since=since),
     }
-    result = fleet.select(F.col("id").alias("vessel_id"), "name", "imo", "mmsi")
+    result = fleet.select(F.col("id").alias("vessel_id"), "name", "imo", "mmsi").join(
+        motion, "vessel_id", "left"
+    )
     for name, frame in parts.items():
         values = [c for c in frame.columns if c != "vessel_id"]
         result = result.join(
             frame.select("vessel_id", F.struct(*values).alias(name)), "vessel_id", "left"
         )
-    return result
+    return result.select("vessel_id", "name", "imo", "mmsi", "speed", *parts, "position")
+
+
+def latest_motion(
+    interp: DataFrame,
+    vessel: DataFrame,
+    minutes: int = 1,
+    since: Moment | None = None,
+) -> DataFrame:
+    """Records ``speed`` (T2) and ``position`` (P2) per vessel, found together.
+
+    One aggregate gives the newest point, the newest course and the newest bin with
+    a speed; only the rows of that bin are read again.
+    """
+    present = "coalesce(average_speed_gps, speed_through_water) is not null"
+
+    def find(rows: DataFrame) -> DataFrame:
+        binned = rows.withColumn("bin", time_bin("nr_time", minutes))
+        heads = pick_vessels(
+            binned.groupBy("vessel_id").agg(
+                *fix_aggregates(), F.expr(f"max(case when {present} then bin end) as bin")
+            ),
+            None,
+            vessel,
+        )
+        bins = heads.where("bin is not null").select("vessel_id", "bin")
+        speeds = (
+            binned.where(present)
+            .join(broadcast_if_small(bins, vessel), ["vessel_id", "bin"], "left_semi")
+            .groupBy("vessel_id", F.col("bin").alias("timestamp"))
+            .agg(mean("average_speed_gps", "sog"), mean("speed_through_water", "stw"))
+            .select("vessel_id", F.struct("timestamp", "sog", "stw").alias("speed"))
+        )
+        return heads.drop("bin").join(speeds, "vessel_id", "left")
+
+    if since is not None:
+        since = floor_to_grid(since, minutes)
+    known = F.col("point").isNotNull() & F.col("heading").isNotNull() & F.col("speed").isNotNull()
+    found = recent_first(interp, "nr_time", since, vessel, find, known)
+    shown = F.when(F.col("point").isNotNull(), F.struct(*fix_values()))
+    return found.select("vessel_id", "speed", shown.alias("position"))
 
 
 def vessels(

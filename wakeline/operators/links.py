@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wakeline.functions.frames import pick_vessels
-from wakeline.functions.times import EPOCH, epoch_seconds, instant
+from wakeline.functions.recent import recent_first
+from wakeline.functions.times import EPOCH, Moment, epoch_seconds, instant
 
 # Device types per link, engine links, and what a link reads when
 # the vessel has no such device (-1: not fitted).
@@ -87,23 +88,41 @@ def vessel_links(
     device_status: DataFrame,
     nmea: DataFrame,
     vessel_ids: Iterable[int] | None = None,
+    limit: bool = False,
+    since: Moment | None = None,
 ) -> DataFrame:
     """L1: last-seen time of each link, for every vessel, in epoch seconds.
 
     NMEA reports are reduced per device before the device table is joined. Vessels
-    named by id limit the scan to their devices.
+    named by id limit the scan to their devices, and so do those of ``vessel`` with
+    ``limit``. ``since`` reads recent reports first; only devices without a place or
+    a speed there are looked up in the whole archive.
     """
     placed = F.col("latitude").isNotNull() | F.col("longitude").isNotNull()
     moving = F.col("speed_over_ground").isNotNull()
-    owners = pick_vessels(device, vessel_ids).select("device_id", "vessel_id")
-    if vessel_ids is not None:
+    owners = pick_vessels(device, vessel_ids, vessel if limit else None).select(
+        "device_id", "vessel_id"
+    )
+    if limit or vessel_ids is not None:
         nmea = nmea.join(owners.select("device_id"), "device_id", "left_semi")
-    seen = (
-        nmea.groupBy("device_id")
-        .agg(
+
+    def last_seen(reports: DataFrame) -> DataFrame:
+        return reports.groupBy("device_id").agg(
             F.max(F.when(placed, F.col("message_datetime"))).alias("placed_at"),
             F.max(F.when(moving, F.col("message_datetime"))).alias("moving_at"),
         )
+
+    seen = (
+        recent_first(
+            nmea,
+            "message_datetime",
+            since,
+            owners.select("device_id").distinct(),
+            last_seen,
+            F.col("placed_at").isNotNull() & F.col("moving_at").isNotNull(),
+            key="device_id",
+            id_column="device_id",
+        )
         .join(owners, "device_id")
         .groupBy("vessel_id")
         .agg(

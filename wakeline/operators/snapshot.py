@@ -284,7 +284,7 @@ def vessel_snapshot(
     )
 
     def engine_record(name: str) -> Column:
-        fields = [F.col(f"{name}_fuel_cons").alias("fuel_cons")]
+        fields = [F.col("timestamp"), F.col(f"{name}_fuel_cons").alias("fuel_cons")]
         if name in AUX_ENGINES:
             fields.append(F.col(f"{name}_power").alias("power"))
         else:
@@ -331,14 +331,17 @@ def vessel_playback_bundle(
     start: Moment,
     end: Moment,
     vessel_ids: Iterable[int] | None = None,
+    vessel: DataFrame | None = None,
+    since: Moment | None = None,
 ) -> DataFrame:
     """Telemetry, both tracks, weather and statuses of a window as one tagged frame.
 
     ``kind`` names the part; each part's values sit in the record of that name.
+    ``since`` says where the course before the window is looked for first (see P1).
     """
     parts = {
         "engine": vessel_playback(interp, start, end, vessel_ids),
-        "position": track(interp, start, end, vessel_ids),
+        "position": track(interp, start, end, vessel_ids, vessel, since=since),
         "ais_position": ais_track(ais, start, end, vessel_ids),
         "weather": weather_history(unified, weather, start, end, vessel_ids),
         "status": status_history(

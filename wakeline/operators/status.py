@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from wakeline.functions.frames import number, pick_vessels
 from wakeline.functions.latest import newest
 from wakeline.functions.recent import recent_first
-from wakeline.functions.sizing import broadcast_if_small
 from wakeline.functions.times import Moment, within
 
 # The reported status classes, and the one that is no status yet.
@@ -47,9 +46,8 @@ def _described(
         F.col("description").alias("gis_point_description"),
         "gis_point_type",
     )
-    return rows.join(statuses, "status").join(
-        broadcast_if_small(points, gis_point), "gis_point_id"
-    )
+    # Free text has no bound by rows, so how to join is left to the sizes that Spark sees.
+    return rows.join(statuses, "status").join(points, "gis_point_id")
 
 
 _FIELDS = (

@@ -72,7 +72,7 @@ def latest_weather(
 ) -> DataFrame:
     """Weather at the newest telemetry row that has any.
 
-    ``since`` reads recent rows first.
+    ``since`` reads recent rows first, and only the weather from then on for them.
     """
     values = [*_DIRECTIONS, *_SCALES]
     return recent_first(
@@ -81,9 +81,14 @@ def latest_weather(
         since,
         vessel,
         lambda rows: newest_on_grid(rows, weather, [], values, vessel),
+        find_recent=lambda rows: newest_on_grid(rows, _since(weather, since), [], values, vessel),
     ).select("vessel_id", F.col("wx_hour").alias("timestamp"), *_weather_fields())
 
 
+def _since(weather: DataFrame, since: Moment | None) -> DataFrame:
+    return weather if since is None else within(weather, "time", floor_to_grid(since, 60))
+
+
 def _during(weather: DataFrame, start: Moment, end: Moment) -> DataFrame:
     return within(weather, "time", floor_to_grid(start, 60), end)
 
@@ -126,6 +131,9 @@ def weather_resistance(
         since,
         vessel,
         lambda rows: newest_on_grid(rows, weather, ["course"], values, vessel),
+        find_recent=lambda rows: newest_on_grid(
+            rows, _since(weather, since), ["course"], values, vessel
+        ),
     ).select(
         "vessel_id",
         F.col("nr_time").alias("timestamp"),

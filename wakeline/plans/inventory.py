@@ -18,10 +18,12 @@ from wakeline.operators import (
     alerts,
     consumption,
     deident,
+    demo,
     fleet,
     links,
     positions,
     reports,
+    rollups,
     series,
     snapshot,
     status,
@@ -425,11 +427,57 @@ def _(t):
     return spark.read.schema(data.schema).option("header", True).csv(path).select(*data.columns)
 
 
+# The same answers from states added up before
+
+
+@_query("T1_speed_series_rolled")
+def _(t):
+    """A start off the grid of bins and of periods, so the ends come from the facts."""
+    states = rollups.SPEED.build(t.interp)
+    return rollups.speed_series(states, t.interp, t.vessel, OFF_GRID_START, END, 30)
+
+
+@_query("T3_aux_series_rolled")
+def _(t):
+    return rollups.aux_series(rollups.AUX_FUEL.build(t.interp), t.interp, t.vessel, START, END, 60)
+
+
+@_query("T4_main_series_rolled")
+def _(t):
+    return rollups.main_series(rollups.MAIN_FUEL.build(t.interp), t.interp, t.vessel, START, END, 60)
+
+
+@_query("C2_run_hour_delta_rolled")
+def _(t):
+    states = rollups.RUN_HOURS.build(t.unified)
+    return rollups.run_hour_delta(states, t.unified, START, END, vessel=t.vessel)
+
+
+@_query("C4_daily_consumption_rolled")
+def _(t):
+    states = rollups.DAILY.build(t.interp)
+    return rollups.daily_consumption(states, t.interp, t.weather, START, END, vessel=t.vessel)
+
+
+@_query("N2_daily_wind_rolled")
+def _(t):
+    return rollups.daily_wind(rollups.WIND_DAY.build(t.nmea), t.nmea, t.device)
+
+
 # Fleet, reference data and images
 
 
 @_query("F1_fleet_kpis")
 def _(t):
+    return _fleet_kpis(t)
+
+
+@_query("F1_fleet_kpis_one_customer")
+def _(t):
+    return _fleet_kpis(t, "ASIA")
+
+
+def _fleet_kpis(t, customer_name=None):
     return fleet.fleet_kpis(
         t.vessel,
         t.customer,
@@ -445,6 +493,7 @@ def _(t):
         t.position_status,
         t.gis_point,
         t.gis_point_type,
+        customer_name,
     )
 
 
@@ -511,6 +560,33 @@ def _(t):
     return deident.pseudonymise(_reports_with_identity(t), mapping, "demo", "offshore")
 
 
+def _demo(t):
+    mapping = t.vessel.where("vessel_type_id = 1 and imo is not null").selectExpr(
+        "imo",
+        "concat('OSV ', id) as new_name",
+        "imo - 8000000 as new_imo",
+        "mmsi - 500000000 as new_mmsi",
+    )
+    return demo.DemoCustomer("demo", mapping, DEMO_FLEET, seed=JITTER_SEED)
+
+
+@_query("D2_demo_kpis")
+def _(t):
+    return demo.demo_kpis(_fleet_kpis(t), _demo(t), AS_OF)
+
+
+@_query("D2_demo_positions")
+def _(t):
+    return demo.demo_positions(positions.fold_sources(_fleet_positions(t)), _demo(t), AS_OF)
+
+
+@_query("D2_demo_vessels")
+def _(t):
+    return demo.demo_vessels(
+        fleet.vessels(t.vessel, t.customer, t.vessel_type, parse_info=False), _demo(t)
+    )
+
+
 @_query("D3_jitter_days")
 def _(t):
     reports_ = t.interp.selectExpr(
@@ -598,9 +674,8 @@ def _(t):
     return deident.append_noon_speed(speeds, noon, 99, AS_OF)
 
 
-@_query("D8_import_vessels")
-def _(t):
-    listed = t.gis_point.selectExpr(
+def _listed_vessels(t):
+    return t.gis_point.selectExpr(
         "id as line_no",
         "9500000 + id as imo",
         "540000000 + id as mmsi",
@@ -609,5 +684,19 @@ def _(t):
         "cast(10 + id % 7 as double) as service_speed",
         "description as owner_remark",
     )
-    constants = {"customer_id": 6, "vessel_type_id": 13, "fuel_type_id": 1}
-    return deident.import_vessels(listed, "line_no", constants)
+
+
+IMPORT_CONSTANTS = {"customer_id": 6, "vessel_type_id": 13, "fuel_type_id": 1}
+
+
+@_query("D8_import_vessels")
+def _(t):
+    return deident.import_vessels(_listed_vessels(t), "line_no", IMPORT_CONSTANTS)
+
+
+@_query("D8_append_vessels")
+def _(t):
+    """The vessel table with the list appended, ids going on behind its largest one."""
+    added = deident.import_vessels(_listed_vessels(t), "line_no", IMPORT_CONSTANTS, existing=t.vessel)
+    shared = ["id", "imo", "mmsi", "name", "customer_id"]
+    return t.vessel.select(shared).unionByName(added.select(shared))

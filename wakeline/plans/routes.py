@@ -25,6 +25,7 @@ from wakeline.operators import (
     alerts,
     consumption,
     deident,
+    demo,
     fleet,
     links,
     positions,
@@ -46,12 +47,15 @@ class FleetService:
         fresh_minutes: int = FRESH_MINUTES,
         recent_days: int | None = None,
         aliases: DataFrame | None = None,
+        demo_customer: demo.DemoCustomer | None = None,
     ):
         """``recent_days`` makes latest-state queries read that many days before they
         turn to the whole history; answers do not change. ``aliases`` has one row per
-        ``alias`` number with the ``real`` one that answers for it."""
+        ``alias`` number with the ``real`` one that answers for it. Fleet questions of
+        ``demo_customer`` are answered with another's vessels under invented names."""
         self.tables = tables
         self.aliases = aliases
+        self.demo = demo_customer
         self.as_of = as_datetime(as_of)
         self.fresh_minutes = fresh_minutes
         self.since = None if recent_days is None else self.as_of - timedelta(days=recent_days)
@@ -128,7 +132,13 @@ class FleetService:
     def vessel_links(self, imo: int) -> DataFrame:
         t = self.tables
         return links.vessel_links(
-            t.vessel, t.device, t.engine, t.device_status, t.nmea, self.vessel_ids(imo)
+            t.vessel,
+            t.device,
+            t.engine,
+            t.device_status,
+            t.nmea,
+            self.vessel_ids(imo),
+            since=self.since,
         )
 
     def vessel_real_time(self, imo: int) -> DataFrame:
@@ -161,6 +171,8 @@ class FleetService:
             *self._state_tables(),
             *self._window(start, end),
             self.vessel_ids(imo),
+            t.vessel,
+            self.since,
         )
         return bundle.orderBy("vessel_id", "kind", F.col("timestamp").desc())
 
@@ -271,9 +283,16 @@ class FleetService:
 
     # Fleet
 
+    def _shown(self, customer: str | None) -> str | None:
+        """The customer whose fleet answers: the demo customer shows another's."""
+        return self.demo.source if self._is_demo(customer) else customer
+
+    def _is_demo(self, customer: str | None) -> bool:
+        return self.demo is not None and customer == self.demo.name
+
     def fleet_kpis(self, customer: str | None = None) -> DataFrame:
         t = self.tables
-        return fleet.fleet_kpis(
+        rows = fleet.fleet_kpis(
             t.vessel,
             t.customer,
             t.interp,
@@ -285,13 +304,15 @@ class FleetService:
             t.device_status,
             t.nmea,
             *self._state_tables(),
-            customer,
+            self._shown(customer),
             self.since,
         )
+        return demo.demo_kpis(rows, self.demo, self.as_of) if self._is_demo(customer) else rows
 
     def fleet_vessels(self, customer: str | None = None) -> DataFrame:
         t = self.tables
-        return fleet.vessels(t.vessel, t.customer, t.vessel_type, customer)
+        rows = fleet.vessels(t.vessel, t.customer, t.vessel_type, self._shown(customer))
+        return demo.demo_vessels(rows, self.demo) if self._is_demo(customer) else rows
 
     def fleet_position(self, customer: str | None = None) -> DataFrame:
         t = self.tables
@@ -303,10 +324,13 @@ class FleetService:
             t.ais,
             t.vps,
             t.position_status,
-            customer,
+            self._shown(customer),
             self.since,
         )
-        return positions.fold_sources(per_source).orderBy("vessel_id")
+        rows = positions.fold_sources(per_source)
+        if self._is_demo(customer):
+            rows = demo.demo_positions(rows, self.demo, self.as_of)
+        return rows.orderBy("vessel_id")
 
     def fleet_links(self, customer: str | None = None) -> DataFrame:
         t = self.tables
