@@ -84,11 +84,38 @@ def test_csv_export_reads_back(spark, tables, tmp_path):
     )
     path = str(tmp_path / "csv")
     reports.export_csv(data, path)
-    back = spark.read.schema(data.schema).option("header", True).csv(path).select(*data.columns)
+    back = reports.read_export(spark, path, data.schema)
     assert rows(back, *data.columns) == rows(data, *data.columns)
     assert back.count() > 0
 
 
+def test_export_parts_by_number_are_newest_first(spark, tables, tmp_path):
+    data = reports.unified_dataset(
+        tables.interp, tables.device, tables.canbus, at("05 00:00"), at("09 00:00")
+    )
+    path = str(tmp_path / "csv")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        reports.export_csv(data, path)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    manifest = spark.read.json(f"{path}/_manifest").orderBy("vessel_id", "number").collect()
+    assert len(manifest) > len({r["vessel_id"] for r in manifest})
+    found: dict = {}
+    for r in manifest:
+        part = spark.read.option("header", True).csv(r["file"])
+        # One file, in the order it was written.
+        lines = part.select("nr_time", "id").collect()
+        assert len(lines) == r["rows"] and lines[0]["nr_time"] >= lines[-1]["nr_time"]
+        found.setdefault(r["vessel_id"], []).extend((x["nr_time"], int(x["id"])) for x in lines)
+    for vessel_id, lines in found.items():
+        assert lines == sorted(lines, reverse=True), vessel_id
+    assert sum(map(len, found.values())) == data.count()
+    empty = str(tmp_path / "empty")
+    reports.export_csv(data.limit(0), empty)
+    assert reports.read_export(spark, empty, data.schema).count() == 0
+
+
 def test_noon_csv_and_its_speeds(spark, tmp_path):
     def line(number, stw, state="NaN"):
         known = {"Log_No": number, "Datetime_UTC": "14-03-2024", "Load_Condition": state, "STW": stw, "DSS": state}

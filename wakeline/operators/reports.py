@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterable
 from datetime import date, timedelta
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wakeline.functions.frames import number, pick_vessels
 from wakeline.functions.sizing import broadcast_if_small
@@ -21,6 +22,7 @@ TRUE_WIND, METRES_PER_SECOND = "T", "M"
 COUNTED_WIND = f"reference = '{TRUE_WIND}' and wind_speed_units = '{METRES_PER_SECOND}'"
 NOON_ENGINES = {"c_hours": "ME_CENTRE", "p_hours": "ME_PORT", "s_hours": "ME_STBD"}
 RPM_LABELS = ("ME1", "ME2", "ME3")
+TIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"
 
 
 def _days(frame: DataFrame, moment: str, first: date | None, last: date | None) -> DataFrame:
@@ -316,17 +318,43 @@ def page(
 
 
 def export_csv(unified: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """The unified data set as CSV with a header, one folder per vessel.
+    """The unified data set as CSV with a header, one folder per vessel, newest first.
 
-    Rows of a vessel are brought together before the write; adaptive execution
-    splits a vessel too big for one writer over several files.
+    Rows are dealt by ranges of (vessel, time), newest first, so a vessel of any size
+    is spread over writers and the parts of its folder follow each other by
+    name. ``_manifest`` in the same folder lists them: vessel, number, file, rows, and the
+    newest and oldest time; parts put together by number are the vessel's whole data set.
     """
+    order = [F.col("vessel"), F.col("nr_time").desc(), F.col("id").desc()]
     (
         unified.withColumn("vessel", F.col("vessel_id"))
-        .hint("rebalance", F.col("vessel"))
+        .repartitionByRange(*order)
+        .sortWithinPartitions(*order)
         .write.mode(mode)
         .option("header", True)
-        .option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]")
+        .option("timestampNTZFormat", TIME_FORMAT)
         .partitionBy("vessel")
         .csv(path)
     )
+    parts = (
+        _exported(unified.sparkSession, path, unified.schema)
+        .groupBy("vessel_id", F.col("_metadata.file_path").alias("file"))
+        .agg(F.count(F.lit(1)).alias("rows"), F.max("nr_time").alias("newest"), F.min("nr_time").alias("oldest"))
+    )
+    by_name = Window.partitionBy("vessel_id").orderBy(F.element_at(F.split("file", "/"), -1))
+    # One row per file written.
+    (
+        parts.withColumn("number", F.row_number().over(by_name))
+        .select("vessel_id", "number", "file", "rows", "newest", "oldest")
+        .write.mode("overwrite")
+        .json(f"{path}/_manifest")
+    )
+
+
+def _exported(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    return spark.read.schema(schema).option("header", True).csv(path)
+
+
+def read_export(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """An export's rows, in no order; the manifest gives that of its files."""
+    return _exported(spark, path, schema).select(*schema.names)

@@ -424,7 +424,7 @@ def _(t):
     spark = data.sparkSession
     path = new_path(spark, "unified-csv")
     reports.export_csv(data, path)
-    return spark.read.schema(data.schema).option("header", True).csv(path).select(*data.columns)
+    return reports.read_export(spark, path, data.schema)
 
 
 # The same answers from states added up before
