@@ -252,6 +252,37 @@ def test_contamination(spark, texts):
     assert phrase_index.clean(awkward(spark), benchmark).columns == awkward(spark).columns
 
 
+def test_long_items_and_shared_windows(spark):
+    rng = np.random.default_rng(11)
+    long = [f"w{k}" for k in rng.integers(0, 4000, 50_000)]
+    shared = "answer the following question with one of these letters only please".split()
+    items = [(0, " ".join(long))] + [(k, " ".join([*shared, f"own{k}"])) for k in range(1, 10_001)]
+    docs = [
+        (1, " ".join(["x", *long[30_000:30_020], "y"])),
+        (2, " ".join(["x", *shared[:10], "y"])),
+        (3, " ".join(["x", *shared, "own77", "y"])),
+        (4, "nothing here at all"),
+    ]
+    documents = spark.createDataFrame(docs, "doc_id bigint, text string")
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    parts, owners = phrase_index.windows(benchmark)
+    # As many windows as words, and two of the instruction for all items together.
+    assert parts.count() == 50_000 - 9 + 2 + 10_000 and owners.count() == 50_000 - 9 + 3 * 10_000
+    out = {r["doc_id"]: r for r in phrase_index.decontaminate(documents, benchmark).collect()}
+    assert (out[1]["n_hit"], out[1]["items"]) == (20, [0])
+    assert (out[2]["n_hit"], len(out[2]["items"])) == (10, 10_000)
+    assert (out[3]["n_hit"], len(out[3]["items"])) == (12, 10_000)
+    assert (out[4]["n_hit"], out[4]["items"]) == (0, [])
+
+
+def test_blocks_change_nothing(spark, texts, monkeypatch):
+    benchmark = spark.read.parquet(f"{DATA}/benchmark.parquet")
+    documents = spark.createDataFrame(texts[:60], "doc_id bigint, text string")
+    whole = sorted(map(repr, phrase_index.decontaminate(documents, benchmark).collect()))
+    monkeypatch.setattr(phrase_index, "BLOCK_PLACES", 2000)
+    assert sorted(map(repr, phrase_index.decontaminate(documents, benchmark).collect())) == whole
+
+
 def test_proximity_without_the_rarest_word(spark):
     words = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
     swapped = ["other" if w == "zeta" else w for w in words]

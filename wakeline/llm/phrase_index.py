@@ -1,11 +1,12 @@
 """Benchmark decontamination by a positional inverted index.
 
-Test items are cut into windows of consecutive words. Each window is anchored at
-its rarest word in the training documents; the postings of the anchor words are
-met with the windows at the offset of the anchor, and the rest of the window has
-to follow at its own offsets. Proximity matches hold most words of a window near
+Test items are cut into windows of consecutive words, and equal windows are one. Each
+is anchored at its rarest word in the training documents; the postings of the anchor
+words are met with the windows at the offset of the anchor, and the rest of the window
+has to follow at its own offsets. Proximity matches hold most words of a window near
 each other; as few may be missing, one of the window's rarest few is there, so
-each of these is met with its postings too.
+each of these is met with its postings too, and with one more of them nearby. Items
+come in only after the match.
 """
 
 from __future__ import annotations
@@ -20,8 +21,9 @@ WORDS = 10
 #: Words outside a window's own span that a proximity match may use on either side,
 #: and the share of the window's distinct words that it has to hold.
 SLOP, SHARE = 2, 0.8
-#: Anchors that are met with the postings at a time; a larger benchmark goes in blocks.
-BLOCK_ANCHORS = 20_000
+#: Places of windows that are met with the postings at a time, and characters of their
+#: words; a larger benchmark goes in blocks.
+BLOCK_PLACES, BLOCK_CHARS = 200_000, 20_000_000
 
 _BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -31,34 +33,31 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(text), _BREAK), "")
 
 
-def windows(benchmark: DataFrame, words: int = WORDS) -> DataFrame:
-    """Distinct word lists of the items, numbered: ``(list, words, item_ids, length, last)``.
+def windows(benchmark: DataFrame, words: int = WORDS) -> tuple[DataFrame, DataFrame]:
+    """Distinct windows ``(window, words)``, and ``(window, item_id)``, whose they are.
 
-    Windows have ``length`` words and start at 0 to ``last``; an item with fewer
-    words is one window. Items without words or without an id are left out.
-    Repeated texts are one list with several ids.
+    Windows have ``words`` words; an item with fewer is one window. Items without
+    words or without an id are left out. A passage that many items share is a few
+    windows, and a long item is as many as it has words.
     """
     lists = (
-        benchmark.select(F.col("item_id").cast("bigint"), words_of(F.col("text")).alias("words"))
-        .filter("item_id is not null and size(words) > 0")
-        .groupBy("words")
-        .agg(F.collect_set("item_id").alias("item_ids"))
+        benchmark.select(F.col("item_id").cast("bigint"), words_of(F.col("text")).alias("list"))
+        .filter("item_id is not null and size(list) > 0")
+        .select("item_id", "list", F.explode(F.sequence(F.lit(0), F.greatest(F.size("list") - words, F.lit(0)))).alias("start"))
     )
-    return settle(
-        lists.select(
-            F.monotonically_increasing_id().alias("list"),
-            "words",
-            "item_ids",
-            F.least(F.size("words"), F.lit(words)).alias("length"),
-            F.greatest(F.size("words") - words, F.lit(0)).alias("last"),
-        )
+    placed = lists.select("item_id", F.slice("list", F.col("start") + 1, words).alias("words")).distinct()
+    # The rows of a checkpoint keep their places, so the numbers stay when a task is done again.
+    parts = settle(placed.select("words").distinct()).select(
+        F.monotonically_increasing_id().alias("window"), "words"
     )
+    return parts, settle(placed.join(parts, "words").select("window", "item_id"))
 
 
-def term_counts(documents: DataFrame, lists: DataFrame) -> DataFrame:
+def term_counts(documents: DataFrame, parts: DataFrame) -> DataFrame:
     """``(term, n)``: how often each test word stands in the documents, 0 included."""
-    terms = lists.select(F.explode("words").alias("term")).distinct()
-    small = terms.count() <= BLOCK_ANCHORS
+    terms = settle(parts.select(F.explode("words").alias("term")).distinct())
+    size = terms.agg(F.count("*"), F.sum(F.length("term"))).first()
+    small = size[0] <= BLOCK_PLACES and (size[1] or 0) <= BLOCK_CHARS
     tokens = documents.select(F.explode(words_of(F.col("text"))).alias("term"))
     counts = tokens.join(F.broadcast(terms) if small else terms, "term").groupBy("term").count()
     return terms.join(counts, "term", "left").select(
@@ -66,63 +65,56 @@ def term_counts(documents: DataFrame, lists: DataFrame) -> DataFrame:
     )
 
 
-def anchors(lists: DataFrame, counts: DataFrame) -> DataFrame:
-    """``(list, at, term, starts, near_starts, ...)``: windows that anchor or pivot at word ``at``.
+def places(parts: DataFrame, counts: DataFrame) -> DataFrame:
+    """``(window, words, at, term, anchor, pivot, helpers, need)``: where windows meet postings.
 
     A window's anchor is its rarest word, the first one of equals; windows with a word
     that no document has get none, as they cannot occur. Its pivots are one word more
     of its rarest distinct ones than a proximity match may lack, at every place; those
-    that no document has are missing in all of them. Windows of an item with the same
-    ``at`` are one row.
+    that no document has are missing in all of them. A match lacks too few words to
+    have only one of the pivots and the next rarest word, so with a pivot stands one of its
+    ``helpers``, the others of these. ``need`` is how many distinct words it has.
     """
-    placed = lists.select("list", F.posexplode("words").alias("at", "term")).join(counts, "term")
-    rated = lists.join(
-        placed.groupBy("list").agg(
+    rated = (
+        parts.select("window", "words", F.posexplode("words").alias("at", "term"))
+        .join(counts, "term")
+        .groupBy("window")
+        .agg(
+            F.first("words").alias("words"),
             F.transform(
-                F.array_sort(F.collect_list(F.struct("at", "n"))), lambda x: x["n"]
-            ).alias("rates")
-        ),
-        "list",
-    )
-    starts = rated.select(
-        "list", "words", "item_ids", "length", "rates", F.explode(F.sequence(F.lit(0), "last")).alias("start")
-    )
-    part = F.slice("rates", F.col("start") + 1, F.col("length"))
-    place = F.sequence(F.col("start"), F.col("start") + F.col("length") - 1)
-    rarest = F.array_sort(
-        F.array_distinct(
-            F.transform(place, lambda i: F.struct(F.get("rates", i).alias("n"), F.get("words", i).alias("term")))
+                F.array_sort(F.collect_list(F.struct("at", "n", "term"))),
+                lambda x: F.struct(x["n"].alias("n"), x["term"].alias("term"), x["at"].alias("at")),
+            ).alias("rates"),
         )
     )
-    chosen = (
-        starts.withColumn("least", F.array_min(part))
-        .withColumn(
-            "anchor",
-            F.when(
-                F.col("least") > 0,
-                F.col("start") + F.array_position(part, F.col("least")).cast("int") - 1,
-            ),
-        )
-        .withColumn("rarest", rarest)
-        .withColumn(
-            "rarest",
-            F.slice("rarest", 1, (F.size("rarest") - F.ceil(SHARE * F.size("rarest")) + 1).cast("int")),
+    least = F.array_min("rates")
+    kinds = F.array_sort(
+        F.array_distinct(
+            F.transform("rates", lambda x: F.struct(x["n"].alias("n"), x["term"].alias("term")))
         )
-        .withColumn("pivots", F.filter(place, lambda i: F.array_contains("rarest.term", F.get("words", i))))
-        .withColumn("at", F.explode(F.array_compact(F.array_union("pivots", F.array("anchor")))))
-        .filter(F.get("rates", F.col("at")) > 0)
     )
+    kinds = F.transform(kinds, lambda x: x["term"])
+    need = F.ceil(SHARE * F.size("kinds")).cast("int")
     return (
-        chosen.groupBy("list", "at")
-        .agg(
-            F.collect_set(F.when(F.col("at") == F.col("anchor"), F.col("start"))).alias("starts"),
-            F.collect_set(F.when(F.array_contains("pivots", F.col("at")), F.col("start"))).alias("near_starts"),
-            F.first("words").alias("item"),
-            F.first("item_ids").alias("item_ids"),
-            F.first("length").alias("length"),
+        rated.withColumn("anchor_at", F.when(least["n"] > 0, least["at"]))
+        .withColumn("kinds", kinds)
+        .withColumn("need", need)
+        .withColumn("pivots", F.slice("kinds", 1, F.size("kinds") - F.col("need") + 1))
+        .withColumn("rare", F.slice("kinds", 1, F.size("kinds") - F.col("need") + 2))
+        .withColumn("place", F.explode("rates"))
+        .select(
+            "window",
+            "words",
+            "need",
+            F.col("place.at").alias("at"),
+            F.col("place.term").alias("term"),
+            F.coalesce(F.col("place.at") == F.col("anchor_at"), F.lit(False)).alias("anchor"),
+            F.array_contains("pivots", F.col("place.term")).alias("pivot"),
+            F.array_remove("rare", F.col("place.term")).alias("helpers"),
+            F.col("place.n").alias("n"),
         )
-        .withColumn("term", F.get("item", F.col("at")))
-        .drop("list")
+        .filter("n > 0 and (anchor or pivot)")
+        .drop("n")
     )
 
 
@@ -162,47 +154,28 @@ def postings(documents: DataFrame, terms: list[str], reach: int) -> DataFrame:
 
 
 def matches(documents: DataFrame, found: DataFrame, words: int = WORDS) -> DataFrame:
-    """Postings of the anchors and pivots that are matches: ``(doc_id, hash, item_ids, spans, near)``.
+    """Postings that are matches: ``(doc_id, hash, window, start, stop, exact)``.
 
-    ``spans`` are ``(start, stop)`` of exact windows in words. ``found`` is bounded
-    by ``BLOCK_ANCHORS`` and broadcast; the postings stream past it.
+    ``found`` is bounded by the block sizes and broadcast; the postings stream past it.
+    What is not exact is a proximity match; ``start`` and ``stop`` are in words.
     """
     terms = [r["term"] for r in found.select("term").distinct().collect()]
-    shift = F.col("pos") - F.col("at") - F.col("first")
-    exact = F.filter(
-        "starts",
-        lambda s: (shift + s >= 0)
-        & (
-            F.slice("around", F.greatest(shift + s, F.lit(0)) + 1, F.col("length"))
-            == F.slice("item", s + 1, F.col("length"))
-        ),
-    )
-    wanted = lambda s: F.array_distinct(F.slice("item", s + 1, F.col("length")))
-    nearby = lambda s: F.slice(
-        "around", F.greatest(shift + s - SLOP, F.lit(0)) + 1, F.col("length") + 2 * SLOP
-    )
-    near = F.exists(
-        "near_starts",
-        lambda s: F.size(F.array_intersect(wanted(s), nearby(s))) >= F.ceil(SHARE * F.size(wanted(s))),
+    first = F.col("pos") - F.col("at") - F.col("first")
+    length = F.size("words")
+    exact = F.col("anchor") & (first >= 0) & (F.slice("around", F.greatest(first, F.lit(0)) + 1, length) == F.col("words"))
+    nearby = F.slice("around", F.greatest(first - SLOP, F.lit(0)) + 1, length + 2 * SLOP)
+    near = (
+        F.col("pivot")
+        & ((F.size("helpers") == 0) | F.arrays_overlap(nearby, "helpers"))
+        & (F.size(F.array_intersect("words", nearby)) >= F.col("need"))
     )
+    start = F.col("pos") - F.col("at")
     return (
         postings(documents, terms, words + SLOP)
         .join(F.broadcast(found), "term")
-        .select("doc_id", "hash", "item_ids", "length", "pos", "at", exact.alias("exact"), near.alias("near"))
-        .filter("near or size(exact) > 0")
-        .select(
-            "doc_id",
-            "hash",
-            "item_ids",
-            F.transform(
-                "exact",
-                lambda s: F.struct(
-                    (F.col("pos") - F.col("at") + s).alias("start"),
-                    (F.col("pos") - F.col("at") + s + F.col("length")).alias("stop"),
-                ),
-            ).alias("spans"),
-            "near",
-        )
+        .select("doc_id", "hash", "window", start.alias("start"), (start + length).alias("stop"), exact.alias("exact"), near.alias("near"))
+        .filter("exact or near")
+        .drop("near")
     )
 
 
@@ -210,19 +183,24 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, words: int =
     """Per (doc_id, hash of the text) with a match: n_hit, items, near_items, spans.
 
     ``n_hit`` counts the document's words inside any exact window, ``items`` and
-    ``near_items`` are sorted item ids with exact and with proximity matches.
+    ``near_items`` are sorted item ids with exact and with proximity matches (an exact
+    one is a proximity match too).
     """
-    lists = windows(benchmark, words)
-    found = settle(anchors(lists, settle(term_counts(documents, lists))))
-    rows = found.count()
-    blocks = max(1, -(-rows // BLOCK_ANCHORS))
+    parts, owners = windows(benchmark, words)
+    found = settle(places(parts, settle(term_counts(documents, parts))))
+    size = found.agg(F.count("*"), F.sum(F.length(F.array_join("words", " ")))).first()
+    blocks = max(1, -(-size[0] // BLOCK_PLACES), -(-(size[1] or 0) // BLOCK_CHARS))
     hits = None
     for block in range(blocks):
-        part = found.filter(F.pmod(F.xxhash64("item", "at"), F.lit(blocks)) == block)
+        part = found.filter(F.pmod(F.xxhash64("window"), F.lit(blocks)) == block)
         one = matches(documents, part, words)
         hits = one if hits is None else hits.union(one)
+    hits = settle(hits.distinct())
+    key = ["doc_id", "hash"]
+    span = F.struct(F.col("start").alias("start"), F.col("stop").alias("stop"))
+    spans = hits.groupBy(*key).agg(F.array_sort(F.collect_set(F.when(F.col("exact"), span))).alias("spans"))
     covered = F.aggregate(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))),
+        "spans",
         F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n")),
         lambda acc, s: F.struct(
             F.greatest(acc["end"], s["stop"]).alias("end"),
@@ -230,15 +208,22 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, words: int =
         ),
         lambda acc: acc["n"],
     )
-    none = F.array().cast("array<bigint>")
-    ids = lambda kept: F.array_sort(
-        F.array_distinct(F.flatten(F.collect_set(F.when(kept, F.col("item_ids")).otherwise(none))))
+    # A window may stand in any share of the documents; two numbers a row have a bound by rows.
+    small = owners.limit(BLOCK_PLACES + 1).count() <= BLOCK_PLACES
+    items = (
+        hits.groupBy(*key, "window")
+        .agg(F.max("exact").alias("exact"))
+        .join(F.broadcast(owners) if small else owners, "window")
+        .groupBy(*key)
+        .agg(
+            F.array_sort(F.collect_set(F.when(F.col("exact"), F.col("item_id")))).alias("items"),
+            F.array_sort(F.collect_set("item_id")).alias("near_items"),
+        )
     )
-    return hits.groupBy("doc_id", "hash").agg(
-        covered.alias("n_hit"),
-        ids(F.size("spans") > 0).alias("items"),
-        ids(F.col("near")).alias("near_items"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"),
+    owned = items.select(F.col("doc_id").alias("of_id"), F.col("hash").alias("of_hash"), "items", "near_items")
+    return (
+        spans.join(owned, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("hash") == F.col("of_hash")))
+        .select(*key, covered.alias("n_hit"), "items", "near_items", "spans")
     )
 
 
