@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tests.frames import at, fleet, rows, table
 from wakeline.functions import times
 from wakeline.functions.weather import added_resistance
+from wakeline.operators import fleet as fleet_ops
 from wakeline.operators import (
     alerts,
     consumption,
@@ -738,3 +739,48 @@ def test_wide_jitter_reaches_its_bound(spark):
     assert 0 <= low < bound // 50 and bound - bound // 50 < high < bound and count > 2500
     with pytest.raises(ValueError):
         deident.jitter_number(F.lit(1), 7, "time", 10**13)
+
+
+def test_info_as_variant(spark):
+    texts = [
+        '{"maker": {"name": "X", "year": 1999}, "decks": [{"no": 7}, {"no": 8}]}',
+        '{"maker": {"name": 5}, "draft": 3.5}',
+        "not json",
+        None,
+    ]
+    engines = spark.createDataFrame(
+        [(1, "ME_CENTRE", f"ME{k}", t) for k, t in enumerate(texts)],
+        "vessel_id int, type string, label string, additional_info string",
+    )
+    found = fleet_ops.engines(engines, fleet(spark, 1))
+    paths = {"year": ("$.maker.year", "int"), "name": ("$.maker.name", "string"), "deck": ("$.decks[1].no", "int")}
+    assert rows(fleet_ops.info_values(found, paths), "label", "year", "name", "deck") == [
+        ("ME0", 1999, "X", 8),
+        ("ME1", None, "5", None),
+        ("ME2", None, None, None),
+        ("ME3", None, None, None),
+    ]
+    shape = fleet_ops.info_shape(found)
+    assert "maker" in shape and "draft" in shape and "decks" in shape
+
+
+def test_links_look_at_recent_reports_first(spark):
+    device = table(spark, "device", [
+        {"device_id": d, "vessel_id": v, "device_type_id": 3, "label_name": "NMEA", "is_active": True}
+        for d, v in ((1, 1), (2, 1), (3, 2), (4, 3))
+    ])
+    nmea = table(spark, "nmea", [
+        {"device_id": 1, "message_datetime": at("14 10:00"), "latitude": 1, "speed_over_ground": 2},
+        {"device_id": 2, "message_datetime": at("03 10:00"), "latitude": 1},
+        {"device_id": 2, "message_datetime": at("14 11:00"), "speed_over_ground": 2},
+        {"device_id": 3, "message_datetime": at("02 10:00"), "longitude": 1, "speed_over_ground": 3},
+        {"device_id": 9, "message_datetime": at("14 10:00"), "latitude": 1},
+    ])
+    engine = table(spark, "engine", [])
+    heard = table(spark, "device_status", [])
+    vessel = fleet(spark, 1, 2, 3)
+    whole = links.vessel_links(vessel, device, engine, heard, nmea)
+    recent = links.vessel_links(vessel, device, engine, heard, nmea, since=at("13"))
+    assert rows(whole, *whole.columns) == rows(recent, *whole.columns)
+    one = links.vessel_links(vessel.where("id = 2"), device, engine, heard, nmea, limit=True, since=at("13"))
+    assert rows(one, *whole.columns) == [r for r in rows(whole, *whole.columns) if r[0] == 2]

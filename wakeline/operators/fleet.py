@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -129,7 +129,10 @@ def vessels(
     customer_name: str | None = None,
     parse_info: bool = True,
 ) -> DataFrame:
-    """the vessel list; ``additional_info`` as a map unless left as JSON text."""
+    """the vessel list; ``additional_info`` as a variant unless left as JSON text.
+
+    Text that is not JSON reads as null. See ``info_values`` for what is inside.
+    """
     owners = customer.select(F.col("id").alias("customer_id"), F.col("name").alias("company_id"))
     if customer_name is not None:
         owners = owners.where(F.col("company_id") == customer_name)
@@ -157,7 +160,27 @@ def vessels(
 
 def _info(parse: bool):
     info = F.col("additional_info")
-    return (F.from_json(info, "map<string,string>") if parse else info).alias("additional_info")
+    return (F.try_parse_json(info) if parse else info).alias("additional_info")
+
+
+def info_values(
+    frame: DataFrame, values: Mapping[str, tuple[str, str]], column: str = "additional_info"
+) -> DataFrame:
+    """Values out of a variant column as columns of their own, in its place.
+
+    ``values`` has for each new column the path (``$.engine.maker``, ``$.decks[0]``) and
+    the type; what is missing or of another kind is null.
+    """
+    found = [
+        F.try_variant_get(F.col(column), path, kind).alias(name)
+        for name, (path, kind) in values.items()
+    ]
+    return frame.select(*[c for c in frame.columns if c != column], *found)
+
+
+def info_shape(frame: DataFrame, column: str = "additional_info") -> str:
+    """The type that all values of a variant column share, as text; keys in some rows count."""
+    return frame.agg(F.schema_of_variant_agg(column)).first()[0]
 
 
 def engines(

@@ -507,6 +507,17 @@ def _(t):
     return fleet.engines(t.engine, t.vessel, parse_info=False)
 
 
+@_query("F2_vessels_parsed")
+def _(t):
+    listed = fleet.vessels(t.vessel, t.customer, t.vessel_type)
+    return fleet.info_values(listed, {"info_built": ("$.built", "int")})
+
+
+@_query("F3_engines_parsed")
+def _(t):
+    return fleet.info_values(fleet.engines(t.engine, t.vessel), {"info_no": ("$.no", "string")})
+
+
 @_query("F4_gis_points")
 def _(t):
     return fleet.gis_points(t.gis_point, t.gis_point_type)
