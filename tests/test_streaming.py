@@ -6,8 +6,8 @@ from datetime import timedelta
 
 from pyspark.sql import functions as F
 
-from tests.frames import at, rows
-from wakeline.operators import positions, series
+from tests.frames import at, rows, table
+from wakeline.operators import positions, series, snapshot
 from wakeline.streaming import live
 
 
@@ -67,3 +67,55 @@ def test_main_series_bins(spark, tables, tmp_path):
     full = batch.select(F.col("vessel_id").cast("long"), "timestamp", F.round("fuel_cons", 6).alias("fuel_cons"))
     assert set(map(tuple, centred.collect())) <= set(map(tuple, full.collect()))
     assert closed.agg(F.max("bin")).collect()[0][0] >= last - timedelta(days=3)
+
+
+def test_vessels_stop_being_fresh_without_a_new_row(spark, tmp_path):
+    """After each load the stream's table is the batch answer at the watermark, late rows included."""
+    import random
+
+    rng = random.Random(3)
+    late = timedelta(minutes=10)
+    reports = []
+    for k in range(400):
+        # Vessel 3 falls silent, vessel 4 comes late.
+        vessel = rng.choice((1, 2, 3, 4))
+        minute = rng.uniform(0, 40 if vessel == 3 else 240)
+        row = {"id": k, "vessel_id": vessel, "nr_time": at("05 10:00") + timedelta(minutes=minute)}
+        for c in ("me1_consumption", "ae1_consumption", "latitude", "course"):
+            if rng.random() < 0.5:
+                row[c] = rng.choice((0, 1, 2.5))
+        reports.append(row)
+    # A load holds the reports of its time, some of them up to ten minutes late.
+    arrival = lambda r: r["nr_time"] + timedelta(minutes=rng.choice((0, 0, 0, 9)))
+    reports.sort(key=arrival)
+    folder, state = str(tmp_path / "in"), str(tmp_path / "state")
+    shown, seen = {}, []
+    minutes = 15
+
+    def keep(frame, _):
+        for r in frame.collect():
+            shown[r["vessel_id"]] = r
+
+    for k in range(0, 400, 80):
+        part = table(spark, "interp", reports[k : k + 80])
+        part.coalesce(1).write.mode("append").parquet(folder)
+        seen += reports[k : k + 80]
+        stream = spark.readStream.schema(part.schema).parquet(folder)
+        query = (
+            live.stream_fresh(stream, minutes, "10 minutes")
+            .writeStream.outputMode("update")
+            .option("checkpointLocation", state)
+            .foreachBatch(keep)
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination(300)
+        assert query.exception() is None
+        newest = max(r["nr_time"] for r in seen) - late
+        as_of = newest.replace(microsecond=newest.microsecond // 1000 * 1000)
+        batch = snapshot.most_complete(snapshot.fresh(table(spark, "interp", seen), as_of, minutes))
+        columns = [c for c in batch.columns if c != "score"]
+        wanted = rows(batch, *columns)
+        got = sorted(tuple(r[c] for c in columns) for r in shown.values() if r["fresh"])
+        assert sorted(map(repr, got)) == sorted(map(repr, wanted)), as_of
+    assert shown[3]["fresh"] is False and shown[3]["timestamp"] is None

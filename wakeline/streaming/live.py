@@ -1,20 +1,27 @@
 """Operators kept up to date as reports arrive, with Structured Streaming.
 
-Each gives the same answer as its batch operator over the rows seen so far.
-State is one row per key or per open bin, so it does not grow with the stream.
+Each gives the same answer as its batch operator over the rows seen so far. State is
+one row per key or per open bin, or a vessel's reports of the last minutes, so it does
+not grow with the stream.
 """
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
 from datetime import timedelta
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from wakeline.functions.frames import number, total_sql
-from wakeline.functions.times import BIN_ORIGIN, EPOCH
+from wakeline.functions.times import BIN_ORIGIN, EPOCH, FRESH_MINUTES
 from wakeline.operators.positions import fix_columns, newest_fix
-from wakeline.operators.series import MAIN_ENGINES
+from wakeline.operators.series import MAIN_ENGINES, playback_columns
+from wakeline.operators.snapshot import completeness
 
 
 def stream_last_seen(
@@ -54,3 +61,67 @@ def stream_main_series(
             *[(number(c) / minutes).alias(c) for c in (*MAIN_ENGINES, "total")],
         )
     )
+
+
+def stream_fresh(interp: DataFrame, minutes: int = FRESH_MINUTES, late_by: str = "5 minutes") -> DataFrame:
+    """R1 and R2 over a stream (update mode): each vessel's most complete fresh row, kept up to date.
+
+    The clock is the watermark, ``late_by`` behind the newest report: what is emitted
+    at ``as_of`` is what the batch operators give for that moment, late reports
+    included. A vessel that falls silent stops being fresh without a new row: a timer
+    fires when its last report is ``minutes`` old. Rows say whether the vessel is
+    ``fresh`` and, if so, hold its row; only changes are emitted. State is the
+    reports of one vessel from the last ``minutes`` on, so it does not grow with
+    the stream. Reports without a vessel or a time take no part. Needs a session in
+    UTC, since watermarks work on zoned timestamps.
+    """
+    rows = (
+        interp.where("vessel_id is not null and nr_time is not null")
+        .select("id", F.col("vessel_id").cast("bigint").alias("vessel_id"), *playback_columns())
+        .withColumn("score", completeness())
+        .withColumn("event_time", F.col("timestamp").cast("timestamp"))
+        .withWatermark("event_time", late_by)
+    )
+    values = [f for f in rows.schema.fields if f.name not in ("vessel_id", "score", "event_time")]
+    names = [f.name for f in values]
+    out = T.StructType(
+        [
+            T.StructField("vessel_id", T.LongType()),
+            T.StructField("as_of", T.TimestampNTZType()),
+            T.StructField("fresh", T.BooleanType()),
+            *values,
+        ]
+    )
+    age = minutes * 60 * 1_000_000
+
+    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = state.getCurrentWatermarkMs() * 1000
+        # A report is (time, id, score, values); the row shown last goes with them.
+        held, shown = json.loads(state.get[0]) if state.exists else ([], None)
+        if not state.hasTimedOut:
+            for frame in frames:
+                times = frame["timestamp"].astype("datetime64[us]").astype("int64").tolist()
+                cells = frame[[n for n in names if n != "timestamp"]].astype(object)
+                cells = cells.where(cells.notna(), None).to_numpy().tolist()
+                held += [[t, row[0], s, row] for t, s, row in zip(times, frame["score"].tolist(), cells)]
+        held = [r for r in held if r[0] > now - age]
+        current = [r for r in held if r[0] <= now]
+        best = max(current, key=lambda r: (r[2], r[0], r[1]), default=None)
+        nearest = min([r[0] if r[0] > now else r[0] + age for r in held], default=None)
+        if nearest is None:
+            state.remove()
+        else:
+            state.update((json.dumps([held, best]),))
+            # A timer fires when the watermark has passed it, and may not lie in the past.
+            state.setTimeoutTimestamp(max(nearest // 1000, now // 1000 + 1))
+        if best != shown:
+            row = dict.fromkeys(out.names)
+            row |= {"vessel_id": key[0], "as_of": pd.Timestamp(now, unit="us"), "fresh": best is not None}
+            if best is not None:
+                row |= dict(zip([n for n in names if n != "timestamp"], best[3]))
+                row["timestamp"] = pd.Timestamp(best[0], unit="us")
+            yield pd.DataFrame([row], columns=out.names)
+
+    return rows.groupBy("vessel_id").applyInPandasWithState(
+        update, out, "held string", "update", GroupStateTimeout.EventTimeTimeout
+    )
