@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tests.frames import at, rows, table
 from wakeline.functions.times import within
-from wakeline.operators import deident, reports, series
+from wakeline.operators import deident, reports, series, weather
 from wakeline.plans.routes import FleetService
 from wakeline.schemas import FACT_TIMES, TABLES
 from wakeline.sources import jdbc
@@ -255,3 +255,11 @@ def test_aliases_answer_for_real_numbers(spark, tables):
     plain = FleetService(tables, at("15 12:00"))
     assert service.vessel_ids(12345) == service.vessel_ids(imo) == plain.vessel_ids(imo) != []
     assert plain.vessel_ids(12345) == []
+
+
+def test_recent_weather_opens_recent_days(lake):
+    whole = weather.latest_weather(lake.unified, lake.weather, vessel=lake.vessel)
+    recent = weather.latest_weather(lake.unified, lake.weather, vessel=lake.vessel, since=at("12 10:30"))
+    assert rows(recent, *whole.columns) == rows(whole, *whole.columns) != []
+    scans = [s for s in physical(recent).split("\n") if "FileScan parquet" in s and "beaufourt" in s]
+    assert any(re.search(r"PartitionFilters: \[[^\]]*day#\d+ >= 2024-01-12", s) for s in scans)

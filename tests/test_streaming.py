@@ -119,3 +119,41 @@ def test_vessels_stop_being_fresh_without_a_new_row(spark, tmp_path):
         got = sorted(tuple(r[c] for c in columns) for r in shown.values() if r["fresh"])
         assert sorted(map(repr, got)) == sorted(map(repr, wanted)), as_of
     assert shown[3]["fresh"] is False and shown[3]["timestamp"] is None
+
+
+def test_track_of_the_closed_part(spark, tmp_path):
+    """Points come out once, with the heading that the batch operator finds over the whole stream."""
+    import random
+
+    rng = random.Random(8)
+    reports = []
+    for k in range(600):
+        vessel = rng.choice((1, 1, 1, 2, 3))
+        row = {"id": k, "vessel_id": vessel, "nr_time": at("05 10:00") + timedelta(seconds=rng.randrange(20_000))}
+        if rng.random() < 0.9:
+            row |= {"latitude": rng.randrange(50), "longitude": 1}
+        if vessel < 3 and rng.random() < 0.15:
+            row["course"] = rng.randrange(360)
+        reports.append(row)
+    reports += [reports[5] | {"id": 600}, reports[7] | {"id": 601, "course": 11}]
+    reports.sort(key=lambda r: r["nr_time"] + timedelta(seconds=rng.choice((0, 0, 500))))
+    # The last report moves the watermark past all others.
+    reports.append({"id": 700, "vessel_id": 9, "nr_time": at("20 10:00"), "latitude": 1, "longitude": 1})
+    folder, state, found = str(tmp_path / "in"), str(tmp_path / "state"), []
+    for k in range(0, len(reports), 150):
+        part = table(spark, "interp", reports[k : k + 150])
+        part.coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(part.schema).parquet(folder)
+        query = (
+            live.stream_track(stream, "10 minutes")
+            .writeStream.outputMode("append")
+            .option("checkpointLocation", state)
+            .foreachBatch(lambda frame, _: found.extend(tuple(r) for r in frame.collect()))
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination(300)
+        assert query.exception() is None
+    batch = positions.track(table(spark, "interp", reports), at("01"), at("30")).where("vessel_id <> 9")
+    columns = ("vessel_id", "timestamp", "lat", "long", "direction")
+    assert sorted(found) == rows(batch, *columns)

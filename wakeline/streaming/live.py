@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from datetime import timedelta
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,7 +20,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from wakeline.functions.frames import number, total_sql
 from wakeline.functions.times import BIN_ORIGIN, EPOCH, FRESH_MINUTES
-from wakeline.operators.positions import fix_columns, newest_fix
+from wakeline.operators.positions import HEADED, LOCATED, fix_columns, newest_fix
 from wakeline.operators.series import MAIN_ENGINES, playback_columns
 from wakeline.operators.snapshot import completeness
 
@@ -125,3 +126,79 @@ def stream_fresh(interp: DataFrame, minutes: int = FRESH_MINUTES, late_by: str =
     return rows.groupBy("vessel_id").applyInPandasWithState(
         update, out, "held string", "update", GroupStateTimeout.EventTimeTimeout
     )
+
+
+def stream_track(interp: DataFrame, late_by: str, wait: str = "7 days") -> DataFrame:
+    """P1 over a stream (append mode): each distinct point once its nearest heading is certain.
+
+    The clock is the watermark, ``late_by`` behind the newest report. A point waits until
+    the next heading is known, or until the watermark is as far behind it as the last
+    heading before it, as a later one cannot be nearer then. So the rows
+    emitted are those of the batch operator over the whole stream. A vessel without
+    any heading yet has nothing to compare with: its points wait for one up to
+    ``wait`` and then read 0. State is a vessel's reports behind the watermark, its last
+    heading and the points that wait. Reports without a vessel or a time take no
+    part. Needs a session in UTC.
+    """
+    rows = (
+        interp.where("vessel_id is not null and nr_time is not null")
+        .where(f"({LOCATED}) or {HEADED}")
+        .select(
+            "id",
+            F.col("vessel_id").cast("bigint").alias("vessel_id"),
+            "nr_time",
+            number("latitude", "lat"),
+            number("longitude", "long"),
+            number("course", "course"),
+        )
+        .withColumn("event_time", F.col("nr_time").cast("timestamp"))
+        .withWatermark("event_time", late_by)
+    )
+    out = "vessel_id bigint, timestamp timestamp_ntz, lat double, long double, direction double"
+    patience = pd.Timedelta(wait) // pd.Timedelta("1us")
+
+    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = state.getCurrentWatermarkMs() * 1000
+        # Reports that others may still come before; the last heading; points that wait for one.
+        ahead, last, waiting = json.loads(state.get[0]) if state.exists else ([], None, [])
+        if not state.hasTimedOut:
+            for frame in frames:
+                times = frame["nr_time"].astype("datetime64[us]").astype("int64").tolist()
+                cells = frame[["id", "lat", "long", "course"]].astype(object)
+                cells = cells.where(cells.notna(), None).to_numpy().tolist()
+                ahead += [[t, *row] for t, row in zip(times, cells)]
+        certain = sorted((r for r in ahead if r[0] <= now), key=lambda r: r[:2])
+        ahead = [r for r in ahead if r[0] > now]
+        done: list[tuple] = []
+        for moment, at_once in groupby(certain, key=lambda r: r[0]):
+            group = list(at_once)
+            headings = [r for r in group if r[4] is not None]
+            if headings:
+                # Of headings at one instant the one with the higher id counts.
+                course = headings[-1][4]
+                for t, lat, long in waiting:
+                    back = last is not None and t - last[0] <= moment - t
+                    done.append((t, lat, long, last[1] if back else course))
+                last, waiting = [moment, course], []
+            # Points count once for each course they are reported with, as rows do.
+            points = dict.fromkeys((r[2], r[3], r[4]) for r in group if r[2] is not None and r[3] is not None)
+            if last is not None and last[0] == moment:
+                done += [(moment, lat, long, last[1]) for lat, long, _ in points]
+            else:
+                waiting += [[moment, lat, long] for lat, long, _ in points]
+        closing = lambda t: 2 * t - last[0] if last is not None else t + patience
+        done += [(t, lat, long, last[1] if last is not None else 0.0) for t, lat, long in waiting if closing(t) <= now]
+        waiting = [p for p in waiting if closing(p[0]) > now]
+        state.update((json.dumps([ahead, last, waiting]),))
+        timers = [r[0] for r in ahead] + [closing(p[0]) for p in waiting]
+        if timers:
+            state.setTimeoutTimestamp(max(min(timers) // 1000, now // 1000 + 1))
+        if done:
+            found = pd.DataFrame(done, columns=["timestamp", "lat", "long", "direction"])
+            found["timestamp"] = pd.to_datetime(found["timestamp"], unit="us")
+            found.insert(0, "vessel_id", key[0])
+            yield found
+
+    return rows.groupBy("vessel_id").applyInPandasWithState(
+        update, out, "held string", "append", GroupStateTimeout.EventTimeTimeout
+    )
