@@ -14,7 +14,7 @@ from wakeline.operators import deident, reports, series, weather
 from wakeline.plans.routes import FleetService
 from wakeline.schemas import FACT_TIMES, TABLES
 from wakeline.sources import jdbc
-from wakeline.sources.documents import read_json_documents
+from wakeline.sources.documents import read_json_documents, read_json_lists
 from wakeline.sources.lake import Lake, append_rows, write_fact
 from wakeline.sources.noon import NOON_COLUMNS, NOON_SCHEMA, read_noon_csv
 from wakeline.sources.shared import new_path, shared_folder
@@ -263,3 +263,42 @@ def test_recent_weather_opens_recent_days(lake):
     assert rows(recent, *whole.columns) == rows(whole, *whole.columns) != []
     scans = [s for s in physical(recent).split("\n") if "FileScan parquet" in s and "beaufourt" in s]
     assert any(re.search(r"PartitionFilters: \[[^\]]*day#\d+ >= 2024-01-12", s) for s in scans)
+
+
+def test_json_lists_in_byte_ranges(spark, tmp_path):
+    """Braces, quotes and escapes in strings, nested documents, and documents larger than a range."""
+    import json
+    import random
+
+    rng = random.Random(2)
+    odd = ["}", "{", '"', "\\", '\\"}', "[{", "é}", "x", "},{", "\n", "\u2028"]
+
+    def text():
+        return "".join(rng.choice(odd) for _ in range(rng.randrange(12)))
+
+    documents = []
+    for k in range(6000):
+        document = {"no": k, "note": text(), "parts": [{"name": text(), "size": k / 7} for _ in range(rng.randrange(3))]}
+        if k % 1500 == 7:
+            document["note"] = "}{\"" * 40_000
+        if k % 11 == 0:
+            del document["note"]
+        documents.append(document)
+    for name, part, shape in (("a", documents[:4000], {"indent": 1}), ("b", documents[4000:], {"separators": (",", ":")}), ("c", [], {})):
+        (tmp_path / f"{name}.json").write_text(json.dumps(part, ensure_ascii=False, **shape))
+    schema = "no bigint, note string, parts array<struct<name: string, size: double>>, missing int"
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        found = read_json_lists(spark, str(tmp_path), schema)
+        ranges = found.rdd.getNumPartitions()
+        got = found.orderBy("no").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert ranges > 20
+    assert got == read_json_documents(spark, str(tmp_path), schema).orderBy("no").collect()
+    assert len(got) == 6000
+    (tmp_path / "d.json").write_text('[{"no": 1}, {"no": 2')
+    with pytest.raises(ValueError, match="MALFORMED"):
+        read_json_lists(spark, str(tmp_path), schema)
