@@ -201,6 +201,18 @@ def test_shards(spark, texts, make):
     assert hilbert_shards.shard_documents(empty(spark)).count() == 0
 
 
+def test_written_shards_are_runs_of_the_curve(spark, tmp_path):
+    placed = spark.range(1000).select((F.col("id") % 3).cast("int").alias("shard"), (F.col("id") / 3).cast("long").alias("slot"))
+    hilbert_shards.write_shards(placed, str(tmp_path / "out"), 3)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert back.count() == 1000
+    files = back.groupBy("shard", F.input_file_name().alias("f")).agg(
+        F.min("slot").alias("low"), F.max("slot").alias("high"), F.count("*").alias("n")
+    )
+    rows = files.orderBy("shard", "low").collect()
+    assert len(rows) > 3 and all(r["high"] - r["low"] + 1 == r["n"] for r in rows)
+
+
 def test_hilbert_curve_visits_neighbours():
     grid = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij"), -1).reshape(-1, 3)
     order = grid[np.argsort(hilbert_shards.hilbert_index(grid, 3))]

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wakeline.llm.common import rank_within, settle
+from wakeline.llm.common import partitions, rank_within, settle
 
 #: Bits of each dimension; the cells are at most 2 ** (dimensions * BITS).
 BITS = 5
@@ -105,9 +105,14 @@ def hilbert_shards(
 
 
 def write_shards(sharded: DataFrame, path: str, shards: int) -> None:
-    """One folder per shard, rows in curve order, so that file statistics prune well."""
+    """One folder per shard, rows in curve order, so that file statistics prune well.
+
+    Rows are dealt by ranges of (shard, slot) to ``shards`` tasks at least, so a large shard
+    is several files, each a run of the curve.
+    """
+    tasks = max(shards, partitions(sharded.sparkSession))
     (
-        sharded.repartition(shards, "shard")
+        sharded.repartitionByRange(tasks, "shard", "slot")
         .sortWithinPartitions("shard", "slot")
         .write.partitionBy("shard")
         .parquet(path)
