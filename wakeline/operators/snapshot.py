@@ -20,7 +20,7 @@ from wakeline.functions.times import (
     instant,
     within,
 )
-from wakeline.operators.positions import ais_track, latest_ais, latest_position, track
+from wakeline.operators.positions import ais_track, latest_position, newest_ais, track
 from wakeline.operators.series import (
     AUX_ENGINES,
     MAIN_ENGINES,
@@ -303,11 +303,14 @@ def vessel_snapshot(
         "stw",
         *[engine_record(e) for e in engines],
     )
-    own = latest_position(interp, vessel_ids, asked, since)
-    other = latest_ais(ais, asked, vessel_ids, since).drop("id_type", "id_number")
-    sky = latest_weather(unified, weather, vessel_ids, asked, since)
+    # The last joins leave out what belongs to no vessel asked for; only a look at recent
+    # rows first has to know them before.
+    looked_for = None if since is None else asked
+    own = latest_position(interp, vessel_ids, looked_for, since)
+    other = newest_ais(pick_vessels(ais, vessel_ids), looked_for, since)
+    sky = latest_weather(unified, weather, vessel_ids, looked_for, since)
     state = latest_status(
-        vessel_status, position_status, gis_point, gis_point_type, vessel_ids, asked, since
+        vessel_status, position_status, gis_point, gis_point_type, vessel_ids, looked_for, since
     )
     return (
         asked.select(F.col("id").alias("vessel_id"))
