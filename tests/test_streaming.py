@@ -7,7 +7,7 @@ from datetime import timedelta
 from pyspark.sql import functions as F
 
 from tests.frames import at, rows, table
-from wakeline.operators import positions, series, snapshot
+from wakeline.operators import links, positions, series, snapshot
 from wakeline.streaming import live
 
 
@@ -157,3 +157,33 @@ def test_track_of_the_closed_part(spark, tmp_path):
     batch = positions.track(table(spark, "interp", reports), at("01"), at("30")).where("vessel_id <> 9")
     columns = ("vessel_id", "timestamp", "lat", "long", "direction")
     assert sorted(found) == rows(batch, *columns)
+
+
+def test_links_after_every_load(spark, tables, tmp_path):
+    stream = stream_of(spark, tables.nmea, str(tmp_path / "in"))
+    heard = tables.device_status.select("device_id", F.col("latest_timestamp").alias("message_datetime"))
+    parts = (tables.vessel, tables.device, tables.engine)
+    edges, found = [at("09 00:00"), at("16 12:30"), at("23 00:00"), at("31 00:00")], []
+
+    def compare(frame, batch):
+        seen = spark.createDataFrame(frame.collect(), frame.schema)
+        status = live.stream_last_seen(heard)
+        mine = links.links_of_seen(*parts, status, seen)
+        whole = links.vessel_links(*parts, tables.device_status, tables.nmea.where(F.col("message_datetime") < F.lit(edges[batch])))
+        found.append(rows(mine, *whole.columns) == rows(whole, *whole.columns))
+        fleet_columns = links.fleet_links(tables.vessel, tables.customer, *parts[1:], status).columns
+        found.append(
+            rows(links.fleet_links(tables.vessel, tables.customer, *parts[1:], status), *fleet_columns)
+            == rows(links.fleet_links(tables.vessel, tables.customer, *parts[1:], tables.device_status), *fleet_columns)
+        )
+
+    query = (
+        live.stream_seen_by_device(stream)
+        .writeStream.outputMode("complete")
+        .foreachBatch(compare)
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination(300)
+    assert query.exception() is None
+    assert len(found) == 8 and all(found)

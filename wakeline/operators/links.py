@@ -98,32 +98,49 @@ def vessel_links(
     ``limit``. ``since`` reads recent reports first; only devices without a place or
     a speed there are looked up in the whole archive.
     """
-    placed = F.col("latitude").isNotNull() | F.col("longitude").isNotNull()
-    moving = F.col("speed_over_ground").isNotNull()
     owners = pick_vessels(device, vessel_ids, vessel if limit else None).select(
         "device_id", "vessel_id"
     )
     if limit or vessel_ids is not None:
         nmea = nmea.join(owners.select("device_id"), "device_id", "left_semi")
+    seen = recent_first(
+        nmea,
+        "message_datetime",
+        since,
+        owners.select("device_id").distinct(),
+        seen_by_device,
+        F.col("placed_at").isNotNull() & F.col("moving_at").isNotNull(),
+        key="device_id",
+        id_column="device_id",
+    )
+    return links_of_seen(vessel, device, engine, device_status, seen, vessel_ids)
+
+
+def seen_by_device(nmea: DataFrame) -> DataFrame:
+    """``device_id, placed_at, moving_at``: the last report with a place, and with a speed.
+
+    Two maxima that can be kept up to date by a stream (``streaming.live``).
+    """
+    placed = F.col("latitude").isNotNull() | F.col("longitude").isNotNull()
+    moving = F.col("speed_over_ground").isNotNull()
+    return nmea.groupBy("device_id").agg(
+        F.max(F.when(placed, F.col("message_datetime"))).alias("placed_at"),
+        F.max(F.when(moving, F.col("message_datetime"))).alias("moving_at"),
+    )
 
-    def last_seen(reports: DataFrame) -> DataFrame:
-        return reports.groupBy("device_id").agg(
-            F.max(F.when(placed, F.col("message_datetime"))).alias("placed_at"),
-            F.max(F.when(moving, F.col("message_datetime"))).alias("moving_at"),
-        )
 
+def links_of_seen(
+    vessel: DataFrame,
+    device: DataFrame,
+    engine: DataFrame,
+    device_status: DataFrame,
+    seen_devices: DataFrame,
+    vessel_ids: Iterable[int] | None = None,
+) -> DataFrame:
+    """L1 from ``seen_by_device``."""
+    owners = pick_vessels(device, vessel_ids).select("device_id", "vessel_id")
     seen = (
-        recent_first(
-            nmea,
-            "message_datetime",
-            since,
-            owners.select("device_id").distinct(),
-            last_seen,
-            F.col("placed_at").isNotNull() & F.col("moving_at").isNotNull(),
-            key="device_id",
-            id_column="device_id",
-        )
-        .join(owners, "device_id")
+        seen_devices.join(owners, "device_id")
         .groupBy("vessel_id")
         .agg(
             epoch_seconds(F.max("placed_at")).alias("position"),

@@ -20,6 +20,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from wakeline.functions.frames import number, total_sql
 from wakeline.functions.times import BIN_ORIGIN, EPOCH, FRESH_MINUTES
+from wakeline.operators.links import seen_by_device
 from wakeline.operators.positions import HEADED, LOCATED, fix_columns, newest_fix
 from wakeline.operators.series import MAIN_ENGINES, playback_columns
 from wakeline.operators.snapshot import completeness
@@ -32,6 +33,15 @@ def stream_last_seen(
     return reports.groupBy(key).agg(F.max(moment).alias("latest_timestamp"))
 
 
+def stream_seen_by_device(nmea: DataFrame) -> DataFrame:
+    """Last placed and moving report per device (update or complete mode).
+
+    With ``stream_last_seen`` over device reports this is all that the links read: L1 is
+    ``links.links_of_seen`` of the two tables, L2 ``links.fleet_links`` of the second.
+    """
+    return seen_by_device(nmea)
+
+
 def stream_latest_position(interp: DataFrame) -> DataFrame:
     """P2 over a stream (update or complete mode)."""
     return fix_columns(newest_fix(interp))
