@@ -19,7 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from wakeline.llm.common import given_back
 
 #: Hashed n-gram space.
 DIMENSIONS = 1 << 18
@@ -230,7 +231,7 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) ->
         documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string").alias("text"))
         .join(F.broadcast(chosen), "doc_id")
         .select("doc_id", "quality", "text")
-        .mapInArrow(run, "doc_id bigint, quality int, ids array<int>")
+        .mapInArrow(lambda batches: given_back(run(batches)), "doc_id bigint, quality int, ids array<int>")
     )
     # Documents may repeat an id; the bound holds for rows all the same.
     table = found.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).toArrow()
@@ -243,29 +244,27 @@ def add_scores(documents: DataFrame, model: Model, name: str = "score") -> DataF
 
     A column that has that name already gives way. Null and empty texts are scored
     like any other: by the n-gram of blank texts. Repeated rows score the same; an
-    empty table gives an empty result.
+    empty table gives an empty result. Only texts go to Python and only scores come
+    back; the other columns stay in Spark, whatever their types.
     """
     inner = (model.weight * model.ratio).astype(np.float32)
     square = (model.ratio * model.ratio).astype(np.float32)
     slope, shift = model.slope, model.shift
-    kept = [f for f in documents.schema.fields if f.name.lower() != name.lower()]
-    held = documents.select(
-        F.struct(*[F.col(f"`{f.name}`") for f in kept]).alias("row"), F.col("text").cast("string").alias("text")
-    )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         shapes = _Shapes()
-        for batch in batches:
-            margins = np.zeros(batch.num_rows)
-            for k, text in enumerate(batch.column(1)):
+        for texts in batches:
+            margins = np.zeros(len(texts))
+            for k, text in enumerate(texts):
                 ids = ngrams(text.as_py(), shapes)
                 norm = np.sqrt(square[ids].sum(dtype=np.float64)) + 1e-12
                 margins[k] = inner[ids].sum(dtype=np.float64) / norm
-            score = pa.array(logistic(margins, slope, shift))
-            yield pa.RecordBatch.from_arrays([batch.column(0), score], ["row", "score"])
+            del texts
+            yield pa.array(logistic(margins, slope, shift))
 
-    schema = T.StructType([held.schema["row"], T.StructField("score", T.DoubleType())])
-    scored = held.mapInArrow(run, schema)
-    return scored.select(
-        *[F.col(f"row.`{f.name}`").alias(f.name) for f in kept], F.col("score").alias(name)
-    )
+    @F.arrow_udf("double")
+    def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from given_back(run(texts))
+
+    kept = [F.col(f"`{c}`") for c in documents.columns if c.lower() != name.lower()]
+    return documents.select(*kept, score(F.col("text").cast("string")).alias(name))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wakeline.llm.byte_pairs import BytePairs, plain
-from wakeline.llm.common import rank_within, settle
+from wakeline.llm.common import given_back, rank_within, settle
 from wakeline.llm.words import Coder, Cuts, coded_texts
 
 CAPACITY = 4096
@@ -182,7 +182,7 @@ def tokenise(documents: DataFrame, vocabulary: str, capacity: int = CAPACITY) ->
             )
 
     return documents.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(
-        run, PIECES
+        lambda batches: given_back(run(batches)), PIECES
     )
 
 

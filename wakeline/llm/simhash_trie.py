@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wakeline.llm.common import settle
+from wakeline.llm.common import given_back, settle
 from wakeline.llm.components import connected, local_components
 
 BITS = 64
@@ -72,7 +72,8 @@ def fingerprints(documents: DataFrame, *carried: Column) -> DataFrame:
                 [*batch.columns[1:], signed], [*batch.schema.names[1:], "fp"]
             )
 
-    return frame.mapInArrow(run, T.StructType([*kept, T.StructField("fp", T.LongType())]))
+    schema = T.StructType([*kept, T.StructField("fp", T.LongType())])
+    return frame.mapInArrow(lambda batches: given_back(run(batches)), schema)
 
 
 def walk(
