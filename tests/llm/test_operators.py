@@ -248,6 +248,60 @@ def test_suffix_array_and_prefixes(symbols):
             assert shared[k] == same or (shared[k] >= same and same == min(len(a), len(b)) < 50)
 
 
+def test_only_texts_that_share_an_anchor_are_sorted(monkeypatch):
+    rng = np.random.default_rng(5)
+    core = bytes(rng.integers(97, 123, 24).astype(np.uint8))
+    texts = []
+    for k in range(40):
+        left, right = (bytes(rng.integers(97, 99, 26).astype(np.uint8)) for _ in range(2))
+        texts.append(left[k % 20 :] + core + right)
+    texts = list(dict.fromkeys(texts + [bytes(rng.integers(97, 123, 70).astype(np.uint8)) for _ in range(9)] + [b"a" * 60]))
+    codes = np.array([7 if core in t else 100 + k for k, t in enumerate(texts)], dtype=np.uint32)
+    owners = rng.permutation(len(texts)).astype(np.int64)
+    least = {}
+    for text, owner in zip(texts, owners.tolist()):
+        for at in range(len(text) - 49):
+            window = text[at : at + 50]
+            least[window] = min(owner, least.get(window, owner))
+    read = []
+    plain = suffix_arrays.suffix_array
+    monkeypatch.setattr(suffix_arrays, "suffix_array", lambda t, d: read.append(len(t)) or plain(t, d))
+    found, windows = suffix_arrays.least_ids(texts, codes, owners, 50)
+    assert windows.tolist() == [len(t) - 49 for t in texts]
+    assert found.tolist() == [least[t[a : a + 50]] for t in texts for a in range(len(t) - 49)]
+    assert read == [sum(len(t) for t in texts if core in t)]
+    alone, _ = suffix_arrays.least_ids(texts, np.arange(len(texts), dtype=np.uint32), owners, 50)
+    assert len(read) == 1 and alone.tolist() == np.repeat(owners, windows).tolist()
+
+
+def test_places_in_order_of_small_and_large_keys():
+    rng = np.random.default_rng(3)
+    for top in (1, 5, 1 << 40, 1 << 62):
+        for n in (0, 1, 2, 1000):
+            keys = rng.integers(0, top, n)
+            assert (suffix_arrays.stable_order(keys) == np.argsort(keys, kind="stable")).all()
+            assert (suffix_arrays.distinct(keys) == np.unique(keys)).all()
+
+
+def test_equal_windows_have_equal_anchors(monkeypatch):
+    """Wherever they stand in a document, a block or a group, and none that leaves its document."""
+    monkeypatch.setattr(suffix_arrays, "BLOCK", 128)
+    rng = np.random.default_rng(9)
+    shared = bytes(rng.integers(97, 123, 150).astype(np.uint8))
+    texts = [shared, b"", b"x" * 49, b"y" * 300, b"q" * 77 + shared + b"r" * 30, shared[40:120], b"y" * 200]
+    sizes = np.array([len(t) for t in texts])
+    text = np.frombuffer(b"".join(texts), dtype=np.uint8)
+    first, last, code = suffix_arrays.anchor_runs(text, sizes)
+    raw, of = text.tobytes(), defaultdict(set)
+    for a, z, c in zip(first.tolist(), last.tolist(), code.tolist()):
+        for at in range(a, z + 1):
+            of[raw[at : at + 50]].add(c)
+    ends = np.cumsum(sizes)
+    inside = [at for e, n in zip(ends.tolist(), sizes.tolist()) for at in range(e - n, e - 49)]
+    assert sorted(at for a, z in zip(first.tolist(), last.tolist()) for at in range(a, z + 1)) == inside
+    assert set(of) == {raw[at : at + 50] for at in inside} and all(len(c) == 1 for c in of.values())
+
+
 def test_contamination(spark, texts):
     items = read(f"select item_id, text from '{DATA}/benchmark.parquet'")
     found = [tuple(r) for r in queries.op6_phrase_index(spark, DATA).collect()]

@@ -4,8 +4,8 @@ Every byte covered by a string of ``WIDTH`` bytes that also starts in a document
 with a smaller id is removed. Candidates come first: a window of ``WIDTH`` bytes is
 anchored at its smallest hashed gram, and only anchors that two documents share go
 on. The text around the anchors (a piece) is dealt by anchor, so equal windows
-meet in one shard; a shard sorts all suffixes of its distinct pieces and reads
-equal windows off the permuted common prefixes.
+meet in one shard; a shard sorts all suffixes of its distinct pieces, but for those
+alone on their anchor, and reads equal windows off the permuted common prefixes.
 """
 
 from __future__ import annotations
@@ -26,8 +26,28 @@ GRAM = 24
 GROUP_BYTES = 6 << 20
 #: Bytes of text whose anchor hashes meet in one shard, about.
 HASH_BYTES = 24 << 20
-#: Bytes that are hashed at a time.
-BLOCK = 1 << 20
+#: Bytes that are hashed at a time, few enough to stay in a core's cache.
+BLOCK = 1 << 17
+
+
+def stable_order(keys: np.ndarray) -> np.ndarray:
+    """Places of non-negative whole numbers in rising order, equal ones as they stand.
+
+    Key and place are sorted as one number where both fit, as numpy sorts numbers
+    several times as fast as it sorts places by them.
+    """
+    bits = len(keys).bit_length()
+    if not len(keys) or int(keys.max()) >> (64 - bits):
+        return np.argsort(keys, kind="stable")
+    both = (keys.astype(np.uint64) << np.uint64(bits)) | np.arange(len(keys), dtype=np.uint64)
+    both.sort()
+    return (both & np.uint64((1 << bits) - 1)).astype(np.int64)
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Each value once, rising; sorted, which is faster than the hash table of ``np.unique``."""
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
 
 
 # --- suffix arrays -----------------------------------------------------------
@@ -107,7 +127,9 @@ def _deal(rows: np.ndarray, symbol: np.ndarray, placed: list[list[np.ndarray]])
 def _name(words: np.ndarray, at: np.ndarray, order: np.ndarray, n: int) -> np.ndarray:
     """Names of the leftmost-S substrings, from 1, equal for equal ones; by position."""
     stop = np.append(at[1:], n - 1) + 1
-    rank = np.searchsorted(at, order)
+    place = np.empty(n, dtype=np.int64)
+    place[at] = np.arange(len(at))
+    rank = place[order]
     begin, size = order, stop[rank] - order
     differs = np.ones(len(order), dtype=bool)
     open_ = np.flatnonzero(size[1:] == size[:-1]) + 1
@@ -134,12 +156,13 @@ def _sort_names(names: np.ndarray, depth: int) -> np.ndarray:
     by (name, next name) instead of inducing.
     """
     rank, step = names.copy(), 1
-    order = np.argsort(rank, kind="stable")
+    order = stable_order(rank)
+    bits = len(rank).bit_length()
     while step < depth:
         following = np.zeros(len(rank), dtype=np.int64)
         following[: max(0, len(rank) - step)] = rank[step:]
-        key = (rank << 32) | following
-        order = np.argsort(key, kind="stable")
+        key = (rank << bits) | following
+        order = stable_order(key)
         sorted_ = key[order]
         new = np.cumsum(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
         rank = np.empty_like(rank)
@@ -212,17 +235,19 @@ def permuted_common_prefix(text: np.ndarray, order: np.ndarray, most: int) -> np
 
 
 def _gram_hashes(part: np.ndarray) -> np.ndarray:
-    """Hash of the gram of 24 bytes from every position on, by doubling: 1, 2, 4, 8, 16, 16 + 8."""
-    one = (part.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    eight = one
-    for size in (1, 2, 4, 8):
-        factor = np.uint64(pow(0xD6E8FEB86659FD93, size, 1 << 64))
-        one = one[:-size] * factor + (one[size:] ^ (one[size:] >> np.uint64(29)))
-        eight = one if size == 4 else eight
-    m = len(part) - GRAM + 1
-    mixed = one[:m] * np.uint64(pow(0xD6E8FEB86659FD93, 16, 1 << 64)) + eight[16 : 16 + m]
-    mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xE9846AF9B1A615D)
-    return mixed ^ (mixed >> np.uint64(28))
+    """Hash of the gram of 24 bytes from every position on: its three words, each mixed first."""
+    words = np.ndarray((len(part) - 7,), dtype="<u8", buffer=part, strides=(1,))
+    words = words * np.uint64(0x9E3779B97F4A7C15)
+    words ^= words >> np.uint64(32)
+    m, factor = len(part) - GRAM + 1, np.uint64(0xD6E8FEB86659FD93)
+    mixed = words[:m].copy()
+    for k in range(8, GRAM, 8):
+        mixed *= factor
+        mixed += words[k : k + m]
+    mixed ^= mixed >> np.uint64(32)
+    mixed *= np.uint64(0xE9846AF9B1A615D)
+    mixed ^= mixed >> np.uint64(28)
+    return mixed
 
 
 def anchor_runs(
@@ -231,8 +256,8 @@ def anchor_runs(
     """Runs of windows with one anchor: first window, last window, hash of the anchor.
 
     ``text`` holds documents of the given sizes back to back; windows lie within
-    one. The anchor is the leftmost gram with the smallest hash (of its upper 40
-    bits), so equal windows have equal anchors. Blocks overlap by a window.
+    one. The anchor is the leftmost gram with the smallest hash of 40 bits, so equal
+    windows have equal anchors. Blocks overlap by a window.
     """
     n, grams = len(text), width - GRAM + 1
     firsts, lasts, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
@@ -262,7 +287,7 @@ def anchor_runs(
         stops = np.flatnonzero(np.append(edge[1:] | ~inside[1:], True) & inside)
         firsts.append(starts + begin)
         lasts.append(stops + begin)
-        hashes.append(mixed[at[starts]])
+        hashes.append(mixed[at[starts]] >> np.uint64(24))
     return np.concatenate(firsts), np.concatenate(lasts), np.concatenate(hashes)
 
 
@@ -298,18 +323,20 @@ class Group:
 
     def shared(self, others: np.ndarray) -> np.ndarray:
         """Runs whose anchor stands in two documents, here or (``others``) elsewhere."""
-        order = np.lexsort((self.ids[self.doc], self.code))
-        code, owner = self.code[order], self.ids[self.doc][order]
-        edges = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
-        if not len(order):
+        if not len(self.code):
             return np.zeros(0, dtype=np.int64)
-        differs = np.minimum.reduceat(owner, edges) != np.maximum.reduceat(owner, edges)
-        here = np.repeat(differs, np.diff(np.append(edges, len(code))))
-        keep = np.zeros(len(code), dtype=bool)
-        keep[order] = here
+        order = stable_order(self.code)
+        code, owner = self.code[order], self.ids[self.doc[order]]
+        edges = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+        # Documents stand by id and runs by document, so ids rise within a code.
+        stops = np.append(edges[1:], len(code))
+        found = owner[edges] != owner[stops - 1]
         if len(others):
-            slot = np.minimum(np.searchsorted(others, self.code), len(others) - 1)
-            keep |= others[slot] == self.code
+            each = code[edges]
+            slot = np.minimum(np.searchsorted(others, each), len(others) - 1)
+            found |= others[slot] == each
+        keep = np.zeros(len(code), dtype=bool)
+        keep[order] = np.repeat(found, stops - edges)
         return np.flatnonzero(keep)
 
     def pieces(self, runs: np.ndarray, width: int):
@@ -330,11 +357,29 @@ class Group:
         return which, list(known), code, least
 
 
-def least_ids(texts: list[bytes], owners: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+def least_ids(
+    texts: list[bytes], codes: np.ndarray, owners: np.ndarray, width: int
+) -> tuple[np.ndarray, np.ndarray]:
     """For every window of the distinct ``texts`` the least owner of an equal window.
 
-    Windows in the order of the texts, and the number of windows of each text.
+    Windows in the order of the texts, and the number of windows of each text. Equal
+    windows stand in texts of one anchor, by ``codes``; so a text alone on its anchor
+    has no equal elsewhere, and only the others are sorted.
     """
+    windows = np.array([len(t) for t in texts], dtype=np.int64) - width + 1
+    order = stable_order(codes)
+    edge = np.concatenate([[True], codes[order][1:] != codes[order][:-1], [True]])
+    some = np.ones(len(texts), dtype=bool)
+    some[order] = ~(edge[:-1] & edge[1:])
+    out = np.repeat(owners, windows)
+    met = np.flatnonzero(some)
+    if len(met):
+        out[np.repeat(some, windows)] = _sorted_least([texts[k] for k in met.tolist()], owners[met], width)
+    return out, windows
+
+
+def _sorted_least(texts: list[bytes], owners: np.ndarray, width: int) -> np.ndarray:
+    """The least owner of every window by a suffix array of the texts."""
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
     text = np.frombuffer(b"".join(texts), dtype=np.uint8)
     windows = sizes - width + 1
@@ -352,7 +397,7 @@ def least_ids(texts: list[bytes], owners: np.ndarray, width: int) -> tuple[np.nd
     least = np.minimum.reduceat(owners[piece[window]], heads)
     out = np.empty(len(at), dtype=np.int64)
     out[window] = np.repeat(least, np.diff(np.append(heads, len(order))))
-    return out, windows
+    return out
 
 
 # --- the job -----------------------------------------------------------------
@@ -385,12 +430,12 @@ def remove_repeats(documents: DataFrame, width: int = WIDTH, groups: int | None
     meets = int(max(8, groups * GROUP_BYTES // HASH_BYTES))
 
     def parts(code: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
-        shard = (code >> np.uint64(24)) % np.uint64(shards)
-        order = np.argsort(shard, kind="stable")
+        shard = code % np.uint64(shards)
+        order = stable_order(shard)
         return order, np.searchsorted(shard[order], np.arange(shards + 1))
 
     def send_hashes(key: tuple, table: pa.Table) -> pa.Table:
-        codes = np.unique(Group(table, width).code)
+        codes = distinct(Group(table, width).code)
         order, edge = parts(codes, meets)
         found = [
             (s, key[0].as_py(), _packed(codes[order[edge[s] : edge[s + 1]]]))
@@ -403,7 +448,7 @@ def remove_repeats(documents: DataFrame, width: int = WIDTH, groups: int | None
         senders = table.column("grp").to_pylist()
         lists = [_unpacked(v, "u8")[0] for v in table.column("load").to_pylist()]
         every = np.sort(np.concatenate(lists))
-        twice = np.unique(every[1:][every[1:] == every[:-1]])
+        twice = distinct(every[1:][every[1:] == every[:-1]])
         found = []
         for sender, codes in zip(senders, lists):
             mine = np.intersect1d(codes, twice, assume_unique=True)
@@ -428,16 +473,17 @@ def remove_repeats(documents: DataFrame, width: int = WIDTH, groups: int | None
                 some = [texts[k] for k in mine.tolist()]
                 sizes = np.array([len(t) for t in some], dtype="<i4")
                 body = np.frombuffer(b"".join(some), dtype=np.uint8)
-                load = _packed(sizes, least[mine], mine, body)
+                # Of the anchors' hashes 32 bits do: where two are taken for one, more is sorted.
+                load = _packed(sizes, code[mine].astype("<u4"), least[mine], mine, body)
                 found.append((s, key[0].as_py(), load))
         return _table(found)
 
     def meet_pieces(key: tuple, table: pa.Table) -> pa.Table:
         known: dict[bytes, int] = {}
         sent = []
-        owner = np.zeros(0, dtype=np.int64)
+        owner, code = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint32)
         for sender, load in zip(table.column("grp").to_pylist(), table.column("load").to_pylist()):
-            sizes, least, mine, body = _unpacked(load, "<i4", "<i8", "<i8", "u1")
+            sizes, codes, least, mine, body = _unpacked(load, "<i4", "<u4", "<i8", "<i8", "u1")
             raw, stops = body.tobytes(), np.cumsum(sizes)
             which = np.array(
                 [
@@ -449,8 +495,10 @@ def remove_repeats(documents: DataFrame, width: int = WIDTH, groups: int | None
             fresh = np.full(len(known) - len(owner), np.iinfo(np.int64).max)
             owner = np.concatenate([owner, fresh])
             np.minimum.at(owner, which, least)
+            code = np.concatenate([code, np.zeros(len(fresh), dtype=np.uint32)])
+            code[which] = codes
             sent.append((sender, mine, which, least))
-        values, windows = least_ids(list(known), owner, width)
+        values, windows = least_ids(list(known), code, owner, width)
         begins = np.cumsum(windows) - windows
         found = []
         for sender, mine, which, least in sent:
